@@ -47,18 +47,18 @@ def mentions_by_scan(cells: DataFrame, names: DataFrame, text: str, keep: list[s
 
 def mentions_by_lookup(cells: DataFrame, names: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Substrings of roster-name lengths, hash joined; lengths are bounded by the longest name."""
-    lengths = names.agg(F.array_sort(F.collect_set(F.length("name"))).alias("lens")).scalar()
+    lengths = sorted(r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect())
     body = F.coalesce(F.col(text), F.lit(""))
 
     def cut(size):
-        """First position of each distinct substring of one length."""
+        """Distinct substrings of one length."""
         last = F.length(body) - size + 1
         spots = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
         return F.coalesce(
-            F.array_distinct(F.transform(spots, lambda i: F.substring(body, i, size))),
+            F.array_distinct(F.transform(spots, lambda i: F.substring(body, i, F.lit(size)))),
             F.array().cast("array<string>"))
 
-    parts = cells.select(*keep, body.alias("_body"), F.explode(F.flatten(F.transform(lengths, cut))).alias("name"))
+    parts = cells.select(*keep, body.alias("_body"), F.explode(F.flatten(F.array(*map(cut, lengths)))).alias("name"))
     hits = parts.select(*keep, "_body", "name").join(names, "name")
     return hits.withColumn("position", F.instr("_body", F.col("name"))).drop("_body")
 
