@@ -71,8 +71,8 @@ def running_last(
     inner = Window.partitionBy(*keys, "_s").orderBy(by).rowsBetween(Window.unboundedPreceding, edge)
     local = staged.withColumn("_local", F.last("_v", ignorenulls=True).over(inner))
     pick = F.min_by if reverse else F.max_by
-    summary = staged.filter(F.col("_v").isNotNull()).groupBy(*keys, "_s").agg(pick("_v", order).alias("_edge"))
-    spans = staged.select(*keys, "_s").distinct().join(summary, [*keys, "_s"], "left")
+    edge_of = pick("_v", F.when(F.col("_v").isNotNull(), F.col(order)))
+    spans = staged.groupBy(*keys, "_s").agg(edge_of.alias("_edge"))
     step = F.col("_s").desc() if reverse else F.col("_s").asc()
     outer = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select(*keys, "_s", F.last("_edge", ignorenulls=True).over(outer).alias("_carry"))
