@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rosterops.functions.text import _c
+from rosterops.functions.text import _c, char_grams
 
 KEEP_CJK = r"[^0-9a-z\x{4E00}-\x{9FFF}]+"
 CLAUSE_PREFIX = r"^(?U)\s*(?:[0-9]+(?:\.[0-9]+){1,6}|[（(]\s*[0-9]+\s*[）)]|[a-z][.、])\s*"
@@ -74,9 +74,8 @@ def page_match_text(lowered: Column) -> Column:
 
 def grams(text: Column, size: int = 2) -> Column:
     """Distinct character grams; a text no longer than ``size`` is its own gram."""
-    count = F.length(text) - size + 1
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(text == "", F.array().cast("array<string>")).when(count <= 1, F.array(text)).otherwise(F.array_distinct(cut))
+    whole = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.when(F.length(text) <= size, whole).otherwise(char_grams(text, size))
 
 
 def id_tokens(lowered: Column) -> Column:

@@ -260,5 +260,24 @@ def excerpt(text, needle, radius: int = 90) -> Column:
     return F.when((key == "") | (position == 0), whole).otherwise(hit)
 
 
+def char_grams(text, size: int) -> Column:
+    """Distinct character runs of one length, none when the text is shorter.
+
+    The text becomes a character array once; cutting runs out of the string itself would
+    walk it from the start for every run.
+    """
+    def cut(chars):
+        def run(i):
+            if size <= 8:
+                return F.concat(*(F.get(chars, i + k) for k in range(size)))
+            return F.array_join(F.slice(chars, i + 1, F.lit(size)), "")
+
+        last = F.size(chars) - size
+        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run)))
+
+    whole = F.get(F.transform(F.array(F.split(_c(text), "")), cut), F.lit(0))
+    return F.coalesce(F.when(_c(text) != "", whole), F.array().cast("array<string>"))
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterops.functions.text import clean
+from rosterops.functions.text import char_grams, clean
 from rosterops.operators.skew import attach
 
 BROADCAST_NAMES = 2_000
@@ -50,15 +50,8 @@ def mentions_by_lookup(cells: DataFrame, names: DataFrame, text: str, keep: list
     lengths = sorted(r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect())
     body = F.coalesce(F.col(text), F.lit(""))
 
-    def cut(size):
-        """Distinct substrings of one length."""
-        last = F.length(body) - size + 1
-        spots = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-        return F.coalesce(
-            F.array_distinct(F.transform(spots, lambda i: F.substring(body, i, F.lit(size)))),
-            F.array().cast("array<string>"))
-
-    parts = cells.select(*keep, body.alias("_body"), F.explode(F.flatten(F.array(*map(cut, lengths)))).alias("name"))
+    cut = F.flatten(F.array(*(char_grams(body, n) for n in lengths)))
+    parts = cells.select(*keep, body.alias("_body"), F.explode(cut).alias("name"))
     hits = parts.select(*keep, "_body", "name").join(names, "name")
     return hits.withColumn("position", F.instr("_body", F.col("name"))).drop("_body")
 

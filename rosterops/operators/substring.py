@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterops.functions.text import char_grams
+
 SCAN_NEEDLES = 64
 BROADCAST_ROWS = 200_000
 GRAM = 4
@@ -21,13 +23,6 @@ def is_small(rows: DataFrame, limit: int) -> bool:
     return rows.limit(limit + 1).count() <= limit
 
 
-def _cut(text: Column, size) -> Column:
-    """Distinct grams of one length; none when the text is shorter."""
-    last = F.length(text) - size + 1
-    spots = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-    return F.coalesce(F.array_distinct(F.transform(spots, lambda i: F.substring(text, i, size))), F.array().cast("array<string>"))
-
-
 def containing(
     needles: DataFrame, texts: DataFrame, needle: str, text: str, needle_keys: list[str], text_keys: list[str],
     scan_needles: int = SCAN_NEEDLES,
@@ -47,10 +42,11 @@ def _by_rarest_gram(n, t, needle, text, needle_keys, text_keys) -> DataFrame:
     """Needles may repeat, so distinct needle strings are looked up."""
     words = n.select(F.col(needle).alias("_w")).distinct()
     size = F.least(F.length("_w"), F.lit(GRAM))
-    word_grams = words.select("_w", F.explode(_cut(F.col("_w"), size)).alias("_g"))
+    short = F.filter(F.array(F.col("_w")), lambda w: F.length(w) < GRAM)
+    word_grams = words.select("_w", F.explode(F.concat(short, char_grams("_w", GRAM))).alias("_g"))
     wanted = word_grams.select("_g").distinct()
     sizes = [r["k"] for r in words.select(size.alias("k")).distinct().collect()]  # GRAM values at most
-    cut = F.flatten(F.array(*(_cut(F.col(text), F.lit(k)) for k in sizes)))
+    cut = F.flatten(F.array(*(char_grams(text, k) for k in sizes)))
     text_grams = t.select(*text_keys, F.explode(cut).alias("_g"))
     few = is_small(wanted, BROADCAST_ROWS)
     hint = F.broadcast if few else (lambda frame: frame)
