@@ -124,7 +124,7 @@ def evidence_from_range(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     bounded = ranges.join(size, "doc_id").withColumns({
         "g_from": F.least(F.greatest("g_from", F.lit(0)), "g_size")}).withColumn(
         "g_to", F.least(F.greatest("g_to", "g_from"), "g_size"))
-    near = (F.col("g_start") <= F.col("g_to") + CONTEXT) & (F.col("g_end") + 2 >= F.col("g_from") - CONTEXT)
+    near = (F.col("g_start") <= F.col("g_to") + CONTEXT + 2) & (F.col("g_end") + 2 >= F.col("g_from") - CONTEXT)
     touched = bounded.join(placed, "doc_id").filter(near)
     piece = F.struct("block_idx", "text", "g_start", "g_end")
     whole = touched.groupBy("range_id", "doc_id", "g_from", "g_to").agg(F.array_sort(F.collect_list(piece)).alias("p"))
