@@ -23,11 +23,9 @@ def rolled_date(year, month, day) -> Column:
 
 def strict_date(year, month, day) -> Column:
     """Date from parts, NULL when the calendar has no such day."""
-    text = F.concat_ws(
-        "-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    )
-    return F.try_to_date(text, "yyyy-MM-dd")
+    legal = month.between(1, 12) & day.between(1, 31) & (year >= 1)
+    rolled = F.when(legal, rolled_date(year, month, day))
+    return F.when(F.month(rolled) == month, rolled)
 
 
 def serial_date(serial) -> Column:

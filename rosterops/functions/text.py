@@ -14,12 +14,12 @@ NULL_WORDS = ["", "/", "N/A", "NA", "None", "不适用", "无", "null", "NULL"]
 TRUE_WORDS = ["是", "Y", "y", "YES", "Yes", "TRUE", "true", "1", "4"]
 
 _SPACE = r"[\s\x{FEFF}]"
-_EDGE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+_BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def clean(col) -> Column:
     """Null becomes the empty text; Unicode whitespace is trimmed at both ends."""
-    return F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), _EDGE, "")
+    return F.btrim(F.coalesce(_c(col).cast("string"), F.lit("")), F.lit(_BLANKS))
 
 
 def clean_lower(col) -> Column:

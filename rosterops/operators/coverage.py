@@ -26,15 +26,21 @@ def _days(training: DataFrame) -> DataFrame:
 
 
 def same_person(people: DataFrame, days: DataFrame) -> DataFrame:
-    """ID-first identity as two equi-joins; names only decide where an ID is blank."""
+    """ID-first identity as one equi-join; names only decide where an ID is blank.
+
+    A day row offers its ID, its name to people without ID, and, having no ID itself, its
+    name to everybody. A person asks by ID and by name among unnumbered rows, or, without
+    ID, by name alone. No pair can meet twice.
+    """
+    def key(kind, value):
+        return F.when(F.col(value) != "", F.concat(F.lit(kind), F.col(value)))
+
     has_p, has_t = F.col("employee_id") != "", F.col("t_id") != ""
-    by_id = people.filter(has_p).join(
-        days.filter(has_t), (people["project"] == days["project"]) & (F.col("employee_id") == F.col("t_id")))
-    named = (people["project"] == days["project"]) & (F.col("name") == F.col("t_name")) & (F.col("name") != "")
-    anonymous = people.filter(~has_p).join(days, named)
-    unnumbered = people.filter(has_p).join(days.filter(~has_t), named)
-    cut = [people[c] for c in people.columns] + [days[c] for c in days.columns if c != "project"]
-    return by_id.select(cut).unionByName(anonymous.select(cut)).unionByName(unnumbered.select(cut))
+    asks = F.when(has_p, F.array(key("id:", "employee_id"), key("unnumbered:", "name"))).otherwise(F.array(key("name:", "name")))
+    offers = F.array(key("id:", "t_id"), key("name:", "t_name"), F.when(~has_t, key("unnumbered:", "t_name")))
+    asked = people.withColumn("_key", F.explode(F.array_compact(asks)))
+    offered = days.withColumn("_key", F.explode(F.array_compact(offers)))
+    return asked.join(offered, ["project", "_key"]).drop("_key")
 
 
 def _earliest(condition: Column) -> Column:

@@ -1,9 +1,9 @@
 """Who is mentioned where: roster names in free text, crosstabs, list annotation.
 
-A roster of checked size is broadcast and tested with ``contains``. Beyond that size the
-same hits come from a hash join: every substring of a cell whose length occurs among the
-roster names is looked up, so the work grows with text length times distinct name
-lengths, not with text times roster.
+A roster of checked size goes through the substring join. Beyond that size the same hits
+come from a hash join: every substring of a cell whose length occurs among the roster
+names is looked up, so the work grows with text length times distinct name lengths, not
+with text times roster.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from rosterops.functions.text import char_grams, clean
 from rosterops.operators.skew import attach
+from rosterops.operators.substring import containing, is_small
 
-BROADCAST_NAMES = 2_000
+BROADCAST_NAMES = 50_000
 
 
 def roster_names(roster: DataFrame) -> DataFrame:
@@ -32,17 +33,11 @@ def mentions(
     name listed twice in the roster counts twice in the reports, which ``copies`` carries.
     """
     names = roster_names(roster)
-    small = names.limit(broadcast_names + 1).count() <= broadcast_names
-    find = mentions_by_scan if small else mentions_by_lookup
-    return find(cells, names, text, keep)
-
-
-def mentions_by_scan(cells: DataFrame, names: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Every cell is tested against a broadcast roster of checked size."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    held = cells.select(*keep, body.alias("_body"))
-    hit = held.join(F.broadcast(names), F.contains(F.col("_body"), F.col("name")))
-    return hit.withColumn("position", F.instr("_body", F.col("name"))).drop("_body")
+    if not is_small(names, broadcast_names):
+        return mentions_by_lookup(cells, names, text, keep)
+    held = cells.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_body"))
+    hits = containing(names, held, "name", "_body", ["roster_no", "copies"], keep)
+    return hits.withColumn("position", F.instr("_body", F.col("name"))).drop("_body")
 
 
 def mentions_by_lookup(cells: DataFrame, names: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -70,14 +70,14 @@ def _outcome(rule: R.Rule, day: Column, old: Column, today: Column) -> Column:
 
 
 def fold_chain(steps: Column, old: Column, rule: R.Rule, today: Column) -> Column:
-    """Outcomes of date-sorted steps ``(day, rank)``, the written expiry carried along."""
+    """Outcomes of date-sorted steps ``(day, rank, row_no)``, the written expiry carried along."""
     none = F.array().cast(
-        "array<struct<day:date,rank:int,old:date,new:date,judgement:string,result:string>>")
+        "array<struct<day:date,rank:int,row_no:bigint,old:date,new:date,judgement:string,result:string>>")
 
     def move(state, step):
         done = _outcome(rule, step["day"], state["expiry"], today)
-        kept = F.struct(step["day"].alias("day"), step["rank"].alias("rank"), done["old"].alias("old"),
-                        done["new"].alias("new"), done["judgement"].alias("judgement"), done["result"].alias("result"))
+        kept = F.struct(step["day"].alias("day"), step["rank"].alias("rank"), step["row_no"].alias("row_no"),
+                        done["old"].alias("old"), done["new"].alias("new"), done["judgement"].alias("judgement"), done["result"].alias("result"))
         expiry = F.when(done["result"] == "已更新", done["new"]).otherwise(state["expiry"])
         return F.struct(expiry.alias("expiry"), F.concat(state["log"], F.array(kept)).alias("log"))
 
@@ -123,14 +123,12 @@ def renewal_run(
         fold_chain(F.col("steps"), F.col("expiry_now"), R.Rule.of_columns(), now).getField("log").alias("log"))
     per_day = folded.select("person_row", "project", "raw_expiry", *R.RULE_COLUMNS, F.explode("log").alias("o")).groupBy(
         "person_row", "project", F.col("o.day").alias("start_date")).agg(
-        F.sort_array(F.collect_list(F.struct("o.rank", "o.old", "o.new", "o.judgement", "o.result"))).alias("outcomes"),
+        F.sort_array(F.collect_list(F.struct("o.rank", "o.row_no", "o.old", "o.new", "o.judgement", "o.result"))).alias("outcomes"),
         F.first("raw_expiry").alias("raw_expiry"), *(F.first(c).alias(c) for c in R.RULE_COLUMNS))
     sizes = ready.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("_n"))
-    firsts = ranked.groupBy(*day_keys).agg(F.sort_array(F.collect_list("row_no")).alias("first_rows"))
-    lookup = per_day.join(firsts, day_keys).join(sizes, day_keys)
-    done = attach(ready, lookup, day_keys, "_n", F.col("row_no"))
-    at = F.array_position("first_rows", F.col("row_no"))
-    outcome = F.element_at("outcomes", F.when(at > 0, at.cast("int")).otherwise(F.size("outcomes")))
+    done = attach(ready, per_day, day_keys, "_n", F.col("row_no"), counts=sizes)
+    own = F.get(F.filter("outcomes", lambda o: o["row_no"] == F.col("row_no")), F.lit(0))
+    outcome = F.coalesce(own, F.element_at("outcomes", -1))
     rule = R.Rule.of_columns()
     shown = ["project", "sheet", "row_no", "employee_id", "name", "person_row"]
     processed = done.withColumn("o", outcome).select(

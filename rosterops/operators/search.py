@@ -22,9 +22,11 @@ def candidate_blocks(blocks: DataFrame, items: DataFrame) -> DataFrame:
     """
     asked = items.filter(X.clean("keyword") != "").withColumn("loose_key", loose_text("keyword")).filter(F.col("loose_key") != "")
     indexed = blocks.withColumn("loose", loose_text("text"))
-    alone = indexed.filter(F.length("loose") == 1).select(F.col("loose").alias("loose_key")).distinct()
     single = F.length("loose_key") == 1
-    usable = asked.filter(~single).unionByName(asked.filter(single).join(alone, "loose_key", "left_semi").select(*asked.columns))
+    usable = asked
+    if not asked.filter(single).isEmpty():
+        alone = indexed.filter(F.length("loose") == 1).select(F.col("loose").alias("loose_key")).distinct()
+        usable = asked.filter(~single).unionByName(asked.filter(single).join(alone, "loose_key", "left_semi").select(*asked.columns))
     text = indexed.select("doc_id", "block_idx", "text", "loose")
     return containing(usable, text, "loose_key", "loose", ["item_id", "keyword"], ["doc_id", "block_idx", "text"]).select(
         "item_id", "keyword", "loose_key", "doc_id", "block_idx", "text")

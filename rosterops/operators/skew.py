@@ -1,9 +1,9 @@
 """Building blocks that keep one hot key from becoming one hot task.
 
-``attach`` joins rows back to a table with one row per key. Keys that hold more than a
-small share of all rows are at most ``1 / share`` many, so that list has a proven bound
-and may be broadcast; rows of those keys are spread over ``slots`` partitions and the
-matching row is copied that often. Every other key takes the plain shuffle join.
+``attach`` joins rows back to a table with one row per key. The heaviest keys, at most
+``HOT_KEYS`` of them by a top-k, may be broadcast; rows of those keys are spread over
+``slots`` partitions and the matching row is copied that often. Every other key takes
+the plain shuffle join. The list only steers the spread, it never decides a result.
 
 ``running_last`` and ``running_sum`` scan an ordered group in two levels: inside fixed
 spans of the order column, then over one summary row per span. A group of a billion rows
@@ -15,34 +15,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1.0 / 256
+HOT_KEYS, HOT_ROWS = 256, 100_000
 SLOTS = 32
 SPAN = 4096
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys whose count exceeds ``share`` of the total: fewer than ``1 / share`` rows."""
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).scalar()
-    return counts.filter(F.col(n) > F.greatest(total * F.lit(share), F.lit(100_000))).select(*keys)
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The heaviest keys: more than ``HOT_ROWS`` rows each, ``HOT_KEYS`` at most."""
+    return counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
 
 
 def attach(
     rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, spread: Column,
-    how: str = "left", slots: int = SLOTS,
+    how: str = "left", slots: int = SLOTS, counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``per_key`` (one row per key, ``n`` = rows of that key)."""
-    hot = F.broadcast(hot_keys(per_key, keys, n).withColumn("_hot", F.lit(True)))
-    salted = (
-        rows.join(hot, keys, "left")
-        .withColumn("_slot", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(slots)).cast("int")).otherwise(0))
-        .drop("_hot")
-    )
+    """Join ``rows`` to ``per_key`` (one row per key).
+
+    ``n`` is the column with the number of rows of a key, in ``counts`` when given, else in
+    ``per_key``.
+    """
+    hot = F.broadcast(hot_keys(per_key if counts is None else counts, keys, n))
+    slot = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(slots)).cast("int")).otherwise(0)
+    salted = rows.join(hot, keys, "left").withColumn("_slot", slot).drop("_hot")
     every, one = F.sequence(F.lit(0), F.lit(slots - 1)), F.array(F.lit(0))
-    copied = (
-        per_key.join(hot, keys, "left")
-        .withColumn("_slot", F.explode(F.when(F.col("_hot"), every).otherwise(one)))
-        .drop("_hot")
-    )
+    if counts is None:
+        heavy, marked = F.col(n) > HOT_ROWS, per_key
+    else:
+        heavy, marked = F.col("_hot"), per_key.join(hot, keys, "left")
+    copied = marked.withColumn("_slot", F.explode(F.when(heavy, every).otherwise(one))).drop("_hot")
     return salted.join(copied, [*keys, "_slot"], how).drop("_slot")
 
 

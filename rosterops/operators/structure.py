@@ -144,12 +144,21 @@ def percent_text(count: Column, base: Column) -> Column:
     return F.concat(F.coalesce(value, F.lit(0)).cast("string"), F.lit("%"))
 
 
+TRAITS = ["label", *QUALIFICATION_CODES[:3], *QUALIFICATION_CODES[4:7], "teacher", "captain", "first_officer", "transfer_captain",
+          "transfer_first_officer", "local", "inspector", "manager", "registered", "captain_base", "captain_all",
+          "first_officer_all", "crew", "line_captain"]
+
+
 def count_items(flagged: DataFrame, items: list[Item]) -> DataFrame:
-    """All items in one aggregate: a scan, one partial row per task, then rows."""
+    """All items in one pass: people are counted per combination of traits, which
+    combines in the tasks, and the items are then sums over those few combinations.
+    """
+    combos = flagged.groupBy(*TRAITS).agg(F.count(F.lit(1)).alias("_n"))
     measures = []
     for i, item in enumerate(items):
-        measures += [F.count_if(item.counted).alias(f"n{i}"), F.count_if(item.base).alias(f"d{i}")]
-    one = flagged.agg(*measures)
+        for name, test in ((f"n{i}", item.counted), (f"d{i}", item.base)):
+            measures.append(F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0)).alias(name))
+    one = combos.agg(*measures)
     rows = F.array(*(
         F.struct(F.lit(i).alias("ord"), F.lit(x.section).alias("section"), F.lit(x.label).alias("item"),
                  F.col(f"n{i}").alias("people"), F.col(f"d{i}").alias("base"))
@@ -165,15 +174,15 @@ def structure_report(people: DataFrame, ground_staff: int) -> DataFrame:
     crew = Item(head, "空勤人员（已注册人员）", F.col("registered"), F.col("registered"))
     total = Item(head, "总人数", F.col("registered"), F.col("registered"))
     counted = count_items(flagged, [total, crew, *report_items()])
-    ground = flagged.sparkSession.createDataFrame([(-1, head, "地面人员", ground_staff)], "ord int, section string, item string, people long")
     staff = F.lit(ground_staff)
     in_head = F.col("section") == head
     shifted = counted.withColumns({
         "people": F.when(in_head & (F.col("item") == "总人数"), F.col("people") + staff).otherwise(F.col("people")),
         "base": F.when(in_head, F.col("base") + staff).otherwise(F.col("base")),
     })
-    size = flagged.agg((F.count_if("registered") + staff).alias("t")).scalar()
-    rows = shifted.drop("percent").unionByName(ground.withColumn("base", size))
+    ground = shifted.filter(in_head & (F.col("item") == "总人数")).select(
+        F.lit(-1).alias("ord"), F.lit(head).alias("section"), F.lit("地面人员").alias("item"), staff.cast("long").alias("people"), "base")
+    rows = shifted.drop("percent").unionByName(ground)
     always = F.col("section").isin("机长航线资格占比")
     kept = rows.filter((F.col("item") != OTHER) | (F.col("people") > 0) | always)
     return kept.withColumn("percent", percent_text(F.col("people"), F.col("base")))

@@ -1,19 +1,28 @@
 """Substring join: which needles occur in which texts.
 
-Testing every needle against every text is a nested loop. Instead every needle is looked
-up by its rarest gram: grams of texts are matched with needle grams only, counted, and
-the least frequent one per needle becomes its key. Candidate pairs then share that gram
-and are verified on the texts themselves, so nothing is lost and nothing is guessed.
+Three ways, chosen by the checked number of needles. A handful is broadcast and tested
+with ``contains``. Up to ``AUTOMATON_NEEDLES`` travel to the tasks as one automaton that
+reads every text once. Beyond that nothing is broadcast: every needle is looked up by its
+rarest gram. Grams of texts are matched with needle grams only, counted, and the least
+frequent one per needle becomes its join key; candidate pairs share that gram and are
+verified on the texts themselves. All three give the same pairs.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+try:
+    import ahocorasick
+except ImportError:  # the gram join serves any number of needles
+    ahocorasick = None
 
 from rosterops.functions.text import char_grams
 
-SCAN_NEEDLES = 64
+SCAN_NEEDLES, AUTOMATON_NEEDLES = 32, 50_000
 BROADCAST_ROWS = 200_000
 GRAM = 4
 
@@ -25,7 +34,7 @@ def is_small(rows: DataFrame, limit: int) -> bool:
 
 def containing(
     needles: DataFrame, texts: DataFrame, needle: str, text: str, needle_keys: list[str], text_keys: list[str],
-    scan_needles: int = SCAN_NEEDLES,
+    scan_needles: int = SCAN_NEEDLES, automaton_needles: int = AUTOMATON_NEEDLES,
 ) -> DataFrame:
     """Pairs ``(needle_keys, needle, text_keys, text)`` with ``text`` containing ``needle``.
 
@@ -35,9 +44,30 @@ def containing(
     t = texts.select(*text_keys, text)
     if is_small(n, scan_needles):
         return t.join(F.broadcast(n), F.contains(F.col(text), F.col(needle)))
+    if ahocorasick and is_small(n, automaton_needles):
+        return _by_automaton(n, t, needle, text)
     return _by_rarest_gram(n, t, needle, text, needle_keys, text_keys)
 
 
+def _by_automaton(n, t, needle, text) -> DataFrame:
+    """Needles of checked number in one automaton per Python worker."""
+    words = [r[0] for r in n.select(needle).distinct().collect()]
+    built: dict = {}
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(texts: pd.Series) -> pd.Series:
+        if "a" not in built:
+            automaton = ahocorasick.Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            built["a"] = automaton
+        return texts.map(lambda body: list({w for _, w in built["a"].iter(body)}) if body and words else [])
+
+    hits = t.withColumn("_w", F.explode(found(F.col(text))))
+    return hits.join(F.broadcast(n), hits["_w"] == n[needle]).drop("_w")
+
+
 def _by_rarest_gram(n, t, needle, text, needle_keys, text_keys) -> DataFrame:
     """Needles may repeat, so distinct needle strings are looked up."""
     words = n.select(F.col(needle).alias("_w")).distinct()

@@ -50,39 +50,51 @@ def _value(f: Field, columns: list[str]) -> Column:
     return F.coalesce(F.nullif(clean(raw_value(f, columns)), F.lit("")), F.lit(f.default.strip()))
 
 
-def _errors(f: Field, value: Column) -> list[Column]:
+def _parsed(f: Field) -> dict[str, Column]:
+    """Columns computed once per field and used by its errors and its outputs."""
+    value = F.col(f"_v_{f.name}")
+    if f.kind == "date":
+        return {f"_p_{f.name}": form_date(value)}
+    if f.kind == "boolean":
+        return {f"_p_{f.name}": yes_no(value, YES_WORDS, NO_WORDS)}
+    if f.kind == "checkbox":
+        return {f"_p_{f.name}": split_options(value)}
+    return {}
+
+
+def _errors(f: Field) -> list[Column]:
+    value, parsed = F.col(f"_v_{f.name}"), F.col(f"_p_{f.name}")
     found = []
     if f.required:
         found.append(F.when(value == "", f"{f.shown}不能为空"))
     if f.kind == "date":
-        found.append(F.when((value != "") & form_date(value).isNull(), f"{f.shown}不是有效日期"))
+        found.append(F.when((value != "") & parsed.isNull(), f"{f.shown}不是有效日期"))
     if f.kind == "boolean":
-        found.append(F.when(~yes_no(value, YES_WORDS, NO_WORDS)["valid"], f"{f.shown}只能填写 是/否"))
+        found.append(F.when(~parsed["valid"], f"{f.shown}只能填写 是/否"))
     if f.kind == "radio" and f.options:
         found.append(F.when((value != "") & ~value.isin(f.options), F.concat(F.lit(f"{f.shown}选项无效："), value)))
     if f.kind == "checkbox" and f.options:
-        allowed = F.array(*(F.lit(o) for o in f.options))
-        odd = F.filter(split_options(value), lambda x: ~F.array_contains(allowed, x))
+        odd = F.filter(parsed, lambda x: ~x.isin(f.options))
         found.append(F.when(F.size(odd) > 0, F.concat(F.lit(f"{f.shown}包含无效选项："), F.array_join(odd, "、"))))
     return found
 
 
-def _outputs(f: Field, value: Column) -> list[Column]:
+def _outputs(f: Field) -> list[Column]:
     """Display value and one-hot marks of a field."""
+    value, parsed = F.col(f"_v_{f.name}"), F.col(f"_p_{f.name}")
+
     def mark(test, name):
         return F.when(test, MARK).otherwise(BLANK).alias(name)
 
     if f.kind == "date":
-        return [format_form_date(form_date(value), f.date_format).alias(f.name)]
+        return [format_form_date(parsed, f.date_format).alias(f.name)]
     if f.kind == "boolean":
-        yes = F.coalesce(yes_no(value, YES_WORDS, NO_WORDS)["value"], F.lit(False))
+        yes = F.coalesce(parsed["value"], F.lit(False))
         return [F.when(yes, "是").otherwise("否").alias(f.name), mark(yes, f"{f.name}Pass"), mark(~yes, f"{f.name}Fail")]
     if f.kind == "radio":
         return [value.alias(f.name), *(mark(value == o, f"{f.name}_{o}") for o in f.options)]
     if f.kind == "checkbox":
-        picked = split_options(value)
-        return [F.array_join(picked, "、").alias(f.name),
-                *(mark(F.array_contains(picked, o), f"{f.name}_{o}") for o in f.options)]
+        return [F.array_join(parsed, "、").alias(f.name), *(mark(F.array_contains(parsed, o), f"{f.name}_{o}") for o in f.options)]
     return [value.alias(f.name)]
 
 
@@ -100,13 +112,14 @@ def validate_rows(rows: DataFrame, fields: list[Field], title_column: str, base_
     ``position`` is the 1-based rank among the non-blank rows of a form sheet; it names
     untitled rows.
     """
-    values = {f.name: _value(f, rows.columns) for f in fields}
-    errors = F.array_compact(F.array(*(e for f in fields for e in _errors(f, values[f.name])), F.lit(None).cast("string")))
-    outputs = [c for f in fields for c in _outputs(f, values[f.name])]
+    valued = rows.withColumns({f"_v_{f.name}": _value(f, rows.columns) for f in fields})
+    parsed = valued.withColumns({n: c for f in fields for n, c in _parsed(f).items()})
+    errors = F.array_compact(F.array(*(e for f in fields for e in _errors(f)), F.lit(None).cast("string")))
+    outputs = [c for f in fields for c in _outputs(f)]
     given = safe_name(F.col(f"`{title_column}`")) if title_column in rows.columns else F.lit("")
     number = F.col(position).cast("string")
     fallback = F.concat(F.lit(f"{base_title}_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")))
-    return rows.select(position, "row_no", F.coalesce(F.nullif(given, F.lit("")), fallback).alias("title"), *outputs, errors.alias("errors"))
+    return parsed.select(position, "row_no", F.coalesce(F.nullif(given, F.lit("")), fallback).alias("title"), *outputs, errors.alias("errors"))
 
 
 def gate(validated: DataFrame) -> DataFrame:
