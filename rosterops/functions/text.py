@@ -275,9 +275,14 @@ def char_grams(text, size: int) -> Column:
         last = F.size(chars) - size
         return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run)))
 
-    whole = F.get(F.transform(F.array(F.split(_c(text), "")), cut), F.lit(0))
+    whole = bind(F.split(_c(text), ""), cut)
     return F.coalesce(F.when(_c(text) != "", whole), F.array().cast("array<string>"))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, for expressions that lambdas read often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col

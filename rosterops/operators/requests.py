@@ -93,9 +93,6 @@ def pair_full_rows(requests: DataFrame, results: DataFrame) -> DataFrame:
     return left.join(right, [*FIELDS, "_k"], "left").drop("_k")
 
 
-PAIR_SCHEMA = "employee_id string, sequence long, result_row long"
-
-
 def pair_partial_rows(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Greedy pairing where result fields may be blank: one fold per employee and batch.
 
@@ -103,27 +100,34 @@ def pair_partial_rows(requests: DataFrame, results: DataFrame) -> DataFrame:
     ``batch`` is the submission the rows belong to; a portal page bounds its size, and it
     is part of the key, so an employee with any number of rows stays spread.
     """
-    tests = ["name", "leave_type", "start_date", "end_date"]
-
-    def pair(key, left, right):
-        import pandas as pd
-
-        waiting = left.sort_values("sequence").to_dict("records")
-        pairs = []
-        for row in right.sort_values("row_no").to_dict("records"):
-            hit = next((i for i, q in enumerate(waiting)
-                        if all(not row[t] or not q[t] or row[t] == q[t] for t in tests)), None)
-            if hit is not None:
-                pairs.append((key[0], waiting.pop(hit)["sequence"], row["row_no"]))
-        return pd.DataFrame(pairs, columns=["employee_id", "sequence", "result_row"])
-
-    def shaped(rows, order):
-        return rows.select("employee_id", "batch", order, X.display_name_key("name").alias("name"),
-                           *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in tests[1:]))
-
-    keys = ["employee_id", "batch"]
-    asked, answered = shaped(requests, "sequence"), shaped(real_rows(results), "row_no")
-    return asked.groupBy(*keys).cogroup(answered.groupBy(*keys)).applyInPandas(pair, PAIR_SCHEMA)
+    tests, keys = ["name", "leave_type", "start_date", "end_date"], ["employee_id", "batch"]
+
+    def listed(rows, order, out):
+        shaped = rows.select(*keys, F.col(order).alias("no"), X.display_name_key("name").alias("name"),
+                             *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in tests[1:]))
+        return shaped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("no", *tests))).alias(out))
+
+    def fits(waiting, row):
+        ok = F.lit(True)
+        for t in tests:
+            ok = ok & ((row[t] == "") | (waiting[t] == "") | (row[t] == waiting[t]))
+        return ok
+
+    def step(state, row):
+        hit = F.get(F.filter(state["waiting"], lambda w: fits(w, row)), F.lit(0))["no"]
+
+        def take(no):
+            pair = F.struct(no.alias("sequence"), row["no"].alias("result_row"))
+            return F.struct(F.filter(state["waiting"], lambda w: no.isNull() | (w["no"] != no)).alias("waiting"),
+                            F.when(no.isNull(), state["pairs"]).otherwise(F.concat(state["pairs"], F.array(pair))).alias("pairs"))
+
+        return X.bind(hit, take)
+
+    none = F.array().cast("array<struct<sequence:bigint,result_row:bigint>>")
+    both = listed(requests, "sequence", "waiting").join(listed(real_rows(results), "row_no", "rows"), keys)
+    start = F.struct(F.col("waiting"), none.alias("pairs"))
+    folded = both.select("employee_id", F.explode(F.aggregate("rows", start, step, lambda s: s["pairs"])).alias("p"))
+    return folded.select("employee_id", "p.sequence", "p.result_row")
 
 
 def decide_status(requests: DataFrame, results: DataFrame, conflicts: DataFrame) -> DataFrame:
