@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterops.functions.dates import date_text
 from rosterops.functions.text import clean
+from rosterops.functions.tables import literal_table
 from rosterops.operators.records import coverage_policy
 from rosterops.operators.skew import attach
 
@@ -74,7 +75,7 @@ def attendance_by_role(marked: DataFrame) -> DataFrame:
     flagged = marked.join(hit.withColumn("hit", F.lit(True)), "row_no", "left")
     counts = flagged.groupBy(role_of(F.col("tech")).alias("role")).agg(
         F.count(F.lit(1)).alias("required"), F.count_if(F.coalesce("hit", F.lit(False))).alias("attended"))
-    roles = marked.sparkSession.createDataFrame([(r,) for r in ROLES], "role string")
+    roles = literal_table(marked.sparkSession, [(r,) for r in ROLES], "role string")
     full = F.broadcast(roles).join(counts, "role", "left").na.fill(0)
     return full.select(
         "role", "required", "attended", (F.col("required") - F.col("attended")).alias("missing"),

@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from rosterops.functions.dates import date_text, month_key, training_date
 from rosterops.functions.text import clean, is_null_word
+from rosterops.functions.tables import literal_table
 from rosterops.operators import rules as R
-from rosterops.operators.records import coverage_policy
+from rosterops.operators.records import ABNORMAL_RECORDED, coverage_policy
 
 
 def _days(training: DataFrame) -> DataFrame:
-    """Training reduced to person, project, day and flags, with its first row."""
+    """Training reduced to person, project, sheet, day and flags, with its first row."""
     policy = coverage_policy(training).filter(F.col("active") | F.col("abnormal"))
-    keyed = policy.withColumns({"t_id": clean("employee_id"), "t_name": clean("name")})
-    first = F.min(F.struct("row_no", "sheet", "record_reason")).alias("first")
-    return keyed.groupBy("project", "t_id", "t_name", "train_date", "active", "abnormal").agg(first)
+    keys = ["project", clean("employee_id").alias("t_id"), clean("name").alias("t_name"), "train_date", "active", "abnormal", "sheet"]
+    return policy.groupBy(*keys).agg(F.min("row_no").alias("first_row"))
 
 
 def same_person(people: DataFrame, days: DataFrame) -> DataFrame:
@@ -46,8 +46,7 @@ def same_person(people: DataFrame, days: DataFrame) -> DataFrame:
 def _earliest(condition: Column) -> Column:
     """First row under a condition: dated rows first, by day, then by row number."""
     key = F.struct(F.col("train_date").isNull().alias("undated"), F.col("train_date").alias("day"),
-                   F.col("first.row_no").alias("row_no"), F.col("first.sheet").alias("sheet"),
-                   F.col("first.record_reason").alias("reason"))
+                   F.col("first_row").alias("row_no"), F.col("sheet").alias("sheet"))
     return F.min(F.when(condition, key))
 
 
@@ -105,7 +104,7 @@ def status_board(
         .when((planned & (need == R.EXPIRED)) | uncovered, row_source("plan"))
         .otherwise(person_source).alias("source"),
         F.when(F.col("bad").isNotNull(), F.concat(
-            F.col("bad.reason"), F.lit("（项目 sheet 第"), F.col("bad.row_no").cast("string"), F.lit("行）")))
+            F.lit(ABNORMAL_RECORDED), F.lit("（项目 sheet 第"), F.col("bad.row_no").cast("string"), F.lit("行）")))
         .when(F.col("cover").isNotNull(), "已找到可覆盖本轮到期的有效安排，排班层面不用重复排。")
         .when(planned & (need == R.EXPIRED), F.concat(F.lit("当前有效期已过期，已有安排 "), no_cover))
         .when(uncovered, F.concat(F.lit("已有安排 "), no_cover))
@@ -148,7 +147,7 @@ def filter_board(
 def status_cards(board: DataFrame) -> DataFrame:
     """Count per status that needs attention, zero included."""
     counts = board.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    words = board.sparkSession.createDataFrame([(s, i) for i, s in enumerate(R.VISIBLE)], "status string, ord int")
+    words = literal_table(board.sparkSession, [(s, i) for i, s in enumerate(R.VISIBLE)], "status string, ord int")
     return F.broadcast(words).join(counts, "status", "left").select(
         "status", F.coalesce("n", F.lit(0)).alias("n"), "ord")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterops.functions.dates import date_text, training_date
 from rosterops.functions.text import clean
+from rosterops.functions.tables import literal_table
 from rosterops.operators import attendance as A
 from rosterops.operators import rules as R
 from rosterops.operators.records import coverage_policy, split_flags
@@ -45,8 +46,8 @@ def header_issues(headers: DataFrame, area: str, required: list[str], suggested:
     ``headers``: one ``header`` per row of one sheet.
     """
     spark = headers.sparkSession
-    wanted = spark.createDataFrame(
-        [("error", h) for h in required] + [("warning", h) for h in suggested], "level string, header string")
+    wanted = literal_table(
+        spark, [("error", h) for h in required] + [("warning", h) for h in suggested], "level string, header string")
     lost = F.broadcast(wanted).join(headers.select("header").distinct(), "header", "left_anti")
     hint = F.when(F.col("level") == "warning", "相关展示或 CRM 分类可能不完整。").otherwise("")
     word = F.when(F.col("level") == "warning", "缺少建议表头“").otherwise("缺少必要表头“")

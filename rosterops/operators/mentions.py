@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterops.functions.text import char_grams, clean
+from rosterops.functions.tables import literal_table
 from rosterops.operators.skew import attach
 from rosterops.operators.substring import containing, is_small
 
@@ -89,7 +90,7 @@ FOCUS_CATEGORIES = [
 
 
 def category_table(spark) -> DataFrame:
-    return spark.createDataFrame(FOCUS_CATEGORIES, "category string, priority int, label string")
+    return literal_table(spark, FOCUS_CATEGORIES, "category string, priority int, label string")
 
 
 def sheet_category(sheets: DataFrame, categories: DataFrame, sheet: str = "sheet") -> DataFrame:

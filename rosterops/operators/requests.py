@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterops.functions import text as X
-from rosterops.functions.dates import same_day_text
+from rosterops.functions.dates import query_date_text, same_day_text
 from rosterops.operators.skew import attach, running_sum
 
 EMPTY_MARK = "没有相关信息"
@@ -29,15 +29,23 @@ def _present_or_in_text(value: Column, same: Column, wanted: Column) -> Column:
 
 
 def row_matches() -> Column:
-    """All five tests between request columns and ``r_`` prefixed result columns."""
+    """All tests between request columns and ``r_`` prefixed result columns with their keys."""
     c = F.col
-    name_ok = (X.clean("name") == "") | _present_or_in_text(c("r_name"), X.names_agree("name", "r_name"), c("name"))
+    name_ok = (c("k_name") == "") | _present_or_in_text(c("r_name"), c("k_name") == c("r_k_name"), c("name"))
     type_ok = _present_or_in_text(c("r_leave_type"), c("leave_type") == c("r_leave_type"), c("leave_name"))
-    start_ok = _present_or_in_text(c("r_start_date"), same_day_text("r_start_date", "start_date"), c("start_date"))
-    end_ok = _present_or_in_text(c("r_end_date"), same_day_text("r_end_date", "end_date"), c("end_date"))
+    start_ok = _present_or_in_text(c("r_start_date"), c("k_start") == c("r_k_start"), c("start_date"))
+    end_ok = _present_or_in_text(c("r_end_date"), c("k_end") == c("r_k_end"), c("end_date"))
     return F.coalesce(name_ok & type_ok & start_ok & end_ok, F.lit(False))
 
 
+def _with_keys(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """Comparison keys of name and days, computed once per row before the join."""
+    def day(c):
+        return query_date_text(F.substring(F.coalesce(F.col(prefix + c), F.lit("")), 1, 10))
+
+    return rows.withColumns({f"{prefix}k_name": X.display_name_key(prefix + "name"), f"{prefix}k_start": day("start_date"), f"{prefix}k_end": day("end_date")})
+
+
 def _prefixed(results: DataFrame) -> DataFrame:
     return real_rows(results).select(*(F.col(c).alias(f"r_{c}") for c in results.columns))
 
@@ -45,21 +53,30 @@ def _prefixed(results: DataFrame) -> DataFrame:
 def first_matches(requests: DataFrame, results: DataFrame) -> DataFrame:
     """First result row per request: equal ID, or the ID inside the text of a row without one.
 
-    Result rows with an ID shrink to distinct field values first. Rows without one offer
-    every six-digit run of their text as a key, so they take a hash join too.
+    Both sides shrink to distinct field values first. Complete result rows meet requests
+    on ID, type and both days, so an employee with any number of rows only pairs rows of
+    the same span; incomplete ones meet on the ID. Rows without an ID offer every
+    six-digit run of their text as a key, so they take a hash join too.
     """
-    r = _prefixed(results)
-    signature = ["r_employee_id", "r_name", "r_leave_type", "r_start_date", "r_end_date"]
+    r = _with_keys(_prefixed(results), "r_")
+    signature = ["r_employee_id", "r_name", "r_leave_type", "r_start_date", "r_end_date", "r_k_name", "r_k_start", "r_k_end"]
     numbered = r.filter(X.clean("r_employee_id") != "")
-    whole = numbered.filter(_all_present()).groupBy(*signature).agg(F.min("r_row_no").alias("r_row_no")).withColumn("r_row_text", F.lit(""))
-    partial = numbered.filter(~_all_present()).select(*signature, "r_row_no", "r_row_text")
-    inside = r.filter(X.clean("r_employee_id") == "").withColumn("r_employee_id", F.explode(_id_windows("r_row_text")))
-    keyed = whole.unionByName(partial).unionByName(inside.select(*signature, "r_row_no", "r_row_text"))
-    asked = requests.groupBy(*FIELDS, "leave_name").agg(F.count(F.lit(1)).alias("_n"))
-    hit = asked.join(keyed, asked["employee_id"] == keyed["r_employee_id"]).filter(row_matches())
-    best = hit.groupBy(*FIELDS, "leave_name").agg(F.min("r_row_no").alias("result_row"))
-    sized = asked.join(best, [*FIELDS, "leave_name"])
-    return attach(requests, sized, [*FIELDS, "leave_name"], "_n", F.col("sequence")).drop("_n")
+    first = F.min("r_row_no").alias("r_row_no")
+    whole = numbered.filter(_all_present()).groupBy("r_employee_id", "r_leave_type", "r_k_name", "r_k_start", "r_k_end").agg(first)
+    partial = numbered.filter(~_all_present()).groupBy(*signature, "r_row_text").agg(first)
+    inside = r.filter(X.clean("r_employee_id") == "").groupBy(*signature, "r_row_text").agg(first).withColumn(
+        "r_employee_id", F.explode(_id_windows("r_row_text")))
+    fields = [*FIELDS, "leave_name"]
+    asked = _with_keys(requests.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n")))
+    c = F.col
+    exact = asked.join(whole, (c("employee_id") == c("r_employee_id")) & (c("leave_type") == c("r_leave_type"))
+                       & (c("k_start") == c("r_k_start")) & (c("k_end") == c("r_k_end")))
+    exact = exact.filter((c("k_name") == "") | (c("k_name") == c("r_k_name")))
+    loose = asked.join(partial.unionByName(inside), c("employee_id") == c("r_employee_id")).filter(row_matches())
+    hit = exact.select(*fields, "r_row_no").unionByName(loose.select(*fields, "r_row_no"))
+    best = hit.groupBy(*fields).agg(F.min("r_row_no").alias("result_row"))
+    sizes = requests.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n"))
+    return attach(requests, best, fields, "_n", F.col("sequence"), counts=sizes)
 
 
 def _all_present() -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterops.functions.dates import date_text, ranges_overlap
+from rosterops.functions.tables import literal_table
 
 # Project, aliases, rule type, validity, unit, base-month flex, rounding.
 PROJECT_RULES = [
@@ -51,13 +52,13 @@ def _rule_row(name, rule_type, amount, unit, flex, rounding):
 def rule_table(spark: SparkSession) -> DataFrame:
     """Rule dimension, one row per project."""
     rows = [_rule_row(name, *rest) for name, _aliases, *rest in PROJECT_RULES]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return literal_table(spark, rows, RULE_SCHEMA)
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
     """Every accepted spelling of a project name."""
     rows = [(a, name) for name, aliases, *_ in PROJECT_RULES for a in [name, *aliases]]
-    return spark.createDataFrame(rows, "alias string, canonical string")
+    return literal_table(spark, rows, "alias string, canonical string")
 
 
 def canonical_project(rows: DataFrame, raw: Column, out: str = "project") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rosterops.functions import text as X
 from rosterops.functions.normal import loose_offsets, loose_text
+from rosterops.operators.skew import near_pairs, running_sum
 from rosterops.operators.substring import all_positions, containing
 
 CONTEXT = 20
@@ -109,8 +110,6 @@ def evidence_from_hits(hits: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def global_offsets(blocks: DataFrame) -> DataFrame:
     """Start and end of each block in the document text, blocks joined by two newlines."""
-    from rosterops.operators.skew import running_sum
-
     summed = running_sum(blocks, ["doc_id"], "block_idx", F.length("text") + 2, "_end")
     return summed.withColumn("g_end", F.col("_end") - 2).withColumn("g_start", F.col("g_end") - F.length("text")).drop("_end")
 
@@ -118,16 +117,15 @@ def global_offsets(blocks: DataFrame) -> DataFrame:
 def evidence_from_range(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     """Evidence of global ranges ``(range_id, doc_id, g_from, g_to)``.
 
-    Only the blocks a range and its context touch are read: an overlap test after an
-    equi-join on the document. The block position is set when both ends fall in one.
+    Only the blocks a range and its context touch are read, through a cell-wise overlap
+    join inside the document. The block position is set when both ends fall in one.
     """
     placed = global_offsets(blocks).select("doc_id", "block_idx", "text", "g_start", "g_end")
     size = placed.groupBy("doc_id").agg(F.max("g_end").alias("g_size"))
     bounded = ranges.join(size, "doc_id").withColumns({
         "g_from": F.least(F.greatest("g_from", F.lit(0)), "g_size")}).withColumn(
         "g_to", F.least(F.greatest("g_to", "g_from"), "g_size"))
-    near = (F.col("g_start") <= F.col("g_to") + CONTEXT + 2) & (F.col("g_end") + 2 >= F.col("g_from") - CONTEXT)
-    touched = bounded.join(placed, "doc_id").filter(near)
+    touched = near_pairs(bounded, placed, "doc_id", F.col("g_from") - CONTEXT - 2, F.col("g_to") + CONTEXT + 2, F.col("g_start"), F.col("g_end"))
     piece = F.struct("block_idx", "text", "g_start", "g_end")
     whole = touched.groupBy("range_id", "doc_id", "g_from", "g_to").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     joined = whole.withColumn("body", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).withColumn(

@@ -110,3 +110,22 @@ def with_halo(rows: DataFrame, order: str, ahead: int, span: int = SPAN) -> Data
     near_edge = F.pmod(F.col(order), F.lit(span)) < ahead
     homes = F.when(near_edge, F.array(here, here - 1)).otherwise(F.array(here))
     return rows.withColumn("_s", F.explode(homes)).withColumn("_halo", F.col("_s") != here)
+
+
+def near_pairs(
+    ranges: DataFrame, pieces: DataFrame, key: str, low: Column, high: Column, start: Column, end: Column, cell: int = SPAN
+) -> DataFrame:
+    """Pairs of one ``key`` where ``[low, high]`` and ``[start, end]`` overlap.
+
+    Both sides are laid on cells of the axis and meet cell by cell, so a key with many
+    ranges and many pieces never pairs them all. A pair is kept in the first cell both
+    share, hence once.
+    """
+    def cells(a, b):
+        return F.explode(F.sequence(F.floor(a / cell), F.floor(F.greatest(a, b) / cell)))
+
+    left = ranges.withColumns({"_l": low, "_h": high}).withColumn("_cell", cells(F.col("_l"), F.col("_h")))
+    right = pieces.withColumns({"_a": start, "_b": end}).withColumn("_cell", cells(F.col("_a"), F.col("_b")))
+    met = left.join(right, [key, "_cell"]).filter((F.col("_a") <= F.col("_h")) & (F.col("_b") >= F.col("_l")))
+    first = F.floor(F.greatest("_l", "_a") / cell)
+    return met.filter(F.col("_cell") == first).drop("_l", "_h", "_a", "_b", "_cell")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterops.functions.text import after_colon, clean
+from rosterops.functions.tables import literal_table
 
 # Header names and codes of the personnel sheet.
 REQUIRED_HEADERS = [
@@ -210,7 +211,7 @@ def origin_summary(people: DataFrame) -> DataFrame:
     crew = crew_flags(people).filter("crew").withColumn("item", origin_label("origin"))
     counts = crew.groupBy("item").agg(F.count(F.lit(1)).alias("people"))
     total = counts.agg(F.coalesce(F.sum("people"), F.lit(0)).alias("t")).scalar()
-    dim = people.sparkSession.createDataFrame(list(enumerate(labels)), "ord int, item string")
+    dim = literal_table(people.sparkSession, list(enumerate(labels)), "ord int, item string")
     known = F.broadcast(dim).join(counts, "item", "left").select("ord", "item", F.coalesce("people", F.lit(0)).alias("people"))
     rest = counts.filter(~F.col("item").isin(labels)).agg(F.sum("people").alias("people")).filter("people > 0").select(
         F.lit(len(labels)).alias("ord"), F.lit(OTHER).alias("item"), "people")

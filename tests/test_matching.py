@@ -150,3 +150,37 @@ def test_manifest_failed_log_and_report(spark, tmp_path):
     reports.write_sections({"x": manifest}, str(tmp_path / "sections"), "csv")
     assert spark.read.parquet(str(tmp_path / "long")).count() == 2
     assert spark.read.option("header", "true").csv(str(tmp_path / "sections")).count() == 2
+
+
+def test_near_pairs_against_a_loop(spark):
+    rnd = random.Random(4)
+    ranges = [(i, rnd.choice([1, 2]), a := rnd.randrange(0, 90), a + rnd.randrange(0, 25)) for i in range(30)]
+    pieces = [(i, rnd.choice([1, 2]), a := rnd.randrange(0, 90), a + rnd.randrange(0, 12)) for i in range(40)]
+    r, p = spark.createDataFrame(ranges, "i long, k long, lo int, hi int"), spark.createDataFrame(pieces, "j long, k long, a int, b int")
+    got = [(x["i"], x["j"]) for x in K.near_pairs(r, p, "k", F.col("lo"), F.col("hi"), F.col("a"), F.col("b"), cell=7).collect()]
+    want = {(i, j) for i, k, lo, hi in ranges for j, m, a, b in pieces if k == m and a <= hi and b >= lo}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_first_result_rows_against_a_loop(spark):
+    rnd = random.Random(8)
+    pick = lambda: (f"00000{rnd.randrange(3)}", rnd.choice(["A", "B", ""]), rnd.choice(["X", "Y"]), f"2024-01-0{rnd.randrange(1, 4)}")
+    req = [(i, e, n, t, t.lower() + "型", d, d) for i in range(30) for e, n, t, d in [pick()]]
+    res = []
+    for i in range(60):
+        e, n, t, d = pick()
+        bare = rnd.random() < 0.4
+        res.append((i, "" if bare else e, n.lower(), t if rnd.random() < 0.7 else "", d.replace("-0", "/"), d if rnd.random() < 0.7 else "", f"{e} {n} {t.lower()}型 {d}" if rnd.random() < 0.8 else "没有相关信息"))
+    asked = spark.createDataFrame(req, "sequence long, employee_id string, name string, leave_type string, leave_name string, start_date string, end_date string")
+    rows = spark.createDataFrame(res, "row_no long, employee_id string, name string, leave_type string, start_date string, end_date string, row_text string")
+    got = {r["sequence"]: r["result_row"] for r in Q.first_matches(asked, rows).collect()}
+
+    def agrees(q, r):
+        _s, e, n, t, tn, d1, d2 = q
+        _i, re_, rn, rt, r1, r2, text = r
+        day = lambda x: "-".join(p.zfill(2) if k else p for k, p in enumerate(x.replace("/", "-").split("-")))
+        tests = [re_ == e if re_ else e in text, not n or (rn.upper() == n if rn else n in text), rt == t if rt else tn in text,
+                 day(r1) == d1 if r1 else d1 in text, day(r2) == d2 if r2 else d2 in text]
+        return "没有相关信息" not in text and all(tests)
+
+    assert got == {q[0]: next((r[0] for r in res if agrees(q, r)), None) for q in req}
