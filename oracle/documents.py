@@ -110,3 +110,36 @@ ORACLES["document_search"] = f"""with s as (select doc_id, source, {CHAIN} as b
         e as (select *, greatest(hit - 35, 1) as lo, least(hit + 4 + 65, length(b) + 1) as hi from p)
         select doc_id, case when hit = 0 then substr(b, 1, 100) else (case when lo > 1 then '...' else '' end) || substr(b, lo, hi - lo) || (case when hi <= length(b) then '...' else '' end) end as snippet from e"""
 ORACLES["item_lines"] = ORACLES["item_lines"].replace(" 1 as k,", "")
+
+ALL_HITS = f"""{HITS},
+exact as (select item_id, doc_id, block_idx, start, start + length(keyword) as stop, 'exact' as mode, keyword as matched_text from hits),
+cand as (select item_id, doc_id, block_idx, text, {LOOSE('text')} as lt, {LOOSE('keyword')} as lk from blocks, items where contains({LOOSE('text')}, {LOOSE('keyword')})),
+kept as (select *, list_filter(range(1, length(text) + 1), lambda i: not regexp_matches(substr(text, cast(i as int), 1), '[\\s\\p{{P}}\\p{{S}}]')) as spots, string_split(lt, lk) as parts from cand),
+spot as (select *, unnest(list_transform(range(1, len(parts)), lambda k: cast(list_sum(list_transform(parts[1:k], lambda x: length(x))) as int) + cast(k - 1 as int) * length(lk))) as pos from kept),
+loose as (select item_id, doc_id, block_idx, spots[pos + 1] - 1 as start, spots[pos + length(lk)] as stop, text from spot),
+every as (select * from exact union all select item_id, doc_id, block_idx, start, stop, 'loose', substr(text, cast(start + 1 as int), cast(stop - start as int)) from loose
+  where (item_id, doc_id, block_idx, start, stop) not in (select (item_id, doc_id, block_idx, start, stop) from exact))"""
+ORACLES["keyword_hits"] = f"with {ALL_HITS} select item_id, doc_id, block_idx, start, stop as \"end\", mode, matched_text from every"
+ORACLES["saved_hits"] = f"with {ALL_HITS} select item_id, doc_id, block_idx, start, stop as \"end\" from every where item_id % 2 = 0"
+
+
+def starts(text, needle):
+    """0-based starts of non-overlapping hits, one row each."""
+    return (f"unnest(list_transform(range(1, len(string_split({text}, {needle}))), lambda n: cast(list_sum(list_transform(string_split({text}, {needle})[1:n], "
+            f"lambda x: length(x))) as int) + cast(n - 1 as int) * length({needle})))")
+
+
+ORACLES["resolved_sources"] = f"""with {BLOCKS},
+    src as (select doc_id * 100000 + block_idx as id, doc_id, block_idx as own, block_idx + 1 as nxt, doc_id % 3 = 0 as moved, substr(text, 6, 20) as w, substr(text, 1, 5) as b, substr(text, 6, 8) as k
+      from blocks where length(text) >= 30),
+    mv as (select * from src where moved),
+    raw_occ as (select id, nxt, b, t.block_idx as idx, t.text, {starts('t.text', 'w')} as pos from mv join blocks t on t.doc_id = mv.doc_id and contains(t.text, w)),
+    occ as (select * from raw_occ where substr(text, cast(greatest(pos - 5, 0) + 1 as int), cast(pos - greatest(pos - 5, 0) as int)) = b),
+    kocc as (select id, {starts('t.text', 'k')} as pos from mv join blocks t on t.doc_id = mv.doc_id and t.block_idx = nxt and contains(t.text, k)),
+    t2 as (select id from mv join blocks t on t.doc_id = mv.doc_id and t.block_idx = nxt where length(t.text) >= 25 and substr(t.text, 6, 20) = w),
+    t3 as (select id, min(pos) as pos from occ where idx = nxt group by 1 having count(*) = 1), t4 as (select id, min(idx) as idx, min(pos) as pos from occ group by 1 having count(*) = 1),
+    t5 as (select id, min(pos) as pos from kocc group by 1 having count(*) = 1)
+    select src.id as source_id, case when not moved then 1 when t2.id is not null then 2 when t3.id is not null then 3 when t4.id is not null then 4 when t5.id is not null then 5 end as tier,
+      case when not moved then own when t2.id is not null or t3.id is not null then nxt when t4.id is not null then t4.idx when t5.id is not null then nxt end as new_idx,
+      case when not moved or t2.id is not null then 5 when t3.id is not null then t3.pos when t4.id is not null then t4.pos else t5.pos end as new_start
+    from src left join t2 on t2.id = src.id left join t3 on t3.id = src.id left join t4 on t4.id = src.id left join t5 on t5.id = src.id"""

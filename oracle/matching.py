@@ -114,7 +114,7 @@ ORACLES = {
         count_if(status = '账单多') as status_2, count_if(status = '仅场次有') as status_3, count_if(status = '仅账单有') as status_4 from rec""",
     "reconcile_differences": f"with {SIDE} select match_name, status, diff from rec where status <> '一致'",
     "reconcile_references": f"""with {SIDE}, r as (select 'left' as side, 'purchase' as sheet, * from pur union all select 'right', 'signup', * from sig)
-        select lower(name) as match_name, side, string_agg(sheet || '!第' || row_no || '行/学员', '；' order by row_no) as refs, min(name) as names from r group by 1, 2""",
+        select lower(name) as match_name, side, 0 as part, string_agg(sheet || '!第' || row_no || '行/学员', '；' order by row_no) as refs, min(name) as names from r group by 1, 2""",
     "split_names_reconcile": f"""with l as (select unnest(string_split(p_name, ' ')) as n from part union all select lower(p_type) from part),
         r as (select string_split(p_name, ' ')[2] as n from part union all select lower(p_type) from part where p_partkey % 2 = 0),
         c as (select coalesce(a.n, b.n) as match_name, coalesce(x, 0) as left_count, coalesce(y, 0) as right_count from (select n, count(*) as x from l group by 1) a full join (select n, count(*) as y from r group by 1) b on a.n = b.n),
@@ -190,3 +190,8 @@ ORACLES = {
         a as (select n_regionkey + 1 as s, string_agg(n_name, ',' order by n_nationkey) as v from nation where n_nationkey > 5 group by 1)
         select position, 'C' || item_id as code, item_id % 3 <> 0 as enabled, coalesce(m.v, '') as manual, coalesce(a.v, '') as audit from p left join m on m.s = position left join a on a.s = position""",
 }
+
+# Blank result fields fit any request, so the k-th answer of an employee takes the k-th request that its day allows.
+ORACLES["partial_pairs"] = f"with {REQ} select employee_id, sequence, sequence as result_row from req where batch <> 'O'"
+ORACLES["request_summary"] = f"""with o as ({ORACLES["request_outcomes"]}), i as ({ORACLES["request_intake"]})
+    select count(*) as valid, count_if(status = '成功') as succeeded, count_if(status <> '成功') as failed, (select count(reason) from i) as input_errors from o"""

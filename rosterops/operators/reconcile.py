@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterops.functions.text import clean, split_names
+from rosterops.operators.skew import attach, running_sum
 
 # Reconciliation statuses.
 EQUAL, LEFT_MORE, RIGHT_MORE, LEFT_ONLY, RIGHT_ONLY = "一致", "场次多", "账单多", "仅场次有", "仅账单有"
@@ -90,14 +91,21 @@ def reference_rows(left: DataFrame, right: DataFrame, result: DataFrame) -> Data
         return entries.select("match_name", F.lit(side).alias("side"), "name", "row_no", ref.alias("ref"))
 
     both = refs(left, "left").unionByName(refs(right, "right"))
-    return both.join(result.select("match_name", "status"), "match_name")
+    per_name = result.select("match_name", "status", (F.col("left_count") + F.col("right_count")).alias("_n"))
+    return attach(both, per_name, ["match_name"], "_n", F.col("row_no"), how="inner").drop("_n")
 
 
-def reference_text(refs: DataFrame) -> DataFrame:
-    """References and spellings per name and side as display text, in row order."""
+def reference_text(refs: DataFrame, lines: int = 1000) -> DataFrame:
+    """References and spellings per name and side as display text, in row order.
+
+    A cell holds at most ``lines`` references; a longer list goes on in the next part, so
+    the name with the most entries is never gathered whole.
+    """
+    numbered = running_sum(refs, ["match_name", "side"], "row_no", F.lit(1), "_k")
+    part = F.floor((F.col("_k") - 1) / lines).alias("part")
     listed = F.array_sort(F.collect_list(F.struct("row_no", "ref", "name")))
-    return refs.groupBy("match_name", "side").agg(listed.alias("l")).select(
-        "match_name", "side",
+    return numbered.groupBy("match_name", "side", part).agg(listed.alias("l")).select(
+        "match_name", "side", "part",
         F.array_join(F.transform("l", lambda x: x["ref"]), "；").alias("refs"),
         F.array_join(F.array_distinct(F.transform("l", lambda x: x["name"])), " / ").alias("names"))
 

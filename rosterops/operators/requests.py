@@ -20,7 +20,9 @@ def real_rows(results: DataFrame) -> DataFrame:
 
 def whitelisted(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows whose ID is on the list."""
-    return rows.join(allowed.select("employee_id").distinct(), "employee_id", "left_semi")
+    sizes = rows.groupBy("employee_id").agg(F.count(F.lit(1)).alias("_n"))
+    listed = allowed.select("employee_id").distinct()
+    return attach(rows, listed, ["employee_id"], "_n", F.xxhash64(*rows.columns), how="left_semi", counts=sizes)
 
 
 def _present_or_in_text(value: Column, same: Column, wanted: Column) -> Column:
@@ -246,5 +248,8 @@ def row_of_employee(requests: DataFrame, rows: DataFrame) -> DataFrame:
     names = roster_names(requests.withColumn("row_no", F.col("sequence")))
     named = mentions_by_lookup(rows.withColumnRenamed("row_no", "text_row"), names, "row_text", ["text_row"])
     by_name = named.groupBy("name").agg(F.min("text_row").alias("name_row"))
-    out = requests.withColumn("name", X.clean("name")).join(by_id, "employee_id", "left").join(by_name, "name", "left")
+    out, spread = requests.withColumn("name", X.clean("name")), F.col("sequence")
+    for key, found in (("employee_id", by_id), ("name", by_name)):
+        sizes = out.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        out = attach(out, found, [key], "_n", spread, counts=sizes)
     return out.withColumn("matched_row", F.least("id_row", "name_row")).drop("id_row", "name_row")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterops.functions import dates as D
 from rosterops.functions import text as X
-from rosterops.operators.skew import mark_first
+from rosterops.operators.skew import attach, mark_first
 
 
 def split_rejects(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +81,8 @@ def resolve_leave_type(rows: DataFrame, text: str, leave_types: DataFrame, out:
     width = F.when(F.col("tier") == 2, -F.length(code)).otherwise(-F.length(label))
     best = hit.groupBy("_t").agg(F.min(F.struct("tier", "at", width.alias("w"), "label", "code")).getField("code").alias(out))
     keyed = rows.withColumn("_t", X.clean(text))
-    return keyed.join(best, "_t", "left").drop("_t")
+    sizes = keyed.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    return attach(keyed, best, ["_t"], "_n", F.xxhash64(*rows.columns), counts=sizes).drop("_t")
 
 
 def align_cells(cells: Column, header: Column) -> Column:
