@@ -143,3 +143,12 @@ ORACLES["resolved_sources"] = f"""with {BLOCKS},
       case when not moved then own when t2.id is not null or t3.id is not null then nxt when t4.id is not null then t4.idx when t5.id is not null then nxt end as new_idx,
       case when not moved or t2.id is not null then 5 when t3.id is not null then t3.pos when t4.id is not null then t4.pos else t5.pos end as new_start
     from src left join t2 on t2.id = src.id left join t3 on t3.id = src.id left join t4 on t4.id = src.id left join t5 on t5.id = src.id"""
+
+RESOLVE = ORACLES["resolved_sources"].split("    select src.id as source_id")[0]
+# A context of five characters without line breaks decides the same inside a block and inside the whole document.
+ORACLES["resolved_evidence"] = RESOLVE + """    , e as (select src.id as source_id, src.doc_id, own, nxt, t3.pos as p3, t4.idx as i4, t4.pos as p4,
+        case when not moved then 2 when t2.id is not null then 3 when t4.id is not null and src.doc_id % 2 = 0 then 4 when t3.id is not null then 5 when t4.id is not null then 6 end as tier
+      from src left join t2 on t2.id = src.id left join t3 on t3.id = src.id left join t4 on t4.id = src.id)
+    select source_id, tier, case when tier is not null then doc_id end as new_doc, case tier when 2 then own when 3 then nxt when 5 then nxt when 4 then i4 when 6 then i4 end as new_idx,
+      case when tier in (2, 3) then 5 when tier = 5 then p3 when tier in (4, 6) then p4 end as new_start from e"""
+

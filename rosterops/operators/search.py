@@ -268,20 +268,61 @@ def resolve_evidence(evidence: DataFrame, documents: DataFrame, blocks: DataFram
     spots = _occurrences(everywhere, "text", True)
     in_block = _only_one(spots.filter(F.col("b_idx") == F.col("block_idx")), 5)
     by_context = _only_one(spots, 6)
-    across = _document_context(everywhere, placed)
+    columns = ["source_id", "selection", "b_doc", "b_idx", "start", "end"]
+    across = _document_context(everywhere, placed).select(*columns).unionByName(_across_blocks(scoped, placed).select(*columns))
     by_selection = _only_one(across.filter("selection"), 4)
     by_document = _only_one(across, 7)
     return _best_tier(evidence, [by_global, taken(by_id, 2), taken(at_index, 3), by_selection, in_block, by_context, by_document])
 
 
-def _document_context(pairs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Hits whose context may run over block edges: neighbours lend 20 characters."""
+def _edges(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Text before and after each block: 20 characters of its neighbours and the joint."""
     near = placed.select(
         F.col("doc_id").alias("b_doc"), F.col("block_idx").alias("b_idx"),
         F.substring(F.col("text"), F.greatest(F.length("text") - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("tail"),
         F.substring(F.col("text"), 1, CONTEXT).alias("head"))
     prior = near.select("b_doc", (F.col("b_idx") + 1).alias("b_idx"), F.concat("tail", F.lit("\n\n")).alias("lead"))
     later = near.select("b_doc", (F.col("b_idx") - 1).alias("b_idx"), F.concat(F.lit("\n\n"), "head").alias("follow"))
+    return prior, later
+
+
+def _across_blocks(scoped: DataFrame, placed: DataFrame) -> DataFrame:
+    """Hits of texts that run over block joints, with their context.
+
+    The longest piece of such a text finds its blocks; every piece must then end, fill or
+    begin the block at its distance. ``end`` counts on from the first block's start.
+    """
+    multi = scoped.filter(F.contains("text", F.lit("\n\n"))).withColumn("pieces", F.split("text", "\n\n", -1))
+    sized = F.transform("pieces", lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x")))
+    keyed = multi.withColumn("_top", F.array_max(sized)).select(
+        "source_id", "scope", "scope_doc", "before_text", "after_text", "selection", "text", "pieces",
+        F.col("_top.x").alias("anchor"), (-F.col("_top.i")).alias("at"))
+    blocks = placed.select(F.col("doc_id").alias("b_doc"), F.col("block_idx").alias("b_idx"), F.col("text").alias("b_text"))
+    found = containing(keyed.drop("pieces"), blocks, "anchor", "b_text", ["source_id", "scope", "scope_doc", "at"], ["b_doc", "b_idx"])
+    found = found.filter((F.col("scope") == "all") | (F.col("scope_doc") == F.col("b_doc")))
+    bases = found.select("source_id", "b_doc", (F.col("b_idx") - F.col("at")).alias("base")).distinct()
+    laid = keyed.select("source_id", F.size("pieces").alias("n"), F.posexplode("pieces").alias("k", "piece"))
+    checked = bases.join(laid, "source_id").withColumn("b_idx", (F.col("base") + F.col("k")).cast("int")).join(blocks, ["b_doc", "b_idx"])
+    body, piece = F.col("b_text"), F.col("piece")
+    fits = F.when(F.col("k") == 0, body.endswith(piece)).when(F.col("k") == F.col("n") - 1, body.startswith(piece)).otherwise(body == piece)
+    whole = checked.filter(fits).groupBy("source_id", "b_doc", "base").agg(
+        F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.max(F.when(F.col("k") == 0, body)).alias("first"),
+        F.max(F.when(F.col("k") == 0, F.length(body) - F.length(piece))).alias("start"),
+        F.max(F.when(F.col("k") == F.col("n") - 1, F.substring(body, F.length(piece) + 1, F.length(body)))).alias("rest")).filter("c = n")
+    prior, later = _edges(placed)
+    last = later.withColumnRenamed("b_idx", "last_idx")
+    placed_hits = whole.withColumns({"b_idx": F.col("base").cast("int"), "last_idx": (F.col("base") + F.col("n") - 1).cast("int")}).join(
+        prior, ["b_doc", "b_idx"], "left").join(last, ["b_doc", "last_idx"], "left").join(
+        keyed.select("source_id", "before_text", "after_text", "selection", "text"), "source_id")
+    before, after = F.coalesce("before_text", F.lit("")), F.coalesce("after_text", F.lit(""))
+    head = F.concat(F.coalesce("lead", F.lit("")), F.substring(F.col("first"), F.lit(1), F.col("start")))
+    tail = F.concat("rest", F.coalesce("follow", F.lit("")))
+    return placed_hits.filter(head.endswith(before) & tail.startswith(after)).withColumn("end", F.col("start") + F.length("text"))
+
+
+def _document_context(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Hits whose context may run over block edges: neighbours lend 20 characters."""
+    prior, later = _edges(placed)
     wide = pairs.join(prior, ["b_doc", "b_idx"], "left").join(later, ["b_doc", "b_idx"], "left").withColumns({
         "lead": F.coalesce("lead", F.lit("")), "follow": F.coalesce("follow", F.lit(""))})
     spots = wide.withColumn("start", F.explode(all_positions(F.col("b_text"), F.col("text"))))

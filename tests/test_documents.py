@@ -55,10 +55,11 @@ def test_evidence_tiers(spark, docs, blocks):
     ev = [(1, 1, "手册A", "", None, None, None, 8, 12, "第一条 ", "", "", False), (2, 9, "手册A", "1-b2", None, 4, 7, None, None, "飞行员", "", "", False),
           (3, 1, "手册A", "", 2, 4, 7, None, None, "飞行员", "", "", False), (4, 9, "手册C", "", None, None, None, None, None, "检查", "应当", "", True),
           (5, 1, "手册A", "", 2, 0, 2, None, None, "检查", "应当", "", False), (6, 9, "无", "", None, None, None, None, None, "def飞", "", "", False),
-          (7, 1, "手册A", "", None, None, None, None, None, "飞行员飞", "。\n\n", "", True)]
+          (7, 1, "手册A", "", None, None, None, None, None, "飞行员飞", "。\n\n", "", True), (8, 1, "手册A", "", None, None, None, None, None, "２。\n\n飞行员", "１", "飞", True),
+          (9, 9, "无", "", None, None, None, None, None, "def\n\nABC-def飞行 员\n\n员", "abc ", "", False), (10, 1, "手册A", "", None, None, None, None, None, "２。\n\n飞行员", "９", "", True)]
     evidence = spark.createDataFrame(ev, "source_id long, doc_id long, doc_name string, block_id string, block_idx int, s_start int, s_end int, g_from int, g_to int, text string, before_text string, after_text string, selection boolean")
     got = {r["source_id"]: (r["tier"], r["new_doc"], r["new_idx"], r["new_start"]) for r in S.resolve_evidence(evidence, docs.select("doc_id", "doc_name"), blocks).collect()}
-    assert got == {1: (1, 1, 2, 0), 2: (2, 1, 2, 4), 3: (3, 1, 2, 4), 4: (4, 1, 2, 10), 5: (5, 1, 2, 10), 6: (6, 2, 2, 4), 7: (4, 1, 3, 0)}
+    assert got == {1: (1, 1, 2, 0), 2: (2, 1, 2, 4), 3: (3, 1, 2, 4), 4: (4, 1, 2, 10), 5: (5, 1, 2, 10), 6: (6, 2, 2, 4), 7: (4, 1, 3, 0), 8: (4, 1, 2, 17), 9: (7, 2, 1, 4), 10: (None, None, None, None)}
 
 
 def test_locate_two_pages(spark):
