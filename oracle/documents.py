@@ -81,6 +81,8 @@ ORACLES = {
         select target_id, i as seg_idx, segment, coalesce(contains(b, segment), false) as matched from seg left join body on doc_id = target_id""",
     "basket_slots": """with i as (select p_partkey, p_size || '.' || (p_partkey % 7) as code, p_size || '.' || (p_partkey % 7) || '  ' || p_name as title, p_retailprice > 950 as has from part)
         select 'group' as kind, title, '0' as key from i where not has union all select 'group', title, e::varchar from i, range(1, 3) t(e) where has union all select 'slot', title, code || '-' || e from i, range(1, 3) t(e) where has""",
+    "range_slots": """with v as (select p_partkey, p_size % 9 + 1 as a, p_partkey % 20 + 1 as b from part), s as (select p_partkey, a, unnest(range(a, b + 1)) as n from v where a <= b)
+        select p_partkey, n - a + 1 as slot_no, '4.' || n as sequence from s""",
     "export_tasks": """with s as (select o_orderkey as slot_id, o_custkey as doc_id, cast(o_orderkey % 10 as int) as f, case when o_orderstatus <> 'P' then cast(o_custkey % 10 as int) end as t, 'a_b_' || replace(o_orderpriority, ' ', '_') as title, c_nationkey % 10 as n
             from orders left join (select * from customer where c_acctbal > 0) c on c_custkey = o_custkey)
         select slot_id, slot_id::varchar as sequence, doc_id, case when n is not null and t is not null then least(f, t) else f end as start_page, case when n is not null and t is not null then greatest(f, t) else coalesce(t, 0) end as end_page,

@@ -140,6 +140,8 @@ ORACLES = {
         d as (select 'month' as dim, strftime(start_date, '%Y-%m') as label, project from s union all select 'date', cast(start_date as varchar), project from s union all select 'project', project, project from s),
         c as (select dim, label, project, count(*) as c from d group by all)
         select dim, label, cast(sum(c) as bigint) as total, string_agg(project || ' ' || c, '；' order by c desc, project) as project_summary from c group by 1, 2""",
+    "schedule_filter": f"with {TRAIN} select row_no, project, strftime(start_date, '%Y-%m') as month, start_date as train_date from train where not cancelled and project = 'TSA' and year(start_date) = {YEAR}",
+    "selected_rows": f"with {BOARD} select project, employee_id, status from board where employee_id in (select cast(c_custkey as varchar) from customer where c_mktsegment = 'BUILDING')",
     "yearly_training": f"""with {TRAIN}, r as (select * from train where recorded and not cancelled and year(start_date) = {YEAR})
         select 'project' as dim, project as label, count(*) as total from r group by 2
         union all select 'month', m.label, count(r.project) from (select '{YEAR}-' || lpad(i::varchar, 2, '0') as label from range(1, 13) t(i)) m left join r on strftime(start_date, '%Y-%m') = m.label group by 2""",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterops.functions.dates import date_text, month_key, training_date
-from rosterops.functions.text import clean, is_null_word
+from rosterops.functions.text import clean, is_null_word, person_key
 from rosterops.functions.tables import literal_table
 from rosterops.operators import rules as R
 from rosterops.operators.records import ABNORMAL_RECORDED, coverage_policy
@@ -241,6 +241,20 @@ def schedule_distribution(scheduled: DataFrame) -> DataFrame:
         F.sum("c").alias("total"), F.array_join(text, "；").alias("project_summary"))
 
 
+def filter_schedule(rows: DataFrame, project: str = "", month: str = "", year: int | None = None) -> DataFrame:
+    """Scheduled or recorded rows of one project, month or year; blank choices keep all."""
+    out = rows.filter(F.col("project") == project) if project else rows
+    out = out.filter(F.col("month") == month) if month else out
+    return out if year is None else out.filter(F.year("train_date") == year)
+
+
+def selected_rows(board: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Board rows of chosen people ``(name, employee_id)``."""
+    keys = chosen.select(person_key("name", "employee_id").alias("_key")).distinct()
+    keyed = board.withColumn("_key", person_key("name", "employee_id"))
+    return keyed.join(keys, "_key", "left_semi").drop("_key")
+
+
 def yearly_training(recorded: DataFrame, year: int) -> DataFrame:
     """Recorded head count by project and by month of one year; twelve month rows."""
     base = recorded.filter(F.col("year") == year).groupBy("project", "month").agg(F.count(F.lit(1)).alias("c"))

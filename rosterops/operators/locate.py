@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterops.functions.normal import KEEP_CJK, nfkc_lower, page_match_text, without_prefix
-from rosterops.functions.ranges import parse_pages
+from rosterops.functions.ranges import dotted_sequence, parse_pages
 from rosterops.functions.text import clean, safe_token
 from rosterops.operators.skew import with_halo
 from rosterops.operators.substring import containing
@@ -199,6 +199,12 @@ def slots_from_groups(groups: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("title", F.lit("")), F.col("sequence")).alias("title"), "content", "note")
 
 
+def slots_from_ranges(ranges: DataFrame, key: str, text: str) -> DataFrame:
+    """Empty slots of dotted ranges such as ``1.1-1.61``; an unreadable range gives none."""
+    cut = ranges.select(key, F.posexplode(dotted_sequence(text)).alias("pos", "sequence"))
+    return cut.select(key, (F.col("pos") + 1).alias("slot_no"), "sequence", F.col("sequence").alias("title"), F.lit("").alias("content"))
+
+
 def export_tasks(slots: DataFrame, documents: DataFrame) -> DataFrame:
     """Page ranges to cut, each with the reason why it cannot be cut.
 

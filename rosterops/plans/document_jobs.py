@@ -193,6 +193,13 @@ def basket_slots(spark, sf):
     return groups.select(F.lit("group").alias("kind"), "title", F.col("ev_no").cast("string").alias("key")).unionByName(slots.select(F.lit("slot").alias("kind"), "title", F.col("target_id").alias("key")))
 
 
+def range_slots(spark, sf):
+    """Empty slots of dotted ranges."""
+    p = I.table(spark, sf, "part")
+    text = F.concat(F.lit("4."), (F.col("p_size") % 9 + 1).cast("string"), F.lit("-4."), (F.col("p_partkey") % 20 + 1).cast("string"))
+    return L.slots_from_ranges(p.select("p_partkey", text.alias("r")), "p_partkey", "r").select("p_partkey", "slot_no", "sequence")
+
+
 def export_tasks(spark, sf):
     """Page ranges to cut and why some cannot be cut."""
     o = I.table(spark, sf, "orders")
@@ -380,6 +387,6 @@ def role_runs(spark, sf):
 QUERIES = {f.__name__: f for f in (
     document_blocks, readable_pages, gram_candidates, keyword_hits, exact_hits, keyword_counts, saved_hits, hit_evidence, range_evidence, adopted_evidence,
     resolved_sources, located_sources, resolved_evidence, highlight_segments, block_windows, document_search, page_windows, locate_evidence, located_summary,
-    expanded_ranges, segment_flags, basket_slots, export_tasks, rebound_slots, page_rules, margin_lines, layout_units, item_lines, unique_anchors,
+    expanded_ranges, segment_flags, basket_slots, range_slots, export_tasks, rebound_slots, page_rules, margin_lines, layout_units, item_lines, unique_anchors,
     comparison_slices, alignment_matches, revision_events, comparison_summary, revision_filter, revision_categories, revision_decisions, revision_outline,
     revision_report, revision_context, turn_diffs, role_runs)}

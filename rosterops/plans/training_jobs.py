@@ -107,6 +107,18 @@ def scheduled_distribution(spark, sf):
     return C.schedule_distribution(P.scheduled_rows(I.training(spark, sf)))
 
 
+def schedule_filter(spark, sf):
+    """Scheduled rows of one project in one month."""
+    rows = P.scheduled_rows(I.training(spark, sf))
+    return C.filter_schedule(rows, "TSA", year=YEAR).select("row_no", "project", "month", "train_date")
+
+
+def selected_rows(spark, sf):
+    """Board rows of chosen people."""
+    chosen = I.table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("employee_id"))
+    return C.selected_rows(_board(spark, sf), chosen).select("project", "employee_id", "status")
+
+
 def yearly_training(spark, sf):
     """Recorded head count of one year."""
     return C.yearly_training(P.recorded_rows(I.training(spark, sf)), YEAR)
@@ -234,6 +246,6 @@ def workbook_health(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     record_policies, rule_outcomes, stage_states, status_board, board_filter, status_cards, project_matrix, month_grid, person_risk, top_rows,
-    board_facets, worst_tones, scheduled_distribution, yearly_training, pending_defaults, pending_sessions, common_months, what_if_board,
+    board_facets, worst_tones, scheduled_distribution, schedule_filter, selected_rows, yearly_training, pending_defaults, pending_sessions, common_months, what_if_board,
     renewal_run, renewal_counts, updated_people, resolved_people, attendance, attendance_by_month, attendance_by_role, duplicate_bookings,
     duplicate_rows, roster_mismatch, duplicate_ids, id_integrity, workbook_health)}
