@@ -25,7 +25,7 @@ def project_of(priority: Column) -> Column:
 
 
 def customer_name(key: Column) -> Column:
-    return F.format_string("Customer#%09d", key)
+    return F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0"))
 
 
 def nth(values: list[str], index: Column) -> Column:
