@@ -14,16 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterops.llm.frames import arrow_of, batch_of, offsets_of, size_blocks, stored, table_rows, texts_of
-from rosterops.llm.tokens import as_uint32, encoder
+from rosterops.llm.tokens import encoder, with_end
 
 WIDTH = 2048
-BATCH_CHARS = 1 << 21  # characters encoded, or ids cut, at a time
+BATCH_CHARS = 1 << 23  # characters encoded at a time
 
 
 def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,18 +34,15 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     texts = texts_of(docs, id_col, text_col)
     empty = texts.sparkSession.createDataFrame([], "part int, before long, doc_id string, n long, ids binary")
     schema = arrow_of(empty.withColumn("doc_id", F.lit(None).cast(texts.schema["doc_id"].dataType)))
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, before, tool = TaskContext.get().partitionId(), 0, encoder(path)
         for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
             out = []
-            for (doc_id, _), packed in zip(block, tool.encode([text for _, text in block]), strict=True):
-                ids = as_uint32(packed, tool.code) + end
-                out.append((part, before, doc_id, len(ids) // 4, ids))
-                before += len(ids) // 4
+            for (doc_id, _), ids in zip(block, with_end(*tool.encode([text for _, text in block]), end_id), strict=True):
+                out.append((part, before, doc_id, len(ids), ids.tobytes()))
+                before += len(ids)
             yield batch_of(out, schema)
 
     kind = texts.schema["doc_id"].dataType.simpleString()

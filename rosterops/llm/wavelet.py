@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterops.llm.frames import arrow_of, batch_of, offsets_of, size_blocks, table_rows, texts_of
-from rosterops.llm.tokens import encoder
+from rosterops.llm.tokens import encoder, with_end
 
 BLOCK = 1 << 20
 STEP = 512
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 23  # characters encoded at a time
 FORMAT = "shard int, block int, before long, n_tokens long, doc_ids array<{kind}>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
@@ -125,18 +125,17 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
         from pyspark import TaskContext
 
         shard, before, tool = TaskContext.get().partitionId(), 0, encoder(path)
-        depth, kind = max(1, (max(tool.library.get_vocab_size() - 1, end_id)).bit_length()), np.uint16 if tool.code == "H" else np.uint32
-        end = np.array([end_id], kind).tobytes()
+        depth = max(1, max(tool.size - 1, end_id).bit_length())
+        kind = np.uint16 if depth <= 16 else np.uint32
 
         def encoded() -> Iterator[tuple]:
             for some in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
-                for (doc_id, _), packed in zip(some, tool.encode([text for _, text in some]), strict=True):
-                    yield doc_id, packed + end
+                yield from zip([doc_id for doc_id, _ in some], with_end(*tool.encode([text for _, text in some]), end_id), strict=True)
 
-        for number, block in enumerate(size_blocks(encoded(), lambda row: len(row[1]) // kind().itemsize, BLOCK)):
-            ids = np.frombuffer(b"".join(packed for _, packed in block), kind)
+        for number, block in enumerate(size_blocks(encoded(), lambda row: len(row[1]), BLOCK)):
+            ids = np.concatenate([ids for _, ids in block]).astype(kind)
             built = WaveletMatrix.build(ids, depth)
-            lengths = [len(packed) // kind().itemsize for _, packed in block]
+            lengths = [len(ids) for _, ids in block]
             yield batch_of(
                 [(shard, number, before, len(ids), [d for d, _ in block], lengths, built.zeros, built.packed, [r.tobytes() for r in built.ranks])], schema
             )
