@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,9 +78,10 @@ def size_blocks(rows: Iterable, weight, most: int) -> Iterator[list]:
 
 
 def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples."""
+    """Rows of Arrow batches as tuples, a few at a time as texts take space twice."""
     for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+        for first in range(0, batch.num_rows, 64):
+            yield from zip(*(column.to_pylist() for column in batch.slice(first, 64).columns), strict=True)
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -105,3 +108,19 @@ def offsets_of(totals: DataFrame, key: str, n: str, out: str) -> DataFrame:
 def crc_of_id(id_col: Column) -> Column:
     """CRC-32 of an id written as text."""
     return F.crc32(id_col.cast("string").cast("binary"))
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """One value per Python worker. Functions travel by value, so a variable of their module
+    would be new in every task; the worker's ``sys`` stays."""
+    store = vars(sys).setdefault("_rosterops_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def restored(kind: type, state: dict) -> Any:
+    """An object from its broadcast variables. Classes travel with the task, not in broadcasts."""
+    out = object.__new__(kind)
+    vars(out).update(state)
+    return out

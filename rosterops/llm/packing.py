@@ -22,7 +22,7 @@ from rosterops.llm.frames import arrow_of, batch_of, offsets_of, size_blocks, st
 from rosterops.llm.tokens import encoder, with_end
 
 WIDTH = 2048
-BATCH_CHARS = 1 << 23  # characters encoded at a time
+BATCH_CHARS = 1 << 22  # characters encoded at a time
 
 
 def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

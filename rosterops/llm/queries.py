@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterops.llm import packing, wavelet
-from rosterops.llm.frames import new_folder
+from rosterops.llm import decontam, langid, licenses, packing, pii, quality, simhash, topk, urlrules, wavelet
+from rosterops.llm.frames import crc_of_id, new_folder
+
+#: Fixed: the url rules (host, path, verdict).
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
 
 
 def vocabulary() -> str:
@@ -20,20 +28,123 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Automata of the documents that are not held out."""
+    return langid.fit(docs.filter(F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, width=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
+    return langid.identify(docs, language_model(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "wavelet")
     wavelet.write_tokens(table(spark, sf_dir, "documents"), vocabulary(), folder, end_id=2)
     return wavelet.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics(table(spark, sf_dir, "documents"))
+    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0
+    known = quality.labelled(stats.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = stats.select("doc_id", held_out.alias("held_out"), quality.fit(known).score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_report(decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
+    "op3_simhash": op3_simhash,
+    "op4_url_filter": op4_url_filter,
+    "op5_pii": op5_pii,
+    "op6_license_scan": op6_license_scan,
     "op7_token_output": op7_token_output,
+    "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
+    "op10_top_k": op10_top_k,
 }
 
-ORACLES: dict[str, str] = {}
+_URL_SQL = """
+with cut as (
+  select page_id, case when url like '%://%' then regexp_replace(substr(url, instr(url, '://') + 3), '[?#].*$', '', 's') else '' end as rest from pages
+), parts as (
+  select page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         case when instr(rest, '/') > 0 then substr(rest, instr(rest, '/')) else '' end as path from cut
+), rules(rule_host, rule_path, rule_verdict) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), best as (
+  select page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+         max_by(rule_verdict, length(rule_host || rule_path)) as verdict
+  from parts left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id, host, path
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from best
+"""
+
+_LEAK_SQL = r"""
+with split as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), x -> x <> '') as w from documents
+), items as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), x -> x <> '') as w from benchmark
+), cuts as (
+  select item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), i -> list_aggregate(w[i : i + least(len(w), 10) - 1], 'string_agg', ' '))) as cut
+  from items where len(w) > 0
+), lengths as (select distinct n from cuts),
+places as (
+  select doc_id, n, unnest(range(1, len(w) - n + 2)) as at, w from split, lengths where len(w) >= n
+), grams as (select doc_id, n, at, list_aggregate(w[at : at + n - 1], 'string_agg', ' ') as cut from places),
+found as (select doc_id, at, n, item_id from grams join cuts using (n, cut)),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(at, at + n)) as p from found) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as s from (select distinct doc_id, cast(item_id as varchar) as item_id from found) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(s, '')) as items_sha256, n_hit is not null as contaminated
+from split left join hits using (doc_id) left join named using (doc_id)
+"""
+
+_TOP_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored)
+select query_id, cast(r as int) as rank, vec_id, score from ranked where r <= 20
+"""
+
+ORACLES = {"op4_url_filter": _URL_SQL, "op9_decontamination": _LEAK_SQL, "op10_top_k": _TOP_SQL}

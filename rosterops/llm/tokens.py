@@ -15,15 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rosterops.llm.frames import kept
+
 TOGETHER = 256  # words the library gets as one text
-_loaded: dict[str, "Encoder"] = {}
 
 
 def encoder(path: str) -> "Encoder":
     """The worker's encoder for a tokenizer file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def word_wise(spec: dict) -> bool:
@@ -104,7 +103,10 @@ def _repeat(ids: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.nd
     lengths = np.diff(ends, prepend=0)
     sizes = lengths[which]
     reached = np.cumsum(sizes)
-    places = np.repeat((ends - lengths)[which] - (reached - sizes), sizes) + np.arange(reached[-1] if len(reached) else 0)
+    total = int(reached[-1]) if len(reached) else 0
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    places = np.repeat(((ends - lengths)[which] - (reached - sizes)).astype(kind), sizes)
+    places += np.arange(total, dtype=kind)
     return ids[places], reached
 
 
