@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import arrow_of, batch_of, pick, restored, size_blocks, table_rows, texts_of
+from rosterops.llm.frames import arrow_of, batch_of, pick, restored, size_blocks, stored, table_rows, text_hash, texts_of, without
 
 WINDOW = 10
 SHARD = 1 << 19  # words of a shard
@@ -129,7 +129,7 @@ def find_leaks(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD, block_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
-    """``doc_id, text, n_words, matches, items`` for every row of ``docs``.
+    """``doc_id, h, n_words, matches, items`` for every row of ``docs``; ``h`` is the text's hash.
 
     ``matches`` are the longest verbatim matches as ``(start, end)`` in words, in order and
     apart; ``items`` the ids of items with an occurring window, sorted, each once. An item of
@@ -137,15 +137,15 @@ def find_leaks(
     item without an id counts for ``matches`` only. A null text has no words; repeated
     documents are judged each; no items: nothing matches.
     """
-    texts = texts_of(docs, id_col, text_col)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    layout = f"doc_id {kind}, text string, n_words long, matches array<struct<start:long,end:long>>, items array<string>"
-    state = texts.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("matches"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = arrow_of(state)
-    context = texts.sparkSession.sparkContext
+    state = texts_of(docs, id_col, text_col).select(
+        "doc_id", "text", text_hash(F.col("text")).alias("h"), F.lit(0).cast("long").alias("n_words"),
+        F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("matches"), F.expr("cast(array() as array<string>)").alias("items"),
+    )
+    schema, layout = arrow_of(state), state.schema
+    context = state.sparkSession.sparkContext
     for block in item_blocks(items, window, item_col, item_text_col, block_bytes):
         state = state.mapInArrow(_scan(context.broadcast(vars(block)), schema, shard_words), layout)
-    return state
+    return state.drop("text")
 
 
 def _scan(shared, schema: pa.Schema, shard_words: int):
@@ -170,18 +170,24 @@ def _scan(shared, schema: pa.Schema, shard_words: int):
                 spans.setdefault(doc, set()).add((place, place + int(items.lengths[window])))
                 windows.setdefault(doc, set()).add(window)
             out = []
-            for k, ((doc_id, text, _, old, names), codes) in enumerate(block):
+            for k, ((doc_id, text, h, _, old, names), codes) in enumerate(block):
                 kept = [(m["start"], m["end"]) for m in old]
                 if k in spans:
                     kept = _merged([*kept, *spans[k]])
                     hit = {items.names[item] for window in windows[k] for item in items.owners[window]}
                     names = sorted({*names, *hit} - {None})
-                out.append((doc_id, text, len(codes), [{"start": a, "end": b} for a, b in kept], names))
+                out.append((doc_id, text, h, len(codes), [{"start": a, "end": b} for a, b in kept], names))
             yield batch_of(out, schema)
 
     return scan
 
 
+def remove_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window."""
+    leaks = find_leaks(docs, items, window, id_col, text_col).filter(F.size("matches") > 0).select("doc_id", "h")
+    return without(docs, stored(leaks, "leaks"), id_col, text_col)
+
+
 def leak_report(leaks: DataFrame) -> DataFrame:
     """One row per document: words, words hit, items and their digest."""
     hit = F.aggregate("matches", F.lit(0).cast("long"), lambda n, m: n + m["end"] - m["start"])

@@ -8,9 +8,12 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pick(rows: DataFrame, **columns: str) -> DataFrame:
@@ -84,6 +87,47 @@ def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in batch.slice(first, 64).columns), strict=True)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], place: int, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with about ``chars`` bytes of text each, and their texts (null: empty)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy())
+        starts = np.flatnonzero(np.diff(ends // chars, prepend=-1))
+        for first, after in zip(starts, np.append(starts[1:], batch.num_rows)):
+            part = batch.slice(first, after - first)
+            yield part, pc.fill_null(part.column(place), "").to_pylist()
+
+
+def annotate(docs: DataFrame, judge: Callable[[list[str]], list[tuple]], fields: str, text_col: str, chars: int) -> DataFrame:
+    """``docs`` with columns that ``judge`` derives from batches of whole texts; the other
+    columns pass through untouched. Null texts are judged as empty ones."""
+    names = docs.columns
+    place = names.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = plain.withColumn(f"c{place}", F.col(f"c{place}").cast("string"))
+    more = arrow_of(docs.sparkSession.createDataFrame([], fields))
+    schema = pa.schema([*arrow_of(plain), *more])
+    layout = T.StructType([*plain.schema, *docs.sparkSession.createDataFrame([], fields).schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, place, chars):
+            found = batch_of(judge(texts), more)
+            yield pa.RecordBatch.from_arrays([*part.columns, *found.columns], schema=schema)
+
+    return plain.mapInArrow(run, layout).toDF(*names, *more.names)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` but for the rows whose id and text hash are in ``gone`` (``doc_id, h``)."""
+    listed = gone.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text_hash(F.col(text_col)) == F.col("_gone_h"))
+    return docs.join(listed, same, "left_anti")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells apart texts of one id; null is as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

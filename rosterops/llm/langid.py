@@ -14,14 +14,12 @@ one long text costs no more than many short ones. A strip begins a phrase of its
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import arrow_of, batch_of, kept, pick, restored, size_blocks, table_rows, texts_of
+from rosterops.llm.frames import annotate, kept, pick, restored
 
 ROWS = 64  # labelled rows per language
 ROW_CHARS = 3_000  # characters used of each of them
@@ -172,32 +170,27 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     return Model(samples)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score, bits`` for every row, from whole texts.
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred, score, bits`` for every row, from whole texts.
 
     ``score`` is the second-best language's share of the two best costs (0.5: a tie, 1: no
     other language); ``bits`` the winner's cost per letter. A null text or one without a
     letter is ``und`` with score 0 and null bits, as is every text of a model without
     languages. Ties go to the first name. Repeated rows are judged each.
     """
-    texts = texts_of(docs, id_col, text_col)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    layout = f"doc_id {kind}, lang_pred string, score double, bits double"
-    schema = arrow_of(texts.sparkSession.createDataFrame([], layout))
-    shared = texts.sparkSession.sparkContext.broadcast(vars(model))  # bounded by ALL_CHARS
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by ALL_CHARS
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: list[str]) -> list[tuple]:
         tool: Model = restored(Model, shared.value)
-        for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
-            out = []
-            for (doc_id, _), costs in zip(block, tool.costs([text for _, text in block]), strict=True):
-                if not len(costs) or np.isinf(costs[0]):
-                    out.append((doc_id, UNKNOWN, 0.0, None))
-                    continue
-                order = np.argsort(costs, kind="stable")
-                best = float(costs[order[0]])
-                second = float(costs[order[1]]) if len(order) > 1 else math.inf
-                out.append((doc_id, tool.languages[order[0]], 1.0 if math.isinf(second) else second / (best + second), best))
-            yield batch_of(out, schema)
-
-    return texts.mapInArrow(judge, layout)
+        out = []
+        for costs in tool.costs(texts):
+            if not len(costs) or np.isinf(costs[0]):
+                out.append((UNKNOWN, 0.0, None))
+                continue
+            order = np.argsort(costs, kind="stable")
+            best = float(costs[order[0]])
+            second = float(costs[order[1]]) if len(order) > 1 else math.inf
+            out.append((tool.languages[order[0]], 1.0 if math.isinf(second) else second / (best + second), best))
+        return out
+
+    return annotate(docs, judge, "lang_pred string, score double, bits double", text_col, BATCH_CHARS)

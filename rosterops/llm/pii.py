@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import pick, stored, texts_of
+from rosterops.llm.frames import pick, stored, text_hash, texts_of
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 # Fixed patterns. Possessive repeats and the look-behinds keep long runs linear: a match that
@@ -72,7 +72,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = texts_of(docs, id_col, text_col)
     mark = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit("").alias("value"), F.lit("").alias("before"), F.lit("").alias("after")))
     every = F.concat(mark, *[_matches(F.col("text"), kind) for kind in range(4)])
-    rows = texts.select("doc_id", F.xxhash64("text").alias("h"), F.explode(every).alias("m")).select("doc_id", "h", "m.*")
+    rows = texts.select("doc_id", text_hash(F.col("text")).alias("h"), F.explode(every).alias("m")).select("doc_id", "h", "m.*")
     once = rows.groupBy("doc_id", "h", "kind", "i").agg(*[F.first(c).alias(c) for c in ("gap", "value", "before", "after")], F.count(F.lit(1)).alias("copies"))
     along = Window.partitionBy("doc_id", "h", "kind").orderBy("i")
     end = F.sum(F.col("gap").cast("long") + F.length("value")).over(along)
@@ -168,6 +168,6 @@ def sanitise(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
     tail = F.substring(text, (F.element_at("_pii_s", -1)["end"] + 1).cast("int"), F.length(text))
     clean = F.concat(F.array_join(F.transform("_pii_s", piece), ""), tail)
     maybe = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    joined = docs.filter(maybe).join(cuts, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (F.xxhash64(text) == F.col("_pii_h")), "left")
+    joined = docs.filter(maybe).join(cuts, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (text_hash(text) == F.col("_pii_h")), "left")
     changed = joined.withColumn(text_col, F.when(F.col("_pii_s").isNull(), text).otherwise(clean)).select(*docs.columns)
     return docs.filter(~maybe).union(changed)

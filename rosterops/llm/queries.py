@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterops.llm import decontam, langid, licenses, packing, pii, quality, simhash, topk, urlrules, wavelet
-from rosterops.llm.frames import crc_of_id, new_folder
+from rosterops.llm.frames import crc_of_id, new_folder, pick
 
 #: Fixed: the url rules (host, path, verdict).
 URL_RULES = [
@@ -41,7 +41,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
-    return langid.identify(docs, language_model(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.identify(pick(docs, doc_id="doc_id", text="text"), language_model(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,33 +115,37 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from bes
 """
 
 _LEAK_SQL = r"""
-with split as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), x -> x <> '') as w from documents
-), items as (
-  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), x -> x <> '') as w from benchmark
+with words as (
+  select 'd' as side, cast(doc_id as varchar) as id, doc_id, text from documents union all
+  select 'i', cast(item_id as varchar), null, text from benchmark
+), split as (
+  select side, id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from words
 ), cuts as (
-  select item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), i -> list_aggregate(w[i : i + least(len(w), 10) - 1], 'string_agg', ' '))) as cut
-  from items where len(w) > 0
+  select distinct id as item_id, least(len(w), 10) as n,
+    unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i : i + least(len(w), 10) - 1], ' '))) as cut
+  from split where side = 'i' and len(w) > 0
 ), lengths as (select distinct n from cuts),
-places as (
-  select doc_id, n, unnest(range(1, len(w) - n + 2)) as at, w from split, lengths where len(w) >= n
-), grams as (select doc_id, n, at, list_aggregate(w[at : at + n - 1], 'string_agg', ' ') as cut from places),
-found as (select doc_id, at, n, item_id from grams join cuts using (n, cut)),
-hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(at, at + n)) as p from found) group by doc_id),
-named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as s from (select distinct doc_id, cast(item_id as varchar) as item_id from found) group by doc_id)
-select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+grams as (
+  select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'k': i, 'cut': array_to_string(w[i : i + n - 1], ' ')})) as g
+  from split, lengths where side = 'd' and len(w) >= n
+), found as (select doc_id, g.k as k, grams.n, item_id from grams join cuts on grams.n = cuts.n and g.cut = cuts.cut),
+spread as (select doc_id, unnest(range(k, k + n)) as p from found),
+hits as (select doc_id, count(distinct p) as n_hit from spread group by doc_id),
+named as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as s from (select distinct doc_id, item_id from found) group by doc_id
+)
+select split.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        sha256(coalesce(s, '')) as items_sha256, n_hit is not null as contaminated
-from split left join hits using (doc_id) left join named using (doc_id)
+from split left join hits using (doc_id) left join named using (doc_id) where side = 'd'
 """
 
 _TOP_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
 ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored)
 select query_id, cast(r as int) as rank, vec_id, score from ranked where r <= 20

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import arrow_of, batch_of, size_blocks, stored, table_rows, texts_of
+from rosterops.llm.frames import arrow_of, batch_of, size_blocks, stored, table_rows, text_hash, texts_of, without
 
 SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = 6
@@ -60,17 +60,18 @@ def fingerprint_of(text: str, hash_of, shingle: int = SHINGLE, seed: int = SEED)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (64 bits as a signed long) for every row; null and empty texts have 0."""
-    texts = texts_of(docs, id_col, text_col)
-    layout = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long"
+    """``doc_id, h, fp`` (64 bits as a signed long) for every row; null and empty texts have 0.
+    ``h`` is the text's hash."""
+    texts = texts_of(docs, id_col, text_col).withColumn("h", text_hash(F.col("text")))
+    layout = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, fp long"
     schema = arrow_of(texts.sparkSession.createDataFrame([], layout))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
-            found = [fingerprint_of(text, xxh64_intdigest, shingle, seed) for _, text in block]
-            yield batch_of([(doc_id, fp - (1 << 64) if fp >> 63 else fp) for (doc_id, _), fp in zip(block, found, strict=True)], schema)
+            found = [fingerprint_of(text, xxh64_intdigest, shingle, seed) for _, text, _ in block]
+            yield batch_of([(doc_id, h, fp - (1 << 64) if fp >> 63 else fp) for (doc_id, _, h), fp in zip(block, found, strict=True)], schema)
 
     return texts.mapInArrow(prints, layout)
 
@@ -253,7 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``.
+    """``doc_id, h, fp, root, component_id`` for every row of ``docs``; ``h`` is the text's hash and
+    ``root`` one fingerprint of the component, equal for all its rows.
 
     ``component_id`` is the smallest id reachable over links of at most ``bits`` differing
     bits, the row's own included. Null and empty texts have the fingerprint 0 and are linked
@@ -265,4 +267,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(forest(least.select("fp"), bits, segments)).select(F.col("node").alias("fp"), "root")
     rooted = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null ids last), of
+    the smallest text hash among its rows, once if the whole row is repeated."""
+    found = stored(near_duplicates(docs, id_col, text_col, bits).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    first = first.select("root", F.col("k.doc_id").alias("k_id"), F.col("k.h").alias("k_h"))
+    judged = found.join(first, "root").withColumn("keep", F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
+    judged = stored(judged.select("doc_id", "h", "n", "keep"), "simhash-judged")
+    repeated = judged.filter("keep and n > 1").select("doc_id", "h")
+    others = judged.filter("not keep").select("doc_id", "h")
+    if repeated.isEmpty():
+        return without(docs, others, id_col, text_col)
+    listed = repeated.select(F.col("doc_id").alias("_again_id"), F.col("h").alias("_again_h"))
+    same = F.col(id_col).eqNullSafe(F.col("_again_id")) & (text_hash(F.col(text_col)) == F.col("_again_h"))
+    once = docs.join(listed, same, "left_semi").dropDuplicates([id_col, text_col])
+    return without(docs, others.union(repeated), id_col, text_col).union(once)
