@@ -99,18 +99,20 @@ class Model:
             for row in rows[name]:
                 codes += [*self.code(row).tolist(), BREAK]
             edges = automaton(codes)
-            part = np.full((len(edges), self.width), -1, np.int64)
+            dead = (base + len(edges)) * self.width  # behind a sign that never occurs, which is a phrase of its own
+            part = np.full((len(edges) + 1, self.width), -1, np.int64)
             for state, out in enumerate(edges):
                 for code, target in out.items():
                     part[state, code] = (base + target) * self.width
-            root = np.where(part[0] < 0, base * self.width, part[0])  # a sign that never occurs is a phrase of its own
+            first = np.where(part[0] < 0, dead, part[0])
             missing = part < 0
-            part[missing] = np.broadcast_to(root | _FLAG, part.shape)[missing]
+            part[missing] = np.broadcast_to(first | _FLAG, part.shape)[missing]
+            part[0] = first
             part[:, PAD] = base * self.width
             parts.append(part)
             roots.append(base * self.width)
             weights.append(math.log2(len(codes) + 1))
-            base += len(edges)
+            base += len(edges) + 1
         self.table = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.int64)
         self.roots, self.weights = np.array(roots, np.int64), np.array(weights)
 
