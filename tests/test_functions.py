@@ -1,5 +1,6 @@
 """Column expressions on small literal tables."""
 
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from rosterops.functions import dates as D
 from rosterops.functions import normal as N
 from rosterops.functions import ranges as G
 from rosterops.functions import text as X
-from rosterops.operators.diff import diff, edge_runs
+from rosterops.operators.diff import common_places, diff
 from rosterops.operators.locate import evidence_segments, ordered_hits
 from rosterops.operators.slices import sentences
 from rosterops.operators.substring import all_positions
@@ -96,4 +97,7 @@ def test_diff_keeps_both_texts():
         d = diff(a, b)
         assert "".join(r["text"] for r in d["left"]) == a
         assert "".join(r["text"] for r in d["right"]) == b
-    assert edge_runs("abXcd", "abYYcd") == [("equal", "ab"), ("removed", "X"), ("added", "YY"), ("equal", "cd")]
+    assert list(common_places("abXcd", "abYYcd")) == [(0, 0), (1, 1), (3, 4), (4, 5)]
+    long = "".join(random.Random(3).choices("abcd", k=3000))
+    other = long[:1000] + "zz" + long[1100:]
+    assert len(list(common_places(long, other))) == 2900
