@@ -43,7 +43,7 @@ REASON = ("case status when 'skip' then '依据为空或标记为不适用。' w
 PAGE_LINES = """pl as (select conv_id as doc_id, turn as page_no, list_filter(string_split('Manual ' || conv_id || chr(10) || text || chr(10) || 'Page ' || turn, chr(10)), lambda x: trim(x, ' ') <> '') as ls from conversations),
 lines2 as (select doc_id, page_no, unnest(range(0, len(ls))) as i, unnest(ls) as text, len(ls) as n from pl)"""
 
-PAIRS = """keyed as (select doc_id, substr(text, 1, 40) as k from documents), pairs as (select doc_id as pair_id, my_doc, doc_id as ref_doc from keyed join (select k, min(doc_id) as my_doc from keyed group by 1 having count(*) > 1) using (k) where doc_id <> my_doc)"""
+PAIRS = """cut as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), keyed as (select doc_id, min(md5(line)) as k from cut where length(line) >= 12 group by 1), pairs as (select doc_id as pair_id, my_doc, doc_id as ref_doc from keyed join (select k, min(doc_id) as my_doc from keyed group by 1 having count(*) > 1) using (k) where doc_id <> my_doc)"""
 
 ORACLES = {
     "document_blocks": f"""with {BLOCKS} select doc_id, block_idx, md5(text) as text,
@@ -60,8 +60,8 @@ ORACLES = {
         select doc_id, g_from, g_to, substr(t, g_from + 1, g_to - g_from) as text, substr(t, greatest(g_from - 20, 0) + 1, g_from - greatest(g_from - 20, 0)) as before_text, substr(t, g_to + 1, 20) as after_text from r""",
     "adopted_evidence": """select o_custkey as item_id, o_orderkey as source_evidence_id, o_orderstatus as content, '采纳自 ' || o_orderpriority || case o_orderstatus when 'F' then ' / 第 3 页' when 'O' then ' / 第 7 段' else '' end as note
         from orders where not (o_totalprice > 300000)""",
-    "located_sources": f"with {BLOCKS} select doc_id * 100000 + block_idx as source_id from blocks where length(text) >= 30 and doc_id % 3 <> 0",
-    "highlight_segments": """with t as (select conv_id * 1000 + turn as text_id, text, length(text) as n from conversations),
+    "located_sources": f"with {BLOCKS} select doc_id || '-' || block_idx as source_id from blocks where length(text) >= 30 and doc_id % 3 <> 0",
+    "highlight_segments": """with t as (select conv_id || '-' || turn as text_id, text, length(text) as n from conversations),
         r as (select *, [{'id': 0, 's': 0, 'e': cast(trunc(n / 2) as int)}, {'id': 1, 's': cast(trunc(n / 3) as int), 'e': n}, {'id': 2, 's': least(7, n), 'e': least(40, n)}] as rs from t),
         f as (select *, list_filter(rs, lambda x: x.e > x.s) as act from r),
         c as (select *, list_sort(list_distinct(list_concat([0, n], list_transform(act, lambda x: x.s), list_transform(act, lambda x: x.e)))) as cuts from f),
@@ -132,7 +132,7 @@ def starts(text, needle):
 
 
 ORACLES["resolved_sources"] = f"""with {BLOCKS},
-    src as (select doc_id * 100000 + block_idx as id, doc_id, block_idx as own, block_idx + 1 as nxt, doc_id % 3 = 0 as moved, substr(text, 6, 20) as w, substr(text, 1, 5) as b, substr(text, 6, 8) as k
+    src as (select doc_id || '-' || block_idx as id, doc_id, block_idx as own, block_idx + 1 as nxt, doc_id % 3 = 0 as moved, substr(text, 6, 20) as w, substr(text, 1, 5) as b, substr(text, 6, 8) as k
       from blocks where length(text) >= 30),
     mv as (select * from src where moved),
     raw_occ as (select id, nxt, b, t.block_idx as idx, t.text, {starts('t.text', 'w')} as pos from mv join blocks t on t.doc_id = mv.doc_id and contains(t.text, w)),

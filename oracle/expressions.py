@@ -34,10 +34,10 @@ def segments(col):
 
 ORACLES = {
     "text_cleaning": r"""
-        select doc_id, md5(regexp_replace(regexp_replace(' ' || chr(9) || substr(text, 1, 200) || chr(10) || ' ', '^\s+', ''), '\s+$', '')) as cleaned,
+        select doc_id, md5(regexp_replace(regexp_replace(' ' || chr(9) || text || chr(10) || ' ', '^\s+', ''), '\s+$', '')) as cleaned,
           md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as squeezed, length(regexp_replace(text, '\s+', '', 'g')) as solid_chars,
           true as null_word, false as true_word, regexp_matches(text, '\S') as has_value,
-          trim(regexp_replace(regexp_replace(source || '/:  ' || substr(text, 1, 20), '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')) as safe,
+          trim(regexp_replace(regexp_replace(source || '/:  ' || text, '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')) as safe,
           source || ' a' as sheet
         from documents""",
     "number_parsing": r"""
@@ -113,7 +113,7 @@ ORACLES = {
         from h""",
     "page_match_texts": f"select conv_id as doc_id, turn as page_no, md5({page_norm('text')}) as norm from conversations",
     "evidence_parts": f"""
-        with s as (select 'item' as kind, item_id as key, text from benchmark union all select 'turn', conv_id * 1000 + turn, text from conversations),
+        with s as (select 'item' as kind, cast(item_id as varchar) as key, text from benchmark union all select 'turn', conv_id || '-' || turn, text from conversations),
         p as (select kind, key, {segments('text')} as segs from s)
         select kind, key, unnest(range(0, len(segs))) as seg_idx, unnest(segs) as segment from p""",
     "page_ranges": r"""

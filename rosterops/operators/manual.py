@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterops.functions.normal import line_key, nfkc_lower
 from rosterops.functions.text import clean, squeeze
-from rosterops.operators.skew import running_last, running_sum
+from rosterops.operators.skew import dense_order, running_last, running_sum
 from rosterops.sources.text_blocks import SENTENCE_END, clause_parts, looks_like_title
 
 WORD_GAP, PARAGRAPH, HEADING = 3, 420, 40
@@ -125,12 +125,12 @@ def layout_units(lines: DataFrame, ignored: list[str] | None = None) -> DataFram
 
     A bare clause number only becomes the title when there is none yet.
     """
-    entries = page_paragraphs(body_lines(lines, ignored)).withColumn("_o", F.col("page_no").cast("long") * (1 << 20) + F.col("pos"))
+    entries = dense_order(page_paragraphs(body_lines(lines, ignored)), ["doc_id"], "page_no", "pos", "_o")
     strong = F.when(F.col("title").isNotNull() & ~F.col("weak"), F.col("title"))
-    titled = running_last(entries, ["doc_id"], "_o", strong, "_strong", span=1 << 26)
+    titled = running_last(entries, ["doc_id"], "_o", strong, "_strong")
     first_weak = entries.filter("weak").groupBy("doc_id").agg(F.min(F.struct("_o", "title")).alias("_w"))
     joined = titled.join(first_weak, "doc_id", "left")
     weak = F.when(F.col("_w._o") <= F.col("_o"), F.col("_w.title"))
     named = joined.withColumn("title", F.coalesce("_strong", weak, F.lit(""))).filter(F.col("text").isNotNull())
-    numbered = running_sum(named, ["doc_id"], "_o", F.lit(1), "unit_idx", span=1 << 26)
+    numbered = running_sum(named, ["doc_id"], "_o", F.lit(1), "unit_idx")
     return numbered.select("doc_id", F.col("unit_idx").cast("int").alias("unit_idx"), "page_no", "text", "title")

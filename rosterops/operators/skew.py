@@ -100,6 +100,19 @@ def running_sum(
     )
 
 
+def dense_order(rows: DataFrame, keys: list[str], outer: str, inner: str, out: str) -> DataFrame:
+    """Numbers rows from 1 by ``(outer, inner)`` within ``keys``; both may hold any numbers.
+
+    The rows of one ``outer`` value (a page, a unit) are numbered in one window; the sizes
+    before it come from a running sum over one row per ``outer`` value.
+    """
+    within = Window.partitionBy(*keys, outer).orderBy(inner)
+    sizes = rows.groupBy(*keys, outer).agg(F.count(F.lit(1)).alias("_size"))
+    before = running_sum(sizes, keys, outer, F.col("_size"), "_upto").select(*keys, outer, (F.col("_upto") - F.col("_size")).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(within)).join(before, [*keys, outer])
+    return placed.withColumn(out, F.col("_before") + F.col("_place")).drop("_before", "_place")
+
+
 def with_halo(rows: DataFrame, order: str, ahead: int, span: int = SPAN) -> DataFrame:
     """Copy the first ``ahead`` rows of each span into the one before it.
 

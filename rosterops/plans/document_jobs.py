@@ -94,7 +94,7 @@ def _sources(spark, sf):
     b = _blocks(spark, sf).withColumn("block_id", F.concat_ws("-b", F.col("doc_id").cast("string"), F.col("block_idx").cast("string")))
     moved = F.col("doc_id") % 3 == 0
     return b, b.filter(F.length("text") >= 30).select(
-        (F.col("doc_id") * 100000 + F.col("block_idx")).alias("source_id"), "doc_id",
+        F.concat_ws("-", "doc_id", "block_idx").alias("source_id"), "doc_id",
         F.when(moved, "gone").otherwise(F.col("block_id")).alias("old_block_id"), F.when(moved, F.col("block_idx") + 1).otherwise(F.col("block_idx")).alias("block_idx"),
         F.lit(5).alias("s_start"), F.lit(25).alias("s_end"), F.substring("text", 6, 20).alias("text"), F.substring("text", 1, 5).alias("before_text"),
         F.lit("").alias("after_text"), F.substring("text", 6, 8).alias("keyword"))
@@ -124,7 +124,7 @@ def resolved_evidence(spark, sf):
 
 def highlight_segments(spark, sf):
     """Disjoint segments of every turn under three overlapping ranges."""
-    t = I.turns(spark, sf).select((F.col("doc_id") * 1000 + F.col("page_no")).alias("text_id"), "text")
+    t = I.turns(spark, sf).select(F.concat_ws("-", "doc_id", "page_no").alias("text_id"), "text")
     n = F.length("text")
     spans = F.array(*(F.struct(F.lit(i).cast("long").alias("range_id"), a.cast("int").alias("start"), b.cast("int").alias("end"))
                       for i, (a, b) in enumerate([(F.lit(-3), n / 2), (n / 3, n * 2), (F.lit(7), F.lit(40))])))
@@ -255,8 +255,13 @@ def item_lines(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Near copies: documents with the same first 40 characters, each against the first one."""
-    keyed = I.documents(spark, sf).select("doc_id", F.substring("text", 1, 40).alias("k"))
+    """Near copies: documents with the same smallest line hash, each against the first one.
+
+    Documents that share most of their lines of 12 characters or more mostly share the
+    smallest hash too, wherever the lines stand.
+    """
+    lines = I.lines_of(I.documents(spark, sf)).filter(F.length("text") >= 12)
+    keyed = lines.groupBy("doc_id").agg(F.min(F.md5("text")).alias("k"))
     firsts = keyed.groupBy("k").agg(F.min("doc_id").alias("my_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     from rosterops.operators.skew import attach
 

@@ -19,12 +19,12 @@ from rosterops.sources import text_blocks as T
 def text_cleaning(spark, sf):
     """cleaning, squeezing, word tests and safe names."""
     d = I.documents(spark, sf)
-    padded = F.concat(F.lit(" \t"), F.substring("text", 1, 200), F.lit("\n "))
+    padded = F.concat(F.lit(" \t"), F.col("text"), F.lit("\n "))
     return d.select(
         "doc_id", F.md5(X.clean(padded)).alias("cleaned"), F.md5(X.squeeze("text")).alias("squeezed"),
         F.length(X.strip_spaces("text")).alias("solid_chars"), X.is_null_word(F.lit(" N/A ")).alias("null_word"),
         X.is_true_word(F.col("lang")).alias("true_word"), X.has_value("text").alias("has_value"),
-        X.safe_name(F.concat("doc_name", F.lit("/:  "), F.substring("text", 1, 20))).alias("safe"),
+        X.safe_name(F.concat("doc_name", F.lit("/:  "), F.col("text"))).alias("safe"),
         X.sheet_name(F.concat("doc_name", F.lit("[a]"))).alias("sheet"))
 
 
@@ -163,8 +163,8 @@ def page_match_texts(spark, sf):
 
 def evidence_parts(spark, sf):
     """evidence segments of every benchmark passage and conversation turn."""
-    b = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.lit("item").alias("kind"), "text")
-    t = I.turns(spark, sf).select((F.col("doc_id") * 1000 + F.col("page_no")).alias("key"), F.lit("turn").alias("kind"), "text")
+    b = I.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.lit("item").alias("kind"), "text")
+    t = I.turns(spark, sf).select(F.concat_ws("-", "doc_id", "page_no").alias("key"), F.lit("turn").alias("kind"), "text")
     return b.unionByName(t).select("kind", "key", F.posexplode(evidence_segments(N.nfkc_lower("text"))).alias("seg_idx", "segment"))
 
 

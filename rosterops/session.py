@@ -28,12 +28,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only when the
-    session names none (tests, laptops) is a scratch folder set here.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only in local mode,
+    where driver and executors are one process, may a scratch folder stand in.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
