@@ -32,7 +32,6 @@ PATTERNS = {
 SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CONTEXT = 48  # characters on either side of a value
 SUPPORT, DISCLOSURE = 3, 0.8
-TERMS_BROADCAST = 200_000
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
@@ -109,11 +108,9 @@ def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int
     """``entity, term, ratio``: pairs past the disclosure threshold, from the whole corpus."""
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id", "h").alias("both"))
     pairs = stored(pairs.filter(F.col("contexts") >= support).drop("contexts"), "pii-pairs")
-    terms = pairs.select("term").distinct()
     words = F.array_distinct(F.filter(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    spread = pick(docs, text=text_col).select(F.explode(words).alias("term"))
-    counted = spread.join(F.broadcast(terms) if terms.count() <= TERMS_BROADCAST else terms, "term", "left_semi")
-    of_term = counted.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    # Counted before it is joined: a task passes on one row per word, however often it occurs.
+    of_term = pick(docs, text=text_col).select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     of_entity = found.filter("kind >= 0").groupBy(F.struct("kind", F.lower("value").alias("value")).alias("entity")).agg(F.countDistinct("doc_id", "h").alias("with_entity"))
     total = found.filter("kind = -1").agg(F.sum("copies").alias("n"))
     scored = pairs.join(of_term, "term").join(of_entity, "entity").join(F.broadcast(total))
