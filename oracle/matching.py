@@ -155,15 +155,21 @@ ORACLES = {
         else o_custkey || '|' || o_orderstatus end as cells from orders""",
     "first_result_matches": f"with {FIRST} select r.sequence, result_row from req r left join best using (employee_id, name, leave_type, leave_name, start_date)",
     "paired_results": f"""with {REQ}, k as (select *, row_number() over (partition by employee_id, leave_type, start_date order by sequence) as k from req),
-        a as (select employee_id, leave_type, start_date, sequence + 1 as result_row, row_number() over (partition by employee_id, leave_type, start_date order by sequence) as k from req where batch <> 'O')
+        a as (select employee_id, leave_type, start_date, sequence + 1 as result_row, row_number() over (partition by employee_id, leave_type, start_date order by sequence) as k from req where batch = 'P')
         select k.sequence, result_row from k left join a using (employee_id, leave_type, start_date, k)""",
+    "attempt_notes": f"""with {REQ}, t as (select sequence, sequence % 1000 as attempted, case batch when 'F' then 'remark' when 'P' then 'error ' || leave_name else batch end as note from req)
+        select attempted as sequence, arg_max(note, sequence) as note from t group by 1""",
     "request_outcomes": f"""with {FIRST}, clash as (select distinct employee_id, name, leave_type, start_date from req where batch = 'P' and sequence % 2 = 0),
         j as (select r.sequence, r.batch, b.result_row is not null as found, c.employee_id is not null as conflict from req r left join best b using (employee_id, name, leave_type, leave_name, start_date)
           left join clash c using (employee_id, name, leave_type, start_date))
         select sequence, case batch when 'P' then (case when conflict then '冲突' else '异常' end) when 'F' then (case when found then '成功' else '异常' end) else '失败' end as status from j""",
-    "audit_flags": f"""with {REQ} select sequence, '是' as id_matched, case when batch = 'F' then '否' else '是' end as name_matched, case when batch = 'P' then '否' else '是' end as date_matched,
-        case when batch = 'O' then '否' else '是' end as type_matched, case batch when 'F' then '结果姓名不匹配: 输入' || name || ', 页面别人' when 'P' then '结果结束日期不匹配: 输入' || start_date || ', 页面2030-01-01'
-          else '结果锁班类型不匹配: 输入' || leave_type || ', 页面ZZZ' end as problem, case when batch = 'F' then '否' else '是' end as page_name from req""",
+    "audit_flags": f"""with {REQ}, s as (select *, case when batch = 'F' then '别人' else name end as r_name, case when batch = 'P' then '2030-01-01' else '' end as r_end,
+          case when batch <> 'O' then '' when sequence % 2 = 0 then 'ZZZ' else leave_type || '-' || substr(leave_name, 3) end as r_type from req),
+        t as (select *, r_name = name as name_ok, r_end = '' or r_end = start_date as date_ok,
+          r_type = '' or split_part(r_type, '-', 1) = leave_type as type_ok from s)
+        select sequence, '是' as id_matched, case when name_ok then '是' else '否' end as name_matched, case when date_ok then '是' else '否' end as date_matched, case when type_ok then '是' else '否' end as type_matched,
+          case when not name_ok then '结果姓名不匹配: 输入' || name || ', 页面' || r_name when not date_ok then '结果结束日期不匹配: 输入' || start_date || ', 页面' || r_end
+            when not type_ok then '结果锁班类型不匹配: 输入' || leave_name || ', 页面' || r_type else '' end as problem, case when name_ok then '是' else '否' end as page_name from t""",
     "employee_rows": f"""with {REQ}, t as (select sequence as row_no, case when batch = 'F' then employee_id else name end || '/' || start_date as row_text from req where batch <> 'O'),
         k as (select distinct employee_id, name from req), m as (select employee_id, min(row_no) as matched_row from k, t where contains(row_text, employee_id) or contains(row_text, name) group by 1)
         select sequence, matched_row from req left join m using (employee_id)""",
@@ -191,7 +197,20 @@ ORACLES = {
         select position, 'C' || item_id as code, item_id % 3 <> 0 as enabled, coalesce(m.v, '') as manual, coalesce(a.v, '') as audit from p left join m on m.s = position left join a on a.s = position""",
 }
 
-# Blank result fields fit any request, so the k-th answer of an employee takes the k-th request that its day allows.
-ORACLES["partial_pairs"] = f"with {REQ} select employee_id, sequence, sequence as result_row from req where batch <> 'O'"
+# An employee's rows of one class and day are taken in order: a failed attempt for good removes its own request, one that may
+# be tried again does nothing, any other row takes the first waiting request of its type and day if its text holds the end day.
+# Recursion walks the rows of each employee and keeps the waiting list.
+ORACLES["partial_pairs"] = f"""with recursive {REQ}, r as (select *, batch = 'P' and (sequence % 7 = 0 or sequence % 11 = 0) as failed, sequence % 7 <> 0 as retryable,
+      row_number() over (partition by employee_id, batch order by sequence) as n from req where batch <> 'O'),
+    w as (select employee_id, batch, list({{'s': sequence, 't': leave_name, 'd': start_date}} order by sequence) as waiting from req group by 1, 2),
+    f(employee_id, batch, n, waiting, sequence, result_row, state) as (
+      select employee_id, batch, 0::bigint, waiting, null::bigint, null::bigint, null::varchar from w
+      union all
+      select f.employee_id, f.batch, r.n, list_filter(f.waiting, lambda x: x.s is distinct from
+          (case when r.failed then (case when not r.retryable then r.sequence end) when r.sequence % 2 = 0 then list_filter(f.waiting, lambda y: y.t = r.leave_name and y.d = r.start_date)[1].s end)),
+        case when r.failed then (case when not r.retryable then r.sequence end) when r.sequence % 2 = 0 then list_filter(f.waiting, lambda y: y.t = r.leave_name and y.d = r.start_date)[1].s end,
+        r.sequence, case when r.failed then 'failed' else 'matched' end
+      from f join r on r.employee_id = f.employee_id and r.batch = f.batch and r.n = f.n + 1)
+    select sequence, result_row, state from f where sequence is not null"""
 ORACLES["request_summary"] = f"""with o as ({ORACLES["request_outcomes"]}), i as ({ORACLES["request_intake"]})
     select count(*) as valid, count_if(status = '成功') as succeeded, count_if(status <> '成功') as failed, (select count(reason) from i) as input_errors from o"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rosterops.functions import text as X
 from rosterops.functions.dates import query_date_text, same_day_text
 from rosterops.operators.skew import attach, running_sum
+from rosterops.session import cut_lineage
+from rosterops.sources.intake import resolve_leave_type
 
 EMPTY_MARK = "没有相关信息"
 FIELDS = ["employee_id", "name", "leave_type", "start_date", "end_date"]
@@ -25,19 +27,37 @@ def whitelisted(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return attach(rows, listed, ["employee_id"], "_n", F.xxhash64(*rows.columns), how="left_semi", counts=sizes)
 
 
-def _present_or_in_text(value: Column, same: Column, wanted: Column) -> Column:
-    """A present result field must agree; an absent one must occur in the row text."""
-    return F.when(X.clean(value) != "", same).otherwise(F.contains(F.coalesce(F.col("r_row_text"), F.lit("")), wanted))
+def fits(asked, shown) -> Column:
+    """Does a result row stand for a request? Both arguments give a column by its name.
+
+    A result field that is there must agree; one that is blank must occur in the row text.
+    Names agree by their keys, days by value, leave types by the code that the shown text
+    stands for, or by the name where it stands for none.
+    """
+    def field(name, same, wanted):
+        return F.when(X.clean(shown(name)) != "", same).otherwise(F.contains(F.coalesce(shown("row_text"), F.lit("")), wanted))
+
+    same_type = F.when(X.clean(shown("k_type")) != "", asked("leave_type") == shown("k_type")).otherwise(
+        (asked("leave_name") != "") & F.contains(shown("leave_type"), asked("leave_name")))
+    return F.coalesce(
+        field("employee_id", asked("employee_id") == shown("employee_id"), asked("employee_id"))
+        & ((asked("k_name") == "") | field("name", asked("k_name") == shown("k_name"), asked("name")))
+        & field("leave_type", same_type, asked("leave_name"))
+        & field("start_date", asked("k_start") == shown("k_start"), asked("start_date"))
+        & field("end_date", asked("k_end") == shown("k_end"), asked("end_date")), F.lit(False))
 
 
 def row_matches() -> Column:
-    """All tests between request columns and ``r_`` prefixed result columns with their keys."""
-    c = F.col
-    name_ok = (c("k_name") == "") | _present_or_in_text(c("r_name"), c("k_name") == c("r_k_name"), c("name"))
-    type_ok = _present_or_in_text(c("r_leave_type"), c("leave_type") == c("r_leave_type"), c("leave_name"))
-    start_ok = _present_or_in_text(c("r_start_date"), c("k_start") == c("r_k_start"), c("start_date"))
-    end_ok = _present_or_in_text(c("r_end_date"), c("k_end") == c("r_k_end"), c("end_date"))
-    return F.coalesce(name_ok & type_ok & start_ok & end_ok, F.lit(False))
+    """``fits`` between request columns and ``r_`` prefixed result columns."""
+    return fits(F.col, lambda name: F.col(f"r_{name}"))
+
+
+def with_type_codes(results: DataFrame, leave_types: DataFrame | None) -> DataFrame:
+    """Adds ``k_type``, the leave code that a shown type stands for; a code stands for itself
+    where no dimension (``code, label``) is given."""
+    if leave_types is None:
+        return results.withColumn("k_type", X.clean("leave_type"))
+    return resolve_leave_type(results, "leave_type", leave_types, "k_type")
 
 
 def _with_keys(rows: DataFrame, prefix: str = "") -> DataFrame:
@@ -49,10 +69,10 @@ def _with_keys(rows: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def _prefixed(results: DataFrame) -> DataFrame:
-    return real_rows(results).select(*(F.col(c).alias(f"r_{c}") for c in results.columns))
+    return results.select(*(F.col(c).alias(f"r_{c}") for c in results.columns))
 
 
-def first_matches(requests: DataFrame, results: DataFrame) -> DataFrame:
+def first_matches(requests: DataFrame, results: DataFrame, leave_types: DataFrame | None = None) -> DataFrame:
     """First result row per request: equal ID, or the ID inside the text of a row without one.
 
     Both sides shrink to distinct field values first. Complete result rows meet requests
@@ -60,21 +80,22 @@ def first_matches(requests: DataFrame, results: DataFrame) -> DataFrame:
     the same span; incomplete ones meet on the ID. Rows without an ID offer every
     six-digit run of their text as a key, so they take a hash join too.
     """
-    r = _with_keys(_prefixed(results), "r_")
-    signature = ["r_employee_id", "r_name", "r_leave_type", "r_start_date", "r_end_date", "r_k_name", "r_k_start", "r_k_end"]
+    r = _with_keys(_prefixed(with_type_codes(real_rows(results), leave_types)), "r_")
+    signature = ["r_employee_id", "r_name", "r_leave_type", "r_k_type", "r_start_date", "r_end_date", "r_k_name", "r_k_start", "r_k_end"]
     numbered = r.filter(X.clean("r_employee_id") != "")
     first = F.min("r_row_no").alias("r_row_no")
-    whole = numbered.filter(_all_present()).groupBy("r_employee_id", "r_leave_type", "r_k_name", "r_k_start", "r_k_end").agg(first)
+    whole = numbered.filter(_all_present()).groupBy("r_employee_id", "r_k_type", "r_k_name", "r_k_start", "r_k_end").agg(first)
     partial = numbered.filter(~_all_present()).groupBy(*signature, "r_row_text").agg(first)
     inside = r.filter(X.clean("r_employee_id") == "").groupBy(*signature, "r_row_text").agg(first).withColumn(
-        "r_employee_id", F.explode(_id_windows("r_row_text")))
+        "r_key", F.explode(_id_windows("r_row_text")))
     fields = [*FIELDS, "leave_name"]
     asked = _with_keys(requests.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n")))
     c = F.col
-    exact = asked.join(whole, (c("employee_id") == c("r_employee_id")) & (c("leave_type") == c("r_leave_type"))
+    exact = asked.join(whole, (c("employee_id") == c("r_employee_id")) & (c("leave_type") == c("r_k_type"))
                        & (c("k_start") == c("r_k_start")) & (c("k_end") == c("r_k_end")))
     exact = exact.filter((c("k_name") == "") | (c("k_name") == c("r_k_name")))
-    loose = asked.join(partial.unionByName(inside), c("employee_id") == c("r_employee_id")).filter(row_matches())
+    offered = partial.withColumn("r_key", c("r_employee_id")).unionByName(inside)
+    loose = asked.join(offered, c("employee_id") == c("r_key")).filter(row_matches())
     hit = exact.select(*fields, "r_row_no").unionByName(loose.select(*fields, "r_row_no"))
     best = hit.groupBy(*fields).agg(F.min("r_row_no").alias("result_row"))
     sizes = requests.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n"))
@@ -83,7 +104,7 @@ def first_matches(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 def _all_present() -> Column:
     ok = F.lit(True)
-    for c in ("r_name", "r_leave_type", "r_start_date", "r_end_date"):
+    for c in ("r_name", "r_k_type", "r_start_date", "r_end_date"):
         ok = ok & (X.clean(c) != "")
     return ok
 
@@ -96,60 +117,99 @@ def _id_windows(text: str) -> Column:
     return F.array_distinct(F.flatten(windows))
 
 
-def pair_full_rows(requests: DataFrame, results: DataFrame) -> DataFrame:
+def pair_full_rows(requests: DataFrame, results: DataFrame, leave_types: DataFrame | None = None) -> DataFrame:
     """Each result row serves one request, in order, for rows with all five fields.
 
     Equal requests are interchangeable, so the k-th result of a field combination takes
-    its k-th request: two running counts and an equi-join. The counts scan in spans, so a
+    its k-th request: two running counts and an equi-join. Fields are equal by their keys:
+    name without notes, days by value, leave type by code. The counts scan in spans, so a
     combination with a third of all rows does not end up in one task.
     """
+    keys = ["employee_id", "k_name", "k_type", "k_start", "k_end"]
+
     def ranked(rows, order):
-        return running_sum(rows, FIELDS, order, F.lit(1), "_k")
+        return running_sum(_with_keys(rows), keys, order, F.lit(1), "_k")
 
-    shaped = requests.withColumns({"name": X.display_name_key("name")})
-    answers = real_rows(results).withColumns({"name": X.display_name_key("name")})
-    left, right = ranked(shaped, "sequence"), ranked(answers, "row_no").select(*FIELDS, "_k", F.col("row_no").alias("result_row"))
-    return left.join(right, [*FIELDS, "_k"], "left").drop("_k")
+    left = ranked(requests.withColumn("k_type", F.col("leave_type")), "sequence")
+    right = ranked(with_type_codes(real_rows(results), leave_types), "row_no").select(*keys, "_k", F.col("row_no").alias("result_row"))
+    return left.join(right, [*keys, "_k"], "left").drop("_k", "k_name", "k_type", "k_start", "k_end")
 
 
-def pair_partial_rows(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """Greedy pairing where result fields may be blank: one fold per employee and batch.
+def _circles(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """``batch, employee_id, circle``: employees of a batch whose results may meet.
 
-    A blank field matches anything, so the pairs of one employee depend on each other.
-    ``batch`` is the submission the rows belong to; a portal page bounds its size, and it
-    is part of the key, so an employee with any number of rows stays spread.
+    A row without an ID may stand for every employee named in its text, and a failed attempt
+    belongs to its own request. Labels sink to the smallest along such rows until none moves;
+    mostly every employee is a circle of one.
     """
-    tests, keys = ["name", "leave_type", "start_date", "end_date"], ["employee_id", "batch"]
-
-    def listed(rows, order, out):
-        shaped = rows.select(*keys, F.col(order).alias("no"), X.display_name_key("name").alias("name"),
-                             *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in tests[1:]))
-        return shaped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("no", *tests))).alias(out))
-
-    def fits(waiting, row):
-        ok = F.lit(True)
-        for t in tests:
-            ok = ok & ((row[t] == "") | (waiting[t] == "") | (row[t] == waiting[t]))
-        return ok
+    people = requests.select("batch", "employee_id").distinct()
+    several = results.filter((X.clean("employee_id") == "") & (F.size(_id_windows("row_text")) > 1))
+    named = requests.select("batch", "employee_id", F.col("name").alias("q_name"), X.display_name_key("name").alias("q_key")).distinct()
+    found = several.select("batch", "row_no", "row_text", X.display_name_key("name").alias("key"), F.explode(_id_windows("row_text")).alias("employee_id"))
+    same = (F.col("q_key") == "") | F.when(F.col("key") != "", F.col("key") == F.col("q_key")).otherwise(F.contains("row_text", F.col("q_name")))
+    links = found.join(named, ["batch", "employee_id"]).filter(same).select("batch", "row_no", "employee_id").distinct()
+    circles = people.withColumn("circle", F.col("employee_id"))
+    moved = not links.isEmpty()
+    while moved:
+        low = links.join(circles, ["batch", "employee_id"]).groupBy("batch", "row_no").agg(F.min("circle").alias("low"))
+        sunk = links.join(low, ["batch", "row_no"]).groupBy("batch", "employee_id").agg(F.min("low").alias("low"))
+        joined = cut_lineage(circles.join(sunk, ["batch", "employee_id"], "left").withColumn("low", F.coalesce("low", "circle")))
+        moved = not joined.filter("low < circle").isEmpty()
+        circles = joined.select("batch", "employee_id", F.col("low").alias("circle"))
+    return circles
+
+
+def pair_partial_rows(requests: DataFrame, results: DataFrame, leave_types: DataFrame | None = None) -> DataFrame:
+    """Results in their order each take the first waiting request they fit.
+
+    Returns ``sequence, result_row, state``: ``matched``, or ``failed`` for an attempt that ended
+    in an error or without a row and may not be tried again. Such an attempt takes its own
+    request (``attempted``) out of the pool at its turn; one that may be tried again leaves it
+    there. Optional result columns: ``attempted, failed, retryable``. The fold runs per circle of
+    employees that can meet in one ``batch``, the submission the rows belong to.
+    """
+    for name, kind in (("attempted", "long"), ("failed", "boolean"), ("retryable", "boolean")):
+        if name not in results.columns:
+            results = results.withColumn(name, F.lit(None).cast(kind))
+    results = results.withColumns({"failed": F.coalesce("failed", F.lit(False)), "retryable": F.coalesce("retryable", F.lit(False))})
+    usable = results.filter(F.col("failed")).unionByName(real_rows(results.filter(~F.col("failed"))))
+    circles = _circles(requests, usable)
+    keys = ["batch", "circle"]
+    fields = ["sequence", *FIELDS, "leave_name", "k_name", "k_start", "k_end"]
+    waiting = _with_keys(requests.join(circles, ["batch", "employee_id"])).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("waiting"))
+    owner = requests.select("batch", F.col("sequence").alias("attempted"), F.col("employee_id").alias("_own"))
+    coded = _with_keys(with_type_codes(usable, leave_types)).join(owner, ["batch", "attempted"], "left")
+    home = F.when(F.col("failed"), F.array("_own")).when(X.clean("employee_id") != "", F.array("employee_id")).otherwise(_id_windows("row_text"))
+    shown = ["row_no", "failed", "retryable", "attempted", *FIELDS, "k_type", "k_name", "k_start", "k_end", "row_text"]
+    placed = coded.withColumn("_home", F.explode(home)).join(circles.withColumnRenamed("employee_id", "_home"), ["batch", "_home"])
+    rows = placed.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct(*shown)))).alias("rows"))
 
     def step(state, row):
-        hit = F.get(F.filter(state["waiting"], lambda w: fits(w, row)), F.lit(0))["no"]
+        fit = F.filter(state["waiting"], lambda w: fits(lambda n: w[n], lambda n: row[n]))
+        gone = F.when(row["failed"], F.when(~row["retryable"], row["attempted"])).otherwise(F.get(fit, F.lit(0))["sequence"])
 
         def take(no):
-            pair = F.struct(no.alias("sequence"), row["no"].alias("result_row"))
-            return F.struct(F.filter(state["waiting"], lambda w: no.isNull() | (w["no"] != no)).alias("waiting"),
+            pair = F.struct(no.alias("sequence"), row["row_no"].alias("result_row"), F.when(row["failed"], "failed").otherwise("matched").alias("state"))
+            return F.struct(F.filter(state["waiting"], lambda w: no.isNull() | (w["sequence"] != no)).alias("waiting"),
                             F.when(no.isNull(), state["pairs"]).otherwise(F.concat(state["pairs"], F.array(pair))).alias("pairs"))
 
-        return X.bind(hit, take)
+        return X.bind(gone, take)
 
-    none = F.array().cast("array<struct<sequence:bigint,result_row:bigint>>")
-    both = listed(requests, "sequence", "waiting").join(listed(real_rows(results), "row_no", "rows"), keys)
+    none = F.array().cast("array<struct<sequence:bigint,result_row:bigint,state:string>>")
     start = F.struct(F.col("waiting"), none.alias("pairs"))
-    folded = both.select("employee_id", F.explode(F.aggregate("rows", start, step, lambda s: s["pairs"])).alias("p"))
-    return folded.select("employee_id", "p.sequence", "p.result_row")
+    both = waiting.join(rows, keys)
+    return both.select(F.explode(F.aggregate("rows", start, step, lambda s: s["pairs"])).alias("p")).select("p.*")
+
 
+def attempt_notes(results: DataFrame) -> DataFrame:
+    """``sequence, note``: what the last attempt for a request said. The first of remark, error,
+    row text and status that is not blank."""
+    said = F.coalesce(*(F.when(X.clean(c) != "", F.col(c)) for c in ("remark", "error", "row_text", "status")), F.lit(""))
+    return results.groupBy(F.col("attempted").alias("sequence")).agg(F.max_by(said, "row_no").alias("note"))
 
-def decide_status(requests: DataFrame, results: DataFrame, conflicts: DataFrame) -> DataFrame:
+
+def decide_status(requests: DataFrame, results: DataFrame, conflicts: DataFrame, leave_types: DataFrame | None = None) -> DataFrame:
     """Outcome per request out of its submission's result and conflict tables.
 
     Conflicts beat results; a conflict table that names somebody else is abnormal; an
@@ -159,8 +219,8 @@ def decide_status(requests: DataFrame, results: DataFrame, conflicts: DataFrame)
         empty = F.contains(F.coalesce("row_text", F.lit("")), F.lit(EMPTY_MARK))
         return rows.groupBy("batch").agg(F.count_if(~empty).alias(f"{prefix}_real"), F.count_if(empty).alias(f"{prefix}_none"))
 
-    matched = first_matches(requests, results)
-    clash = first_matches(requests, conflicts).select("sequence", F.col("result_row").alias("conflict_row"))
+    matched = first_matches(requests, results, leave_types)
+    clash = first_matches(requests, conflicts, leave_types).select("sequence", F.col("result_row").alias("conflict_row"))
     per_batch = counts(results, "res").join(counts(conflicts, "con"), "batch", "full_outer").na.fill(0)
     sizes = requests.groupBy("batch").agg(F.count(F.lit(1)).alias("_n")).join(per_batch, "batch", "left").na.fill(0)
     joined = attach(matched.join(clash, "sequence", "left"), sizes, ["batch"], "_n", F.col("sequence"))
@@ -178,7 +238,8 @@ def decide_status(requests: DataFrame, results: DataFrame, conflicts: DataFrame)
 def audit_flags(pairs: DataFrame) -> DataFrame:
     """Four yes/no columns of a request next to its result row (``r_`` columns).
 
-    A blank result field does not contradict the request.
+    A blank result field does not contradict the request. ``r_k_type`` is the code that the
+    shown leave type stands for (see ``with_type_codes``).
     """
     def yes(test):
         return F.when(F.coalesce(test, F.lit(False)), "是").otherwise("否")
@@ -191,10 +252,15 @@ def audit_flags(pairs: DataFrame) -> DataFrame:
         "name_matched": yes(X.names_agree("name", "r_name")),
         "date_matched": yes((blank("r_start_date") | same_day_text("start_date", "r_start_date"))
                             & (blank("r_end_date") | same_day_text("end_date", "r_end_date"))),
-        "type_matched": yes(blank("r_leave_type") | (F.col("leave_type") == F.col("r_leave_type"))),
+        "type_matched": yes(blank("r_leave_type") | _types_agree()),
     })
 
 
+def _types_agree() -> Column:
+    by_name = (F.col("leave_name") != "") & F.contains("r_leave_type", F.col("leave_name"))
+    return F.when(X.clean("r_k_type") != "", F.col("leave_type") == F.col("r_k_type")).otherwise(by_name)
+
+
 def page_name_flag(given, shown) -> Column:
     """Name verdict of a report row, which tells a missing input name apart."""
     same = X.compact_name_key(given) == X.compact_name_key(shown)
@@ -216,7 +282,7 @@ def identity_problem() -> Column:
         .when(clash("r_name", X.names_agree("name", "r_name")), words("姓名", "name", "r_name"))
         .when(clash("r_start_date", same_day_text("start_date", "r_start_date")), words("开始日期", "start_date", "r_start_date"))
         .when(clash("r_end_date", same_day_text("end_date", "r_end_date")), words("结束日期", "end_date", "r_end_date"))
-        .when(clash("r_leave_type", c("leave_type") == c("r_leave_type")), words("锁班类型", "leave_type", "r_leave_type"))
+        .when(clash("r_leave_type", _types_agree()), words("锁班类型", "leave_name", "r_leave_type"))
         .otherwise("")
     )
 

@@ -218,37 +218,62 @@ def _requests(spark, sf):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("end_date"), F.col("o_orderstatus").alias("batch"))
 
 
+def _leave_types(spark, sf):
+    """Leave codes with their labels."""
+    kinds = I.table(spark, sf, "orders").select(F.upper(F.substring("o_orderpriority", 3, 3)).alias("code"), F.lower("o_orderpriority").alias("name")).distinct()
+    return kinds.select("code", F.concat_ws("-", "code", F.regexp_replace("name", "^[0-9]-", "")).alias("label"))
+
+
 def _results(spark, sf, extra=0):
-    """Results of two thirds of the requests; those of class F leave fields to the row text."""
+    """Results of two thirds of the requests. Those of class F leave fields to the row text; of
+    the others every third shows the label instead of the code, another third a name only."""
     r = _requests(spark, sf).filter(F.col("batch") != "O")
     bare = F.col("batch") == "F"
     text = F.concat_ws(" ", "employee_id", "name", "leave_name", "start_date")
+    word = F.regexp_replace("leave_name", "^[0-9]-", "")
+    kind = F.when(F.col("sequence") % 3 == 0, F.concat_ws("-", "leave_type", word)).when(F.col("sequence") % 3 == 1, word).otherwise(F.col("leave_type"))
     return r.select(
         (F.col("sequence") + extra).alias("row_no"), F.when(bare, "").otherwise(F.col("employee_id")).alias("employee_id"),
-        F.when(bare, "").otherwise(F.concat(F.lower("name"), F.lit("（副）"))).alias("name"), F.when(bare, "").otherwise(F.col("leave_type")).alias("leave_type"),
+        F.when(bare, "").otherwise(F.concat(F.lower("name"), F.lit("（副）"))).alias("name"), F.when(bare, "").otherwise(kind).alias("leave_type"),
         F.when(bare, "").otherwise(F.regexp_replace("start_date", "-", "/")).alias("start_date"),
         F.when(bare, "").otherwise(F.regexp_replace("end_date", "-", "/")).alias("end_date"), text.alias("row_text"), "batch")
 
 
 def first_result_matches(spark, sf):
     """First result row of each request, by ID or by the row text."""
-    return Q.first_matches(_requests(spark, sf), _results(spark, sf)).select("sequence", "result_row")
+    return Q.first_matches(_requests(spark, sf), _results(spark, sf), _leave_types(spark, sf)).select("sequence", "result_row")
 
 
 def paired_results(spark, sf):
     """The k-th equal result takes the k-th equal request."""
-    r = _requests(spark, sf)
-    answers = r.filter(F.col("batch") != "O").withColumn("row_no", F.col("sequence") + 1).withColumn("row_text", F.lit(""))
-    return Q.pair_full_rows(r, answers.drop("sequence")).select("sequence", "result_row")
+    results = _results(spark, sf, 1).filter(F.col("batch") == "P")
+    return Q.pair_full_rows(_requests(spark, sf), results, _leave_types(spark, sf)).select("sequence", "result_row")
 
 
 def partial_pairs(spark, sf):
-    """Greedy pairs where result fields may be blank."""
+    """Results take the first waiting request they fit; fields are blank here and there.
+
+    Of class P every seventh attempt failed for good and every eleventh may be tried again.
+    A blank day stands in the text of even requests only, an ID in that of half of the F rows.
+    """
+    r = _requests(spark, sf)
+    seq, failed = F.col("sequence"), (F.col("batch") == "P") & ((F.col("sequence") % 7 == 0) | (F.col("sequence") % 11 == 0))
+    shown_id = (F.col("batch") == "P") | (seq % 4 < 2)
+    answers = r.filter(F.col("batch") != "O").select(
+        seq.alias("row_no"), seq.alias("attempted"), failed.alias("failed"), (seq % 7 != 0).alias("retryable"), "batch",
+        F.when(shown_id, F.col("employee_id")).otherwise("").alias("employee_id"), F.when(shown_id, "").otherwise(F.col("name")).alias("name"), F.lit("").alias("leave_type"),
+        F.regexp_replace("start_date", "-", "/").alias("start_date"), F.lit("").alias("end_date"),
+        F.concat_ws(" ", F.when(shown_id, F.col("name")), "leave_name", F.when(seq % 2 == 0, F.col("end_date")), F.when(~shown_id, F.col("employee_id"))).alias("row_text"))
+    return Q.pair_partial_rows(r, answers, _leave_types(spark, sf))
+
+
+def attempt_notes(spark, sf):
+    """What the last attempt for each request said."""
     r = _requests(spark, sf)
-    answers = r.filter(F.col("batch") != "O").withColumns({
-        "row_no": F.col("sequence"), "row_text": F.lit(""), "leave_type": F.lit(""), "name": F.lit(""),
-        "start_date": F.when(F.col("batch") == "P", F.col("start_date")).otherwise("")})
-    return Q.pair_partial_rows(r, answers)
+    tried = r.select(
+        F.col("sequence").alias("row_no"), (F.col("sequence") % 1000).alias("attempted"), F.when(F.col("batch") == "F", "remark").otherwise(" ").alias("remark"),
+        F.when(F.col("batch") == "P", F.concat(F.lit("error "), "leave_name")).alias("error"), F.lit("").alias("row_text"), F.col("batch").alias("status"))
+    return Q.attempt_notes(tried)
 
 
 def request_outcomes(spark, sf):
@@ -256,7 +281,7 @@ def request_outcomes(spark, sf):
     results = _results(spark, sf)
     conflicts = _results(spark, sf).filter(F.col("batch") == "P").filter(F.col("row_no") % 2 == 0).unionByName(
         results.filter(F.col("batch") == "F").withColumn("row_text", F.lit("没有相关信息")))
-    return Q.decide_status(_requests(spark, sf), results, conflicts).select("sequence", "status")
+    return Q.decide_status(_requests(spark, sf), results, conflicts, _leave_types(spark, sf)).select("sequence", "status")
 
 
 def request_summary(spark, sf):
@@ -270,7 +295,8 @@ def audit_flags(spark, sf):
     r = _requests(spark, sf)
     shown = r.select("sequence", F.col("employee_id").alias("r_employee_id"), F.when(F.col("batch") == "F", "别人").otherwise(F.col("name")).alias("r_name"),
                      F.regexp_replace("start_date", "-", "/").alias("r_start_date"), F.when(F.col("batch") == "P", "2030-01-01").otherwise("").alias("r_end_date"),
-                     F.when(F.col("batch") == "O", "ZZZ").otherwise("").alias("r_leave_type"))
+                     F.when(F.col("batch") == "O", F.when(F.col("sequence") % 2 == 0, "ZZZ").otherwise(F.concat_ws("-", "leave_type", F.regexp_replace("leave_name", "^[0-9]-", "")))).otherwise("").alias("r_leave_type"))
+    shown = Q.with_type_codes(shown.withColumnRenamed("r_leave_type", "leave_type"), _leave_types(spark, sf)).withColumnsRenamed({"leave_type": "r_leave_type", "k_type": "r_k_type"})
     pairs = Q.audit_flags(r.join(shown, "sequence")).withColumn("problem", Q.identity_problem())
     return pairs.select("sequence", "id_matched", "name_matched", "date_matched", "type_matched", "problem", Q.page_name_flag("name", "r_name").alias("page_name"))
 
@@ -402,6 +428,6 @@ QUERIES = {f.__name__: f for f in (
     reconcile_counts, reconcile_summary, reconcile_differences, reconcile_references, split_names_reconcile, key_union, nearest_date_match,
     nearest_date_wide, skipped_bills, proof_columns, proof_width, mentions_crosstab, mentions_lookup, first_positions, unmatched_cells, route_order,
     annotate_list, annotation_totals, structure_report, origin_summary, unrecognized_values, residual_people, dedupe_first, request_intake,
-    row_alignment, first_result_matches, paired_results, partial_pairs, request_outcomes, request_summary, audit_flags, employee_rows,
+    row_alignment, first_result_matches, paired_results, partial_pairs, attempt_notes, request_outcomes, request_summary, audit_flags, employee_rows,
     whitelist_join, merged_details, header_rows, bound_rows, missing_headers, sheet_roles, batch_validation, batch_gate, unique_file_names,
     evidence_import, field_configs)}

@@ -106,11 +106,27 @@ def test_structure_small(spark):
 
 
 def test_pairs_are_used_once(spark):
-    req = [(1, "000001", "A", "X", "2024-01-01", "2024-01-01", "b"), (2, "000001", "A", "Y", "2024-01-01", "2024-01-01", "b")]
-    asked = spark.createDataFrame(req, "sequence long, employee_id string, name string, leave_type string, start_date string, end_date string, batch string")
-    res = spark.createDataFrame([(10, "000001", "", "Y", "", "", "b", ""), (11, "000001", "a（注）", "", "2024-01-01", "", "b", ""), (12, "000001", "", "", "", "", "b", "")],
-                                "row_no long, employee_id string, name string, leave_type string, start_date string, end_date string, batch string, row_text string")
-    assert {(r["sequence"], r["result_row"]) for r in Q.pair_partial_rows(asked, res).collect()} == {(2, 10), (1, 11)}
+    fields = "sequence long, employee_id string, name string, leave_type string, leave_name string, start_date string, end_date string, batch string"
+    day = "2024-01-02"
+    req = [(1, "000001", "A", "X", "rest", day, day, "b"), (2, "000001", "A", "Y", "sick", day, day, "b"), (3, "000001", "A", "Y", "sick", day, day, "b"),
+           (4, "000002", "B", "X", "rest", day, day, "b"), (5, "000003", "", "X", "rest", day, day, "b")]
+    asked = spark.createDataFrame(req, fields)
+    types = spark.createDataFrame([("X", "X-rest"), ("Y", "Y-sick")], "code string, label string")
+    res = [
+        (10, "000001", "", "", "", "", "b", "", None, False, False),  # nothing but an ID, and no text: fits nobody
+        (11, "000001", "a（注）", "Y-sick", "2024/1/2", "2024/01/02", "b", "", None, False, False),  # a label, other forms of the day
+        (12, "", "", "rest", "", "", "b", f"000001 000002 A B rest {day}", None, False, False),  # fits 1 and 4: the first one takes it
+        (13, "000003", "", "", "", "", "b", "", 5, True, True),  # may be tried again: stays in the pool
+        (14, "", "", "X", day, day, "b", "no. 000003", None, False, False),
+        (15, "000001", "A", "Y", day, day, "b", "没有相关信息", None, False, False),
+        (16, "000002", "", "", "", "", "b", "", 4, True, False),  # failed for good
+        (17, "000002", "B", "X", day, day, "b", "", None, False, False),  # too late
+    ]
+    rows = spark.createDataFrame(res, "row_no long, employee_id string, name string, leave_type string, start_date string, end_date string, batch string, row_text string, attempted long, failed boolean, retryable boolean")
+    got = {(r["sequence"], r["result_row"], r["state"]) for r in Q.pair_partial_rows(asked, rows, types).collect()}
+    assert got == {(2, 11, "matched"), (1, 12, "matched"), (5, 14, "matched"), (4, 16, "failed")}
+    whole = Q.pair_full_rows(asked, rows.filter("row_no = 11"), types)
+    assert {(r["sequence"], r["result_row"]) for r in whole.collect()} == {(1, None), (2, 11), (3, None), (4, None), (5, None)}
 
 
 def test_form_names_and_gate(spark):
