@@ -128,6 +128,8 @@ ORACLES = {
     "proof_columns": f"with {nearest(2)} select bill_idx, status, 'u' || checkin_idx || '-3' as link1, 'u' || checkin_idx || '-7' as link2 from matched",
     "proof_width": "select 1 as columns",
     "mentions_crosstab": f"with {ROSTER} select name, lang, count(*) as mentions from hit group by 1, 2",
+    "mentions_wide": f"""with {ROSTER} select name, min(no) as roster_no, nullif(count_if(lang = 'de'), 0) as de, nullif(count_if(lang = 'en'), 0) as en, nullif(count_if(lang = 'es'), 0) as es,
+        nullif(count_if(lang = 'fr'), 0) as fr from hit group by 1""",
     "mentions_lookup": f"with {ROSTER} select doc_id, name, position from hit",
     "first_positions": f"with {ROSTER} select doc_id, string_agg(name, ' ' order by position, no, name) as names from hit group by 1",
     "unmatched_cells": f"with {ROSTER} select doc_id, substr(regexp_replace(text, '^\\s+', ''), 1, 50) as note from documents where doc_id not in (select doc_id from hit) and trim(text) <> ''",

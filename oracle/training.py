@@ -127,6 +127,10 @@ ORACLES = {
         left join board on board.status = s.status group by 1""",
     "project_matrix": f"""with {BOARD}, m as (select project, {BUCKETS}, count(*) as total from board where {SEEN} group by 1)
         select project, {ZEROS}, coalesce(total, 0) as total from rules left join m using (project)""",
+    "board_order": f"""with {BOARD} select project, employee_id, status, cast(coalesce(list_position(['已过期', '已过期已排补训', '必须排', '已排未覆盖', '推荐排', '异常', '正常'], status) - 1, 99) as int) as rank from board""",
+    "matrix_order": f"""with {BOARD}, m as (select project, {BUCKETS}, count(*) as total from board where {SEEN} group by 1),
+        z as (select project, {ZEROS}, coalesce(total, 0) as total from rules left join m using (project))
+        select project, cast(row_number() over (order by total desc, expired desc, expired_planned desc, must desc, uncovered desc, recommended desc, project) as int) as place from z""",
     "month_grid": f"""with {BOARD}, m as (select due_month, {BUCKETS} from board where {SEEN} group by 1)
         select d.due_month, {ZEROS} from (select '2002-' || lpad(i::varchar, 2, '0') as due_month from range(1, 13) t(i)) d left join m using (due_month)""",
     "person_risk": f"""with {BOARD} select employee_id as person, employee_id, min(name) as name, {BUCKETS}, count(*) as total,
@@ -181,6 +185,7 @@ ORACLES = {
         select s.start_date, s.end_date, person, row_no, project as only_in from s join b using (start_date, end_date)
         where not exists (select 1 from s o where o.start_date = s.start_date and o.end_date = s.end_date and o.person = s.person and o.project <> s.project)""",
     "duplicate_ids": f"with {TRAIN} select employee_id, count(*) as n, min(row_no) as first_row, max(row_no) as last_row from train where employee_id <> '' group by 1 having count(*) > 1",
+    "duplicate_id_rows": f"with {TRAIN}, k as (select employee_id, count(*) as n from train where employee_id <> '' group by 1 having count(*) > 1) select employee_id, row_no, n from train join k using (employee_id)",
     "id_integrity": f"""with {TRAIN} select project, count(*) as total, count_if(employee_id = '') as blank, count(nullif(employee_id, '')) - count(distinct nullif(employee_id, '')) as repeated,
         count_if(employee_id = '') = 0 and count(nullif(employee_id, '')) = count(distinct nullif(employee_id, '')) as valid from train group by 1""",
 }

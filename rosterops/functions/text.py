@@ -260,8 +260,9 @@ def excerpt(text, needle, radius: int = 90) -> Column:
     return F.when((key == "") | (position == 0), whole).otherwise(hit)
 
 
-def char_grams(text, size: int) -> Column:
-    """Distinct character runs of one length, none when the text is shorter.
+def char_grams(text, size: int, distinct: bool = True) -> Column:
+    """Distinct character runs of one length, none when the text is shorter. Without ``distinct``
+    every run stays, at the place where it starts.
 
     The text becomes a character array once; cutting runs out of the string itself would
     walk it from the start for every run.
@@ -273,7 +274,8 @@ def char_grams(text, size: int) -> Column:
             return F.array_join(F.slice(chars, i + 1, F.lit(size)), "")
 
         last = F.size(chars) - size
-        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run)))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run)
+        return F.when(last >= 0, F.array_distinct(runs) if distinct else runs)
 
     whole = bind(F.split(_c(text), ""), cut)
     return F.coalesce(F.when(_c(text) != "", whole), F.array().cast("array<string>"))

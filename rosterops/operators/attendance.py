@@ -138,6 +138,14 @@ def duplicate_keys(rows: DataFrame, key: str, order: str = "row_no") -> DataFram
     ).filter(F.col("n") > 1)
 
 
+def duplicate_rows_of(rows: DataFrame, key: str) -> DataFrame:
+    """All rows of keys that occur more than once, with the number ``n`` of them. A list of any
+    length stays rows; heavy keys are spread."""
+    keyed = rows.withColumn(key, clean(key)).filter(F.col(key) != "")
+    sizes = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return attach(keyed, sizes, [key], "n", F.xxhash64(*rows.columns), how="inner")
+
+
 def id_integrity(sets: DataFrame, group: str, key: str) -> DataFrame:
     """Per set: size, blank IDs, surplus of repeated IDs and the verdict.
 

@@ -121,8 +121,13 @@ def status_board(
     return known.unionByName(unreadable)
 
 
+def with_status_rank(board: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of the status in the order of urgency."""
+    return board.withColumn("rank", R.status_rank(F.col("status")))
+
+
 def sort_board(board: DataFrame) -> DataFrame:
-    return board.orderBy(R.status_rank(F.col("status")), "due_date", "project", "name")
+    return with_status_rank(board).orderBy("rank", "due_date", "project", "name").drop("rank")
 
 
 def filter_board(
@@ -166,9 +171,14 @@ def project_matrix(board: DataFrame, known: DataFrame | None = None) -> DataFram
     return counts.na.fill(0)
 
 
-def sort_matrix(matrix: DataFrame) -> DataFrame:
+def ranked_matrix(matrix: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1: the projects with most to do first. A row per project is ordered."""
     order = ["total", "expired", "expired_planned", "must", "uncovered", "recommended"]
-    return matrix.orderBy(*(F.col(c).desc() for c in order), "project")
+    return matrix.withColumn("place", F.row_number().over(Window.orderBy(*(F.col(c).desc() for c in order), "project")))
+
+
+def sort_matrix(matrix: DataFrame) -> DataFrame:
+    return ranked_matrix(matrix).orderBy("place").drop("place")
 
 
 def month_grid(board: DataFrame, year: int) -> DataFrame:
@@ -198,8 +208,10 @@ def sort_risk(risk: DataFrame) -> DataFrame:
     return risk.orderBy(*(F.col(c).desc() for c in R.VISIBLE.values()), "nearest_due", "name")
 
 
-def top_rows(board: DataFrame, size: int = 80) -> DataFrame:
-    """First rows per project and status, with the true total of each group.
+def top_rows(board: DataFrame, size: int | None = None) -> DataFrame:
+    """Rows ranked per project and status, with the true total of each group.
+
+    ``size`` keeps the first rows of each group only; without it all stay.
 
     The rank is a top-k, which Spark cuts down before the shuffle; the total comes from a
     separate count, so no group is gathered whole.
@@ -207,7 +219,8 @@ def top_rows(board: DataFrame, size: int = 80) -> DataFrame:
     seen = board.filter(R.is_visible(F.col("status")))
     totals = seen.groupBy("project", "status").agg(F.count(F.lit(1)).alias("total"))
     order = Window.partitionBy("project", "status").orderBy("due_date", "name", "employee_id")
-    top = seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    ranked = seen.withColumn("rank", F.row_number().over(order))
+    top = ranked if size is None else ranked.filter(F.col("rank") <= size)
     return top.join(F.broadcast(totals), ["project", "status"])
 
 

@@ -55,11 +55,11 @@ def header_issues(headers: DataFrame, area: str, required: list[str], suggested:
 
 
 def people_issues(people: DataFrame) -> DataFrame:
-    """Rows without ID and name, and IDs that occur more than once."""
+    """Rows without ID and name, and every row of an ID that occurs more than once."""
     area = "人员信息表"
     blank = people.filter((clean("employee_id") == "") & (clean("name") == ""))
-    twice = A.duplicate_keys(people, "employee_id")
-    rows = text("行号：", F.col("first_row"), " 至 ", F.col("last_row"), "，共 ", F.col("n"), " 行")
+    twice = A.duplicate_rows_of(people, "employee_id")
+    rows = text("行号：", F.col("row_no"))
     return _issue(blank, "warning", area, text("第", F.col("row_no"), "行缺少员工号和姓名。")).unionByName(
         _issue(twice, "warning", area, text("员工号 ", F.col("employee_id"), " 重复出现。"), rows))
 
@@ -105,18 +105,16 @@ def project_issues(training: DataFrame, expiry_projects: DataFrame) -> DataFrame
 
 
 def mismatch_issues(training: DataFrame, left: str = "航空安保", right: str = "TSA") -> DataFrame:
-    """Sessions whose lists differ, with the head count on either side only."""
+    """Sessions whose lists differ, an issue for every person on one side only."""
     lone = A.roster_mismatch(training, left, right)
-    per = lone.groupBy("start_date", "end_date").agg(
-        F.count_if(F.col("only_in") == left).alias("l"), F.count_if(F.col("only_in") == right).alias("r"))
     span = F.when(F.col("start_date") == F.col("end_date"), date_text("start_date")).otherwise(
         text(date_text("start_date"), " 至 ", date_text("end_date")))
-    detail = text("仅", left, "：", F.col("l"), " 人；仅", right, "：", F.col("r"), " 人")
-    return _issue(per, "warning", "安保 / TSA 名单", F.concat(span, F.lit(" 名单不一致。")), detail)
+    detail = text("仅", F.col("only_in"), "：", F.col("label"))
+    return _issue(lone, "warning", "安保 / TSA 名单", F.concat(span, F.lit(" 名单不一致。")), detail)
 
 
 def attendance_issues(marked: DataFrame, records: DataFrame, year: int) -> DataFrame:
-    """Summary of the yearly check, unrecognised roles, double bookings with eight samples."""
+    """Summary of the yearly check, unrecognised roles, every double booking."""
     stats = marked.agg(F.count(F.lit(1)).alias("q"), F.count_if("attended").alias("a"))
     base = _issue(stats, "info", "CRM", F.lit(f"{year} 年 CRM 核对可生成。"), text(
         "应参加 ", F.col("q"), " 人，已参加 ", F.col("a"), " 人，未参加 ", F.col("q") - F.col("a"), " 人。"))
@@ -124,10 +122,9 @@ def attendance_issues(marked: DataFrame, records: DataFrame, year: int) -> DataF
     odd = _issue(strange, "warning", "CRM", text("有 ", F.col("n"), " 名 CRM 应参加人员技术等级未识别。"))
     twice = A.duplicate_bookings(records)
     total = twice.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    shown = twice.orderBy(F.desc("bookings"), "name", "person").limit(8).agg(F.array_join(F.array_sort(F.collect_list(
-        text(F.col("name"), "：", F.col("bookings"), " 次"))), "；").alias("d")).scalar()
-    booked = _issue(total, "warning", "CRM", text(f"{year} 年 CRM 有 ", F.col("n"), " 人重复安排。"), shown)
-    return base.unionByName(odd).unionByName(booked)
+    booked = _issue(total, "warning", "CRM", text(f"{year} 年 CRM 有 ", F.col("n"), " 人重复安排。"))
+    people = _issue(twice, "warning", "CRM", F.lit(f"{year} 年 CRM 重复安排。"), text(F.col("name"), "：", F.col("bookings"), " 次"))
+    return base.unionByName(odd).unionByName(booked).unionByName(people)
 
 
 def sheet_issues(sheets: DataFrame, used: DataFrame) -> DataFrame:

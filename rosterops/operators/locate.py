@@ -102,7 +102,7 @@ def score_windows(targets: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumns({"coverage": coverage, "order_ratio": ratio}).select(
         "target_id", "doc_id", "start_page", (F.col("start_page") + F.col("k")).alias("end_page"), "coverage", "order_ratio",
         F.greatest(F.lit(0.0), F.col("coverage") * 0.78 + F.col("order_ratio") * 0.22 - penalty).alias("score"),
-        "matched_segments", "total_segments", F.transform(F.slice("found", 1, 5), lambda x: x["segment"]).alias("snippets"))
+        "matched_segments", "total_segments", F.transform("found", lambda x: x["segment"]).alias("snippets"))
 
 
 def locate(targets: DataFrame, pages: DataFrame) -> DataFrame:

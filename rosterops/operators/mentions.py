@@ -46,10 +46,11 @@ def mentions_by_lookup(cells: DataFrame, names: DataFrame, text: str, keep: list
     lengths = sorted(r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect())
     body = F.coalesce(F.col(text), F.lit(""))
 
-    cut = F.flatten(F.array(*(char_grams(body, n) for n in lengths)))
-    parts = cells.select(*keep, body.alias("_body"), F.explode(cut).alias("name"))
-    hits = parts.select(*keep, "_body", "name").join(names, "name")
-    return hits.withColumn("position", F.instr("_body", F.col("name"))).drop("_body")
+    # Only the cell's key, the place and the substring are spread; the body stays behind.
+    places = [F.transform(char_grams(body, n, distinct=False), lambda part, at: F.struct((at + 1).alias("position"), part.alias("name"))) for n in lengths]
+    parts = cells.select(*keep, F.explode(F.flatten(F.array(*places))).alias("p")).select(*keep, "p.position", "p.name")
+    first = parts.join(names.select("name"), "name", "left_semi").groupBy(*keep, "name").agg(F.min("position").alias("position"))
+    return first.join(names, "name").select(*keep, "name", "roster_no", "copies", "position")
 
 
 def names_in_text_order(hits: DataFrame, key: list[str]) -> DataFrame:
@@ -76,10 +77,11 @@ def route_order(cells: DataFrame, route: str) -> DataFrame:
     return cells.filter(clean(route) != "").groupBy(route).agg(F.min("row_no").alias("first_row"))
 
 
-def unmatched_cells(cells: DataFrame, hits: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Non-blank cells that name nobody, text cut to 50 characters for the note."""
+def unmatched_cells(cells: DataFrame, hits: DataFrame, key: list[str], text: str, note_chars: int | None = None) -> DataFrame:
+    """Non-blank cells that name nobody, with their text as a note, cut to ``note_chars`` if given."""
     left = cells.filter(clean(text) != "").join(hits.select(*key).distinct(), key, "left_anti")
-    return left.withColumn("note", F.substring(clean(text), 1, 50))
+    whole = clean(text)
+    return left.withColumn("note", whole if note_chars is None else F.substring(whole, 1, note_chars))
 
 
 # Attention categories with priority and short label.

@@ -20,7 +20,10 @@ def candidate_blocks(blocks: DataFrame, items: DataFrame) -> DataFrame:
     ``blocks``: doc_id, block_idx, text. ``items``: item_id, keyword. A block that holds
     the keyword holds all its grams, so this is the gram test and its verification in
     one. A one-character keyword counts only when some block is exactly that character.
+    Items with ``enabled`` false are not searched; a missing mark counts as true.
     """
+    if "enabled" in items.columns:
+        items = items.filter(F.coalesce("enabled", F.lit(True)))
     asked = items.filter(X.clean("keyword") != "").withColumn("loose_key", loose_text("keyword")).filter(F.col("loose_key") != "")
     indexed = blocks.withColumn("loose", loose_text("text"))
     single = F.length("loose_key") == 1

@@ -84,12 +84,9 @@ def _by_rarest_gram(n, t, needle, text, needle_keys, text_keys) -> DataFrame:
     rarest = word_grams.join(spread, "_g", "left").groupBy("_w").agg(
         F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_g").alias("g"))).alias("p"))
     pivots = rarest.filter("p.df > 0").select("_w", F.col("p.g").alias("_g"))
-    if few:
-        carried = t.withColumn("_g", F.explode(cut))
-        hits = carried.join(F.broadcast(pivots), "_g").filter(F.contains(F.col(text), F.col("_w"))).drop("_g")
-    else:
-        pairs = text_grams.join(pivots, "_g").select(*text_keys, "_w").distinct()
-        hits = pairs.join(t, text_keys).filter(F.contains(F.col(text), F.col("_w")))
+    # Rows spread by gram carry no text; it is fetched by key for the candidates.
+    pairs = text_grams.join(hint(pivots), "_g").select(*text_keys, "_w").distinct()
+    hits = pairs.join(t, text_keys).filter(F.contains(F.col(text), F.col("_w")))
     return hits.join(n, hits["_w"] == n[needle]).drop("_w")
 
 

@@ -118,6 +118,12 @@ def mentions_crosstab(spark, sf):
     return M.crosstab(hits, "lang").select("name", "lang", "mentions")
 
 
+def mentions_wide(spark, sf):
+    """A1: the crosstab with a column per language; a blank stands for zero."""
+    hits = M.mentions(I.documents(spark, sf), _roster(spark, sf), "text", ["doc_id", "lang"])
+    return M.crosstab_wide(M.crosstab(hits, "lang"), "lang", ["de", "en", "es", "fr"])
+
+
 def mentions_lookup(spark, sf):
     """J3 by substring lookup, the way for large rosters."""
     d = I.documents(spark, sf)
@@ -135,7 +141,7 @@ def unmatched_cells(spark, sf):
     """A2: documents that mention nobody, with a short note."""
     d = I.documents(spark, sf)
     hits = M.mentions(d, _roster(spark, sf), "text", ["doc_id"])
-    return M.unmatched_cells(d, hits, ["doc_id"], "text").select("doc_id", "note")
+    return M.unmatched_cells(d, hits, ["doc_id"], "text", note_chars=50).select("doc_id", "note")
 
 
 def route_order(spark, sf):
@@ -426,7 +432,7 @@ def field_configs(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     reconcile_counts, reconcile_summary, reconcile_differences, reconcile_references, split_names_reconcile, key_union, nearest_date_match,
-    nearest_date_wide, skipped_bills, proof_columns, proof_width, mentions_crosstab, mentions_lookup, first_positions, unmatched_cells, route_order,
+    nearest_date_wide, skipped_bills, proof_columns, proof_width, mentions_crosstab, mentions_wide, mentions_lookup, first_positions, unmatched_cells, route_order,
     annotate_list, annotation_totals, structure_report, origin_summary, unrecognized_values, residual_people, dedupe_first, request_intake,
     row_alignment, first_result_matches, paired_results, partial_pairs, attempt_notes, request_outcomes, request_summary, audit_flags, employee_rows,
     whitelist_join, merged_details, header_rows, bound_rows, missing_headers, sheet_roles, batch_validation, batch_gate, unique_file_names,

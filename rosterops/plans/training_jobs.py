@@ -77,6 +77,16 @@ def project_matrix(spark, sf):
     return C.project_matrix(_board(spark, sf), R.rule_table(spark))
 
 
+def matrix_order(spark, sf):
+    """A4: place of each project in the report."""
+    return C.ranked_matrix(project_matrix(spark, sf)).select("project", "place")
+
+
+def board_order(spark, sf):
+    """Rank of each board row's status."""
+    return C.with_status_rank(_board(spark, sf)).select("project", "employee_id", "status", "rank")
+
+
 def month_grid(spark, sf):
     """Twelve months of due rows."""
     return C.month_grid(_board(spark, sf), 2002)
@@ -89,7 +99,7 @@ def person_risk(spark, sf):
 
 def top_rows(spark, sf):
     """First 80 rows per project and status, with the true total."""
-    return C.top_rows(_board(spark, sf)).select("project", "status", "rank", "total", "due_date", "name", "employee_id")
+    return C.top_rows(_board(spark, sf), 80).select("project", "status", "rank", "total", "due_date", "name", "employee_id")
 
 
 def board_facets(spark, sf):
@@ -222,6 +232,11 @@ def duplicate_ids(spark, sf):
     return A.duplicate_keys(I.training(spark, sf), "employee_id")
 
 
+def duplicate_id_rows(spark, sf):
+    """Every record of an ID that is on more than one."""
+    return A.duplicate_rows_of(I.training(spark, sf), "employee_id").select("employee_id", "row_no", "n")
+
+
 def id_integrity(spark, sf):
     """Per project, whether every ID is present and unique."""
     return A.id_integrity(I.training(spark, sf), "project", "employee_id")
@@ -245,7 +260,7 @@ def workbook_health(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    record_policies, rule_outcomes, stage_states, status_board, board_filter, status_cards, project_matrix, month_grid, person_risk, top_rows,
+    record_policies, rule_outcomes, stage_states, status_board, board_filter, status_cards, project_matrix, matrix_order, board_order, month_grid, person_risk, top_rows,
     board_facets, worst_tones, scheduled_distribution, schedule_filter, selected_rows, yearly_training, pending_defaults, pending_sessions, common_months, what_if_board,
     renewal_run, renewal_counts, updated_people, resolved_people, attendance, attendance_by_month, attendance_by_role, duplicate_bookings,
-    duplicate_rows, roster_mismatch, duplicate_ids, id_integrity, workbook_health)}
+    duplicate_rows, roster_mismatch, duplicate_ids, duplicate_id_rows, id_integrity, workbook_health)}

@@ -68,10 +68,10 @@ def missing_headers(headers: DataFrame, required: list[str], sheets: DataFrame)
 
 
 def require_headers(headers: DataFrame, required: list[str], sheets: DataFrame, label: str) -> None:
-    """Raise with the first few missing headers."""
-    lost = missing_headers(headers, required, sheets).limit(20).collect()
+    """Raise with the missing headers; there are at most ``len(required)``."""
+    lost = missing_headers(headers, required, sheets).select("header").distinct().collect()
     if lost:
-        names = "、".join(sorted({r["header"] for r in lost}))
+        names = "、".join(sorted(r["header"] for r in lost))
         raise ValueError(f"{label}缺少必要表头：{names}。")
 
 
