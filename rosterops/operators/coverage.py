@@ -69,8 +69,8 @@ def status_board(
     people = people.filter(F.col("old").isNotNull() | ~is_null_word("raw_expiry"))
 
     dated = R.with_rules(people.filter(F.col("old").isNotNull()).select(
-        "project", "employee_id", "name", "old", F.col("row_no").alias("person_row")))
-    rule, old, day = R.Rule.of_columns(), F.col("old"), F.col("train_date")
+        "project", "employee_id", "name", "old", F.col("row_no").alias("person_row")), old="old")
+    rule, old, day = R.Rule.of_columns(window=True), F.col("old"), F.col("train_date")
     matched = same_person(dated, _days(training))
     covers = F.col("active") & R.plan_covers(rule, day, old)
     facts = matched.groupBy("project", "person_row").agg(
@@ -78,7 +78,7 @@ def status_board(
         _earliest(F.col("active")).alias("plan"),
         _earliest(covers).alias("cover"),
     )
-    readable = R.with_rules(people.filter(F.col("old").isNotNull())).withColumnRenamed("row_no", "person_row")
+    readable = R.with_rules(people.filter(F.col("old").isNotNull()), old="old").withColumnRenamed("row_no", "person_row")
     board = readable.join(facts, ["project", "person_row"], "left").withColumns({
         "need": R.scheduling_need(rule, start, end, old), "due": R.due_date(rule, old),
     })

@@ -29,6 +29,7 @@ PROJECT_RULES = [
 ]
 
 RULE_COLUMNS = ["rule_kind", "months", "flex", "end_offset", "month_end"]
+WINDOW = ["window_from", "window_to"]
 RULE_SCHEMA = "project string, rule_kind string, months int, flex int, end_offset int, month_end boolean"
 
 # The status words of the board, in rank order, and their column names.
@@ -69,9 +70,18 @@ def canonical_project(rows: DataFrame, raw: Column, out: str = "project") -> Dat
     return joined.withColumn(out, F.coalesce("canonical", "_alias")).drop("_alias", "alias", "canonical")
 
 
-def with_rules(rows: DataFrame, project: str = "project") -> DataFrame:
-    """Inner join with the eight-row dimension."""
-    return rows.join(F.broadcast(rule_table(rows.sparkSession).withColumnRenamed("project", project)), project)
+def with_rules(rows: DataFrame, project: str = "project", old: str | None = None) -> DataFrame:
+    """Inner join with the eight-row dimension.
+
+    With ``old``, the window of that expiry is computed once, as the columns ``WINDOW``, and a
+    rule taken with ``Rule.of_columns(window=True)`` reads it instead of building it anew in
+    every expression. Such a rule serves that expiry only.
+    """
+    ruled = rows.join(F.broadcast(rule_table(rows.sparkSession).withColumnRenamed("project", project)), project)
+    if old is None:
+        return ruled
+    rule = Rule.of_columns()
+    return ruled.withColumns(dict(zip(WINDOW, (window_start(rule, F.col(old)), window_end(rule, F.col(old))))))
 
 
 @dataclass(frozen=True)
@@ -83,10 +93,11 @@ class Rule:
     flex: Column
     end_offset: Column
     month_end: Column
+    window: tuple[Column, Column] | None = None
 
     @classmethod
-    def of_columns(cls) -> "Rule":
-        return cls(*(F.col(c) for c in RULE_COLUMNS))
+    def of_columns(cls, window: bool = False) -> "Rule":
+        return cls(*(F.col(c) for c in RULE_COLUMNS), tuple(F.col(c) for c in WINDOW) if window else None)
 
     @classmethod
     def named(cls, project: str) -> "Rule":
@@ -109,6 +120,8 @@ def base_month_expiry(date: Column, months: Column) -> Column:
 
 
 def window_start(rule: Rule, old: Column) -> Column:
+    if rule.window is not None:
+        return rule.window[0]
     base = first_of_month(F.add_months(old, -1))
     return (
         F.when(rule.kind == "base", F.add_months(base, -rule.flex))
@@ -117,6 +130,8 @@ def window_start(rule: Rule, old: Column) -> Column:
 
 
 def window_end(rule: Rule, old: Column) -> Column:
+    if rule.window is not None:
+        return rule.window[1]
     base = first_of_month(F.add_months(old, -1))
     return (
         F.when(rule.kind == "base", F.last_day(F.add_months(base, rule.flex)))

@@ -36,8 +36,8 @@ def rule_outcomes(spark, sf):
     o = I.table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     old = F.when(F.col("o_totalprice") > 30000, F.date_add("day", (F.col("o_totalprice") % 400).cast("int") - 200))
     aliased = F.when(F.col("o_orderpriority") == "2-HIGH", "DGET-危险品培训").otherwise(I.project_of(F.col("o_orderpriority")))
-    rows = R.with_rules(R.canonical_project(o.withColumn("old", old), aliased))
-    rule, day, was, today = R.Rule.of_columns(), F.col("day"), F.col("old"), F.lit(RENEWAL_DAY).cast("date")
+    rows = R.with_rules(R.canonical_project(o.withColumn("old", old), aliased), old="old")
+    rule, day, was, today = R.Rule.of_columns(window=True), F.col("day"), F.col("old"), F.lit(RENEWAL_DAY).cast("date")
     new = R.new_expiry(rule, day, was)
     return rows.select(
         "o_orderkey", "project", R.window_start(rule, was).alias("win_start"), R.window_end(rule, was).alias("win_end"),
@@ -48,8 +48,8 @@ def rule_outcomes(spark, sf):
 def stage_states(spark, sf):
     """Point status, stage status, urgency and need of each expiry."""
     o = I.table(spark, sf, "orders")
-    rows = R.with_rules(o.select("o_orderkey", I.project_of(F.col("o_orderpriority")).alias("project"), F.col("o_orderdate").cast("date").alias("old")))
-    rule, was = R.Rule.of_columns(), F.col("old")
+    rows = R.with_rules(o.select("o_orderkey", I.project_of(F.col("o_orderpriority")).alias("project"), F.col("o_orderdate").cast("date").alias("old")), old="old")
+    rule, was = R.Rule.of_columns(window=True), F.col("old")
     start, end = F.lit("1998-03-01").cast("date"), F.lit("1998-04-30").cast("date")
     stage = R.stage_status(rule, start, end, was)
     rank = R.urgency_rank(rule, start, end, was, stage)
