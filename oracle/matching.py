@@ -177,6 +177,11 @@ ORACLES = {
         select sequence, matched_row from req left join m using (employee_id)""",
     "whitelist_join": "select o_orderkey as sequence, lpad(o_custkey::varchar, 6, '0') as employee_id from orders where o_custkey in (select c_custkey from customer where c_acctbal > 5000)",
     "merged_details": "select 'supplier' as kind, s_suppkey as key, s_acctbal as balance, null as segment from supplier union all select 'customer', c_custkey, null, c_mktsegment from customer",
+    "loop_fields": """with f as (select n_name as name, case when n_regionkey = 2 then 'shared' else n_name end as sheet from nation where n_nationkey % 3 = 0),
+        c as (select case when c_custkey % 5 = 0 then 'shared' else n_name end as sheet, c_name as sub_name from customer join nation on n_nationkey = c_nationkey)
+        select name as loop, sub_name from f join c using (sheet)""",
+    "non_blank_rows": "select o_orderkey from orders where o_orderstatus <> 'F' or o_totalprice > 100000",
+    "reject_reasons": """select o_orderkey as line_no, case when o_orderkey % 5 = 0 then '未识别员工号' when o_orderkey % 3 = 0 then '未识别请假类型' when o_orderstatus = 'P' then '未识别日期' end as reason from orders""",
     "header_rows": f"with {BOOK} select workbook, sheet, 3 as header_row, 3 as loose_row from sheets",
     "bound_rows": f"with {BOOK} select workbook, sheet, c_custkey + 4 as row_no, c_custkey::varchar as employee_id, c_name as name, case when c_acctbal < 0 then '' else '项目' end as project from rows_",
     "missing_headers": f"with {BOOK} select workbook, sheet, '备注' as header, 2 as col_no, 9 as fallback_col from sheets",

@@ -173,6 +173,7 @@ ORACLES = {
         select row_no, case when match_error is not null then null when nn = 1 then nr when nn > 1 then br else pr end as person_row,
           case when match_error is not null then null when nn = 1 then '姓名' when nn > 1 then '姓名 + 员工号' else '员工号二次验证' end as matched_by, match_error from e""",
     "attendance": f"with {ATTEND} select row_no, employee_id, name, first_day is not null as attended, first_day from att",
+    "participation": f"with {ATTEND} select case when first_day is null then 'missing' else 'attended' end as kind, count(*) as people from att group by 1",
     "attendance_by_month": f"with {ATTEND} select cast(m as int) as month, count(att.row_no) as people from range(0, 13) t(m) left join att on coalesce(month(first_day), 0) = m group by 1",
     "attendance_by_role": f"""with {ATTEND}, r as (select case when contains(tech, '教员') then '教员' when contains(tech, '机长') then '机长' when contains(tech, '副驾驶') then '副驾驶' else '未识别' end as role, first_day from att)
         select role, count(first_day) + count_if(first_day is null) as required, count(first_day) as attended, count_if(first_day is null) as missing, count(first_day) / count(*) as rate from r group by 1""",

@@ -22,11 +22,6 @@ def clean(col) -> Column:
     return F.btrim(F.coalesce(_c(col).cast("string"), F.lit("")), F.lit(_BLANKS))
 
 
-def clean_lower(col) -> Column:
-    """Case-insensitive match key of a name."""
-    return F.lower(clean(col))
-
-
 def squeeze(col) -> Column:
     """Every whitespace run, no-break spaces included, becomes one space."""
     return F.regexp_replace(clean(col), rf"(?U){_SPACE}+", " ")

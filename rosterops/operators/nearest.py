@@ -100,7 +100,3 @@ def link_columns(with_proofs: DataFrame, width: int) -> DataFrame:
 def pick_columns(matches: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """User-picked output columns, right side prefixed."""
     return matches.select(*left, *(F.col(c).alias(f"checkin_{c}") for c in right))
-
-
-def day_distance(left: Column, right: Column) -> Column:
-    return F.abs(F.datediff(left, right))

@@ -396,13 +396,6 @@ def highlight_segments(texts: DataFrame, ranges: DataFrame) -> DataFrame:
                        active.alias("active"))
 
 
-def context_window(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
-    """Text around a 0-based range with flags for cut sides."""
-    low, high = F.greatest(start - before, F.lit(0)), F.least(end + after, F.length(text))
-    return F.struct(F.substring(text, low + 1, high - low).alias("text"), low.alias("offset"),
-                    (low > 0).alias("cut_start"), (high < F.length(text)).alias("cut_end"))
-
-
 def block_windows(hits: DataFrame, blocks: DataFrame, target: int) -> DataFrame:
     """Text of about ``target`` characters around a hit, across block edges.
 

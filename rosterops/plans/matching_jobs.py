@@ -430,8 +430,36 @@ def field_configs(spark, sf):
     return packages.parse_fields(config).select("name", "label", "type", "required", "rows")
 
 
+def loop_fields(spark, sf):
+    """Sub-fields of loop fields, from the named sheet or that of the field's own name."""
+    n = I.table(spark, sf, "nation")
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "loop").otherwise("text")
+    fields = n.select(F.col("n_name").alias("name"), kind.alias("type"), F.when(F.col("n_regionkey") == 2, "shared").otherwise("").alias("sub_sheet"))
+    c = I.table(spark, sf, "customer").join(F.broadcast(n.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    sheet = F.when(F.col("c_custkey") % 5 == 0, "shared").otherwise(F.col("n_name"))
+    return packages.loop_fields(fields, c.select(sheet.alias("sheet"), F.col("c_name").alias("sub_name")))
+
+
+def non_blank_rows(spark, sf):
+    """Rows with at least one filled cell."""
+    o = I.table(spark, sf, "orders")
+    cells = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "  ").otherwise(F.col("o_custkey").cast("string")).alias("甲"), F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority")).alias("乙 栏"))
+    return V.non_blank_rows(cells, ["甲", "乙 栏"]).select("o_orderkey")
+
+
+def reject_reasons(spark, sf):
+    """Pasted lines that cannot be read, with the first reason."""
+    o = I.table(spark, sf, "orders")
+    six = F.when(F.col("o_orderkey") % 5 != 0, F.lpad((F.col("o_custkey") % 1000000).cast("string"), 6, "0")).otherwise("x")
+    day = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon")
+    word = F.when(F.col("o_orderkey") % 3 != 0, F.upper(F.substring("o_orderpriority", 3, 3))).otherwise("?")
+    lines = o.select(F.col("o_orderkey").alias("line_no"), F.concat_ws(" ", six, word, day).alias("line"))
+    good, bad = intake.split_rejects(intake.parse_pasted(lines, "line", _leave_types(spark, sf)), intake.pasted_reason())
+    return good.select("line_no", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("line_no", "reason"))
+
+
 QUERIES = {f.__name__: f for f in (
-    reconcile_counts, reconcile_summary, reconcile_differences, reconcile_references, split_names_reconcile, key_union, nearest_date_match,
+    loop_fields, non_blank_rows, reject_reasons, reconcile_counts, reconcile_summary, reconcile_differences, reconcile_references, split_names_reconcile, key_union, nearest_date_match,
     nearest_date_wide, skipped_bills, proof_columns, proof_width, mentions_crosstab, mentions_wide, mentions_lookup, first_positions, unmatched_cells, route_order,
     annotate_list, annotation_totals, structure_report, origin_summary, unrecognized_values, residual_people, dedupe_first, request_intake,
     row_alignment, first_result_matches, paired_results, partial_pairs, attempt_notes, request_outcomes, request_summary, audit_flags, employee_rows,

@@ -201,6 +201,11 @@ def attendance(spark, sf):
     return _attendance(spark, sf)[0].select("row_no", "employee_id", "name", "attended", "first_day")
 
 
+def participation(spark, sf):
+    """A10: people who attended in the year and people who did not."""
+    return A.participation(_attendance(spark, sf)[0])
+
+
 def attendance_by_month(spark, sf):
     """First attendances per month and the missing bucket."""
     return A.attendance_by_month(_attendance(spark, sf)[0])
@@ -262,5 +267,5 @@ def workbook_health(spark, sf):
 QUERIES = {f.__name__: f for f in (
     record_policies, rule_outcomes, stage_states, status_board, board_filter, status_cards, project_matrix, matrix_order, board_order, month_grid, person_risk, top_rows,
     board_facets, worst_tones, scheduled_distribution, schedule_filter, selected_rows, yearly_training, pending_defaults, pending_sessions, common_months, what_if_board,
-    renewal_run, renewal_counts, updated_people, resolved_people, attendance, attendance_by_month, attendance_by_role, duplicate_bookings,
+    renewal_run, renewal_counts, updated_people, resolved_people, attendance, participation, attendance_by_month, attendance_by_role, duplicate_bookings,
     duplicate_rows, roster_mismatch, duplicate_ids, duplicate_id_rows, id_integrity, workbook_health)}

@@ -92,6 +92,19 @@ def test_sentences():
     assert len(packed) > 1 and "".join(packed) == "这是一个很长的句子片段内容，" * 30
 
 
+def test_common_places_are_as_many_as_can_be():
+    rnd = random.Random(5)
+    for _ in range(60):
+        a, b = ("".join(rnd.choices("abc", k=rnd.randrange(12))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        found = list(common_places(a, b))
+        assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
 def test_diff_keeps_both_texts():
     for a, b in (("飞行部20次", "各单位24次"), ("", "x"), ("same", "same"), ("a" * 900, "a" * 450 + "b" * 450)):
         d = diff(a, b)
