@@ -1,9 +1,10 @@
 """Building blocks that keep one hot key from becoming one hot task.
 
-``attach`` joins rows back to a table with one row per key. The heaviest keys, at most
-``HOT_KEYS`` of them by a top-k, may be broadcast; rows of those keys are spread over
-``slots`` partitions and the matching row is copied that often. Every other key takes
-the plain shuffle join. The list only steers the spread, it never decides a result.
+``attach`` joins rows back to a table with one row per key. A key of more than ``HOT_ROWS`` rows
+gets a slot for every ``HOT_ROWS`` of them: its rows are spread over the slots, and the matching
+row is copied that often. Every other key takes the plain shuffle join. The list of hot keys
+is broadcast; there are at most ``rows / HOT_ROWS`` of them. It only steers the spread, it
+never decides a result.
 
 ``running_last`` and ``running_sum`` scan an ordered group in two levels: inside fixed
 spans of the order column, then over one summary row per span. A group of a billion rows
@@ -15,19 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS, HOT_ROWS = 256, 100_000
-SLOTS = 32
+HOT_ROWS = 100_000
 SPAN = 4096
 
 
+def _slots(n: str) -> Column:
+    return F.ceil(F.col(n) / HOT_ROWS).cast("int")
+
+
 def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """The heaviest keys: more than ``HOT_ROWS`` rows each, ``HOT_KEYS`` at most."""
-    return counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
+    """Keys of more than ``HOT_ROWS`` rows with their number of slots."""
+    return counts.filter(F.col(n) > HOT_ROWS).select(*keys, _slots(n).alias("_slots"))
 
 
 def attach(
     rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, spread: Column,
-    how: str = "left", slots: int = SLOTS, counts: DataFrame | None = None,
+    how: str = "left", counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``per_key`` (one row per key).
 
@@ -35,14 +39,14 @@ def attach(
     ``per_key``.
     """
     hot = F.broadcast(hot_keys(per_key if counts is None else counts, keys, n))
-    slot = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(slots)).cast("int")).otherwise(0)
-    salted = rows.join(hot, keys, "left").withColumn("_slot", slot).drop("_hot")
-    every, one = F.sequence(F.lit(0), F.lit(slots - 1)), F.array(F.lit(0))
+    slot = F.pmod(F.xxhash64(spread), F.coalesce("_slots", F.lit(1))).cast("int")
+    salted = rows.join(hot, keys, "left").withColumn("_slot", F.when(F.col("_slots").isNull(), 0).otherwise(slot)).drop("_slots")
     if counts is None:
-        heavy, marked = F.col(n) > HOT_ROWS, per_key
+        marked = per_key.withColumn("_slots", F.greatest(_slots(n), F.lit(1)))
     else:
-        heavy, marked = F.col("_hot"), per_key.join(hot, keys, "left")
-    copied = marked.withColumn("_slot", F.explode(F.when(heavy, every).otherwise(one))).drop("_hot")
+        marked = per_key.join(hot, keys, "left")
+    every = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
+    copied = marked.withColumn("_slot", F.explode(every)).drop("_slots")
     return salted.join(copied, [*keys, "_slot"], how).drop("_slot")
 
 

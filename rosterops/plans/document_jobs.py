@@ -289,12 +289,18 @@ def comparison_slices(spark, sf):
     return s.select("pair_id", "side", "idx", "unit_idx", F.md5("norm").alias("norm"), F.array_join("tokens", " ").alias("tokens"))
 
 
-_STORED: dict[tuple[str, str], dict] = {}
+_STORED: dict[tuple, dict] = {}
+
+
+def _version(spark, sf):
+    """Files of the documents with their times: rewritten data has another version."""
+    files = I.table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+    return files.agg(F.count("*"), F.max("file_modification_time"), F.sum(F.xxhash64("file_path", "file_modification_time") % (1 << 40))).first()
 
 
 def _compared(spark, sf):
-    """The comparison of all pairs, stored once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The comparison of all pairs, stored once per application and version of the data."""
+    key = (spark.sparkContext.applicationId, sf, *_version(spark, sf))
     if key not in _STORED:
         units = cut_lineage(_units(spark, sf))
         result = C.compare_manuals(units)

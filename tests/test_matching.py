@@ -105,6 +105,20 @@ def test_structure_small(spark):
     assert {(r["kind"], r["value"]) for r in S.unrecognized(df).collect()} == {("tech", "地勤"), ("origin", "外")}
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    from rosterops.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k % 4 if k < 30 else None, k) for k in range(33)] + [(9, 99)], "key int, no int")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "key int, word string")
+    for how in ("left", "inner", "left_semi"):
+        want = sorted(map(str, rows.join(known, "key", how).select("no").collect()))
+        assert sorted(map(str, skew.attach(rows, known, ["key"], "n", F.col("no"), how=how, counts=counts).select("no").collect())) == want
+    sized = counts.filter("key is not null").withColumn("word", F.col("key").cast("string"))
+    assert skew.attach(rows, sized, ["key"], "n", F.col("no")).filter("word = key").count() == 31
+
+
 def test_pairs_are_used_once(spark):
     fields = "sequence long, employee_id string, name string, leave_type string, leave_name string, start_date string, end_date string, batch string"
     day = "2024-01-02"
