@@ -23,17 +23,25 @@ def pick(rows: DataFrame, **columns: str) -> DataFrame:
     or clash with an operator's own columns do no harm. An exact name goes before one that
     differs in case; the first of equal names is taken.
     """
+    plain, places = by_place(rows, *columns.values())
+    return plain.select(*[F.col(place).alias(out) for out, place in zip(columns, places, strict=True)])
+
+
+def by_place(rows: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` with columns named by their place, and the new names of the ``wanted`` ones.
+
+    ``toDF(*rows.columns)`` gives the old names back.
+    """
     names = rows.columns
-    plain = rows.toDF(*[f"c{i}" for i in range(len(names))])
 
-    def place(name: str) -> int:
+    def place(name: str) -> str:
         exact = [i for i, n in enumerate(names) if n == name]
         loose = [i for i, n in enumerate(names) if n.lower() == name.lower()]
         if not exact + loose:
             raise ValueError(f"no column {name!r} among {names}")
-        return (exact + loose)[0]
+        return f"c{(exact + loose)[0]}"
 
-    return plain.select(*[F.col(f"c{place(name)}").alias(out) for out, name in columns.items()])
+    return rows.toDF(*[f"c{i}" for i in range(len(names))]), [place(name) for name in wanted]
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,9 +109,9 @@ def annotate(docs: DataFrame, judge: Callable[[list[str]], list[tuple]], fields:
     """``docs`` with columns that ``judge`` derives from batches of whole texts; the other
     columns pass through untouched. Null texts are judged as empty ones."""
     names = docs.columns
-    place = names.index(text_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    plain = plain.withColumn(f"c{place}", F.col(f"c{place}").cast("string"))
+    plain, [text] = by_place(docs, text_col)
+    place = plain.columns.index(text)
+    plain = plain.withColumn(text, F.col(text).cast("string"))
     more = arrow_of(docs.sparkSession.createDataFrame([], fields))
     schema = pa.schema([*arrow_of(plain), *more])
     layout = T.StructType([*plain.schema, *docs.sparkSession.createDataFrame([], fields).schema])
@@ -118,9 +126,10 @@ def annotate(docs: DataFrame, judge: Callable[[list[str]], list[tuple]], fields:
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` but for the rows whose id and text hash are in ``gone`` (``doc_id, h``)."""
-    listed = gone.select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text_hash(F.col(text_col)) == F.col("_gone_h"))
-    return docs.join(listed, same, "left_anti")
+    plain, [doc_id, text] = by_place(docs, id_col, text_col)
+    listed = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("gone_id")) & (text_hash(F.col(text)) == F.col("gone_h"))
+    return plain.join(listed, same, "left_anti").toDF(*docs.columns)
 
 
 def text_hash(text: Column) -> Column:

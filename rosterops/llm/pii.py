@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import pick, stored, text_hash, texts_of
+from rosterops.llm.frames import by_place, pick, stored, text_hash, texts_of
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 # Fixed patterns. Possessive repeats and the look-behinds keep long runs linear: a match that
@@ -154,17 +154,18 @@ def sanitise(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
     Spans that overlap are joined under the kind of the first. Texts without a span, and null
     ones, stay as they are and are not shuffled unless they have a sign of personal data.
     """
+    plain, [doc_id, text_name] = by_place(docs, id_col, text_col)
     real = spans.filter("kind >= 0")
     before = Window.partitionBy("doc_id", "h").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     apart = real.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0))).filter(F.col("end") > F.col("from"))
     cuts = apart.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "from", "end", "kind"))).alias("s"))
-    cuts = cuts.select(F.col("doc_id").alias("_pii_id"), F.col("h").alias("_pii_h"), F.col("s").alias("_pii_s"))
-    text = F.col(text_col)
+    cuts = cuts.select(F.col("doc_id").alias("pii_id"), F.col("h").alias("pii_h"), F.col("s").alias("pii_s"))
+    text = F.col(text_name)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     piece = lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring(text, (s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.get(names, s["kind"]))).otherwise("")
-    tail = F.substring(text, (F.element_at("_pii_s", -1)["end"] + 1).cast("int"), F.length(text))
-    clean = F.concat(F.array_join(F.transform("_pii_s", piece), ""), tail)
+    tail = F.substring(text, (F.element_at("pii_s", -1)["end"] + 1).cast("int"), F.length(text))
+    clean = F.concat(F.array_join(F.transform("pii_s", piece), ""), tail)
     maybe = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    joined = docs.filter(maybe).join(cuts, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (text_hash(text) == F.col("_pii_h")), "left")
-    changed = joined.withColumn(text_col, F.when(F.col("_pii_s").isNull(), text).otherwise(clean)).select(*docs.columns)
-    return docs.filter(~maybe).union(changed)
+    joined = plain.filter(maybe).join(cuts, F.col(doc_id).eqNullSafe(F.col("pii_id")) & (text_hash(text) == F.col("pii_h")), "left")
+    changed = joined.withColumn(text_name, F.when(F.col("pii_s").isNull(), text).otherwise(clean)).select(*plain.columns)
+    return plain.filter(~maybe).union(changed).toDF(*docs.columns)

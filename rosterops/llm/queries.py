@@ -40,7 +40,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     return langid.identify(pick(docs, doc_id="doc_id", text="text"), language_model(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -70,7 +70,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.statistics(table(spark, sf_dir, "documents"))
-    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     known = quality.labelled(stats.filter(~held_out), table(spark, sf_dir, "labels"))
     scored = stats.select("doc_id", held_out.alias("held_out"), quality.fit(known).score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

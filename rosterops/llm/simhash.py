@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import arrow_of, batch_of, size_blocks, stored, table_rows, text_hash, texts_of, without
+from rosterops.llm.frames import arrow_of, batch_of, by_place, size_blocks, stored, table_rows, text_hash, texts_of, without
 
 SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = 6
@@ -282,7 +282,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     others = judged.filter("not keep").select("doc_id", "h")
     if repeated.isEmpty():
         return without(docs, others, id_col, text_col)
-    listed = repeated.select(F.col("doc_id").alias("_again_id"), F.col("h").alias("_again_h"))
-    same = F.col(id_col).eqNullSafe(F.col("_again_id")) & (text_hash(F.col(text_col)) == F.col("_again_h"))
-    once = docs.join(listed, same, "left_semi").dropDuplicates([id_col, text_col])
-    return without(docs, others.union(repeated), id_col, text_col).union(once)
+    plain, [doc_id, text] = by_place(docs, id_col, text_col)
+    listed = repeated.select(F.col("doc_id").alias("again_id"), F.col("h").alias("again_h"))
+    same = F.col(doc_id).eqNullSafe(F.col("again_id")) & (text_hash(F.col(text)) == F.col("again_h"))
+    once = plain.join(listed, same, "left_semi").dropDuplicates([doc_id, text])
+    return without(plain, others.union(repeated), doc_id, text).union(once).toDF(*docs.columns)

@@ -66,7 +66,7 @@ def test_decontamination_against_all_windows(spark, shard, block):
     items = [(f"i{k}", make(random.choice([1, 2, 3, 5, 8, 12]))) for k in range(12)] + [("i0", "x y z q r"), ("none", None), ("empty", ""), ("marks", "?!"), (None, "x y z q")]
     items.append(items[3])
     texts = [make(random.randrange(40)) for _ in range(25)] + [None, "", "...", "x Y z q r x y Z q", "ÉCOLE é"]
-    docs = spark.createDataFrame([(k if k % 7 else None, t, k, "m") for k, t in enumerate(texts)], "doc_id long, text string, k int, MATCHES string")
+    docs = spark.createDataFrame([(k if k % 7 else None, t, k, "m") for k, t in enumerate(texts)], "doc_id long, text string, k int, m string").toDF("doc_id", "text", "k", "TEXT")
     bench = spark.createDataFrame(items, "item_id string, text string")
     found = decontam.leak_report(decontam.find_leaks(docs, bench, window=4, shard_words=shard, block_bytes=block)).collect()
     got = sorted((r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found)

@@ -74,12 +74,13 @@ def test_fingerprint_of_odd_texts():
 def test_groups_of_documents(spark):
     base = " ".join(f"w{k}" for k in range(400))
     rows = [(9, base), (4, base), (7, base + " tail"), (2, "quite another text with words of its own"), (None, ""), (5, None), (6, ""), (4, base), (2, "one more text under the same id here")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("FP", F.lit(1)).withColumn("root", F.lit("r"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.select("*", F.lit(1), F.lit("r"), F.lit("y"), F.lit(0)).toDF("doc_id", "text", "FP", "root", "TEXT", "DOC_ID")
     found = simhash.near_duplicates(docs)
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in found.collect()) == [(0, 5), (2, 2), (2, 2), (4, 4), (4, 4), (5, 5), (6, 5), (7, 4), (9, 4)]
     left = simhash.keep_one(docs)
     assert left.columns == docs.columns
-    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([(2, rows[3][1]), (2, rows[8][1]), (4, base), (5, None)], key=lambda x: (x[0], x[1] or ""))
+    assert sorted((r[0], r[1]) for r in left.collect()) == sorted([(2, rows[3][1]), (2, rows[8][1]), (4, base), (5, None)], key=lambda x: (x[0], x[1] or ""))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
@@ -135,10 +136,10 @@ def test_terms_that_disclose_a_value(spark):
 
 def test_personal_data_is_cut_out_whole(spark):
     texts = [(1, "call +1 (415) 555-2671 or 10.0.0.1, a@b.c"), (2, None), (3, "no data 5"), (None, "x a@b.c"), (1, "call +1 (415) 555-2671 or 10.0.0.1, a@b.c"), (4, "+10.0.0.1 00 9 tail")]
-    docs = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, h int")
+    docs = spark.createDataFrame([(*t, 1, "o", 0) for t in texts], "doc_id long, text string, h int, other string, n int").toDF("doc_id", "text", "h", "Text", "doc_ID")
     clean = pii.sanitise(docs, pii.find(docs))
     assert clean.columns == docs.columns
-    assert sorted(str(r["text"]) for r in clean.collect()) == sorted(["call [PHONE] or [IP], [EMAIL]"] * 2 + ["None", "no data 5", "x [EMAIL]", "[PHONE] tail"])
+    assert sorted(str(r[1]) for r in clean.collect()) == sorted(["call [PHONE] or [IP], [EMAIL]"] * 2 + ["None", "no data 5", "x [EMAIL]", "[PHONE] tail"])
     assert pii.report(pii.find(docs.limit(0))).count() == 0
 
 

@@ -37,7 +37,7 @@ ROWS = [(3, "Some words, and more."), (1, None), (2, ""), (None, "no id"), (3, "
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
-    return rows.withColumn("IDS", F.lit(1)).withColumn("start", F.lit("x")).withColumn("TEXT", F.lit("y"))
+    return rows.select("*", F.lit(1), F.lit("x"), F.lit("y")).toDF("doc_id", "text", "IDS", "start", "TEXT")
 
 
 def test_packing_cuts_without_gap_or_loss(spark, docs):
