@@ -23,12 +23,13 @@ from rosterops.llm.frames import annotate, kept, pick, restored
 
 ROWS = 64  # labelled rows per language
 ROW_CHARS = 3_000  # characters used of each of them
-CHARS, ALL_CHARS = 24_000, 400_000  # characters per language, and of all languages together
+CHARS, ALL_CHARS = 24_000, 200_000  # characters per language, and of all languages together
+ALPHABET = 256  # most frequent letters told apart; others count as never seen
 STRIP = 512
 BATCH_CHARS = 1 << 20
 UNKNOWN = "und"
 BREAK, UNSEEN, PAD = 0, 1, 2
-_FLAG = np.int64(1) << 62
+_FLAG = 1 << 30
 
 
 def letter_table() -> np.ndarray:
@@ -90,21 +91,24 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
         rows = {name: [letters_of(text) for text in samples[name]] for name in self.languages}
-        seen = np.unique(np.concatenate([r for some in rows.values() for r in some] or [np.zeros(0, np.int32)]))
-        self.alphabet = seen[seen != 0]
+        seen, counts = np.unique(np.concatenate([r for some in rows.values() for r in some] or [np.zeros(0, np.int32)]), return_counts=True)
+        counts[seen == 0] = 0
+        top = np.argsort(-counts, kind="stable")[:ALPHABET]
+        self.alphabet = np.sort(seen[top[counts[top] > 0]])
         self.width = len(self.alphabet) + 3
         parts, roots, weights, base = [], [], [], 0
         for name in self.languages:
             codes = [BREAK]
             for row in rows[name]:
-                codes += [*self.code(row).tolist(), BREAK]
+                code = self.code(row)
+                codes += [*np.where(code == UNSEEN, PAD, code).tolist(), BREAK]  # a rare letter parts what is around it
             edges = automaton(codes)
             dead = (base + len(edges)) * self.width  # behind a sign that never occurs, which is a phrase of its own
-            part = np.full((len(edges) + 1, self.width), -1, np.int64)
+            part = np.full((len(edges) + 1, self.width), -1, np.int32)
             for state, out in enumerate(edges):
                 for code, target in out.items():
                     part[state, code] = (base + target) * self.width
-            first = np.where(part[0] < 0, dead, part[0])
+            first = np.where(part[0] < 0, dead, part[0]).astype(np.int32)
             missing = part < 0
             part[missing] = np.broadcast_to(first | _FLAG, part.shape)[missing]
             part[0] = first
@@ -113,8 +117,8 @@ class Model:
             roots.append(base * self.width)
             weights.append(math.log2(len(codes) + 1))
             base += len(edges) + 1
-        self.table = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.int64)
-        self.roots, self.weights = np.array(roots, np.int64), np.array(weights)
+        self.table = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.int32)
+        self.roots, self.weights = np.array(roots, np.int32), np.array(weights)
 
     def code(self, letters: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(self.alphabet, letters), max(len(self.alphabet) - 1, 0))
@@ -124,17 +128,17 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (of codes) by language: a row per text."""
         strips = [max(1, -(-len(t) // STRIP)) for t in texts]
-        lanes = np.full((sum(strips), STRIP), PAD, np.int64)
+        lanes = np.full((sum(strips), STRIP), PAD, np.int32)
         flat, at = lanes.reshape(-1), 0
         for text, n in zip(texts, strips, strict=True):
             flat[at * STRIP : at * STRIP + len(text)] = text
             at += n
         steps = np.ascontiguousarray(lanes.T)
         state = np.repeat(self.roots[:, None], len(lanes), axis=1)
-        count = np.ones(state.shape, np.int64)
+        count = np.ones(state.shape, np.int32)
         for codes in steps:
             state = self.table.take(state + codes)
-            count += state >> 62
+            count += state >> 30
             state &= _FLAG - 1
         return np.add.reduceat(count, np.cumsum([0, *strips[:-1]]), axis=1).T
 

@@ -112,8 +112,8 @@ def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int
     # Counted before it is joined: a task passes on one row per word, however often it occurs.
     of_term = pick(docs, text=text_col).select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     of_entity = found.filter("kind >= 0").groupBy(F.struct("kind", F.lower("value").alias("value")).alias("entity")).agg(F.countDistinct("doc_id", "h").alias("with_entity"))
-    total = found.filter("kind = -1").agg(F.sum("copies").alias("n"))
-    scored = pairs.join(of_term, "term").join(of_entity, "entity").join(F.broadcast(total))
+    total = found.filter("kind = -1").agg(F.sum("copies")).scalar()
+    scored = pairs.join(of_term, "term").join(of_entity, "entity").withColumn("n", total)
     content = F.log2(F.col("n") / F.col("with_entity"))
     reveals = F.log2(F.col("both") * F.col("n") / (F.col("with_term") * F.col("with_entity")))
     return scored.select("entity", "term", (reveals / content).alias("ratio")).filter(F.col("ratio") >= disclosure)

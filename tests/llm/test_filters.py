@@ -107,6 +107,13 @@ def test_phrases_against_greedy_search():
         assert row.tolist() == [greedy(clean, flat[name]) for name in model.languages]
 
 
+def test_rare_letters_part_phrases(monkeypatch):
+    monkeypatch.setattr(langid, "ALPHABET", 2)
+    model = langid.Model({"x": ["ababab aqb"]})
+    codes = [model.code(langid.letters_of(t)) for t in ("abab", "aqb", "azb")]
+    assert len(model.alphabet) == 2 and model.phrases(codes).ravel().tolist() == [1, 3, 3]
+
+
 def test_language_of_odd_texts(spark):
     train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("x", None)], "text string, lang string")
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "12 !?", "s"), (4, "THE DOG", "s"), (None, "die Katze " * 3000, "s"), (4, "THE DOG", "s")], "doc_id long, text string, bits string")
