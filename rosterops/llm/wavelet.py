@@ -22,7 +22,7 @@ from rosterops.llm.tokens import encoder, with_end
 
 BLOCK = 1 << 20
 STEP = 512
-BATCH_CHARS = 6 << 20  # characters encoded at a time
+BATCH_CHARS = 10 << 20  # characters encoded at a time
 FORMAT = "shard int, block int, before long, n_tokens long, doc_ids array<{kind}>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
