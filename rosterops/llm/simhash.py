@@ -18,16 +18,21 @@ Only distinct fingerprints are compared. The index has these levels:
 
 A run of links is kept as a spanning forest, at most one edge per fingerprint and node, never
 all pairs. The forest is contracted to components in rounds of joins over written tables.
+
+``keep_one`` links texts by the exact Jaccard similarity of their word shingles instead: a
+fingerprint's bits tell too little of pairs at 0.8. Candidates share one of the rarest grams
+that either set must have in common with the other, so no pair is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterops.llm.frames import arrow_of, batch_of, by_place, size_blocks, stored, table_rows, text_hash, texts_of, without
@@ -38,6 +43,10 @@ BLOCK_ROWS = 1 << 18  # fingerprints compared in one go
 SMALL, LEAF, FAN = 32, 64, 8
 BATCH_CHARS = 1 << 22
 _ALL = (1 << 64) - 1
+WORDS, SIMILARITY = 5, 0.8  # of ``keep_one``: words of a shingle, Jaccard similarity of near copies
+BUCKETS = 1 << 19  # counts that order the grams of a set
+CENTRES, TURNS = 4, 2  # sets of a gram that all others meet first, and rounds of them
+SLACK = 1e-9  # rounding of a bound: more candidates, never fewer
 
 
 def fingerprint_of(text: str, hash_of, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -270,14 +279,157 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (null ids last), of
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """``doc_id, h, sid, n, grams`` for every row: the hashes of the text's distinct word
+    shingles in order, their number, and ``sid``, the hash of them all, equal for equal sets. A
+    text of fewer words is one shingle; null and empty texts have the empty one."""
+    texts = texts_of(docs, id_col, text_col).withColumn("h", text_hash(F.col("text")))
+    layout = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, sid long, n int, grams array<long>"
+    schema = arrow_of(texts.sparkSession.createDataFrame([], layout))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
+            ids, hashes, sids, found = [], [], [], []
+            for doc_id, text, h in block:
+                words = text.encode().lower().split()
+                pieces = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+                grams = np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces)).view(np.int64))
+                ids.append(doc_id), hashes.append(h), found.append(grams)
+                sids.append(xxh64_intdigest(grams.tobytes(), SEED))
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(found)))
+            columns = [pa.array(ids, schema[0].type), pa.array(hashes, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes), lists.cast(schema[4].type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return texts.mapInArrow(sets, layout)
+
+
+def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``sid``, borders and grams of each Arrow batch of ``sid, grams``."""
+    for batch in batches:
+        lists = batch.column(1)
+        borders = lists.offsets.to_numpy()
+        yield batch.column(0).to_numpy(), borders - borders[0], lists.flatten().to_numpy()
+
+
+def gram_counts(sets: DataFrame) -> np.ndarray:
+    """About how often each gram occurs, by its lowest bits. It only orders the grams of a set so
+    that rare ones come first; it never decides a result."""
+    parts = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(BUCKETS, np.int64)
+        for _, _, grams in _gram_lists(batches):
+            found += np.bincount(grams & (BUCKETS - 1), minlength=BUCKETS)
+        rows = [part.tobytes() for part in np.split(found, parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS // parts, np.int64)
+        for row in table.column("counts"):
+            total += np.frombuffer(row.as_py(), np.int64)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    layout = "part int, counts binary"
+    rows = sets.select("sid", "grams").mapInArrow(count, layout).groupBy("part").applyInArrow(add, layout).collect()
+    out = np.zeros((parts, BUCKETS // parts), np.int64)
+    for row in rows:
+        out[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    return out.ravel()
+
+
+def rare_grams(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``gram, sid, n, place``: the first grams of each set, rare ones first.
+
+    Two sets as similar as that share at least ``similarity * n`` grams of either, so the first
+    ``n - ceil(similarity * n) + 1`` of both hold a common one. Grams of one set only are left out.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(gram_counts(sets))
+    schema = pa.schema([("gram", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for sids, borders, grams in _gram_lists(batches):
+            often = counts[grams & (BUCKETS - 1)]
+            for lo in range(0, len(sids), 256):
+                out = []
+                for k in range(lo, min(lo + 256, len(sids))):
+                    own = grams[borders[k] : borders[k + 1]]
+                    n = len(own)
+                    order = np.lexsort((own, often[borders[k] : borders[k + 1]]))[: n - math.ceil(similarity * n - SLACK) + 1]
+                    out.append((own[order], np.full(len(order), sids[k]), np.full(len(order), n, np.int32), np.arange(len(order), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+
+    rows = sets.select("sid", "grams").mapInArrow(first, "gram long, sid long, n int, place int")
+    along = Window.partitionBy("gram")
+    several = rows.withColumn("lo", F.min("sid").over(along)).withColumn("hi", F.max("sid").over(along)).filter("lo <> hi")
+    return several.select("gram", "sid", "n", "place").distinct()
+
+
+def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, root`` of the sets (``sid``) linked to another by a Jaccard similarity of at least
+    ``similarity``: exactly the components of all such pairs.
+
+    Sets that share a rare gram are candidates, and every link is verified on the whole sets. First
+    each set meets one centre per gram, in rounds with other centres; that links most of a
+    large group with few pairs. Then all candidates not yet in one component are compared.
+    """
+    rare = stored(rare_grams(sets, similarity), "rare-grams")
+    whole = stored(sets.select("sid", "n", "grams").join(rare.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "shared-sets")
+    least = similarity / (1 + similarity)
+
+    def able(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        """Length and place leave room for the common grams that the similarity asks for."""
+        sizes = F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - SLACK
+        return sizes & (F.least(a["n"] - a["place"], b["n"] - b["place"]) >= least * (a["n"] + b["n"]) - SLACK)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left, right = (whole.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
+        return met.filter(F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")) >= similarity).select("a", "b")
+
+    names = ["sid", "n", "place", "root"]
+    tested, edges, labels, last = None, None, None, False
+    for turn in range(TURNS + 1):
+        last = turn == TURNS
+        if labels is None:
+            members = rare.withColumn("root", F.col("sid"))
+        else:
+            members = rare.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        along = Window.partitionBy("gram")
+        if last:
+            members = members.withColumn("lo", F.min("root").over(along)).withColumn("hi", F.max("root").over(along)).filter("lo <> hi").select("gram", *names)
+            other = members.select("gram", *[F.col(c).alias(f"{c}_b") for c in names])
+            met = members.join(other, "gram").filter(F.col("sid") < F.col("sid_b"))
+        else:
+            salt = F.pmod("gram", F.lit(CENTRES)) + CENTRES * turn
+            centre = F.min(F.struct(F.xxhash64("sid", salt).alias("k"), *names)).over(along)
+            met = members.withColumn("c", centre).select("*", *[F.col(f"c.{c}").alias(f"{c}_b") for c in names])
+        met = met.filter((F.col("root") != F.col("root_b")) & able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
+        pairs = met.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "set-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = verified(pairs)
+        edges = stored(found if edges is None else edges.union(found), "set-links")
+        labels = components(edges)
+    return labels
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by a Jaccard similarity of at least
+    ``similarity`` of their word shingles: that of the smallest id (null ids last), of
     the smallest text hash among its rows, once if the whole row is repeated."""
-    found = stored(near_duplicates(docs, id_col, text_col, bits).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
-    first = first.select("root", F.col("k.doc_id").alias("k_id"), F.col("k.h").alias("k_h"))
-    judged = found.join(first, "root").withColumn("keep", F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
-    judged = stored(judged.select("doc_id", "h", "n", "keep"), "simhash-judged")
+    sets = stored(shingle_sets(docs, id_col, text_col, shingle), "shingle-sets")
+    found = stored(sets.groupBy("sid", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "set-rows")
+    least = found.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    roots = similar_sets(sets, similarity).select(F.col("node").alias("sid"), "root")
+    rooted = stored(least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set-roots")
+    first = rooted.groupBy("root").agg(F.min("k").alias("k"))
+    first = rooted.select("sid", "root").join(first, "root").select("sid", F.col("k.doc_id").alias("k_id"), F.col("k.h").alias("k_h"))
+    judged = found.join(first, "sid").withColumn("keep", F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
+    judged = stored(judged.select("doc_id", "h", "n", "keep"), "set-judged")
     repeated = judged.filter("keep and n > 1").select("doc_id", "h")
     others = judged.filter("not keep").select("doc_id", "h")
     if repeated.isEmpty():

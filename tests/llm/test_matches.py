@@ -84,6 +84,27 @@ def test_groups_of_documents(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_copies_against_all_similarities(spark):
+    random.seed(11)
+    make = lambda n: [f"w{random.randrange(5_000)}" for _ in range(n)]
+    line, texts = make(40), []
+    for _ in range(12):
+        base = make(random.randrange(30, 200))
+        for share in (0, 0.005, 0.02, 0.025, 0.03, 0.05):
+            texts.append([w if random.random() >= share else "new" for w in base] + (line if random.random() < 0.3 else []))
+    texts += [base[:-k] for k in (1, 9, 12, 20)] + [line, line[:-1], line[:3], line[:4], []]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    up = list(range(len(texts)))
+    pairs = [(len(a & b) / len(a | b), i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j]
+    for _ in up:
+        for near, i, j in pairs:
+            if near >= 0.8:
+                up[i] = up[j] = min(up[i], up[j])
+    assert sum(0.8 <= near < 0.9 for near, _, _ in pairs) > 10 and sum(0.7 <= near < 0.8 for near, _, _ in pairs) > 5
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {k for k, root in enumerate(up) if k == root}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
