@@ -4,8 +4,9 @@ Every pair of neighbouring words of a text is joined to the places where a templ
 pair. A place in the text less the place in the template is a diagonal: pairs of one copied
 passage share it. Votes are summed by diagonal; diagonals at most ``GAP`` apart, as left by a
 word put in or taken out, are merged. A phrase is verified where one diagonal holds all its
-pairs; a longer template where a merged run holds the share ``SHARE`` of them within a span of
-about its own length.
+pairs; a longer template where one diagonal or a run of them holds the share ``SHARE`` of them
+within a span of about its own length. Each diagonal starts a run, and of runs that overlap
+the best stays, so stray pairs nearby take nothing away.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from rosterops.llm.frames import texts_of
 
 GAP, SHARE = 3, 0.75
+LONGER = 1.5  # span of a run, in lengths of its template
 # Fixed: a word is a run of ASCII letters and digits and of all other signs beyond ASCII.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed: the phrases that are found word for word, and their labels.
@@ -53,6 +55,35 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.replace(text, F.lit("K"), F.lit("Å"))), _BETWEEN), "")
 
 
+def _best_run(near: Column, pairs: Column, gap: int, share: float) -> Column:
+    """The run that starts at the first of some diagonals and holds most pairs, and among these the
+    shortest: ``(missed, long, start, end)``, ``missed`` being less the pairs found. Null: none
+    reaches ``share``. A diagonal that would make the span too long is passed over."""
+    first = F.element_at(near, 1)
+    none = F.lit(None).cast("struct<missed:int,long:int,start:int,end:int>")
+
+    def add(state: Column, d: Column) -> Column:
+        low, high = F.least(state["low"], d["low"]), F.greatest(state["high"], d["high"])
+        fits = (d["diagonal"] - state["last"] <= gap) & (high + 2 - low <= LONGER * (pairs + 1))
+        places = F.array_union(state["places"], d["places"])
+        run = F.struct((-F.size(places)).alias("missed"), (high + 2 - low).alias("long"), low.alias("start"), (high + 2).alias("end"))
+        more = F.struct(
+            d["diagonal"].alias("last"), places.alias("places"), low.alias("low"), high.alias("high"),
+            F.least(state["best"], F.when(F.size(places) >= share * pairs, run)).alias("best"),
+        )
+        return F.when(fits, more).otherwise(state)
+
+    start = F.struct(first["diagonal"].alias("last"), F.array().cast("array<int>").alias("places"), first["low"].alias("low"), first["high"].alias("high"), none.alias("best"))
+    return F.when(F.size(near) > 0, F.aggregate(near, start, add)["best"])
+
+
+def _apart(runs: Column) -> Column:
+    """Runs that do not overlap, the best first."""
+    free = lambda some, r: ~F.exists(some, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
+    empty = F.array().cast("array<struct<missed:int,long:int,start:int,end:int>>")
+    return F.aggregate(F.array_sort(runs), empty, lambda some, r: F.when(free(some, r), F.array_append(some, r)).otherwise(some))
+
+
 def scan(
     docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
     gap: int = GAP, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text",
@@ -76,19 +107,20 @@ def scan(
         F.count(F.lit(1)).alias("n"), F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"),
         F.first("pairs").alias("pairs"), F.first("exact").alias("exact"), F.first("label").alias("label"),
     )
-    along = Window.partitionBy(*key, "template").orderBy("diagonal")
-    fresh = F.col("exact") | F.lag("diagonal").over(along).isNull() | (F.col("diagonal") - F.lag("diagonal").over(along) > gap)
-    runs = diagonals.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(along))
-    merged = runs.groupBy(*key, "template", "run").agg(
-        F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("start"),
-        (F.max("high") + 2).alias("end"), F.first("pairs").alias("pairs"), F.first("exact").alias("exact"), F.first("label").alias("label"),
-    ).withColumn("score", F.size("places") / F.col("pairs"))
-    long = F.col("end") - F.col("start")
-    real = F.when(F.col("exact"), F.col("score") == 1).otherwise((F.col("score") >= share) & (long <= 1.5 * (F.col("pairs") + 1)))
-    span = F.when((F.col("template") >= 0) & real, F.struct("label", "exact", "start", "end", "score"))
-    found = merged.groupBy(*key).agg(
-        F.max(F.when(F.col("template") < 0, F.col("n"))).alias("copies"), F.max(F.when(F.col("template") < 0, F.col("start"))).alias("n_words"),
-        F.sort_array(F.collect_list(span)).alias("spans"),
+    reach = max([0, *[int(LONGER * len(text.split())) + len(text.split()) for text, _ in templates]])
+    along = Window.partitionBy(*key, "template").orderBy("diagonal").rangeBetween(0, reach)
+    near = F.collect_list(F.when(~F.col("exact"), F.struct("diagonal", "places", "low", "high"))).over(along)
+    own = F.struct((-F.size("places")).alias("missed"), (F.col("high") + 2 - F.col("low")).alias("long"), F.col("low").alias("start"), (F.col("high") + 2).alias("end"))
+    real = F.when(F.col("exact"), F.when(F.size("places") == F.col("pairs"), own)).otherwise(_best_run(near, F.col("pairs"), gap, share))
+    runs = diagonals.withColumn("run", F.when(F.col("template") >= 0, real))
+    each = runs.groupBy(*key, "template").agg(
+        F.max("n").alias("n"), F.max("low").alias("low"), F.collect_list("run").alias("runs"),
+        F.first("pairs").alias("pairs"), F.first("exact").alias("exact"), F.first("label").alias("label"),
+    ).withColumn("runs", F.when(F.col("exact"), F.col("runs")).otherwise(_apart(F.col("runs"))))
+    spans = F.transform("runs", lambda r: F.struct("label", "exact", r["start"].alias("start"), r["end"].alias("end"), (-r["missed"] / F.col("pairs")).alias("score")))
+    found = each.withColumn("spans", spans).groupBy(*key).agg(
+        F.max(F.when(F.col("template") < 0, F.col("n"))).alias("copies"), F.max(F.when(F.col("template") < 0, F.col("low"))).alias("n_words"),
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
     again = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return again.select("doc_id", F.col("n_words").cast("long"), "spans")

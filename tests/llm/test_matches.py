@@ -193,6 +193,20 @@ def test_changed_license_wording_is_found(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_of_a_list_are_all_found(spark):
+    lesser, affero = "GNU Lesser General Public License", "GNU Affero General Public License"
+    texts = [
+        f"{lesser}, Mozilla Public License", f"Mozilla Public License, Eclipse Public License, {affero}, X Public License, Y Public License",
+        f"{lesser} {lesser}, Public License", f"{lesser} or {affero}", "Public License, Mozilla Public License", "gnu lesser and general public license",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["label"], s["start"], s["end"], s["score"]) for s in r["spans"]] for r in licenses.scan(docs).collect()}
+    assert found[0] == [("lgpl", 0, 5, 1.0)] and found[1] == [("agpl", 6, 11, 1.0)]
+    assert found[2] == [("lgpl", 0, 5, 1.0), ("lgpl", 5, 10, 1.0)]
+    assert found[3] == [("agpl", 6, 11, 1.0), ("lgpl", 0, 5, 1.0)]
+    assert found[4] == [] and found[5] == [("lgpl", 0, 6, 0.75)]
+
+
 @pytest.mark.parametrize(("chunk", "block"), [(16_384, 256), (7, 3)])
 def test_top_k_against_all_products(spark, chunk, block):
     random.seed(9)
