@@ -160,19 +160,30 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     ``ALL_CHARS`` together. Rows with a null text or language are left out."""
     texts = pick(labelled, text=text_col, lang=lang_col).filter("text is not null and lang is not null")
     texts = texts.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
+    # Distinct texts, not rows: copies add none to the sample. The cut-off only saves work; a
+    # language that ends short of texts is read again with a wider one, down to none.
+    counts = {r["lang"]: max(1, r["n"]) for r in texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return Model({})
-    share = F.element_at(F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 8 * rows / n) * (1 << 30)))]), F.col("lang"))
-    some = texts.filter(F.col("h") < share).select("lang", "h", F.substring("text", 1, ROW_CHARS).alias("text")).distinct()
-    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= rows)
+    top = 1 << 30
+    cut = {name: int(min(1.0, 8 * rows / n) * top) for name, n in counts.items()}
+    first: dict[str, list[str]] = {}
+    while cut:
+        share = F.element_at(F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]), F.col("lang"))
+        some = texts.filter(F.col("h") < share).select("lang", "h", F.substring("text", 1, ROW_CHARS).alias("text")).distinct()
+        ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= rows)
+        first |= {name: [] for name in cut}
+        for row in sorted(ranked.collect(), key=lambda r: (r["lang"], r["k"])):
+            first[row["lang"]].append(row["text"])
+        cut = {name: min(top, 8 * max(1, n)) for name, n in cut.items() if n < top and len(first[name]) < rows}
     samples: dict[str, list[str]] = {}
-    room = dict.fromkeys(counts, min(CHARS, ALL_CHARS // len(counts)))
-    for row in sorted(ranked.collect(), key=lambda r: (r["lang"], r["k"])):
-        text = row["text"][: room[row["lang"]]]
-        room[row["lang"]] -= len(text)
-        if text:
-            samples.setdefault(row["lang"], []).append(text)
+    for name, found in first.items():
+        room = min(CHARS, ALL_CHARS // len(counts))
+        for text in found:
+            text = text[:room]
+            room -= len(text)
+            if text:
+                samples.setdefault(name, []).append(text)
     return Model(samples)
 
 

@@ -126,6 +126,15 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(docs.select("doc_id", "text").limit(0), nothing).count() == 0
 
 
+def test_copies_take_no_language_from_the_sample(spark):
+    texts = [(f"{'ab' * k} {'ba' * (k % 7)} cd", "x") for k in range(1, 101)] + [("the cat and the dog", "en")]
+    train = spark.createDataFrame(texts, "text string, lang string")
+    copies = train.filter("lang = 'x'").crossJoin(spark.range(2_000).select()).union(train)
+    want, got = langid.fit(train), langid.fit(copies)
+    assert got.languages == want.languages == ["en", "x"] and got.weights.tolist() == want.weights.tolist()
+    assert got.table.tolist() == want.table.tolist()
+
+
 def test_languages_held_out(spark):
     from rosterops.llm.queries import op2_language_id
 
