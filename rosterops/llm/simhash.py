@@ -45,7 +45,7 @@ BATCH_CHARS = 1 << 22
 _ALL = (1 << 64) - 1
 WORDS, SIMILARITY = 5, 0.8  # of ``keep_one``: words of a shingle, Jaccard similarity of near copies
 BUCKETS = 1 << 19  # counts that order the grams of a set
-CENTRES, TURNS = 4, 2  # sets of a gram that all others meet first, and rounds of them
+CENTRES, TURNS = 16, 1  # sets of a gram that all others meet first, and rounds of them
 SLACK = 1e-9  # rounding of a bound: more candidates, never fewer
 
 
