@@ -45,7 +45,7 @@ BATCH_CHARS = 1 << 22
 _ALL = (1 << 64) - 1
 WORDS, SIMILARITY = 5, 0.8  # of ``keep_one``: words of a shingle, Jaccard similarity of near copies
 BUCKETS = 1 << 19  # counts that order the grams of a set
-CENTRES, TURNS = 16, 1  # sets of a gram that all others meet first, and rounds of them
+CENTRES, TURNS = 4, 1  # sets of a gram that all others meet first, and rounds of them
 SLACK = 1e-9  # rounding of a bound: more candidates, never fewer
 
 
@@ -377,7 +377,6 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     large group with few pairs. Then all candidates not yet in one component are compared.
     """
     rare = stored(rare_grams(sets, similarity), "rare-grams")
-    whole = stored(sets.select("sid", "n", "grams").join(rare.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "shared-sets")
     least = similarity / (1 + similarity)
 
     def able(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -386,6 +385,8 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return sizes & (F.least(a["n"] - a["place"], b["n"] - b["place"]) >= least * (a["n"] + b["n"]) - SLACK)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        whole = stored(sets.select("sid", "grams").join(ends, "sid", "left_semi").dropDuplicates(["sid"]), "paired-sets")
         left, right = (whole.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
         return met.filter(F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")) >= similarity).select("a", "b")
@@ -421,7 +422,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of each group of texts linked by a Jaccard similarity of at least
     ``similarity`` of their word shingles: that of the smallest id (null ids last), of
     the smallest text hash among its rows, once if the whole row is repeated."""
-    sets = stored(shingle_sets(docs, id_col, text_col, shingle), "shingle-sets")
+    sets = shingle_sets(docs, id_col, text_col, shingle)  # made anew where it is read: larger than the texts
     found = stored(sets.groupBy("sid", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "set-rows")
     least = found.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
     roots = similar_sets(sets, similarity).select(F.col("node").alias("sid"), "root")
