@@ -177,3 +177,34 @@ def restored(kind: type, state: dict) -> Any:
     out = object.__new__(kind)
     vars(out).update(state)
     return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the row each group starts at. The rows come sorted by their
+    first ``keys`` columns, none of them null; a group may span batches, and is held until it ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seen = pa.Table.from_batches([*held[-1:], batch])
+        seen = seen.slice(len(seen) - batch.num_rows - 1) if held else seen
+        fresh = _changes(seen, keys)[1:] if held else _changes(seen, keys)
+        last = int(np.flatnonzero(fresh)[-1]) if fresh.any() else 0
+        if fresh.any() and (held or last):
+            done = pa.Table.from_batches([*held, batch.slice(0, last)])
+            yield done, np.flatnonzero(_changes(done, keys))
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        done = pa.Table.from_batches(held)
+        yield done, np.flatnonzero(_changes(done, keys))
+
+
+def _changes(table: pa.Table, keys: int) -> np.ndarray:
+    """Rows whose key differs from that of the row before; the first one does."""
+    fresh = np.zeros(len(table), bool)
+    fresh[:1] = True
+    for column in (table.column(k).combine_chunks() for k in range(keys)):
+        fresh[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(table) - 1)).to_numpy(zero_copy_only=False)
+    return fresh
