@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -137,6 +138,15 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def give_back() -> None:
+    """Hands memory that a batch has freed back to the system: a Python worker lives on after its
+    task, and what it keeps is the next stage's loss."""
+    pa.default_memory_pool().release_unused()
+    trim = kept(("trim",), lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))  # glibc's only
+    if trim is not None:
+        trim(0)
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import arrow_of, batch_of, offsets_of, size_blocks, stored, table_rows, texts_of
+from rosterops.llm.frames import arrow_of, batch_of, give_back, offsets_of, size_blocks, stored, table_rows, texts_of
 from rosterops.llm.tokens import encoder, with_end
 
 WIDTH = 2048
 BATCH_CHARS = 6 << 20  # characters encoded at a time
 
 
-def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Pass one: ``part, before, doc_id, n, ids`` per document, ``ids`` as 32-bit integers.
 
     The row order inside a partition is that of the scan. The table is written, so that
@@ -38,27 +38,29 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         part, before, tool = TaskContext.get().partitionId(), 0, encoder(path)
-        for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
+        for block in size_blocks(table_rows(batches), lambda row: len(row[1]), batch_chars):
             out = []
             for (doc_id, _), ids in zip(block, with_end(*tool.encode([text for _, text in block]), end_id), strict=True):
                 out.append((part, before, doc_id, len(ids), ids.tobytes()))
                 before += len(ids)
             yield batch_of(out, schema)
+            give_back()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return stored(texts.mapInArrow(encode, f"part int, before long, doc_id {kind}, n long, ids binary"), "tokens")
 
 
 def pack(
-    docs: DataFrame, path: str, end_id: int = 1, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, end_id: int = 1, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = BATCH_CHARS
 ) -> DataFrame:
     """Pieces of all documents: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
 
     ``ids`` are little-endian unsigned 32-bit integers. A null or empty text is the end id
     alone; repeated rows and null ids are packed like any other document; an empty table gives
-    no piece. The order of the documents is that of the scan.
+    no piece. The order of the documents is that of the scan. A smaller ``batch_chars`` takes less
+    memory, and more time as words are encoded once a batch.
     """
-    table = token_table(docs, path, end_id, id_col, text_col)
+    table = token_table(docs, path, end_id, id_col, text_col, batch_chars)
     totals = table.groupBy("part").agg(F.sum("n").alias("n"))
     # One row of 16 bytes per partition of the scan.
     based = table.join(F.broadcast(offsets_of(totals, "part", "n", "base")), "part")
@@ -69,7 +71,7 @@ def pack(
     schema = schema.insert(0, arrow_of(placed).field("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in size_blocks(table_rows(batches), lambda row: row[2], BATCH_CHARS):
+        for block in size_blocks(table_rows(batches), lambda row: row[2], batch_chars // 4):
             out = []
             for doc_id, at, n, ids in block:
                 start = 0
@@ -79,6 +81,7 @@ def pack(
                     out.append((doc_id, start, length, n, sequence, offset, ids[4 * start : 4 * (start + length)]))
                     start += length
             yield batch_of(out, schema)
+            give_back()
 
     return placed.mapInArrow(cut, layout)
 

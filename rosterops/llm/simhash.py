@@ -27,7 +27,7 @@ that either set must have in common with the other, so no pair is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -45,7 +45,8 @@ BATCH_CHARS = 1 << 22
 _ALL = (1 << 64) - 1
 WORDS, SIMILARITY = 5, 0.8  # of ``keep_one``: words of a shingle, Jaccard similarity of near copies
 BUCKETS = 1 << 19  # counts that order the grams of a set
-CENTRES, TURNS = 4, 1  # sets of a gram that all others meet first, and rounds of them
+CENTRES = 4  # orders of sets; the first of a gram's order meets all others of the gram
+SEEN = 1 << 18  # sets a task remembers so as to pass them on once
 SLACK = 1e-9  # rounding of a bound: more candidates, never fewer
 
 
@@ -279,104 +280,95 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
-    """``doc_id, h, sid, n, grams`` for every row: the hashes of the text's distinct word
-    shingles in order, their number, and ``sid``, the hash of them all, equal for equal sets. A
-    text of fewer words is one shingle; null and empty texts have the empty one."""
-    texts = texts_of(docs, id_col, text_col).withColumn("h", text_hash(F.col("text")))
-    layout = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, sid long, n int, grams array<long>"
-    schema = arrow_of(texts.sparkSession.createDataFrame([], layout))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+def _shingled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple]:
+    """Of blocks of rows ``doc_id, text, h``: ids, text hashes, set hashes and each row's distinct grams, sorted."""
+    from xxhash import xxh64_intdigest
 
-        for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
-            ids, hashes, sids, found = [], [], [], []
-            for doc_id, text, h in block:
-                words = text.encode().lower().split()
-                pieces = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
-                grams = np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces)).view(np.int64))
-                ids.append(doc_id), hashes.append(h), found.append(grams)
-                sids.append(xxh64_intdigest(grams.tobytes(), SEED))
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(found)))
-            columns = [pa.array(ids, schema[0].type), pa.array(hashes, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes), lists.cast(schema[4].type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
+        sids, found = [], []
+        for _, text, _ in block:
+            words = text.encode().lower().split()
+            pieces = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+            grams = np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in pieces), np.uint64, len(pieces)).view(np.int64))
+            found.append(grams)
+            sids.append(xxh64_intdigest(grams.tobytes(), SEED))
+        yield [r[0] for r in block], [r[2] for r in block], np.array(sids, np.uint64).view(np.int64), found
 
-    return texts.mapInArrow(sets, layout)
 
+def shingle_prints(texts: DataFrame, shingle: int = WORDS) -> DataFrame:
+    """``doc_id, h, sid`` for every row of ``doc_id, text, h``: ``sid`` is the hash of the text's distinct word
+    shingles, equal for equal sets. A text of fewer words is one shingle; an empty one has the empty
+    shingle. Beside them, rows ``bucket, often``: how often grams occur, by their lowest bits."""
+    layout = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, sid long, bucket int, often long"
+    schema = arrow_of(texts.sparkSession.createDataFrame([], layout))
 
-def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``sid``, borders and grams of each Arrow batch of ``sid, grams``."""
-    for batch in batches:
-        lists = batch.column(1)
-        borders = lists.offsets.to_numpy()
-        yield batch.column(0).to_numpy(), borders - borders[0], lists.flatten().to_numpy()
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for ids, hashes, sids, found in _shingled(batches, shingle):
+            counts += np.bincount(np.concatenate(found) & (BUCKETS - 1), minlength=BUCKETS)
+            columns = [pa.array(ids, schema[0].type), pa.array(hashes, pa.int64()), pa.array(sids), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        seen = np.flatnonzero(counts)
+        for part in np.array_split(seen, max(1, len(seen) >> 16)):
+            nothing = [pa.nulls(len(part), schema[k].type) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(part.astype(np.int32)), pa.array(counts[part])], schema=schema)
 
+    return texts.mapInArrow(prints, layout)
 
-def gram_counts(sets: DataFrame) -> np.ndarray:
-    """About how often each gram occurs, by its lowest bits. It only orders the grams of a set so
-    that rare ones come first; it never decides a result."""
-    parts = 64
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(BUCKETS, np.int64)
-        for _, _, grams in _gram_lists(batches):
-            found += np.bincount(grams & (BUCKETS - 1), minlength=BUCKETS)
-        rows = [part.tobytes() for part in np.split(found, parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+def shingle_sets(texts: DataFrame, shingle: int = WORDS) -> DataFrame:
+    """``sid, grams`` for every row of ``doc_id, text, h``."""
+    schema = pa.schema([("sid", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS // parts, np.int64)
-        for row in table.column("counts"):
-            total += np.frombuffer(row.as_py(), np.int64)
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, sids, found in _shingled(batches, shingle):
+            borders = np.append(0, np.cumsum([len(g) for g in found])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(found)))], schema=schema)
 
-    layout = "part int, counts binary"
-    rows = sets.select("sid", "grams").mapInArrow(count, layout).groupBy("part").applyInArrow(add, layout).collect()
-    out = np.zeros((parts, BUCKETS // parts), np.int64)
-    for row in rows:
-        out[row["part"]] = np.frombuffer(row["counts"], np.int64)
-    return out.ravel()
+    return texts.mapInArrow(sets, "sid long, grams array<long>")
 
 
-def rare_grams(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``gram, sid, n, place``: the first grams of each set, rare ones first.
+def rare_grams(texts: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
+    """``gram, sid, n, place``: the first grams of each set, rare ones first, from rows ``doc_id, text, h``.
 
     Two sets as similar as that share at least ``similarity * n`` grams of either, so the first
-    ``n - ceil(similarity * n) + 1`` of both hold a common one. Grams of one set only are left out.
+    ``n - ceil(similarity * n) + 1`` of both hold a common one. ``counts`` (by a gram's lowest bits) only order the
+    grams; they never decide a result. A task passes a set on once; grams of one set only are left out.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(gram_counts(sets))
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
     schema = pa.schema([("gram", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for sids, borders, grams in _gram_lists(batches):
-            often = counts[grams & (BUCKETS - 1)]
-            for lo in range(0, len(sids), 256):
-                out = []
-                for k in range(lo, min(lo + 256, len(sids))):
-                    own = grams[borders[k] : borders[k + 1]]
-                    n = len(own)
-                    order = np.lexsort((own, often[borders[k] : borders[k + 1]]))[: n - math.ceil(similarity * n - SLACK) + 1]
-                    out.append((own[order], np.full(len(order), sids[k]), np.full(len(order), n, np.int32), np.arange(len(order), dtype=np.int32)))
+        often_of, seen = shared.value, set()
+        for _, _, sids, found in _shingled(batches, shingle):
+            out = []
+            for sid, grams in zip(sids.tolist(), found, strict=True):
+                if sid in seen:
+                    continue
+                seen.add(sid)
+                n = len(grams)
+                order = np.lexsort((grams, often_of[grams & (BUCKETS - 1)]))[: n - math.ceil(similarity * n - SLACK) + 1]
+                out.append((grams[order], np.full(len(order), sid), np.full(len(order), n, np.int32), np.arange(len(order), dtype=np.int32)))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+            if len(seen) > SEEN:
+                seen = set()
 
-    rows = sets.select("sid", "grams").mapInArrow(first, "gram long, sid long, n int, place int")
-    along = Window.partitionBy("gram")
-    several = rows.withColumn("lo", F.min("sid").over(along)).withColumn("hi", F.max("sid").over(along)).filter("lo <> hi")
-    return several.select("gram", "sid", "n", "place").distinct()
+    rows = texts.mapInArrow(first, "gram long, sid long, n int, place int").repartition("gram")
+    along = Window.partitionBy("gram")  # a gram has a row per set, and one more per task that met the set
+    several = rows.distinct().withColumn("lo", F.min("sid").over(along)).withColumn("hi", F.max("sid").over(along)).filter("lo <> hi")
+    return several.select("gram", "sid", "n", "place")
 
 
-def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """``node, root`` of the sets (``sid``) linked to another by a Jaccard similarity of at least
     ``similarity``: exactly the components of all such pairs.
 
-    Sets that share a rare gram are candidates, and every link is verified on the whole sets. First
-    each set meets one centre per gram, in rounds with other centres; that links most of a
-    large group with few pairs. Then all candidates not yet in one component are compared.
+    Sets that share a rare gram are candidates, and every link is verified on the whole sets, which
+    ``sets_of`` gives for a list of ``sid``. First each set meets one of ``CENTRES`` sets per gram; that links
+    most of a large group with few pairs. Then all candidates not yet in one component, of sizes
+    that allow the similarity, are compared.
     """
-    rare = stored(rare_grams(sets, similarity), "rare-grams")
     least = similarity / (1 + similarity)
 
     def able(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -385,47 +377,52 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return sizes & (F.least(a["n"] - a["place"], b["n"] - b["place"]) >= least * (a["n"] + b["n"]) - SLACK)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        whole = stored(sets.select("sid", "grams").join(ends, "sid", "left_semi").dropDuplicates(["sid"]), "paired-sets")
+        whole = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "paired-sets")
         left, right = (whole.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
         return met.filter(F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")) >= similarity).select("a", "b")
 
     names = ["sid", "n", "place", "root"]
-    tested, edges, labels, last = None, None, None, False
-    for turn in range(TURNS + 1):
-        last = turn == TURNS
-        if labels is None:
-            members = rare.withColumn("root", F.col("sid"))
-        else:
-            members = rare.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        along = Window.partitionBy("gram")
-        if last:
-            members = members.withColumn("lo", F.min("root").over(along)).withColumn("hi", F.max("root").over(along)).filter("lo <> hi").select("gram", *names)
-            other = members.select("gram", *[F.col(c).alias(f"{c}_b") for c in names])
-            met = members.join(other, "gram").filter(F.col("sid") < F.col("sid_b"))
-        else:
-            salt = F.pmod("gram", F.lit(CENTRES)) + CENTRES * turn
-            centre = F.min(F.struct(F.xxhash64("sid", salt).alias("k"), *names)).over(along)
-            met = members.withColumn("c", centre).select("*", *[F.col(f"c.{c}").alias(f"{c}_b") for c in names])
-        met = met.filter((F.col("root") != F.col("root_b")) & able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
-        pairs = met.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "set-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = verified(pairs)
-        edges = stored(found if edges is None else edges.union(found), "set-links")
-        labels = components(edges)
-    return labels
+    salt = F.pmod("gram", F.lit(CENTRES))
+    members = rare.withColumn("root", F.col("sid"))
+    centre = F.min(F.struct(F.xxhash64("sid", salt).alias("k"), *names)).over(Window.partitionBy("gram"))
+    met = members.withColumn("c", centre).select("*", *[F.col(f"c.{c}").alias(f"{c}_b") for c in names])
+    met = met.filter((F.col("sid") != F.col("sid_b")) & able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
+    tested = stored(met.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b")).distinct(), "set-pairs")
+    edges = stored(verified(tested), "set-links")
+    labels = components(edges)
+    # Sizes that allow the similarity stand in one band or in two that follow each other.
+    band = F.floor(F.log("n") / -math.log(similarity))
+    members = rare.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("band", band)
+    along = Window.partitionBy("gram")
+    members = stored(members.withColumn("lo", F.min("root").over(along)).withColumn("hi", F.max("root").over(along)).filter("lo <> hi").select("gram", "band", *names), "set-members")
+    other = members.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
+    met = members.join(other, ["gram", "band"]).filter((F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")))
+    met = met.filter(able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
+    pairs = met.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return components(edges.union(verified(stored(pairs, "set-pairs"))))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of texts linked by a Jaccard similarity of at least
     ``similarity`` of their word shingles: that of the smallest id (null ids last), of
     the smallest text hash among its rows, once if the whole row is repeated."""
-    sets = shingle_sets(docs, id_col, text_col, shingle)  # made anew where it is read: larger than the texts
-    found = stored(sets.groupBy("sid", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "set-rows")
+    texts = texts_of(docs, id_col, text_col).withColumn("h", text_hash(F.col("text")))
+    prints = stored(shingle_prints(texts, shingle), "shingle-prints")
+    buckets = prints.filter("bucket is not null").groupBy("bucket").agg(F.sum("often").alias("often")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[buckets.column("bucket").to_numpy()] = buckets.column("often").to_numpy()
+    found = stored(prints.filter("bucket is null").groupBy("sid", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "set-rows")
     least = found.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
-    roots = similar_sets(sets, similarity).select(F.col("node").alias("sid"), "root")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of some ``sid``, made anew from one text of each."""
+        keys = least.join(wanted, "sid").select(F.col("k.doc_id").alias("own_id"), F.col("k.h").alias("own_h"))
+        own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))
+        return shingle_sets(texts.join(keys, own, "left_semi"), shingle).dropDuplicates(["sid"])
+
+    rare = stored(rare_grams(texts, counts, similarity, shingle), "rare-grams")
+    roots = similar_sets(rare, sets_of, similarity).select(F.col("node").alias("sid"), "root")
     rooted = stored(least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set-roots")
     first = rooted.groupBy("root").agg(F.min("k").alias("k"))
     first = rooted.select("sid", "root").join(first, "root").select("sid", F.col("k.doc_id").alias("k_id"), F.col("k.h").alias("k_h"))
