@@ -5,8 +5,8 @@ one: every phrase is the longest piece, from where the last phrase ended, that o
 language's text. The number of phrases times the logarithm of the length of the text parsed
 against, per character, estimates the cross entropy; the language with the least wins.
 
-Automata are dense tables over a small alphabet (lower-case letters of the labelled text, one
-code for everything that is no letter, one for letters never seen). A batch of texts is cut
+Automata are tables over the lower-case letters of the labelled text, one code for everything
+that is no letter and one for letters never seen; rare letters are kept as sparse edges. A batch of texts is cut
 into strips that are parsed side by side, a step for all strips and languages at a time, so
 one long text costs no more than many short ones. A strip begins a phrase of its own.
 """
@@ -24,7 +24,7 @@ from rosterops.llm.frames import annotate, kept, pick, restored
 ROWS = 64  # labelled rows per language
 ROW_CHARS = 3_000  # characters used of each of them
 CHARS, ALL_CHARS = 24_000, 200_000  # characters per language, and of all languages together
-ALPHABET = 256  # most frequent letters told apart; others count as never seen
+DENSE = 256  # most frequent letters, looked up in a table; the edges of all others in a sorted list
 STRIP = 512
 BATCH_CHARS = 1 << 20
 UNKNOWN = "und"
@@ -86,28 +86,36 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 class Model:
     """One table for all languages. An entry is the row of the next state; its flag says that
-    a phrase ended there and a new one began."""
+    a phrase ended there and a new one began.
 
-    def __init__(self, samples: dict[str, list[str]]) -> None:
+    The ``DENSE`` most frequent letters have a column each. The edges of all other letters are a sorted
+    list of (state, letter) keys, looked up for the few places where such a letter stands.
+    """
+
+    def __init__(self, samples: dict[str, list[str]], dense: int = DENSE) -> None:
         self.languages = sorted(samples)
         rows = {name: [letters_of(text) for text in samples[name]] for name in self.languages}
         seen, counts = np.unique(np.concatenate([r for some in rows.values() for r in some] or [np.zeros(0, np.int32)]), return_counts=True)
-        counts[seen == 0] = 0
-        top = np.argsort(-counts, kind="stable")[:ALPHABET]
-        self.alphabet = np.sort(seen[top[counts[top] > 0]])
-        self.width = len(self.alphabet) + 3
+        self.alphabet, counts = seen[seen != 0], counts[seen != 0]
+        self.codes = np.empty(len(self.alphabet), np.int64)
+        self.codes[np.argsort(-counts, kind="stable")] = np.arange(len(self.alphabet)) + 3
+        self.width, self.span = min(len(self.alphabet), dense) + 3, len(self.alphabet) + 3
         parts, roots, weights, base = [], [], [], 0
+        keys, targets = [], []
         for name in self.languages:
             codes = [BREAK]
             for row in rows[name]:
-                code = self.code(row)
-                codes += [*np.where(code == UNSEEN, PAD, code).tolist(), BREAK]  # a rare letter parts what is around it
+                codes += [*self.code(row).tolist(), BREAK]
             edges = automaton(codes)
             dead = (base + len(edges)) * self.width  # behind a sign that never occurs, which is a phrase of its own
             part = np.full((len(edges) + 1, self.width), -1, np.int32)
             for state, out in enumerate(edges):
                 for code, target in out.items():
-                    part[state, code] = (base + target) * self.width
+                    if code < self.width:
+                        part[state, code] = (base + target) * self.width
+                    else:
+                        keys.append((base + state) * self.span + code)
+                        targets.append((base + target) * self.width)
             first = np.where(part[0] < 0, dead, part[0]).astype(np.int32)
             missing = part < 0
             part[missing] = np.broadcast_to(first | _FLAG, part.shape)[missing]
@@ -119,11 +127,20 @@ class Model:
             base += len(edges) + 1
         self.table = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.int32)
         self.roots, self.weights = np.array(roots, np.int32), np.array(weights)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
 
     def code(self, letters: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.alphabet, letters), max(len(self.alphabet) - 1, 0))
-        known = self.alphabet[place] == letters if len(self.alphabet) else np.zeros(len(letters), bool)
-        return np.where(letters == 0, BREAK, np.where(known, place + 3, UNSEEN))
+        if not len(self.alphabet):
+            return np.where(letters == 0, BREAK, UNSEEN)
+        place = np.minimum(np.searchsorted(self.alphabet, letters), len(self.alphabet) - 1)
+        return np.where(letters == 0, BREAK, np.where(self.alphabet[place] == letters, self.codes[place], UNSEEN))
+
+    def _edge(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next rows over letters without a column, and whether there is such an edge."""
+        wanted = state.astype(np.int64) // self.width * self.span + codes
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.targets[place], self.keys[place] == wanted
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (of codes) by language: a row per text."""
@@ -134,12 +151,18 @@ class Model:
             flat[at * STRIP : at * STRIP + len(text)] = text
             at += n
         steps = np.ascontiguousarray(lanes.T)
-        state = np.repeat(self.roots[:, None], len(lanes), axis=1)
-        count = np.ones(state.shape, np.int32)
+        roots = np.repeat(self.roots[:, None], len(lanes), axis=1)
+        state, count = roots, np.ones(roots.shape, np.int32)
         for codes in steps:
-            state = self.table.take(state + codes)
-            count += state >> 30
-            state &= _FLAG - 1
+            rare = np.flatnonzero(codes >= self.width) if self.span > self.width else ()
+            if len(rare):
+                codes, sparse = np.where(codes < self.width, codes, UNSEEN), codes[rare]
+                (ahead, on), (fresh, known) = self._edge(state[:, rare], sparse), self._edge(roots[:, rare], sparse)
+            after = self.table.take(state + codes)
+            if len(rare):
+                after[:, rare] = np.where(on, ahead, np.where(known, fresh | _FLAG, after[:, rare]))
+            count += after >> 30
+            state = after & (_FLAG - 1)
         return np.add.reduceat(count, np.cumsum([0, *strips[:-1]]), axis=1).T
 
     def costs(self, texts: list[str]) -> np.ndarray:

@@ -107,11 +107,25 @@ def test_phrases_against_greedy_search():
         assert row.tolist() == [greedy(clean, flat[name]) for name in model.languages]
 
 
-def test_rare_letters_part_phrases(monkeypatch):
-    monkeypatch.setattr(langid, "ALPHABET", 2)
-    model = langid.Model({"x": ["ababab aqb"]})
-    codes = [model.code(langid.letters_of(t)) for t in ("abab", "aqb", "azb")]
-    assert len(model.alphabet) == 2 and model.phrases(codes).ravel().tolist() == [1, 3, 3]
+@pytest.mark.parametrize("dense", [0, 2, 7])
+def test_sparse_edges_are_as_good_as_a_table(dense):
+    random.seed(4)
+    samples = {name: ["".join(random.choice("abcdefghij kl"[k:]) for _ in range(300)) for _ in range(3)] for k, name in enumerate("xyz")}
+    few, all_ = langid.Model(samples, dense), langid.Model(samples)
+    assert few.width == dense + 3 and all_.width == 15 and len(few.keys) > 0 == len(all_.keys)
+    texts = ["".join(random.choice("abcdefghijklqé !") for _ in range(random.randrange(1, 700))) + "a" for _ in range(40)]
+    assert few.costs(texts).tolist() == all_.costs(texts).tolist()
+
+
+def test_languages_of_thousands_of_letters():
+    random.seed(6)
+    pools = {"p": [chr(0x4E00 + k) for k in range(3_000)], "q": [chr(0x4E00 + k) for k in range(3_000)], "latin": list("abcdefgh")}
+    words = {name: ["".join(random.choices(pool, k=3)) for _ in range(4_000)] for name, pool in pools.items()}
+    text = lambda name, n: " ".join(random.choices(words[name], k=n))
+    model = langid.Model({name: [text(name, 90) for _ in range(64)] for name in pools})
+    wanted = [name for name in pools for _ in range(40)]
+    best = [model.languages[k] for k in model.costs([text(name, 60) for name in wanted]).argmin(axis=1)]
+    assert best == wanted and model.span > 2_900 and model.table.nbytes < 200 << 20
 
 
 def test_language_of_odd_texts(spark):
