@@ -45,7 +45,7 @@ BATCH_CHARS = 1 << 22
 _ALL = (1 << 64) - 1
 WORDS, SIMILARITY = 5, 0.8  # of ``keep_one``: words of a shingle, Jaccard similarity of near copies
 BUCKETS = 1 << 19  # counts that order the grams of a set
-CENTRES = 4  # orders of sets; the first of a gram's order meets all others of the gram
+CENTRES, ORDERS = (1, 16, 64), 32  # sets that meet all others of a gram, by round, and orders of sets to take them by
 SEEN = 1 << 18  # sets a task remembers so as to pass them on once
 SLACK = 1e-9  # rounding of a bound: more candidates, never fewer
 
@@ -365,9 +365,9 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     ``similarity``: exactly the components of all such pairs.
 
     Sets that share a rare gram are candidates, and every link is verified on the whole sets, which
-    ``sets_of`` gives for a list of ``sid``. First each set meets one of ``CENTRES`` sets per gram; that links
-    most of a large group with few pairs. Then all candidates not yet in one component, of sizes
-    that allow the similarity, are compared.
+    ``sets_of`` gives for a list of ``sid``. In rounds each set meets the ``CENTRES`` of its grams, the first by one of
+    ``ORDERS`` orders of sets, other ones each round; that links most of a large group with few pairs. Then all candidates not yet in one component, of sizes that allow the similarity and with
+    enough rare grams in common, are compared.
     """
     least = similarity / (1 + similarity)
 
@@ -376,6 +376,15 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
         sizes = F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - SLACK
         return sizes & (F.least(a["n"] - a["place"], b["n"] - b["place"]) >= least * (a["n"] + b["n"]) - SLACK)
 
+    def room(n: str) -> Column:
+        """Rare grams of a set less those that a pair as similar as that need not share.
+
+        Of two sets, take the one whose rare grams end first: what both hold up to there is rare
+        in both, and only what follows in that set can be shared beyond it.
+        """
+        common = F.ceil(least * (F.col("n") + F.col("n_b")) - SLACK)
+        return F.col(n) - F.ceil(similarity * F.col(n) - SLACK) + 1 - (F.col(n) - common)
+
     def verified(pairs: DataFrame) -> DataFrame:
         whole = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "paired-sets")
         left, right = (whole.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
@@ -383,24 +392,34 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
         return met.filter(F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")) >= similarity).select("a", "b")
 
     names = ["sid", "n", "place", "root"]
-    salt = F.pmod("gram", F.lit(CENTRES))
-    members = rare.withColumn("root", F.col("sid"))
-    centre = F.min(F.struct(F.xxhash64("sid", salt).alias("k"), *names)).over(Window.partitionBy("gram"))
-    met = members.withColumn("c", centre).select("*", *[F.col(f"c.{c}").alias(f"{c}_b") for c in names])
-    met = met.filter((F.col("sid") != F.col("sid_b")) & able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
-    tested = stored(met.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b")).distinct(), "set-pairs")
-    edges = stored(verified(tested), "set-links")
-    labels = components(edges)
-    # Sizes that allow the similarity stand in one band or in two that follow each other.
-    band = F.floor(F.log("n") / -math.log(similarity))
-    members = rare.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("band", band)
     along = Window.partitionBy("gram")
-    members = stored(members.withColumn("lo", F.min("root").over(along)).withColumn("hi", F.max("root").over(along)).filter("lo <> hi").select("gram", "band", *names), "set-members")
-    other = members.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
-    met = members.join(other, ["gram", "band"]).filter((F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")))
-    met = met.filter(able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
-    pairs = met.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return components(edges.union(verified(stored(pairs, "set-pairs"))))
+    # Sizes that allow the similarity stand in one band or in two that follow each other.
+    rare = rare.withColumn("band", F.floor(F.log("n") / -math.log(similarity)))
+    tested, edges, labels = None, None, None
+    for turn in range(len(CENTRES) + 1):
+        members = rare.withColumn("root", F.col("sid"))
+        if labels is not None:
+            members = rare.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        if turn < len(CENTRES):
+            order = F.xxhash64("sid", F.pmod("gram", F.lit(ORDERS)) + ORDERS * turn)
+            centres = members.withColumn("k", F.row_number().over(along.orderBy(order, "sid"))).filter(F.col("k") <= CENTRES[turn])
+            met = members.join(centres.select("gram", *[F.col(c).alias(f"{c}_b") for c in names]), "gram").filter(F.col("sid") != F.col("sid_b"))
+        else:
+            members = members.withColumn("lo", F.min("root").over(along)).withColumn("hi", F.max("root").over(along)).filter("lo <> hi").select("gram", "band", *names)
+            members = stored(members, "set-members")
+            other = members.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
+            met = members.join(other, ["gram", "band"]).filter((F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")))
+            # All rare grams that two sets share are here, and similar ones share so many at least.
+            met = met.groupBy("sid", "sid_b", "n", "n_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= F.least(room("n"), room("n_b")))
+        if turn < len(CENTRES):
+            met = met.filter((F.col("root") != F.col("root_b")) & able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
+        pairs = met.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "set-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = verified(pairs)
+        edges = stored(found if edges is None else edges.union(found), "set-links")
+        labels = components(edges)
+    return labels
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -418,6 +437,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The sets of some ``sid``, made anew from one text of each."""
         keys = least.join(wanted, "sid").select(F.col("k.doc_id").alias("own_id"), F.col("k.h").alias("own_h"))
+        keys = stored(keys, "set-keys")  # a table of known size: Spark broadcasts it if small, or else joins by shuffle
         own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))
         return shingle_sets(texts.join(keys, own, "left_semi"), shingle).dropDuplicates(["sid"])
 
