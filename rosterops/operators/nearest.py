@@ -1,46 +1,37 @@
 """Nearest-date matching of bills and check-ins, and proof-link columns.
 
 Only the day of a row matters for the choice, so both sides are reduced to distinct
-``(name, day)``: bills keep their first index, check-ins the index that wins a tie. The
-join then runs on ``(name, day)``: every bill day asks for the days within tolerance.
-No name ever meets all its partners, and a hot name is spread over its days.
+``(name, day)``: bills keep their first index, check-ins the index that wins a tie. Nearest
+days come from two scans along a name's days, in spans, so a hot name is spread over its days.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterops.functions.text import clean
-from rosterops.operators.skew import attach
+from rosterops.operators.skew import attach, running_last
 
-WIDE_TOLERANCE = 366
 
+def nearest_days(bill_days: DataFrame, checkin_days: DataFrame, tolerance: int) -> DataFrame:
+    """``bill_days`` (``name, day, ...``) with ``checkin_idx, day_diff`` of the nearest check-in day (``name, day,
+    checkin_idx``) within tolerance.
 
-def _nearest_by_probe(bill_days: DataFrame, checkin_days: DataFrame, tolerance: int) -> DataFrame:
-    offsets = F.sequence(F.lit(-tolerance), F.lit(tolerance))
-    probes = bill_days.withColumn("o", F.explode(offsets)).withColumn("c_day", F.date_add("day", F.col("o")))
-    hits = probes.join(checkin_days, ["name", "c_day"])
-    return hits.groupBy("name", "day").agg(F.min(F.struct(F.abs("o").alias("diff"), "checkin_idx")).alias("best"))
-
-
-def _nearest_by_scan(bill_days: DataFrame, checkin_days: DataFrame, tolerance: int) -> DataFrame:
-    """For tolerances beyond a year: neighbours on the merged day axis of a name.
-
-    A name holds at most one row per calendar day and side here.
+    Both sides are laid on the day axis of a name, one row per day. The last check-in before each day
+    and the first one after it come from scans in spans, so a name of any length of history is
+    never sorted in one task, and the work does not grow with the tolerance.
     """
-    axis = bill_days.select("name", "day", F.lit(None).cast("long").alias("checkin_idx")).unionByName(
-        checkin_days.select("name", F.col("c_day").alias("day"), "checkin_idx"))
-    per_day = axis.groupBy("name", "day").agg(F.min("checkin_idx").alias("checkin_idx"))
-    hit = F.when(F.col("checkin_idx").isNotNull(), F.struct("day", "checkin_idx"))
-    past = Window.partitionBy("name").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("name").orderBy("day").rowsBetween(0, Window.unboundedFollowing)
-    sides = per_day.withColumn("b", F.last(hit, True).over(past)).withColumn("a", F.first(hit, True).over(ahead))
-    option = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff("day", f"{c}.day")).alias("diff"),
-                                                    F.col(f"{c}.checkin_idx").alias("checkin_idx"))) for c in ("b", "a")]
-    best = F.least(*option)
-    return (bill_days.join(sides.select("name", "day", best.alias("best")), ["name", "day"])
-            .filter(F.col("best.diff") <= tolerance).select("name", "day", "best"))
+    kept = [c for c in bill_days.columns if c not in ("name", "day")]
+    axis = bill_days.withColumn("checkin_idx", F.lit(None).cast("long")).unionByName(checkin_days, allowMissingColumns=True)
+    per_day = axis.groupBy("name", "day").agg(F.min("checkin_idx").alias("checkin_idx"), *[F.max(c).alias(c) for c in kept])
+    numbered = per_day.withColumn("_d", F.unix_date("day").cast("long"))
+    hit = F.when(F.col("checkin_idx").isNotNull(), F.struct("_d", "checkin_idx"))
+    before = running_last(numbered, ["name"], "_d", hit, "_b")
+    after = running_last(before, ["name"], "_d", hit, "_a", reverse=True)
+    options = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_d") - F.col(f"{c}._d")).cast("int").alias("diff"), F.col(f"{c}.checkin_idx").alias("checkin_idx"))) for c in ("_b", "_a")]
+    best = after.withColumn("_best", F.least(*options)).filter(F.col(kept[0]).isNotNull() & (F.col("_best.diff") <= tolerance))
+    return best.select("name", "day", *kept, F.col("_best.checkin_idx").alias("checkin_idx"), F.col("_best.diff").alias("day_diff"))
 
 
 def match_nearest(bills: DataFrame, checkins: DataFrame, tolerance: int) -> DataFrame:
@@ -53,11 +44,8 @@ def match_nearest(bills: DataFrame, checkins: DataFrame, tolerance: int) -> Data
     b = bills.withColumn("name", clean("name")).filter((F.col("name") != "") & F.col("day").isNotNull())
     c = checkins.withColumn("name", clean("name")).filter((F.col("name") != "") & F.col("day").isNotNull())
     bill_days = b.groupBy("name", "day").agg(F.min("bill_idx").alias("first_bill"), F.count(F.lit(1)).alias("_n"))
-    checkin_days = c.groupBy("name", F.col("day").alias("c_day")).agg(F.min("checkin_idx").alias("checkin_idx"))
-    nearest = _nearest_by_probe if tolerance <= WIDE_TOLERANCE else _nearest_by_scan
-    best = nearest(bill_days, checkin_days, tolerance).select(
-        "name", "day", F.col("best.checkin_idx").alias("checkin_idx"), F.col("best.diff").alias("day_diff"))
-    chosen = bill_days.join(best, ["name", "day"])
+    checkin_days = c.groupBy("name", "day").agg(F.min("checkin_idx").cast("long").alias("checkin_idx"))
+    chosen = nearest_days(bill_days, checkin_days, tolerance)
     claims = chosen.groupBy("checkin_idx").agg(F.min("first_bill").alias("claimed_by"))
     per_day = bill_days.join(chosen.select("name", "day", "checkin_idx", "day_diff").join(claims, "checkin_idx"),
                              ["name", "day"], "left").drop("first_bill")
