@@ -43,7 +43,11 @@ REASON = ("case status when 'skip' then '依据为空或标记为不适用。' w
 PAGE_LINES = """pl as (select conv_id as doc_id, turn as page_no, list_filter(string_split('Manual ' || conv_id || chr(10) || text || chr(10) || 'Page ' || turn, chr(10)), lambda x: trim(x, ' ') <> '') as ls from conversations),
 lines2 as (select doc_id, page_no, unnest(range(0, len(ls))) as i, unnest(ls) as text, len(ls) as n from pl)"""
 
-PAIRS = """cut as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), keyed as (select doc_id, min(md5(line)) as k from cut where length(line) >= 12 group by 1), pairs as (select doc_id as pair_id, my_doc, doc_id as ref_doc from keyed join (select k, min(doc_id) as my_doc from keyed group by 1 having count(*) > 1) using (k) where doc_id <> my_doc)"""
+SIMILAR = """firsts as (select min(doc_id) as doc_id from documents group by coalesce(text, '')),
+    held as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) join firsts using (doc_id) where trim(line) <> ''),
+    sizes as (select doc_id, count(*) as n from held group by 1), met as (select x.doc_id as a, y.doc_id as b, count(*) as shared from held x join held y on x.line = y.line and x.doc_id < y.doc_id group by all),
+    likeness as (select a, b, shared, shared / (p.n + q.n - shared) as similarity from met join sizes p on p.doc_id = a join sizes q on q.doc_id = b)"""
+PAIRS = f"""{SIMILAR}, pairs as (select a || '-' || b as pair_id, a as my_doc, b as ref_doc from likeness where similarity >= 0.3)"""
 
 ORACLES = {
     "document_blocks": f"""with {BLOCKS} select doc_id, block_idx, md5(text) as text,
@@ -99,6 +103,8 @@ ORACLES = {
         select doc_id, key, count(*) as on_pages from u join p using (doc_id) group by doc_id, key, n having count(*) >= greatest(3, ceil(n * 0.25))""",
     "item_lines": f"""with {LINES}, w as (select doc_id, line_no, list_filter(string_split(text, ' '), lambda x: x <> '') as ws from lines)
         select doc_id, (20000 - line_no * 10)::double as y, 1 as k, md5(list_reduce(ws, lambda a, x: a || case when regexp_matches(a, '[0-9a-zA-Z]$') and regexp_matches(x, '^[0-9a-zA-Z]') then ' ' else '' end || x, '')) as text, round(1 - (20000 - line_no * 10) / 20000.0, 6)::double as top_ratio from w where len(ws) > 0""",
+    "copy_classes": "select doc_id, min(doc_id) over (partition by coalesce(text, '')) as class_key from documents",
+    "similar_documents": f"with {SIMILAR} select a, b, shared, round(similarity, 6) as similarity from likeness where similarity >= 0.5",
     "unique_anchors": f"""with {PAIRS}, {BLOCKS}, s as (select pair_id, 'my' as side, block_idx - 1 as idx, {norm('text')} as norm from blocks join pairs on my_doc = doc_id union all select pair_id, 'ref', block_idx - 1, {norm('text')} from blocks join pairs on ref_doc = doc_id)
         select pair_id, max(idx) filter (side = 'my') as my_idx, max(idx) filter (side = 'ref') as ref_idx from s where length(norm) >= 12 group by pair_id, norm having count_if(side = 'my') = 1 and count_if(side = 'ref') = 1""",
     "turn_diffs": "select a.conv_id as doc_id, a.turn as page_no, length(trim(regexp_replace(a.text, '\\s+', ' ', 'g'))) as left_chars, length(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) as right_chars, true as balanced from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 2",

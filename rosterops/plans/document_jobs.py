@@ -10,6 +10,7 @@ from rosterops.operators import locate as L
 from rosterops.operators import manual as M
 from rosterops.operators import review as V
 from rosterops.operators import search as S
+from rosterops.operators import similar as X
 from rosterops.operators.diff import inline_diff
 from rosterops.operators.slices import make_slices
 from rosterops.plans import comparison as C
@@ -254,19 +255,27 @@ def item_lines(spark, sf):
     return M.item_lines(items, 20000.0).select("doc_id", "y", F.md5("text").alias("text"), F.round("top_ratio", 6).alias("top_ratio"))
 
 
-def _pairs(spark, sf):
-    """Near copies: documents with the same smallest line hash, each against the first one.
+#: Share of lines in common from which two texts are compared as revisions of one manual.
+REVISION = 0.3
+
+
+def copy_classes(spark, sf):
+    """Documents of equal text, each with the first one."""
+    return X.copy_classes(I.documents(spark, sf), "doc_id", "text")
+
+
+def similar_documents(spark, sf):
+    """Pairs of different texts that share at least half of their lines."""
+    d = I.documents(spark, sf)
+    pairs = X.similar_documents(I.lines_of(d), X.copy_classes(d, "doc_id", "text"), "doc_id", "text", 0.5)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
 
-    Documents that share most of their lines of 12 characters or more mostly share the
-    smallest hash too, wherever the lines stand.
-    """
-    lines = I.lines_of(I.documents(spark, sf)).filter(F.length("text") >= 12)
-    keyed = lines.groupBy("doc_id").agg(F.min(F.md5("text")).alias("k"))
-    firsts = keyed.groupBy("k").agg(F.min("doc_id").alias("my_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    from rosterops.operators.skew import attach
 
-    return attach(keyed, firsts, ["k"], "n", F.col("doc_id"), how="inner").filter(F.col("doc_id") != F.col("my_doc")).select(
-        F.col("doc_id").alias("pair_id"), "my_doc", F.col("doc_id").alias("ref_doc"))
+def _pairs(spark, sf):
+    """Revisions of a manual: different texts that share enough of their lines, the smaller id first."""
+    d = I.documents(spark, sf)
+    found = X.similar_documents(I.lines_of(d), X.copy_classes(d, "doc_id", "text"), "doc_id", "text", REVISION)
+    return found.select(F.concat_ws("-", "a", "b").alias("pair_id"), F.col("a").alias("my_doc"), F.col("b").alias("ref_doc"))
 
 
 def _units(spark, sf):
@@ -398,6 +407,6 @@ def role_runs(spark, sf):
 QUERIES = {f.__name__: f for f in (
     document_blocks, readable_pages, gram_candidates, keyword_hits, exact_hits, keyword_counts, saved_hits, hit_evidence, range_evidence, adopted_evidence,
     resolved_sources, located_sources, resolved_evidence, highlight_segments, block_windows, document_search, page_windows, locate_evidence, located_summary,
-    expanded_ranges, segment_flags, basket_slots, range_slots, export_tasks, rebound_slots, page_rules, margin_lines, layout_units, item_lines, unique_anchors,
+    expanded_ranges, segment_flags, basket_slots, range_slots, export_tasks, rebound_slots, page_rules, margin_lines, layout_units, item_lines, copy_classes, similar_documents, unique_anchors,
     comparison_slices, alignment_matches, revision_events, comparison_summary, revision_filter, revision_categories, revision_decisions, revision_outline,
     revision_report, revision_context, turn_diffs, role_runs)}

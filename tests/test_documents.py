@@ -203,3 +203,33 @@ def test_decisions_and_context(spark):
     focus = spark.createDataFrame([(1, 1, 2, 2, "乙丙丁"), (2, 1, 1, 1, "没有")], "event_key long, doc_id long, first_unit int, last_unit int, focus_text string")
     got = {r["event_key"]: (r["before"], r["focus"], r["after"]) for r in V.event_context(focus, units, radius=3).collect()}
     assert got == {1: ("甲甲甲", "乙 丙，丁", "戊戊戊"), 2: ("", "没有", "乙 丙")}
+
+
+@pytest.mark.parametrize("threshold, hot", [(0.5, 100_000), (0.3, 3), (0.8, 3), (1.0, 3)])
+def test_similar_sets_against_all_pairs(spark, monkeypatch, threshold, hot):
+    from rosterops.operators import similar, skew
+
+    monkeypatch.setattr(similar, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    rng = random.Random(7)
+    common = [f"boilerplate {k}" for k in range(6)]
+    sets = {}
+    for k in range(90):
+        base = sets[rng.choice(list(sets))] if sets and rng.random() < 0.6 else {f"line {rng.randrange(400)}" for _ in range(rng.randrange(1, 30))}
+        sets[k] = {x for x in base if rng.random() > 0.12} | set(rng.sample(common, rng.randrange(4))) or {"only"}
+    rows = [(k, line) for k, some in sets.items() for line in some] + [(3, line) for line in sets[3]] + [(None, "line 1"), (5, None)]
+    found = similar.similar_sets(spark.createDataFrame(rows, "k long, line string").repartition(4), "k", "line", threshold)
+    want = {(a, b, len(x & y)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= threshold}
+    got = [(r["a"], r["b"], r["shared"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and (want or threshold == 1.0)
+
+
+def test_copies_are_one_class(spark):
+    from rosterops.operators import similar
+
+    docs = spark.createDataFrame([(4, "a\nb"), (2, "a\nb"), (3, "b\na"), (7, None), (6, ""), (1, "x\n \n")], "doc_id long, text string")
+    classes = similar.copy_classes(docs, "doc_id", "text")
+    assert sorted(tuple(r) for r in classes.collect()) == [(1, 1), (2, 2), (3, 3), (4, 2), (6, 6), (7, 6)]
+    lines = docs.selectExpr("doc_id", "explode(split(text, '\\n')) as text")
+    assert [tuple(r) for r in similar.similar_documents(lines, classes, "doc_id", "text").collect()] == [(2, 3, 2, 1.0)]
+    assert similar.similar_documents(lines.limit(0), classes.limit(0), "doc_id", "text").count() == 0
