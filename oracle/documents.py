@@ -159,4 +159,6 @@ ORACLES["resolved_evidence"] = RESOLVE + """    , e as (select src.id as source_
       from src left join t2 on t2.id = src.id left join t3 on t3.id = src.id left join t4 on t4.id = src.id)
     select source_id, tier, case when tier is not null then doc_id end as new_doc, case tier when 2 then own when 3 then nxt when 5 then nxt when 4 then i4 when 6 then i4 end as new_idx,
       case when tier in (2, 3) then 5 when tier = 5 then p3 when tier in (4, 6) then p4 end as new_start from e"""
-
+# The names are small letters and digits, whose Chinese order is that of their codes.
+ORACLES["ranked_hits"] = f"""with {HITS} select item_id, h.doc_id, block_idx, start, cast(row_number() over (partition by item_id order by source, h.doc_id, block_idx, start) as int) as rank
+    from hits h join documents d on d.doc_id = h.doc_id"""

@@ -221,3 +221,10 @@ ORACLES["partial_pairs"] = f"""with recursive {REQ}, r as (select *, batch = 'P'
     select sequence, result_row, state from f where sequence is not null"""
 ORACLES["request_summary"] = f"""with o as ({ORACLES["request_outcomes"]}), i as ({ORACLES["request_intake"]})
     select count(*) as valid, count_if(status = '成功') as succeeded, count_if(status <> '成功') as failed, (select count(reason) from i) as input_errors from o"""
+ORACLES["written_report"] = """select '优先级' as section, o_orderpriority as item, count(*) as amount from orders group by 2 union all select '状态', o_orderstatus, count(*) from orders group by 2
+    union all select '客户', o_custkey::varchar, count(*) from orders group by 2"""
+ORACLES["failed_log"] = f"select row_no, shown_id, reason from ({ORACLES['request_intake']}) where reason is not null"
+ORACLES["package_check"] = """with f as (select source || '-' || (doc_id // 10000) as source, string_agg(doc_id || ' ' || md5(text), chr(10) order by doc_id) || chr(10) as body from documents group by 1),
+    d as (select source, strlen(body) as size, sha256(body) as sha from f),
+    m as (select source as path, if(source = 'src3-0', size + 1, size) as size, if(source = 'src5-0', sha256(source), sha) as sha256 from d union all select 'none', size, sha from d where source = 'src1-0')
+    select path, m.size, sha256, case when d.source is null then '项目包缺少文件' when d.size <> m.size or d.sha <> m.sha256 then '项目文件校验失败' end as reason from m left join d on d.source = m.path"""

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterops.functions import text as X
 from rosterops.functions.normal import loose_offsets, loose_text
-from rosterops.operators.skew import near_pairs, running_sum
+from rosterops.operators.skew import attach, near_pairs, running_last, running_sum
 from rosterops.operators.substring import all_positions, containing
 
 CONTEXT = 20
@@ -66,6 +66,13 @@ def keyword_hits(blocks: DataFrame, items: DataFrame) -> DataFrame:
     return candidate_blocks(blocks, items).mapInPandas(emit, HIT_SCHEMA)
 
 
+def ranked_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits with their ``rank`` per item: document name in Chinese order, then document, block and start."""
+    named = hits.join(documents.select("doc_id", "doc_name"), "doc_id")
+    by = Window.partitionBy("item_id").orderBy(F.collate("doc_name", "zh_Hans_CHN"), "doc_name", "doc_id", "block_idx", "start", "end")
+    return named.withColumn("rank", F.row_number().over(by))
+
+
 def sort_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Hits by document name in Chinese order, then block and start."""
     named = hits.join(documents.select("doc_id", "doc_name"), "doc_id")
@@ -372,28 +379,32 @@ def adopt_evidence(manual: DataFrame, adopted: DataFrame) -> DataFrame:
 
 
 def highlight_segments(texts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Disjoint segments of each text with the ranges that cover them.
+    """Disjoint segments of each text with the ranges that cover them, by start, end and number.
 
-    ``texts``: text_id, text. ``ranges``: text_id, range_id, start, end. Cuts are sorted
-    per text; a text bounds its own cuts and each segment lists only what covers it.
+    ``texts``: text_id, text. ``ranges``: text_id, range_id, start, end. All borders become events on the
+    text's axis; a sweep gives each border the next one, in spans, and how many ranges are open
+    from there on. Segments with open ranges meet these in cells of the axis, so a text with very
+    many ranges never tests them all for a segment.
     """
-    size = texts.select("text_id", F.length("text").alias("n"), "text")
-    clipped = ranges.join(size.select("text_id", "n"), "text_id").select(
+    size = texts.select("text_id", F.length("text").alias("n"))
+    clipped = ranges.join(size, "text_id").select(
         "text_id", "range_id", F.least(F.greatest("start", F.lit(0)), "n").alias("start"),
         F.least(F.greatest("end", F.lit(0)), "n").alias("end")).filter("end > start")
-    per = clipped.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "range_id"))).alias("r"))
-    joined = size.join(per, "text_id", "left").withColumn(
-        "r", F.coalesce("r", F.array().cast("array<struct<start:int,end:int,range_id:bigint>>")))
-    cuts = F.array_sort(F.array_distinct(F.concat(
-        F.array(F.lit(0), F.col("n")), F.transform("r", lambda x: x["start"]), F.transform("r", lambda x: x["end"]))))
-    cut = joined.withColumn("cuts", cuts)
-    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(1))), lambda i: F.struct(
-        F.get("cuts", i - 1).alias("start"), F.get("cuts", i).alias("end")))
-    rows = cut.select("text_id", "text", "r", F.explode(spans).alias("s")).filter(F.col("s.end") > F.col("s.start"))
-    active = F.transform(F.filter("r", lambda x: (x["start"] < F.col("s.end")) & (x["end"] > F.col("s.start"))), lambda x: x["range_id"])
-    return rows.select("text_id", "s.start", "s.end",
-                       F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("segment"),
-                       active.alias("active"))
+    events = size.select("text_id", F.explode(F.array(F.lit(0), F.col("n"))).alias("at"), F.lit(0).alias("step")).union(
+        clipped.select("text_id", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))).alias("e"))
+        .select("text_id", "e.at", "e.step"))
+    borders = events.groupBy("text_id", "at").agg(F.sum("step").alias("step"))
+    swept = running_sum(borders, ["text_id"], "at", F.col("step"), "open")
+    swept = running_last(swept, ["text_id"], "at", F.col("at"), "end", reverse=True, exclusive=True)
+    segments = swept.filter(F.col("end").isNotNull()).select("text_id", F.col("at").alias("start"), "end", "open")
+    spans = clipped.select("text_id", "range_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    met = near_pairs(spans, segments.filter("open > 0"), "text_id", F.col("r_start"), F.col("r_end") - 1, F.col("start"), F.col("end") - 1)
+    entry = F.struct("r_start", "r_end", "range_id")
+    active = met.groupBy("text_id", "start", "end").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["range_id"]).alias("active"))
+    whole = segments.join(active, ["text_id", "start", "end"], "left").withColumn("active", F.coalesce("active", F.array().cast("array<bigint>")))
+    counts = segments.groupBy("text_id").agg(F.count(F.lit(1)).alias("_n"))
+    placed = attach(whole, texts.select("text_id", "text"), ["text_id"], "_n", F.col("start"), "inner", counts)
+    return placed.select("text_id", "start", "end", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("segment"), "active")
 
 
 def block_windows(hits: DataFrame, blocks: DataFrame, target: int) -> DataFrame:

@@ -58,6 +58,11 @@ def exact_hits(spark, sf):
     return S.filter_hits(keyword_hits(spark, sf).filter(F.col("mode") == "exact"))
 
 
+def ranked_hits(spark, sf):
+    """Exact hits in the order of their documents' names."""
+    return S.ranked_hits(exact_hits(spark, sf), I.documents(spark, sf)).select("item_id", "doc_id", "block_idx", "start", "rank")
+
+
 def keyword_counts(spark, sf):
     """Hits per check item, zero included."""
     return S.hit_counts(_items(spark, sf), keyword_hits(spark, sf))
@@ -405,7 +410,7 @@ def role_runs(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    document_blocks, readable_pages, gram_candidates, keyword_hits, exact_hits, keyword_counts, saved_hits, hit_evidence, range_evidence, adopted_evidence,
+    document_blocks, readable_pages, gram_candidates, keyword_hits, exact_hits, ranked_hits, keyword_counts, saved_hits, hit_evidence, range_evidence, adopted_evidence,
     resolved_sources, located_sources, resolved_evidence, highlight_segments, block_windows, document_search, page_windows, locate_evidence, located_summary,
     expanded_ranges, segment_flags, basket_slots, range_slots, export_tasks, rebound_slots, page_rules, margin_lines, layout_units, item_lines, copy_classes, similar_documents, unique_anchors,
     comparison_slices, alignment_matches, revision_events, comparison_summary, revision_filter, revision_categories, revision_decisions, revision_outline,

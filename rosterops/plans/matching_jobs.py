@@ -13,8 +13,9 @@ from rosterops.operators import structure as S
 from rosterops.operators import validate as V
 from rosterops.operators.skew import mark_first
 from rosterops.plans import inputs as I
+from rosterops.session import new_folder
 from rosterops.sources import cells as C
-from rosterops.sources import intake, packages
+from rosterops.sources import intake, packages, reports
 
 
 def _entries(spark, sf, kind):
@@ -458,8 +459,47 @@ def reject_reasons(spark, sf):
     return good.select("line_no", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("line_no", "reason"))
 
 
+
+def written_report(spark, sf):
+    """A report of several tables, written by section and read back."""
+    o, n = I.table(spark, sf, "orders"), F.count(F.lit(1)).alias("n")
+    sections = {"优先级": o.groupBy("o_orderpriority").agg(n), "状态": o.groupBy("o_orderstatus").agg(n), "客户": o.groupBy("o_custkey").agg(n)}
+    keys = ["o_orderpriority", "o_orderstatus", "o_custkey"]
+    report = reports.long_report({name: t.withColumnRenamed(k, "key") for k, (name, t) in zip(keys, sections.items(), strict=True)}, "key", "n")
+    path = new_folder(spark, "report")
+    reports.write_long_report(report, path)
+    return reports.read_long_report(spark, path)
+
+
+def failed_log(spark, sf):
+    """Rows of the query list that failed, logged tab by tab for a second run and read back."""
+    path = new_folder(spark, "failed")
+    intake.write_failed(request_intake(spark, sf), ["row_no", "shown_id"], path)
+    return intake.read_failed(spark, ["row_no", "shown_id"], path).select(F.col("row_no").cast("long").alias("row_no"), "shown_id", "reason")
+
+
+def package_check(spark, sf):
+    """A package of written files against its manifest, by size and SHA-256.
+
+    A file holds one source's documents of ten thousand ids, a line each; the manifest names a file
+    more, and has a wrong sum for one and a wrong size for another.
+    """
+    part = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 10_000).cast("string"))
+    docs = I.table(spark, sf, "documents").select(part.alias("part"), "doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5("text")).alias("line"))
+    path = new_folder(spark, "package")
+    reports.write_text_files(docs, "part", "doc_id", "line", path)
+    whole = docs.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "line"))).alias("l"))
+    content = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    declared = whole.select("part", F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"))
+    declared = declared.select("part", F.when(F.col("part") == "src3-0", F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+                               F.when(F.col("part") == "src5-0", F.sha2("part", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    more = declared.filter(F.col("part") == "src1-0").withColumn("part", F.lit("none"))
+    files = packages.read_files(spark, path).filter(F.col("path").endswith(".txt")).withColumn("path", F.regexp_extract("path", "part=([^/]+)/", 1))
+    return packages.check_manifest(declared.union(more).withColumnRenamed("part", "path"), files)
+
+
 QUERIES = {f.__name__: f for f in (
-    loop_fields, non_blank_rows, reject_reasons, reconcile_counts, reconcile_summary, reconcile_differences, reconcile_references, split_names_reconcile, key_union, nearest_date_match,
+    loop_fields, non_blank_rows, reject_reasons, written_report, failed_log, package_check, reconcile_counts, reconcile_summary, reconcile_differences, reconcile_references, split_names_reconcile, key_union, nearest_date_match,
     nearest_date_wide, skipped_bills, proof_columns, proof_width, mentions_crosstab, mentions_wide, mentions_lookup, first_positions, unmatched_cells, route_order,
     annotate_list, annotation_totals, structure_report, origin_summary, unrecognized_values, residual_people, dedupe_first, request_intake,
     row_alignment, first_result_matches, paired_results, partial_pairs, attempt_notes, request_outcomes, request_summary, audit_flags, employee_rows,

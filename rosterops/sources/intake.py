@@ -101,3 +101,9 @@ def limit_rows(rows: DataFrame, size: int | None, order: str = "row_no") -> Data
 def write_failed(rows: DataFrame, keys: list[str], path: str) -> None:
     """Tab-separated keys and reason of failed rows, ready for a second run."""
     rows.filter(F.col("reason").isNotNull()).select(*keys, "reason").write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def read_failed(spark: SparkSession, keys: list[str], path: str) -> DataFrame:
+    """The log of ``write_failed`` as rows, all columns as text."""
+    layout = ", ".join(f"`{k}` string" for k in [*keys, "reason"])
+    return spark.read.schema(layout).option("sep", "\t").csv(path)

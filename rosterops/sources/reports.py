@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,15 @@ def long_report(sections: dict[str, DataFrame], key: str, value: str) -> DataFra
 
 def write_long_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").partitionBy("section").parquet(path)
+
+
+def read_long_report(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
+    """A written long report; of one section only its folder is read."""
+    report = spark.read.schema("item string, amount long, section string").parquet(path)
+    return (report if section is None else report.filter(F.col("section") == section)).select("section", "item", "amount")
+
+
+def write_text_files(lines: DataFrame, key: str, order: str, line: str, path: str) -> None:
+    """One text file per ``key`` under ``path/key=<value>``, its lines in the order of ``order``."""
+    placed = lines.select(key, order, line).repartition(key).sortWithinPartitions(key, order)
+    placed.select(key, line).write.mode("overwrite").partitionBy(key).text(path)

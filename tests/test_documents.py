@@ -233,3 +233,16 @@ def test_copies_are_one_class(spark):
     lines = docs.selectExpr("doc_id", "explode(split(text, '\\n')) as text")
     assert [tuple(r) for r in similar.similar_documents(lines, classes, "doc_id", "text").collect()] == [(2, 3, 2, 1.0)]
     assert similar.similar_documents(lines.limit(0), classes.limit(0), "doc_id", "text").count() == 0
+
+
+def test_highlights_of_very_many_ranges(spark):
+    rng = random.Random(9)
+    texts = {"a": "x" * 300, "b": "yz", "c": "", "d": "Überläufer"}
+    ranges = [(t, k, rng.randrange(-5, 310), rng.randrange(-5, 310)) for k, t in enumerate(rng.choices("abd", k=120))] + [("a", 500, 10, 20), ("a", 500, 10, 20)]
+    out = S.highlight_segments(spark.createDataFrame(list(texts.items()), "text_id string, text string"), spark.createDataFrame(ranges, "text_id string, range_id long, start int, end int"))
+    want = []
+    for name, text in texts.items():
+        held = [(max(a, 0), min(b, len(text)), k) for t, k, a, b in ranges if t == name and min(b, len(text)) > max(a, 0)]
+        cuts = sorted({0, len(text), *(x for a, b, _ in held for x in (a, b))})
+        want += [(name, a, b, text[a:b], [k for s, e, k in sorted(held) if s < b and e > a]) for a, b in zip(cuts, cuts[1:])]
+    assert sorted((r["text_id"], r["start"], r["end"], r["segment"], r["active"]) for r in out.collect()) == sorted(want)

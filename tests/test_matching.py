@@ -214,3 +214,20 @@ def test_first_result_rows_against_a_loop(spark):
         return "没有相关信息" not in text and all(tests)
 
     assert got == {q[0]: next((r[0] for r in res if agrees(q, r)), None) for q in req}
+
+
+def test_written_files_against_their_manifest(spark, tmp_path):
+    from rosterops.sources import intake, packages, reports
+
+    lines = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one"), ("b", 1, "x\ty")], "part string, no int, line string")
+    reports.write_text_files(lines, "part", "no", "line", str(tmp_path / "package"))
+    files = packages.read_files(spark, str(tmp_path / "package")).filter("path like '%.txt'").selectExpr("regexp_extract(path, 'part=([^/]+)/', 1) as path", "size", "sha256")
+    manifest = files.union(spark.createDataFrame([("c", 1, "0")], "path string, size long, sha256 string"))
+    assert sorted((r["path"], r["size"]) for r in files.collect()) == [("a", 8), ("b", 4)]
+    assert {r["path"]: r["reason"] for r in packages.check_manifest(manifest, files).collect()} == {"a": None, "b": None, "c": "项目包缺少文件"}
+    failed = spark.createDataFrame([(1, "x y", None), (2, "a\tb", "bad"), (3, "", "none")], "row_no int, raw string, reason string")
+    intake.write_failed(failed, ["row_no", "raw"], str(tmp_path / "failed"))
+    assert sorted(tuple(r) for r in intake.read_failed(spark, ["row_no", "raw"], str(tmp_path / "failed")).collect()) == [("2", "a\tb", "bad"), ("3", None, "none")]
+    report = reports.long_report({"s": lines.groupBy("part").count()}, "part", "count")
+    reports.write_long_report(report, str(tmp_path / "report"))
+    assert sorted(tuple(r) for r in reports.read_long_report(spark, str(tmp_path / "report"), "s").collect()) == [("s", "a", 2), ("s", "b", 1)]
