@@ -139,7 +139,7 @@ def text_hash(text: Column) -> Column:
 
 
 def give_back() -> None:
-    """Hands memory that a batch has freed back to the system: a Python worker lives on after its
+    """Hands memory that a task has freed back to the system: a Python worker lives on after its
     task, and what it keeps is the next stage's loss."""
     pa.default_memory_pool().release_unused()
     trim = kept(("trim",), lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))  # glibc's only

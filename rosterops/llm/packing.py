@@ -44,7 +44,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
                 out.append((part, before, doc_id, len(ids), ids.tobytes()))
                 before += len(ids)
             yield batch_of(out, schema)
-            give_back()
+        give_back()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return stored(texts.mapInArrow(encode, f"part int, before long, doc_id {kind}, n long, ids binary"), "tokens")
@@ -81,7 +81,7 @@ def pack(
                     out.append((doc_id, start, length, n, sequence, offset, ids[4 * start : 4 * (start + length)]))
                     start += length
             yield batch_of(out, schema)
-            give_back()
+        give_back()
 
     return placed.mapInArrow(cut, layout)
 
