@@ -109,9 +109,10 @@ def report_items() -> list[Item]:
     abroad = [c("RAMA"), c("REUO"), c("RWAS")]
     radio = [c("EAMA"), c("EEUO"), c("EWAS")]
     anyone_abroad = abroad[0] | abroad[1] | abroad[2]
+    # Report rows of the levels in report order, with their labels.
     levels = [("C类教员", "飞行教员C"), ("B类教员", "飞行教员B"), ("A类教员", "飞行教员A"),
-              *((f"{x}类机长", f"{x}类机长") for x in "DCBZ")]
-    junior = [*((f"{x}类副驾驶", label == f"{x}类副驾驶") for x in "DCB"),
+              ("D类机长", "D类机长"), ("C类机长", "C类机长"), ("B类机长", "B类机长"), ("Z类机长", "Z类机长")]
+    junior = [("D类副驾驶", label == "D类副驾驶"), ("C类副驾驶", label == "C类副驾驶"), ("B类副驾驶", label == "B类副驾驶"),
               ("A类副驾驶", label.isin("A1类副驾驶", "A2类副驾驶")), ("转机型副驾驶", c("transfer_first_officer"))]
     level_section, homes = "机长含以上各级别占比", "人员居住情况"
     radio_names = ["单美洲报务", "单欧洲报务", "单西亚报务"]
