@@ -5,24 +5,27 @@ component, the rows with a weight other than zero. A block of query rows is scor
 chunk component by component, each weighted posting scattered into a dense array of scores; a
 partition selection keeps each query's k best of the chunk, and the chunks' lists are merged.
 
-Blocks and chunks meet by a join on their two numbers, which gives one pair of bounded size to
-a task, whatever the numbers of queries and candidates.
+A row's hash names its chunk or block, so a task that runs again after a lost executor makes the
+same ones. Blocks are the small side and travel: each goes to every chunk by a join on the chunk's
+number, while a chunk is sent once and meets its blocks one after another. Whole numbers are stored
+in as few bytes as they need.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import pick, size_blocks, table_rows
+from rosterops.llm.frames import pick, table_rows
 
 K = 20
 SCALE = 64
-CHUNK, BLOCK = 16_384, 256  # candidates of a chunk, queries of a block
+CHUNK, BLOCK = 16_384, 256  # candidates of a chunk, queries of a block, on average at most
 STRIP = 64  # queries scored at a time
 
 
@@ -37,31 +40,38 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return rows.select(F.col("vec_id").cast("long"), F.transform("v", lambda x: F.floor(scale * x)).cast("array<bigint>").alias("v"))
 
 
-def packed(rows: DataFrame, most: int, number: str) -> DataFrame:
-    """Rows dealt out evenly and packed: ``number, ids, matrix`` with at most ``most`` rows each.
+def packed(rows: DataFrame, most: int, number: str) -> tuple[DataFrame, int]:
+    """Distinct rows dealt out by hash and packed: ``number, ids, width, kind, matrix``, and how many
+    numbers there are, so that a number has ``most`` rows on average at most.
+
     A shorter vector is filled with zeros, which leaves its products as they are."""
     parts = max(1, -(-rows.count() // most))
-    schema = pa.schema([(number, pa.int64()), ("ids", pa.binary()), ("width", pa.int64()), ("matrix", pa.binary())])
+    schema = pa.schema([(number, pa.int64()), ("ids", pa.binary()), ("width", pa.int64()), ("kind", pa.string()), ("matrix", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for k, block in enumerate(size_blocks(table_rows(batches), lambda row: 1, most)):
-            width = max(len(v) for _, v in block)
-            matrix = np.zeros((len(block), width), "<i8")
-            for row, (_, v) in zip(matrix, block, strict=True):
+        for at, block in groupby(table_rows(batches), key=lambda row: row[0]):
+            _, ids, vectors = zip(*block, strict=True)
+            matrix = np.zeros((len(ids), max(1, *map(len, vectors))), "<i8")
+            for row, v in zip(matrix, vectors, strict=True):
                 row[: len(v)] = v
-            ids = np.array([i for i, _ in block], "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in ((part << 32) + k, ids.tobytes(), width, matrix.tobytes())], schema=schema)
+            kind = next(k for k in ("<i2", "<i4", "<i8") if np.array_equal(matrix.astype(k), matrix))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in (at, np.array(ids, "<i8").tobytes(), matrix.shape[1], kind, matrix.astype(kind).tobytes())], schema=schema)
+
+    dealt = rows.distinct().select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("long").alias(number), "vec_id", "v")
+    sorted_rows = dealt.repartition(number).sortWithinPartitions(number)
+    return sorted_rows.mapInArrow(pack, f"{number} long, ids binary, width long, kind string, matrix binary"), parts
+
 
-    return rows.repartition(parts).mapInArrow(pack, f"{number} long, ids binary, width long, matrix binary")
+def largest_of(matrix: np.ndarray) -> int:
+    """Largest absolute value; the least number of a type has none in the type itself."""
+    return max(int(matrix.max(initial=0)), -int(matrix.min(initial=0)))
 
 
 def scores_of(queries: np.ndarray, chunk: np.ndarray) -> Iterator[np.ndarray]:
     """Dense score arrays of strips of queries against all rows of a chunk."""
     width = min(queries.shape[1], chunk.shape[1])
-    largest = int(np.abs(queries).max(initial=0)) * int(np.abs(chunk).max(initial=0)) * width
+    largest = largest_of(queries) * largest_of(chunk) * width
     if largest >= 1 << 62:
         raise OverflowError("inner products exceed 64 bits")
     kind = np.int32 if largest < 1 << 31 else np.int64
@@ -97,20 +107,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, chunk: int = CHUNK,
     vectors is several candidates and its queries' lists are merged. Fewer than k candidates
     give fewer rows; an empty table gives none.
     """
-    rows = vectors.distinct()
-    candidates, queries = packed(rows, chunk, "chunk"), packed(rows.filter(is_query), block, "block")
-    chunks, blocks = candidates.select("chunk"), queries.select(F.col("block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("matrix").alias("q"))
-    numbers = [row["chunk"] for row in chunks.collect()]
-    turns = [row["block"] for row in blocks.select("block").collect()]
-    if not numbers or not turns:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pairs = candidates.withColumn("block", F.explode(F.lit(turns))).join(blocks.withColumn("chunk", F.explode(F.lit(numbers))), ["chunk", "block"])
+    candidates, chunks = packed(vectors, chunk, "chunk")
+    queries, _ = packed(vectors.filter(is_query), block, "block")
+    blocks = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "kind", "matrix")])
+    sent = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    # The chunk is the buffered side of the merge: a task holds one chunk and one block at a time.
+    pairs = sent.hint("merge").join(candidates, "chunk")
     schema = pa.schema([(n, pa.int64()) for n in ("query_id", "vec_id", "score")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, width, matrix, q_ids, q_width, q in table_rows(b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+        for ids, width, kind, matrix, q_ids, q_width, q_kind, q in table_rows(b.slice(i, 1) for b in batches for i in range(b.num_rows)):
             ids, asked = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-            strips = scores_of(np.frombuffer(q, "<i8").reshape(-1, q_width), np.frombuffer(matrix, "<i8").reshape(-1, width))
+            strips = scores_of(np.frombuffer(q, q_kind).reshape(-1, q_width), np.frombuffer(matrix, kind).reshape(-1, width))
             rows = (row for strip in strips for row in strip)
             found = [(own, best, row[best]) for own, row in zip(asked, rows, strict=True) for best in [best_rows(row, ids, own, k)]]
             yield pa.RecordBatch.from_arrays([
@@ -119,6 +127,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, chunk: int = CHUNK,
                 pa.array(np.concatenate([some for _, _, some in found]).astype(np.int64)),
             ], schema=schema)
 
-    lists = pairs.select("ids", "width", "matrix", "q_ids", "q_width", "q").mapInArrow(score, "query_id long, vec_id long, score long")
+    lists = pairs.select("ids", "width", "kind", "matrix", "q_ids", "q_width", "q_kind", "q_matrix").mapInArrow(score, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

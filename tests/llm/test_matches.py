@@ -155,6 +155,20 @@ def test_terms_that_disclose_a_value(spark):
     assert not pii.find(copies).filter("kind = 4").count()  # copies of one passage are one context
 
 
+def test_terms_are_marked_in_the_whole_document(spark):
+    far = "lorem é𝒳 " * 60
+    told = [f"{'abcdefgh'[k]}words ask Zorblatt or Qy about jz@mail.org {'stuvwxyz'[k]}end {far}later zorblatt signed for qy" for k in range(5)]
+    other = [f"zorblatt writes {k} x@y{k}.org" if k == 59 else f"nothing of note {'y' * k} to ask or sign about, lorem é𝒳 later signed for" for k in range(10, 90)]
+    docs = spark.createDataFrame(list(enumerate(told + other)) + [(0, told[0]), (None, told[4])], "doc_id long, text string")
+    spans = pii.find(docs)
+    got = sorted((r["start"], r["end"]) for r in spans.filter("doc_id = 0 and kind = 4").collect())
+    want = [m.span() for m in re.finditer("zorblatt|qy", told[0].lower())]
+    assert len(want) == 4 and got == want and want[-2][0] - told[0].index("@") > 500
+    assert spans.filter("kind = 4 and doc_id is null").count() == 4
+    assert not spans.filter("kind = 4 and doc_id >= 5").count()  # there stands no value that the term tells of
+    assert sorted(r["n_email"] for r in pii.report(spans).filter("doc_id = 0").collect()) == [1, 1]
+
+
 def test_personal_data_is_cut_out_whole(spark):
     texts = [(1, "call +1 (415) 555-2671 or 10.0.0.1, a@b.c"), (2, None), (3, "no data 5"), (None, "x a@b.c"), (1, "call +1 (415) 555-2671 or 10.0.0.1, a@b.c"), (4, "+10.0.0.1 00 9 tail")]
     docs = spark.createDataFrame([(*t, 1, "o", 0) for t in texts], "doc_id long, text string, h int, other string, n int").toDF("doc_id", "text", "h", "Text", "doc_ID")
@@ -222,6 +236,14 @@ def test_top_k_against_all_products(spark, chunk, block):
     assert topk.top_k(topk.quantised(vectors.limit(0)), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_numbers(spark):
+    rows = [(k, [2.0**k, -(2.0**15), 1.0 - 2.0 ** (25 - k)]) for k in range(25)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.quantised(vectors, scale=1), F.col("vec_id") >= 24, 3, 4, 2).collect()
+    dots = sorted((-sum(int(np.floor(a)) * int(np.floor(b)) for a, b in zip(rows[24][1], v)), i) for i, v in rows[:24])[:3]
+    assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got) == [(k + 1, *d) for k, d in enumerate(dots)]
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
