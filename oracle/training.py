@@ -133,6 +133,9 @@ ORACLES = {
         select project, cast(row_number() over (order by total desc, expired desc, expired_planned desc, must desc, uncovered desc, recommended desc, project) as int) as place from z""",
     "month_grid": f"""with {BOARD}, m as (select due_month, {BUCKETS} from board where {SEEN} group by 1)
         select d.due_month, {ZEROS} from (select '2002-' || lpad(i::varchar, 2, '0') as due_month from range(1, 13) t(i)) d left join m using (due_month)""",
+    "risk_items": f"""with {BOARD}, r as (select employee_id as person, case status when '已过期' then 0 when '已过期已排补训' then 1 when '必须排' then 2 when '已排未覆盖' then 3 when '推荐排' then 4 when '异常' then 5 end as rank,
+            status, project, due_date, expiry from board where {SEEN})
+        select person, row_number() over (partition by person order by rank, status, project) - 1 as place, rank, status, project, due_date, expiry from r""",
     "person_risk": f"""with {BOARD} select employee_id as person, employee_id, min(name) as name, {BUCKETS}, count(*) as total,
         coalesce(min(nullif(due_date, '')), '') as nearest_due from board where {SEEN} group by employee_id""",
     "top_rows": f"""with {BOARD} select project, status, rank, total, due_date, name, employee_id from (select *, row_number() over (partition by project, status order by due_date, name, employee_id) as rank,
@@ -157,6 +160,10 @@ ORACLES = {
     "what_if_board": f"""with {BOARD.replace(" and not (c_nationkey = 7 and cells.project = 'TSA')", '').replace('from lineitem join orders on l_orderkey = o_orderkey)', "from lineitem join orders on l_orderkey = o_orderkey union all select distinct 'TSA', cast(o_custkey as varchar), date '2002-06-20', false, false, o_custkey from orders where o_orderpriority = '4-NOT SPECIFIED')")}
         select s.status, count(board.status) as n from (values ('已过期'), ('已过期已排补训'), ('必须排'), ('已排未覆盖'), ('推荐排'), ('异常')) s(status) left join board on board.status = s.status group by 1""",
     "renewal_run": f"{FOLD} select * from run",
+    "renewal_choice": FOLD.replace("from orders)", f"from orders where {PROJECT} in ('TSA', '危险品') and strftime(o_orderdate, '%Y-%m') = '1998-05')") + " select * from run",
+    "written_expiry": f"""{FOLD}, w as (select person_row, project, max(new_expiry) as e from run where result = '已更新' group by 1, 2)
+        select c as person_row, cells.project, coalesce(cast(e as varchar), case when c_acctbal < 0 then '待定' when c_acctbal > 9500 then '/' else cast(date '1997-01-01' + cast(c % 700 as int) as varchar) end) as raw_expiry
+        from cells join customer on c_custkey = c left join w on w.person_row = c and w.project = cells.project""",
     "renewal_counts": f"""{FOLD} select count(*) as matched, count_if(result = '已更新') as updated, count_if(result = '不变') as unchanged, count_if(result = '有效期回退') as rollback,
         count_if(result = '更新无效') as invalid, count_if(skip_status is not null) as skipped from run""",
     "updated_people": f"""{FOLD}, l as (select person_row, project, max(new_expiry) as e from run where result = '已更新' group by 1, 2)

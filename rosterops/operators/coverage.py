@@ -221,7 +221,7 @@ def top_rows(board: DataFrame, size: int | None = None) -> DataFrame:
     order = Window.partitionBy("project", "status").orderBy("due_date", "name", "employee_id")
     ranked = seen.withColumn("rank", F.row_number().over(order))
     top = ranked if size is None else ranked.filter(F.col("rank") <= size)
-    return top.join(F.broadcast(totals), ["project", "status"])
+    return top.join(totals, ["project", "status"])
 
 
 def facets(board: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def _annotated(spark, sf):
     lists = c.filter(F.col("c_acctbal") > 3000).select(F.col("c_name").alias("name"), sheet.alias("sheet")).unionByName(
         c.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_name").alias("name"), F.lit("长期关注").alias("sheet")))
     dim = M.sheet_category(lists, M.category_table(spark))
-    focus = lists.join(F.broadcast(dim), "sheet").select("name", "category", "priority", "label")
+    focus = lists.join(dim, "sheet").select("name", "category", "priority", "label")
     o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_no"), I.customer_name(F.col("o_custkey")).alias("name"), F.col("o_orderpriority").alias("sheet"))
     return M.annotate(o, focus, "name", "row_no")
 

@@ -97,6 +97,12 @@ def person_risk(spark, sf):
     return C.person_risk(_board(spark, sf), with_items=False)
 
 
+def risk_items(spark, sf):
+    """Every item behind a person's risk, in its place of the list."""
+    risk = C.person_risk(_board(spark, sf)).select("person", F.posexplode("items").alias("place", "item"))
+    return risk.select("person", "place", "item.rank", "item.status", "item.project", "item.due_date", "item.expiry")
+
+
 def top_rows(spark, sf):
     """First 80 rows per project and status, with the true total."""
     return C.top_rows(_board(spark, sf), 80).select("project", "status", "rank", "total", "due_date", "name", "employee_id")
@@ -159,11 +165,15 @@ def what_if_board(spark, sf):
     return C.status_cards(C.status_board(e, both, TODAY, STAGE_END)).drop("ord")
 
 
-def _renewal(spark, sf):
+def _older_cells(spark, sf):
     cells = I.expiry(spark, sf).withColumnRenamed("row_no", "person_row")
     older = F.when(F.col("raw_expiry").isin("待定", "/"), F.col("raw_expiry")).otherwise(
         F.date_format(F.date_add(F.lit("1997-01-01"), (F.col("person_row") % 700).cast("int")), "yyyy-MM-dd"))
-    return N.renewal_run(I.training(spark, sf), cells.withColumn("raw_expiry", older), I.people(spark, sf), RENEWAL_DAY)
+    return cells.withColumn("raw_expiry", older)
+
+
+def _renewal(spark, sf, **choice):
+    return N.renewal_run(I.training(spark, sf), _older_cells(spark, sf), I.people(spark, sf), RENEWAL_DAY, **choice)
 
 
 def renewal_run(spark, sf):
@@ -171,6 +181,17 @@ def renewal_run(spark, sf):
     return _renewal(spark, sf).select("row_no", "project", "person_row", "old_expiry", "new_expiry", "judgement", "result", "skip_status")
 
 
+def renewal_choice(spark, sf):
+    """The run of chosen projects in one month."""
+    run = _renewal(spark, sf, projects=["TSA", "危险品"], month="1998-05")
+    return run.select("row_no", "project", "person_row", "old_expiry", "new_expiry", "judgement", "result", "skip_status")
+
+
+def written_expiry(spark, sf):
+    """The people table after the run, written dates in place of the old cells."""
+    return N.updated_expiry(_older_cells(spark, sf), _renewal(spark, sf)).select("person_row", "project", "raw_expiry")
+
+
 def renewal_counts(spark, sf):
     """Counters of the run."""
     return N.renewal_counts(_renewal(spark, sf))
@@ -265,7 +286,7 @@ def workbook_health(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    record_policies, rule_outcomes, stage_states, status_board, board_filter, status_cards, project_matrix, matrix_order, board_order, month_grid, person_risk, top_rows,
+    record_policies, rule_outcomes, stage_states, status_board, board_filter, status_cards, project_matrix, matrix_order, board_order, month_grid, person_risk, risk_items, top_rows,
     board_facets, worst_tones, scheduled_distribution, schedule_filter, selected_rows, yearly_training, pending_defaults, pending_sessions, common_months, what_if_board,
-    renewal_run, renewal_counts, updated_people, resolved_people, attendance, participation, attendance_by_month, attendance_by_role, duplicate_bookings,
+    renewal_run, renewal_choice, written_expiry, renewal_counts, updated_people, resolved_people, attendance, participation, attendance_by_month, attendance_by_role, duplicate_bookings,
     duplicate_rows, roster_mismatch, duplicate_ids, duplicate_id_rows, id_integrity, workbook_health)}

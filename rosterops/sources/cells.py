@@ -88,7 +88,7 @@ def sheets_by_alias(sheets: DataFrame, aliases: DataFrame) -> DataFrame:
 
     ``sheets``: workbook, sheet, sheet_no. ``aliases``: alias, role (a small dimension).
     """
-    spelled = F.broadcast(aliases.withColumn("_k", strip_spaces("alias")))
+    spelled = aliases.withColumn("_k", strip_spaces("alias"))
     hit = sheets.withColumn("_k", strip_spaces("sheet")).join(spelled, "_k")
     return hit.groupBy("workbook", "role").agg(F.min(F.struct("sheet_no", "sheet")).getField("sheet").alias("sheet"))
 
