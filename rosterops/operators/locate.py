@@ -88,7 +88,7 @@ def score_windows(targets: DataFrame, pages: DataFrame) -> DataFrame:
     totals = segments.groupBy("target_id").agg(F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("total_segments"))
     words = segments.select("segment").distinct()
     windows = page_windows(pages)
-    hits = containing(words, windows, "segment", "body", [], ["doc_id", "start_page", "lengths"]).select(
+    hits = containing(words, windows, "segment", "body", [], ["doc_id", "start_page"], carry=("lengths",)).select(
         "segment", "doc_id", "start_page", "lengths", (F.instr("body", F.col("segment")) - 1).alias("at"))
     sized = hits.select("segment", "doc_id", "start_page", "at", F.posexplode("lengths").alias("k", "chars")).filter(
         F.col("at") + F.length("segment") <= F.col("chars"))

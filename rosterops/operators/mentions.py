@@ -1,9 +1,7 @@
 """Who is mentioned where: roster names in free text, crosstabs, list annotation.
 
-A roster of checked size goes through the substring join. Beyond that size the same hits
-come from a hash join: every substring of a cell whose length occurs among the roster
-names is looked up, so the work grows with text length times distinct name lengths, not
-with text times roster.
+Names are found by the substring join; ``automaton_needles=0`` takes its way for rosters of
+any size.
 """
 
 from __future__ import annotations
@@ -11,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterops.functions.text import char_grams, clean
+from rosterops.functions.text import clean
 from rosterops.functions.tables import literal_table
 from rosterops.operators.skew import attach
-from rosterops.operators.substring import containing, is_small
-
-BROADCAST_NAMES = 50_000
+from rosterops.operators.substring import AUTOMATON_NEEDLES, containing
 
 
 def roster_names(roster: DataFrame) -> DataFrame:
@@ -25,34 +21,17 @@ def roster_names(roster: DataFrame) -> DataFrame:
     return named.groupBy("name").agg(F.min("row_no").alias("roster_no"), F.count(F.lit(1)).alias("copies"))
 
 
-def mentions(
-    cells: DataFrame, roster: DataFrame, text: str, keep: list[str], broadcast_names: int = BROADCAST_NAMES
-) -> DataFrame:
+def mentions(cells: DataFrame, roster: DataFrame, text: str, keep: list[str], automaton_needles: int = AUTOMATON_NEEDLES) -> DataFrame:
     """One row per cell and distinct roster name in it, with the first position.
 
     ``keep`` identifies a cell. Adds ``name, roster_no, copies, position`` (1-based). A
     name listed twice in the roster counts twice in the reports, which ``copies`` carries.
     """
-    names = roster_names(roster)
-    if not is_small(names, broadcast_names):
-        return mentions_by_lookup(cells, names, text, keep)
     held = cells.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_body"))
-    hits = containing(names, held, "name", "_body", ["roster_no", "copies"], keep)
+    hits = containing(roster_names(roster), held, "name", "_body", ["roster_no", "copies"], keep, automaton_needles=automaton_needles)
     return hits.withColumn("position", F.instr("_body", F.col("name"))).drop("_body")
 
 
-def mentions_by_lookup(cells: DataFrame, names: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Substrings of roster-name lengths, hash joined; lengths are bounded by the longest name."""
-    lengths = sorted(r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect())
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    # Only the cell's key, the place and the substring are spread; the body stays behind.
-    places = [F.transform(char_grams(body, n, distinct=False), lambda part, at: F.struct((at + 1).alias("position"), part.alias("name"))) for n in lengths]
-    parts = cells.select(*keep, F.explode(F.flatten(F.array(*places))).alias("p")).select(*keep, "p.position", "p.name")
-    first = parts.join(names.select("name"), "name", "left_semi").groupBy(*keep, "name").agg(F.min("position").alias("position"))
-    return first.join(names, "name").select(*keep, "name", "roster_no", "copies", "position")
-
-
 def names_in_text_order(hits: DataFrame, key: list[str]) -> DataFrame:
     """Names of each cell ordered by first position, then by roster order."""
     entry = F.struct("position", "roster_no", "name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterops.functions import text as X
 from rosterops.functions.dates import query_date_text, same_day_text
+from rosterops.operators.mentions import mentions
 from rosterops.operators.skew import attach, running_sum
 from rosterops.session import cut_lineage
 from rosterops.sources.intake import resolve_leave_type
@@ -304,15 +305,12 @@ def merge_details(first: DataFrame, second: DataFrame) -> DataFrame:
 def row_of_employee(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """First table row that shows a request's ID or, failing that, its name.
 
-    ``rows``: row_no, row_text. IDs are looked up among the digit windows of a row, names
-    among its substrings of name length, both as hash joins.
+    ``rows``: row_no, row_text. IDs are looked up among the digit windows of a row, names by
+    the substring join.
     """
-    from rosterops.operators.mentions import mentions_by_lookup, roster_names
-
     ids = rows.select("row_no", F.explode(_id_windows("row_text")).alias("employee_id"))
     by_id = requests.select("employee_id").distinct().join(ids, "employee_id").groupBy("employee_id").agg(F.min("row_no").alias("id_row"))
-    names = roster_names(requests.withColumn("row_no", F.col("sequence")))
-    named = mentions_by_lookup(rows.withColumnRenamed("row_no", "text_row"), names, "row_text", ["text_row"])
+    named = mentions(rows.withColumnRenamed("row_no", "text_row"), requests.withColumn("row_no", F.col("sequence")), "row_text", ["text_row"], automaton_needles=0)
     by_name = named.groupBy("name").agg(F.min("text_row").alias("name_row"))
     out, spread = requests.withColumn("name", X.clean("name")), F.col("sequence")
     for key, found in (("employee_id", by_id), ("name", by_name)):

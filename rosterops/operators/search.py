@@ -32,7 +32,7 @@ def candidate_blocks(blocks: DataFrame, items: DataFrame) -> DataFrame:
         alone = indexed.filter(F.length("loose") == 1).select(F.col("loose").alias("loose_key")).distinct()
         usable = asked.filter(~single).unionByName(asked.filter(single).join(alone, "loose_key", "left_semi").select(*asked.columns))
     text = indexed.select("doc_id", "block_idx", "text", "loose")
-    return containing(usable, text, "loose_key", "loose", ["item_id", "keyword"], ["doc_id", "block_idx", "text"]).select(
+    return containing(usable, text, "loose_key", "loose", ["item_id", "keyword"], ["doc_id", "block_idx"], carry=("text",)).select(
         "item_id", "keyword", "loose_key", "doc_id", "block_idx", "text")
 
 
@@ -215,7 +215,7 @@ def resolve_sources(sources: DataFrame, blocks: DataFrame) -> DataFrame:
     in_block = _only_one(_occurrences(here.filter("wanted <> ''"), "wanted", True), 3)
     everywhere = containing(
         s, _blocks_for_join(blocks), "wanted", "b_text", ["source_id", "doc_id", "before_text", "after_text"], ["b_doc", "b_idx"],
-    ).filter(F.col("doc_id") == F.col("b_doc"))
+        within=("doc_id", "b_doc"))
     by_context = _only_one(_occurrences(everywhere, "wanted", True), 4)
     by_keyword = _only_one(_occurrences(here.filter("keyword <> ''"), "keyword", False), 5)
     return _best_tier(sources, [by_id, by_index, in_block, by_context, by_keyword])
@@ -237,6 +237,15 @@ def evidence_documents(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     return by_id.select(*cut).unionByName(by_name.select(*cut)).unionByName(loose.select(*cut))
 
 
+def _in_scope(scoped: DataFrame, blocks: DataFrame, needle: str, keys: list[str]) -> DataFrame:
+    """Blocks that hold a row's text: those of its documents, or any block for scope ``all``.
+
+    A row with documents meets the postings of these alone.
+    """
+    pinned = containing(scoped.filter("scope <> 'all'"), blocks, needle, "b_text", keys, ["b_doc", "b_idx"], within=("scope_doc", "b_doc"))
+    return pinned.unionByName(containing(scoped.filter("scope = 'all'"), blocks, needle, "b_text", keys, ["b_doc", "b_idx"]))
+
+
 def resolve_evidence(evidence: DataFrame, documents: DataFrame, blocks: DataFrame) -> DataFrame:
     """Find where saved evidence stands in the current documents.
 
@@ -271,10 +280,9 @@ def resolve_evidence(evidence: DataFrame, documents: DataFrame, blocks: DataFram
 
     at_index = pinned.drop("doc_id", "block_id").withColumnsRenamed({"block_idx": "b_idx"}).withColumn(
         "b_doc", F.col("scope_doc")).join(b, ["b_doc", "b_idx"])
-    everywhere = containing(
-        scoped.drop("doc_id"), _blocks_for_join(blocks), "text", "b_text",
-        ["source_id", "scope", "scope_doc", "block_idx", "before_text", "after_text", "selection"], ["b_doc", "b_idx"],
-    ).filter(in_scope)
+    everywhere = _in_scope(
+        scoped.drop("doc_id"), _blocks_for_join(blocks), "text",
+        ["source_id", "scope", "scope_doc", "block_idx", "before_text", "after_text", "selection"])
     spots = _occurrences(everywhere, "text", True)
     in_block = _only_one(spots.filter(F.col("b_idx") == F.col("block_idx")), 5)
     by_context = _only_one(spots, 6)
@@ -308,8 +316,7 @@ def _across_blocks(scoped: DataFrame, placed: DataFrame) -> DataFrame:
         "source_id", "scope", "scope_doc", "before_text", "after_text", "selection", "text", "pieces",
         F.col("_top.x").alias("anchor"), (-F.col("_top.i")).alias("at"))
     blocks = placed.select(F.col("doc_id").alias("b_doc"), F.col("block_idx").alias("b_idx"), F.col("text").alias("b_text"))
-    found = containing(keyed.drop("pieces"), blocks, "anchor", "b_text", ["source_id", "scope", "scope_doc", "at"], ["b_doc", "b_idx"])
-    found = found.filter((F.col("scope") == "all") | (F.col("scope_doc") == F.col("b_doc")))
+    found = _in_scope(keyed.drop("pieces"), blocks, "anchor", ["source_id", "scope", "scope_doc", "at"])
     bases = found.select("source_id", "b_doc", (F.col("b_idx") - F.col("at")).alias("base")).distinct()
     laid = keyed.select("source_id", F.size("pieces").alias("n"), F.posexplode("pieces").alias("k", "piece"))
     checked = bases.join(laid, "source_id").withColumn("b_idx", (F.col("base") + F.col("k")).cast("int")).join(blocks, ["b_doc", "b_idx"])

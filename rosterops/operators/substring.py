@@ -1,56 +1,88 @@
 """Substring join: which needles occur in which texts.
 
-Three ways, chosen by the checked number of needles. A handful is broadcast and tested
-with ``contains``. Up to ``AUTOMATON_NEEDLES`` travel to the tasks as one automaton that
-reads every text once. Beyond that nothing is broadcast: every needle is looked up by its
-rarest gram. Grams of texts are matched with needle grams only, counted, and the least
-frequent one per needle becomes its join key; candidate pairs share that gram and are
-verified on the texts themselves. All three give the same pairs.
+Needles whose number and size are checked travel to the tasks as one automaton. Any others
+go by postings: texts are cut into ``(gram, key, place)``, and a needle is probed by its two
+rarest grams, which must both stand in a text at their distance in the needle, so a common gram
+alone makes no candidate. Grams are counted with partial sums before anything is shuffled, and
+a gram with many postings is split by ``attach``. Candidates are keys, never text; each is
+verified on its text at the end. Both ways give the same pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-try:
-    import ahocorasick
-except ImportError:  # the gram join serves any number of needles
-    ahocorasick = None
+from rosterops.operators.skew import attach
+
+AUTOMATON_NEEDLES, AUTOMATON_CHARS = 50_000, 5_000_000
+GRAM, PROBES, PIECE = 4, 2, 64
+
+
+def fits_broadcast(rows: DataFrame, max_rows: int, max_chars: int) -> bool:
+    """Size check in front of a broadcast, by rows and by characters of all columns.
+
+    Reads at most ``max_rows + 1`` rows.
+    """
+    wide = F.concat_ws("", *(F.col(c).cast("string") for c in rows.columns))
+    seen = rows.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(wide)), F.lit(0)).alias("chars")).first()
+    return seen["n"] <= max_rows and seen["chars"] <= max_chars
+
 
-from rosterops.functions.text import char_grams
+def _postings(rows: DataFrame, keys: list[str], text: str, sizes: Column) -> DataFrame:
+    """``keys, _g, _at``: the grams of a text with their places, for the lengths in ``sizes``.
 
-SCAN_NEEDLES, AUTOMATON_NEEDLES = 32, 50_000
-BROADCAST_ROWS = 200_000
-GRAM = 4
+    A text is cut into pieces first, each with the few letters that follow it, so that a gram is
+    a substring of a short piece, in generated code.
+    """
+    whole = F.lit(f"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}")
+    pieces = rows.select(*keys, sizes.alias("_sizes"), F.posexplode(F.regexp_extract_all(F.col(text), whole, F.lit(1))).alias("_no", "_piece"))
+    sized = pieces.select(*keys, "_no", "_piece", F.explode("_sizes").alias("_size")).filter(F.length("_piece") >= F.col("_size"))
+    last = F.least(F.lit(PIECE), F.length("_piece") - F.col("_size") + 1) - 1
+    starts = sized.select(*keys, "_no", "_piece", "_size", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    return starts.select(*keys, F.substring(F.col("_piece"), F.col("_i") + 1, F.col("_size")).alias("_g"), (F.col("_no") * PIECE + F.col("_i")).alias("_at"))
 
 
-def is_small(rows: DataFrame, limit: int) -> bool:
-    """Size check in front of a broadcast: reads at most ``limit + 1`` rows."""
-    return rows.limit(limit + 1).count() <= limit
+def _probes(own: DataFrame, spread: DataFrame) -> DataFrame:
+    """The ``PROBES`` rarest grams of each needle; a needle with a gram no text has gets none."""
+    df = F.coalesce("_df", F.lit(0)).alias("df")
+    ranked = own.join(spread, ["_in", "_g"], "left").groupBy("_in", "_w").agg(
+        F.array_sort(F.collect_list(F.struct(df, F.col("_g").alias("g"), F.col("_at").alias("off")))).alias("p"))
+    best = ranked.filter(F.get("p", F.lit(0))["df"] > 0).withColumn("p", F.slice("p", 1, PROBES))
+    return best.select("_in", "_w", F.size("p").alias("_need"), F.explode("p").alias("x")).select(
+        "_in", "_w", "_need", F.col("x.g").alias("_g"), F.col("x.off").alias("_off"))
 
 
 def containing(
     needles: DataFrame, texts: DataFrame, needle: str, text: str, needle_keys: list[str], text_keys: list[str],
-    scan_needles: int = SCAN_NEEDLES, automaton_needles: int = AUTOMATON_NEEDLES,
+    within: tuple[str, str] | None = None, carry: tuple[str, ...] = (),
+    automaton_needles: int = AUTOMATON_NEEDLES, automaton_chars: int = AUTOMATON_CHARS,
 ) -> DataFrame:
-    """Pairs ``(needle_keys, needle, text_keys, text)`` with ``text`` containing ``needle``.
+    """Pairs ``(needle_keys, needle, text_keys, carry, text)`` with ``text`` containing ``needle``.
 
-    Column names of the two sides must differ. Blank needles match nothing.
+    Column names of the two sides must differ. Blank needles match nothing. ``text_keys``
+    tell the texts apart; ``carry`` names further columns of theirs to return. ``within``
+    names a key of each side: only pairs that agree in it are made, and NULL agrees with nothing.
+    ``automaton_needles=0`` always goes by postings.
     """
-    n = needles.select(*needle_keys, needle).filter(F.col(needle) != "")
-    t = texts.select(*text_keys, text)
-    if is_small(n, scan_needles):
-        return t.join(F.broadcast(n), F.contains(F.col(text), F.col(needle)))
-    if ahocorasick and is_small(n, automaton_needles):
-        return _by_automaton(n, t, needle, text)
-    return _by_rarest_gram(n, t, needle, text, needle_keys, text_keys)
-
-
-def _by_automaton(n, t, needle, text) -> DataFrame:
-    """Needles of checked number in one automaton per Python worker."""
+    asked, held = (F.col(c) for c in within) if within else (F.lit(0), F.lit(0))
+    n = needles.select(*needle_keys, needle).filter(F.col(needle) != "").withColumn("_own", asked)
+    t = texts.select(*text_keys, *carry, text).withColumn("_in", held)
+    if automaton_needles and fits_broadcast(n, automaton_needles, automaton_chars):
+        hits, n = _by_automaton(n, t, needle, text), F.broadcast(n)
+    else:
+        hits = _by_postings(n, t, needle, text, text_keys)
+    return hits.join(n, (hits["_w"] == n[needle]) & (hits["_in"] == n["_own"])).select(
+        *needle_keys, needle, *text_keys, *carry, text)
+
+
+def _by_automaton(n: DataFrame, t: DataFrame, needle: str, text: str) -> DataFrame:
+    """Texts with each needle ``_w`` they hold; the needles are of checked size."""
     words = [r[0] for r in n.select(needle).distinct().collect()]
     built: dict = {}
 
@@ -64,30 +96,25 @@ def _by_automaton(n, t, needle, text) -> DataFrame:
             built["a"] = automaton
         return texts.map(lambda body: list({w for _, w in built["a"].iter(body)}) if body and words else [])
 
-    hits = t.withColumn("_w", F.explode(found(F.col(text))))
-    return hits.join(F.broadcast(n), hits["_w"] == n[needle]).drop("_w")
+    return t.withColumn("_w", F.explode(found(F.col(text))))
 
 
-def _by_rarest_gram(n, t, needle, text, needle_keys, text_keys) -> DataFrame:
-    """Needles may repeat, so distinct needle strings are looked up."""
-    words = n.select(F.col(needle).alias("_w")).distinct()
+def _by_postings(n: DataFrame, t: DataFrame, needle: str, text: str, text_keys: list[str]) -> DataFrame:
+    """Texts with each needle ``_w`` of their group that they hold, for any number of needles."""
+    words = n.select(F.col(needle).alias("_w"), F.col("_own").alias("_in")).distinct()
     size = F.least(F.length("_w"), F.lit(GRAM))
-    short = F.filter(F.array(F.col("_w")), lambda w: F.length(w) < GRAM)
-    word_grams = words.select("_w", F.explode(F.concat(short, char_grams("_w", GRAM))).alias("_g"))
-    wanted = word_grams.select("_g").distinct()
-    sizes = [r["k"] for r in words.select(size.alias("k")).distinct().collect()]  # GRAM values at most
-    cut = F.flatten(F.array(*(char_grams(text, k) for k in sizes)))
-    text_grams = t.select(*text_keys, F.explode(cut).alias("_g"))
-    few = is_small(wanted, BROADCAST_ROWS)
-    hint = F.broadcast if few else (lambda frame: frame)
-    spread = text_grams.join(hint(wanted), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = word_grams.join(spread, "_g", "left").groupBy("_w").agg(
-        F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_g").alias("g"))).alias("p"))
-    pivots = rarest.filter("p.df > 0").select("_w", F.col("p.g").alias("_g"))
-    # Rows spread by gram carry no text; it is fetched by key for the candidates.
-    pairs = text_grams.join(hint(pivots), "_g").select(*text_keys, "_w").distinct()
-    hits = pairs.join(t, text_keys).filter(F.contains(F.col(text), F.col("_w")))
-    return hits.join(n, hits["_w"] == n[needle]).drop("_w")
+    own = _postings(words, ["_in", "_w"], "_w", F.array(size))
+    sizes = words.agg(F.collect_set(size)).scalar()  # GRAM values at most
+    postings = _postings(t, [*text_keys, "_in"], text, sizes)
+    spread = postings.groupBy("_in", "_g").agg(F.count(F.lit(1)).alias("_df"))
+    wanted = postings.join(own.select("_in", "_g").distinct(), ["_in", "_g"], "left_semi")
+    met = attach(wanted, _probes(own, spread), ["_in", "_g"], "_df", F.struct(*text_keys), "inner", counts=spread)
+    whole = met.groupBy("_in", "_w", "_need", *text_keys, (F.col("_at") - F.col("_off")).alias("_start")).agg(
+        F.count(F.lit(1)).alias("_n")).filter("_n >= _need")
+    keys = [f"_k{i}" for i in range(len(text_keys))]
+    pairs = whole.select(F.col("_in").alias("_scope"), "_w", *(F.col(c).alias(k) for c, k in zip(text_keys, keys))).distinct()
+    same = reduce(lambda a, b: a & b, (t[c].eqNullSafe(pairs[k]) for c, k in zip(text_keys, keys)), t["_in"] == pairs["_scope"])
+    return t.join(pairs, same).filter(F.contains(F.col(text), F.col("_w"))).drop("_scope", *keys)
 
 
 def all_positions(text: Column, needle: Column) -> Column:

@@ -126,9 +126,8 @@ def mentions_wide(spark, sf):
 
 
 def mentions_lookup(spark, sf):
-    """J3 by substring lookup, the way for large rosters."""
-    d = I.documents(spark, sf)
-    hits = M.mentions_by_lookup(d, M.roster_names(_roster(spark, sf)), "text", ["doc_id", "lang"])
+    """J3 by postings, the way for rosters of any size."""
+    hits = M.mentions(I.documents(spark, sf), _roster(spark, sf), "text", ["doc_id", "lang"], automaton_needles=0)
     return hits.select("doc_id", "name", "position")
 
 

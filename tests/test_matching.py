@@ -66,21 +66,36 @@ def test_scans_and_attach_with_small_spans(spark, monkeypatch):
     assert marked.count() == len(rows)
 
 
-def test_substring_join_three_ways(spark):
+def test_substring_join(spark, monkeypatch):
     rnd = random.Random(9)
     texts = [(i, "".join(rnd.choice("abcd飞行") for _ in range(rnd.randrange(0, 60)))) for i in range(40)]
     needles = [(i, "".join(rnd.choice("abcd飞行") for _ in range(rnd.randrange(1, 7)))) for i in range(50)] + [(99, "")]
     want = {(n, t) for n, w in needles for t, body in texts if w and w in body}
     n, t = spark.createDataFrame(needles, "n long, w string"), spark.createDataFrame(texts, "t long, body string")
-    for limits in ((1000, 0), (0, 1000), (0, 0)):
-        got = containing(n, t, "w", "body", ["n"], ["t"], *limits)
-        assert {(r["n"], r["t"]) for r in got.collect()} == want
+    tagged = t.withColumn("tag", F.lit(7)).withColumn("u", F.when(F.col("t") > 30, None).otherwise(F.col("t") % 3))
+    n = n.withColumn("m", F.col("n") % 3)
+    monkeypatch.setattr(K, "HOT_ROWS", 3)
+    for way in ({}, {"automaton_needles": 0}, {"automaton_chars": 10}):
+        got = containing(n, tagged, "w", "body", ["n"], ["t", "u"], carry=("tag",), **way).collect()
+        assert sorted((r["n"], r["t"]) for r in got) == sorted(want) and {r["tag"] for r in got} == {7}
+        got = containing(n, tagged, "w", "body", ["n", "m"], ["t", "u"], within=("m", "u"), **way).collect()
+        assert sorted((r["n"], r["t"]) for r in got) == sorted((a, b) for a, b in want if b <= 30 and a % 3 == b % 3)
+        assert containing(n.limit(0), t, "w", "body", ["n"], ["t"], **way).isEmpty()
+
+
+def test_substring_join_repeats_and_wide_letters(spark):
+    texts = [(1, "a" * 500), (2, "x😀y飞行手册😀"), (3, None), (4, ""), (5, "abcdXabcd"), (5, "abcdXabcd")]
+    needles = [(1, "a" * 300), (2, "😀y飞"), (3, "a" * 501), (4, None), (5, "dXab"), (6, "abcdYabcd"), (7, "册😀"), (2, "😀y飞")]
+    n, t = spark.createDataFrame(needles, "n long, w string"), spark.createDataFrame(texts, "t long, body string")
+    for limit in (0, 100):
+        got = containing(n, t, "w", "body", ["n"], ["t"], automaton_needles=limit).collect()
+        assert sorted((r["n"], r["t"]) for r in got) == sorted((a, b) for a, w in needles for b, body in texts if w and body and w in body)
 
 
 def test_mentions_and_crosstab(spark):
     roster = spark.createDataFrame([("李四", 1), ("张三", 2), ("张三丰", 3), ("张三", 4)], "name string, row_no long")
     cells = spark.createDataFrame([(1, "A", "张三丰 李四"), (2, "A", "李四"), (3, "B", "无人"), (4, "B", "")], "c long, route string, text string")
-    for hits in (M.mentions(cells, roster, "text", ["c", "route"]), M.mentions_by_lookup(cells, M.roster_names(roster), "text", ["c", "route"])):
+    for hits in (M.mentions(cells, roster, "text", ["c", "route"]), M.mentions(cells, roster, "text", ["c", "route"], automaton_needles=0)):
         counts = {(r["name"], r["route"]): r["mentions"] for r in M.crosstab(hits, "route").collect()}
         assert counts == {("张三", "A"): 2, ("张三丰", "A"): 1, ("李四", "A"): 2}
         assert {r["c"]: r["names"] for r in M.names_in_text_order(hits, ["c"]).collect()}[1] == ["张三", "张三丰", "李四"]
