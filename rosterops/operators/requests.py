@@ -140,8 +140,7 @@ def _circles(requests: DataFrame, results: DataFrame) -> DataFrame:
     """``batch, employee_id, circle``: employees of a batch whose results may meet.
 
     A row without an ID may stand for every employee named in its text, and a failed attempt
-    belongs to its own request. Labels sink to the smallest along such rows until none moves;
-    mostly every employee is a circle of one.
+    belongs to its own request. Mostly every employee is a circle of one.
     """
     people = requests.select("batch", "employee_id").distinct()
     several = results.filter((X.clean("employee_id") == "") & (F.size(_id_windows("row_text")) > 1))
@@ -149,15 +148,32 @@ def _circles(requests: DataFrame, results: DataFrame) -> DataFrame:
     found = several.select("batch", "row_no", "row_text", X.display_name_key("name").alias("key"), F.explode(_id_windows("row_text")).alias("employee_id"))
     same = (F.col("q_key") == "") | F.when(F.col("key") != "", F.col("key") == F.col("q_key")).otherwise(F.contains("row_text", F.col("q_name")))
     links = found.join(named, ["batch", "employee_id"]).filter(same).select("batch", "row_no", "employee_id").distinct()
-    circles = people.withColumn("circle", F.col("employee_id"))
+    return joined_labels(people, links)
+
+
+def joined_labels(people: DataFrame, links: DataFrame) -> DataFrame:
+    """``batch, employee_id, circle``: the smallest employee reachable over shared rows.
+
+    ``links``: batch, row_no, employee_id. In each round an employee takes the smallest label among
+    those on its rows, all who bear its old label follow (hook), and a label is replaced by its
+    own label (jump). Labels only sink and stay inside a circle, so when none moves, each is
+    the smallest of its circle. A chain halves about every round.
+    """
+    labels = people.withColumn("circle", F.col("employee_id"))
     moved = not links.isEmpty()
     while moved:
-        low = links.join(circles, ["batch", "employee_id"]).groupBy("batch", "row_no").agg(F.min("circle").alias("low"))
-        sunk = links.join(low, ["batch", "row_no"]).groupBy("batch", "employee_id").agg(F.min("low").alias("low"))
-        joined = cut_lineage(circles.join(sunk, ["batch", "employee_id"], "left").withColumn("low", F.coalesce("low", "circle")))
-        moved = not joined.filter("low < circle").isEmpty()
-        circles = joined.select("batch", "employee_id", F.col("low").alias("circle"))
-    return circles
+        low = links.join(labels, ["batch", "employee_id"]).groupBy("batch", "row_no").agg(F.min("circle").alias("low"))
+        own = links.join(low, ["batch", "row_no"]).groupBy("batch", "employee_id").agg(F.min("low").alias("low"))
+        near = labels.join(own, ["batch", "employee_id"], "left").withColumn("low", F.coalesce("low", "circle"))
+        hooks = near.filter("low < circle").groupBy("batch", "circle").agg(F.min("low").alias("hook"))
+        hooked = near.join(hooks, ["batch", "circle"], "left").withColumn("low", F.least("low", "hook"))
+        hooked = cut_lineage(hooked.select("batch", "employee_id", "circle", "low"))
+        moved = not hooked.filter("low < circle").isEmpty()
+        if moved:
+            over = hooked.filter("low < employee_id").select("batch", F.col("employee_id").alias("low"), F.col("low").alias("next"))
+            labels = hooked.join(over, ["batch", "low"], "left").select(
+                "batch", "employee_id", F.coalesce("next", "low").alias("circle"))
+    return labels.select("batch", "employee_id", "circle")
 
 
 def pair_partial_rows(requests: DataFrame, results: DataFrame, leave_types: DataFrame | None = None) -> DataFrame:

@@ -104,6 +104,22 @@ def test_mentions_and_crosstab(spark):
     assert [(r["name"], r["A"], r["B"]) for r in wide] == [("李四", 2, None), ("张三", 2, None), ("张三丰", 1, None)]
 
 
+def test_circles_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds, cut, rnd = [], Q.cut_lineage, random.Random(3)
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    order = list(range(10_000))
+    rnd.shuffle(order)
+    pairs = [(1, i, f"{e:06d}") for i in range(9_999) for e in (order[i], order[i + 1])]
+    pairs += [(2, 0, "000005"), (2, 0, "000007"), (2, 1, "000007"), (2, 1, "000003"), (2, 2, "000009")]
+    links = spark.createDataFrame(pairs, "batch long, row_no long, employee_id string")
+    people = links.select("batch", "employee_id").distinct().union(spark.createDataFrame([(2, "000001")], "batch long, employee_id string"))
+    got = {(r["batch"], r["employee_id"]): r["circle"] for r in Q.joined_labels(people, links).collect()}
+    assert len(got) == 10_005 and {v for (b, _), v in got.items() if b == 1} == {"000000"}
+    assert {e: v for (b, e), v in got.items() if b == 2} == {
+        "000001": "000001", "000003": "000003", "000005": "000003", "000007": "000003", "000009": "000009"}
+    assert len(rounds) < 20
+
+
 def test_structure_small(spark):
     p = [("1", "a", "技术：飞行教员C", "总队777", "公司检查员", "经理", True, False, False), ("2", "b", "技术：Z类机长", "湖南分公司", "", "", False, False, False),
          ("3", "c", "技术：A类机长", "外", "", "", False, False, False), ("4", "d", "技术：A1类副驾驶", "777返聘", "", "", False, False, False), ("5", "e", "地勤", "", "", "", False, False, False)]
