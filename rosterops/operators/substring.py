@@ -3,8 +3,9 @@
 Needles whose number and size are checked travel to the tasks as one automaton. Any others
 go by postings: texts are cut into ``(gram, key, place)``, and a needle is probed by its two
 rarest grams, which must both stand in a text at their distance in the needle, so a common gram
-alone makes no candidate. Grams are counted with partial sums before anything is shuffled, and
-a gram with many postings is split by ``attach``. Candidates are keys, never text; each is
+alone makes no candidate. A needle's grams are as long as the largest of ``SIZES`` that it holds. Only grams of
+needles are kept, before any shuffle where their list is of checked size; they are counted with partial
+sums, and a gram with many postings is split by ``attach``. Candidates are keys, never text; each is
 verified on its text at the end. Both ways give the same pairs.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql.types import ArrayType, StringType
 from rosterops.operators.skew import attach
 
 AUTOMATON_NEEDLES, AUTOMATON_CHARS = 50_000, 5_000_000
-GRAM, PROBES, PIECE = 4, 2, 64
+SIZES, PROBES, PIECE = (1, 2, 3, 4, 8, 16), 2, 64
+LISTED_CHARS = 500_000
 
 
 def fits_broadcast(rows: DataFrame, max_rows: int, max_chars: int) -> bool:
@@ -40,7 +42,7 @@ def _postings(rows: DataFrame, keys: list[str], text: str, sizes: Column) -> Dat
     A text is cut into pieces first, each with the few letters that follow it, so that a gram is
     a substring of a short piece, in generated code.
     """
-    whole = F.lit(f"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}")
+    whole = F.lit(f"(?s)(?=(.{{1,{PIECE + SIZES[-1] - 1}}})).{{1,{PIECE}}}")
     pieces = rows.select(*keys, sizes.alias("_sizes"), F.posexplode(F.regexp_extract_all(F.col(text), whole, F.lit(1))).alias("_no", "_piece"))
     sized = pieces.select(*keys, "_no", "_piece", F.explode("_sizes").alias("_size")).filter(F.length("_piece") >= F.col("_size"))
     last = F.least(F.lit(PIECE), F.length("_piece") - F.col("_size") + 1) - 1
@@ -48,6 +50,14 @@ def _postings(rows: DataFrame, keys: list[str], text: str, sizes: Column) -> Dat
     return starts.select(*keys, F.substring(F.col("_piece"), F.col("_i") + 1, F.col("_size")).alias("_g"), (F.col("_no") * PIECE + F.col("_i")).alias("_at"))
 
 
+def gram_sizes(needle: str) -> Column:
+    """The largest of ``SIZES`` that a needle holds, as an array."""
+    size = F.lit(SIZES[0])
+    for wide in SIZES[1:]:
+        size = F.when(F.length(needle) >= wide, wide).otherwise(size)
+    return F.array(size)
+
+
 def _probes(own: DataFrame, spread: DataFrame) -> DataFrame:
     """The ``PROBES`` rarest grams of each needle; a needle with a gram no text has gets none."""
     df = F.coalesce("_df", F.lit(0)).alias("df")
@@ -102,12 +112,14 @@ def _by_automaton(n: DataFrame, t: DataFrame, needle: str, text: str) -> DataFra
 def _by_postings(n: DataFrame, t: DataFrame, needle: str, text: str, text_keys: list[str]) -> DataFrame:
     """Texts with each needle ``_w`` of their group that they hold, for any number of needles."""
     words = n.select(F.col(needle).alias("_w"), F.col("_own").alias("_in")).distinct()
-    size = F.least(F.length("_w"), F.lit(GRAM))
-    own = _postings(words, ["_in", "_w"], "_w", F.array(size))
-    sizes = words.agg(F.collect_set(size)).scalar()  # GRAM values at most
+    own = _postings(words, ["_in", "_w"], "_w", gram_sizes("_w"))
+    sizes = words.agg(F.collect_set(gram_sizes("_w")[0])).scalar()  # as many as SIZES at most
     postings = _postings(t, [*text_keys, "_in"], text, sizes)
-    spread = postings.groupBy("_in", "_g").agg(F.count(F.lit(1)).alias("_df"))
-    wanted = postings.join(own.select("_in", "_g").distinct(), ["_in", "_g"], "left_semi")
+    grams = own.select("_in", "_g").distinct()
+    if fits_broadcast(words.select("_w"), AUTOMATON_NEEDLES, LISTED_CHARS):
+        grams = F.broadcast(grams)
+    wanted = postings.join(grams, ["_in", "_g"], "left_semi")
+    spread = wanted.groupBy("_in", "_g").agg(F.count(F.lit(1)).alias("_df"))
     met = attach(wanted, _probes(own, spread), ["_in", "_g"], "_df", F.struct(*text_keys), "inner", counts=spread)
     whole = met.groupBy("_in", "_w", "_need", *text_keys, (F.col("_at") - F.col("_off")).alias("_start")).agg(
         F.count(F.lit(1)).alias("_n")).filter("_n >= _need")
