@@ -1,6 +1,8 @@
 """Substring join: which needles occur in which texts.
 
-Needles whose number and size are checked travel to the tasks as one automaton. Any others
+Needles whose number and size are checked travel to the tasks as one automaton. Where pairs are
+made within a key only (a document), the needles and texts of a key meet in one task, which builds
+their own automaton; a key of more than ``GROUP_CHARS`` characters is left to the postings. Any others
 go by postings: texts are cut into ``(gram, key, place)``, and a needle is probed by its two
 rarest grams, which must both stand in a text at their distance in the needle, so a common gram
 alone makes no candidate. A needle's grams are as long as the largest of ``SIZES`` that it holds. Only grams of
@@ -15,15 +17,16 @@ from functools import reduce
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from rosterops.operators.skew import attach
 
 AUTOMATON_NEEDLES, AUTOMATON_CHARS = 50_000, 5_000_000
 SIZES, PROBES, PIECE = (1, 2, 3, 4, 8, 16), 2, 64
-LISTED_CHARS = 500_000
+GROUP_CHARS, LISTED_CHARS = 4_000_000, 500_000
 
 
 def fits_broadcast(rows: DataFrame, max_rows: int, max_chars: int) -> bool:
@@ -71,20 +74,23 @@ def _probes(own: DataFrame, spread: DataFrame) -> DataFrame:
 def containing(
     needles: DataFrame, texts: DataFrame, needle: str, text: str, needle_keys: list[str], text_keys: list[str],
     within: tuple[str, str] | None = None, carry: tuple[str, ...] = (),
-    automaton_needles: int = AUTOMATON_NEEDLES, automaton_chars: int = AUTOMATON_CHARS,
+    automaton_needles: int = AUTOMATON_NEEDLES, automaton_chars: int = AUTOMATON_CHARS, group_chars: int = GROUP_CHARS,
 ) -> DataFrame:
     """Pairs ``(needle_keys, needle, text_keys, carry, text)`` with ``text`` containing ``needle``.
 
     Column names of the two sides must differ. Blank needles match nothing. ``text_keys``
     tell the texts apart; ``carry`` names further columns of theirs to return. ``within``
     names a key of each side: only pairs that agree in it are made, and NULL agrees with nothing.
-    ``automaton_needles=0`` always goes by postings.
+    ``automaton_needles=0`` always goes by postings. ``group_chars`` is the most that one key of
+    ``within`` may hold in one task.
     """
     asked, held = (F.col(c) for c in within) if within else (F.lit(0), F.lit(0))
     n = needles.select(*needle_keys, needle).filter(F.col(needle) != "").withColumn("_own", asked)
     t = texts.select(*text_keys, *carry, text).withColumn("_in", held)
     if automaton_needles and fits_broadcast(n, automaton_needles, automaton_chars):
         hits, n = _by_automaton(n, t, needle, text), F.broadcast(n)
+    elif automaton_needles and within:
+        hits = _by_groups(n, t, needle, text, text_keys, group_chars)
     else:
         hits = _by_postings(n, t, needle, text, text_keys)
     return hits.join(n, (hits["_w"] == n[needle]) & (hits["_in"] == n["_own"])).select(
@@ -109,6 +115,33 @@ def _by_automaton(n: DataFrame, t: DataFrame, needle: str, text: str) -> DataFra
     return t.withColumn("_w", F.explode(found(F.col(text))))
 
 
+def _by_groups(n: DataFrame, t: DataFrame, needle: str, text: str, text_keys: list[str], most: int) -> DataFrame:
+    """Texts with each needle ``_w`` of their key that they hold; keys of more than ``most`` characters by postings."""
+    words = n.select(F.col("_own").alias("_in"), F.col(needle).alias("_w")).filter("_in is not null").distinct()
+    live = t.join(words.select("_in").distinct(), "_in", "left_semi").select(*t.columns)
+    chars = words.select("_in", F.length("_w").alias("c")).unionByName(live.select("_in", F.length(text).alias("c")))
+    heavy = chars.groupBy("_in").agg(F.sum("c").alias("c")).filter(F.col("c") > most).select("_in")
+    layout = StructType([*live.schema, StructField("_w", StringType())])
+
+    def found(needles: pa.Table, texts: pa.Table) -> pa.Table:
+        automaton = ahocorasick.Automaton()
+        for word in needles.column("_w").to_pylist():
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        held = [{w for _, w in automaton.iter(body)} if body and len(needles) else () for body in texts.column(text).to_pylist()]
+        rows = pa.array([i for i, hits in enumerate(held) for _ in hits], pa.int64())
+        return texts.take(rows).append_column("_w", pa.array([w for hits in held for w in hits], pa.string()))
+
+    def together(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.groupBy("_in").cogroup(b.groupBy("_in")).applyInArrow(found, layout)
+
+    if heavy.isEmpty():
+        return together(words, live)
+    light = together(words.join(heavy, "_in", "left_anti"), live.join(heavy, "_in", "left_anti").select(*live.columns))
+    large = n.join(heavy, n["_own"] == heavy["_in"], "left_semi")
+    return light.unionByName(_by_postings(large, live.join(heavy, "_in", "left_semi").select(*live.columns), needle, text, text_keys))
+
+
 def _by_postings(n: DataFrame, t: DataFrame, needle: str, text: str, text_keys: list[str]) -> DataFrame:
     """Texts with each needle ``_w`` of their group that they hold, for any number of needles."""
     words = n.select(F.col(needle).alias("_w"), F.col("_own").alias("_in")).distinct()

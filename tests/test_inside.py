@@ -1,8 +1,23 @@
-"""Grams as long as a needle allows."""
+"""Substring joins inside a key, and grams as long as a needle allows."""
+
+import random
 
 from rosterops.operators import substring
 
 
+def test_needles_of_a_key_meet_its_texts_only(spark):
+    random.seed(5)
+    word = lambda n: "".join(random.choice("ab\n") for _ in range(n))
+    needles = [(k, k % 4 if k % 9 else None, word(random.choice((1, 2, 3, 5, 9, 17)))) for k in range(80)]
+    texts = [(k, k % 5 if k % 7 else None, word(random.randrange(40))) for k in range(60)]
+    n = spark.createDataFrame(needles, "n long, m long, w string")
+    t = spark.createDataFrame(texts, "t long, u long, body string")
+    want = sorted((a, b) for a, m, w in needles for b, u, body in texts if m is not None and m == u and w in body)
+    for most in (10**6, 300, 0):  # all keys in one task each, some, none
+        got = substring.containing(n, t, "w", "body", ["n", "m"], ["t", "u"], within=("m", "u"), automaton_needles=1, group_chars=most)
+        assert sorted((r["n"], r["t"]) for r in got.collect()) == want
+
+
 def test_long_needles_are_probed_by_long_grams(spark):
     names = spark.createDataFrame([(k, f"Customer#{k:09d}") for k in range(300)], "n long, w string").withColumnRenamed("w", "_w").selectExpr("_w", "0 as _in")
     own = substring._postings(names, ["_in", "_w"], "_w", substring.gram_sizes("_w"))
