@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import arrow_of, batch_of, pick, restored, size_blocks, stored, table_rows, text_hash, texts_of, without
+from rosterops.llm.frames import arrow_of, batch_of, give_back, pick, restored, size_blocks, stored, table_rows, text_hash, texts_of, without
 
 WINDOW = 10
 SHARD = 1 << 19  # words of a shard
@@ -178,6 +178,7 @@ def _scan(shared, schema: pa.Schema, shard_words: int):
                     names = sorted({*names, *hit} - {None})
                 out.append((doc_id, text, h, len(codes), [{"start": a, "end": b} for a, b in kept], names))
             yield batch_of(out, schema)
+        give_back()
 
     return scan
 

@@ -121,6 +121,7 @@ def annotate(docs: DataFrame, judge: Callable[[list[str]], list[tuple]], fields:
         for part, texts in text_slices(batches, place, chars):
             found = batch_of(judge(texts), more)
             yield pa.RecordBatch.from_arrays([*part.columns, *found.columns], schema=schema)
+        give_back()
 
     return plain.mapInArrow(run, layout).toDF(*names, *more.names)
 

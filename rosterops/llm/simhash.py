@@ -19,9 +19,10 @@ Only distinct fingerprints are compared. The index has these levels:
 A run of links is kept as a spanning forest, at most one edge per fingerprint and node, never
 all pairs. The forest is contracted to components in rounds of joins over written tables.
 
-``keep_one`` links texts by the exact Jaccard similarity of their word shingles instead: a
-fingerprint's bits tell too little of pairs at 0.8. Candidates share one of the rarest grams
-that either set must have in common with the other, so no pair is lost.
+``keep_one`` links texts by the exact Jaccard similarity of their word shingles. The index over the
+fingerprints of these sets gives the first candidates; every link is verified on the sets. As a fingerprint's
+bits tell too little of pairs at 0.8, sets still apart meet again if they share one of the rarest
+grams that either must have in common with the other, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterops.llm.frames import arrow_of, batch_of, by_place, size_blocks, stored, table_rows, text_hash, texts_of, without
+from rosterops.llm.frames import arrow_of, batch_of, by_place, give_back, size_blocks, stored, table_rows, text_hash, texts_of, without
 
 SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = 6
@@ -47,6 +48,7 @@ WORDS, SIMILARITY = 5, 0.8  # of ``keep_one``: words of a shingle, Jaccard simil
 BUCKETS = 1 << 19  # counts that order the grams of a set
 CENTRES, ORDERS = (1, 16, 64), 32  # sets that meet all others of a gram, by round, and orders of sets to take them by
 SEEN = 1 << 18  # sets a task remembers so as to pass them on once
+SKETCH = 4  # longs of a set's parity sketch
 SLACK = 1e-9  # rounding of a bound: more candidates, never fewer
 
 
@@ -62,11 +64,23 @@ def fingerprint_of(text: str, hash_of, shingle: int = SHINGLE, seed: int = SEED)
     ends = ends.tolist()
     n = max(1, len(words) - shingle + 1)
     hashes = np.fromiter((hash_of(joined[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :])), np.uint64, n)
+    return print_of(hashes)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """Fingerprint of hashes (64 bits each): a bit is set if it is in more than half of them."""
     counts = np.zeros(64, np.int64)
-    for first in range(0, n, 1 << 16):
+    for first in range(0, len(hashes), 1 << 16):
         part = hashes[first : first + (1 << 16)]
         counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def sketch_of(grams: np.ndarray) -> np.ndarray:
+    """Parities of a set's grams by some of their bits, in ``SKETCH`` longs. Each gram that one of two sets
+    holds alone changes one parity, so they differ in at least as many grams as their sketches do in bits."""
+    odd = np.bincount((grams.view(np.uint64) >> np.uint64(40)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -82,6 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for block in size_blocks(table_rows(batches), lambda row: len(row[1]), BATCH_CHARS):
             found = [fingerprint_of(text, xxh64_intdigest, shingle, seed) for _, text, _ in block]
             yield batch_of([(doc_id, h, fp - (1 << 64) if fp >> 63 else fp) for (doc_id, _, h), fp in zip(block, found, strict=True)], schema)
+        give_back()
 
     return texts.mapInArrow(prints, layout)
 
@@ -296,22 +311,26 @@ def _shingled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple
 
 
 def shingle_prints(texts: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """``doc_id, h, sid`` for every row of ``doc_id, text, h``: ``sid`` is the hash of the text's distinct word
-    shingles, equal for equal sets. A text of fewer words is one shingle; an empty one has the empty
+    """``doc_id, h, sid, fp, sketch`` for every row of ``doc_id, text, h``: ``sid`` is the hash of the text's distinct word
+    shingles, equal for equal sets, ``fp`` their fingerprint. A text of fewer words is one shingle; an empty one has the empty
     shingle. Beside them, rows ``bucket, often``: how often grams occur, by their lowest bits."""
-    layout = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, sid long, bucket int, often long"
+    layout = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, sid long, fp long, sketch array<long>, bucket int, often long"
     schema = arrow_of(texts.sparkSession.createDataFrame([], layout))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for ids, hashes, sids, found in _shingled(batches, shingle):
             counts += np.bincount(np.concatenate(found) & (BUCKETS - 1), minlength=BUCKETS)
-            columns = [pa.array(ids, schema[0].type), pa.array(hashes, pa.int64()), pa.array(sids), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64())]
+            prints = np.array([print_of(g.view(np.uint64)) for g in found], np.uint64).view(np.int64)
+            sketches = pa.array([sketch_of(g) for g in found], schema[4].type)
+            columns = [pa.array(ids, schema[0].type), pa.array(hashes, pa.int64()), pa.array(sids), pa.array(prints), sketches]
+            columns += [pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
         seen = np.flatnonzero(counts)
         for part in np.array_split(seen, max(1, len(seen) >> 16)):
-            nothing = [pa.nulls(len(part), schema[k].type) for k in range(3)]
+            nothing = [pa.nulls(len(part), schema[k].type) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(part.astype(np.int32)), pa.array(counts[part])], schema=schema)
+        give_back()
 
     return texts.mapInArrow(prints, layout)
 
@@ -324,6 +343,7 @@ def shingle_sets(texts: DataFrame, shingle: int = WORDS) -> DataFrame:
         for _, _, sids, found in _shingled(batches, shingle):
             borders = np.append(0, np.cumsum([len(g) for g in found])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(sids), pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(found)))], schema=schema)
+        give_back()
 
     return texts.mapInArrow(sets, "sid long, grams array<long>")
 
@@ -353,6 +373,8 @@ def rare_grams(texts: DataFrame, counts: np.ndarray, similarity: float = SIMILAR
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
             if len(seen) > SEEN:
                 seen = set()
+        del seen
+        give_back()
 
     rows = texts.mapInArrow(first, "gram long, sid long, n int, place int").repartition("gram")
     along = Window.partitionBy("gram")  # a gram has a row per set, and one more per task that met the set
@@ -360,14 +382,26 @@ def rare_grams(texts: DataFrame, counts: np.ndarray, similarity: float = SIMILAR
     return several.select("gram", "sid", "n", "place")
 
 
-def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+def indexed_pairs(marks: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
+    """``a, b``: sets (``sid, fp`` of ``marks``) that the index of fingerprints links, as a forest: the edges between
+    fingerprints, each stood for by its least set, and that set with all others of the fingerprint."""
+    least = stored(marks.groupBy("fp").agg(F.min("sid").alias("least")), "set-prints")
+    edges = forest(least.select("fp"), bits, segments)
+    for end in "ab":
+        edges = edges.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"least_{end}")), end)
+    equal = marks.join(least, "fp").filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    return edges.select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b")).union(equal)
+
+
+def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node, root`` of the sets (``sid``) linked to another by a Jaccard similarity of at least
     ``similarity``: exactly the components of all such pairs.
 
-    Sets that share a rare gram are candidates, and every link is verified on the whole sets, which
-    ``sets_of`` gives for a list of ``sid``. In rounds each set meets the ``CENTRES`` of its grams, the first by one of
-    ``ORDERS`` orders of sets, other ones each round; that links most of a large group with few pairs. Then all candidates not yet in one component, of sizes that allow the similarity and with
-    enough rare grams in common, are compared.
+    Every link is verified on the whole sets, which ``sets_of`` gives for a list of ``sid``. First come the pairs
+    of the fingerprint index over ``marks`` (``sid, fp, sketch``). Then sets that share a rare gram are candidates: in rounds each
+    set meets the ``CENTRES`` of its grams, the first by one of ``ORDERS`` orders of sets, other ones each round; that
+    links most of a large group with few pairs. At last all candidates not yet in one component meet, if their sizes, the places of
+    the gram in both and their sketches allow the similarity.
     """
     least = similarity / (1 + similarity)
 
@@ -376,15 +410,6 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
         sizes = F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - SLACK
         return sizes & (F.least(a["n"] - a["place"], b["n"] - b["place"]) >= least * (a["n"] + b["n"]) - SLACK)
 
-    def room(n: str) -> Column:
-        """Rare grams of a set less those that a pair as similar as that need not share.
-
-        Of two sets, take the one whose rare grams end first: what both hold up to there is rare
-        in both, and only what follows in that set can be shared beyond it.
-        """
-        common = F.ceil(least * (F.col("n") + F.col("n_b")) - SLACK)
-        return F.col(n) - F.ceil(similarity * F.col(n) - SLACK) + 1 - (F.col(n) - common)
-
     def verified(pairs: DataFrame) -> DataFrame:
         whole = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "paired-sets")
         left, right = (whole.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
@@ -392,28 +417,24 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
         return met.filter(F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")) >= similarity).select("a", "b")
 
     names = ["sid", "n", "place", "root"]
+    mine, theirs = {c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}
     along = Window.partitionBy("gram")
-    # Sizes that allow the similarity stand in one band or in two that follow each other.
-    rare = rare.withColumn("band", F.floor(F.log("n") / -math.log(similarity)))
     tested, edges, labels = None, None, None
-    for turn in range(len(CENTRES) + 1):
-        members = rare.withColumn("root", F.col("sid"))
-        if labels is not None:
+    for turn in range(-1, len(CENTRES) + 1):
+        if turn >= 0:
             members = rare.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        if turn < len(CENTRES):
+        if turn < 0:
+            pairs = indexed_pairs(marks)
+        elif turn < len(CENTRES):
             order = F.xxhash64("sid", F.pmod("gram", F.lit(ORDERS)) + ORDERS * turn)
             centres = members.withColumn("k", F.row_number().over(along.orderBy(order, "sid"))).filter(F.col("k") <= CENTRES[turn])
             met = members.join(centres.select("gram", *[F.col(c).alias(f"{c}_b") for c in names]), "gram").filter(F.col("sid") != F.col("sid_b"))
+            pairs = met.filter((F.col("root") != F.col("root_b")) & able(mine, theirs))
         else:
-            members = members.withColumn("lo", F.min("root").over(along)).withColumn("hi", F.max("root").over(along)).filter("lo <> hi").select("gram", "band", *names)
-            members = stored(members, "set-members")
-            other = members.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in names])
-            met = members.join(other, ["gram", "band"]).filter((F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")))
-            # All rare grams that two sets share are here, and similar ones share so many at least.
-            met = met.groupBy("sid", "sid_b", "n", "n_b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= F.least(room("n"), room("n_b")))
-        if turn < len(CENTRES):
-            met = met.filter((F.col("root") != F.col("root_b")) & able({c: F.col(c) for c in names}, {c: F.col(f"{c}_b") for c in names}))
-        pairs = met.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b")).distinct()
+            members = members.withColumn("lo", F.min("root").over(along)).withColumn("hi", F.max("root").over(along)).filter("lo <> hi").select("gram", *names)
+            pairs = _still_apart(stored(members.join(marks.select("sid", "sketch"), "sid"), "set-members"), similarity, able(mine, theirs))
+        if turn >= 0:
+            pairs = pairs.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "set-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = verified(pairs)
@@ -422,6 +443,27 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
     return labels
 
 
+def _still_apart(members: DataFrame, similarity: float, able: Column) -> DataFrame:
+    """Pairs of ``members`` (``sid, n, place, root, gram, sketch``) of one gram and two roots that may be similar.
+
+    Sizes that allow the similarity stand in one band or in two that follow each other. A set meets those of
+    its band or the next one; it cannot share enough with a set as large as these by grams that
+    stand too far back in it, so it is not laid out for them.
+    """
+    step, least = -math.log(similarity), similarity / (1 + similarity)
+    banded = members.withColumn("band", F.floor(F.log("n") / step))
+    both = banded.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+    smallest = F.greatest(F.col("n"), F.exp((F.col("band") + F.col("up")) * step) * F.lit(1 - 1e-6))
+    low = both.filter((F.col("up") == 0) | (F.col("n") - F.col("place") >= least * (F.col("n") + smallest) - SLACK))
+    low = low.withColumn("band", F.col("band") + F.col("up"))
+    high = banded.select("gram", "band", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "root", "sketch")])
+    apart = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    # Similar sets differ in few grams, so in few bits of their sketches.
+    near = apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n_b")) + SLACK
+    once = (F.col("up") == 1) | (F.col("sid") < F.col("sid_b"))
+    return low.join(high, ["gram", "band"]).filter(once & (F.col("root") != F.col("root_b")) & able & near)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of texts linked by a Jaccard similarity of at least
     ``similarity`` of their word shingles: that of the smallest id (null ids last), of
@@ -431,6 +473,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     buckets = prints.filter("bucket is not null").groupBy("bucket").agg(F.sum("often").alias("often")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
     counts[buckets.column("bucket").to_numpy()] = buckets.column("often").to_numpy()
+    marks = stored(prints.filter("bucket is null").select("sid", "fp", "sketch").distinct(), "set-marks")
     found = stored(prints.filter("bucket is null").groupBy("sid", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "set-rows")
     least = found.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
 
@@ -442,7 +485,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         return shingle_sets(texts.join(keys, own, "left_semi"), shingle).dropDuplicates(["sid"])
 
     rare = stored(rare_grams(texts, counts, similarity, shingle), "rare-grams")
-    roots = similar_sets(rare, sets_of, similarity).select(F.col("node").alias("sid"), "root")
+    roots = similar_sets(rare, sets_of, marks, similarity).select(F.col("node").alias("sid"), "root")
     rooted = stored(least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set-roots")
     first = rooted.groupBy("root").agg(F.min("k").alias("k"))
     first = rooted.select("sid", "root").join(first, "root").select("sid", F.col("k.doc_id").alias("k_id"), F.col("k.h").alias("k_h"))

@@ -105,6 +105,29 @@ def test_near_copies_against_all_similarities(spark):
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {k for k, root in enumerate(up) if k == root}
 
 
+def test_near_copies_come_through_the_index(spark, monkeypatch):
+    calls, forest = [], simhash.forest
+    monkeypatch.setattr(simhash, "forest", lambda *args, **more: calls.append(1) or forest(*args, **more))
+    base = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, base), (2, base + " tail"), (3, "quite another text with words of its own")], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {1, 3} and calls == [1]
+
+
+def test_sketches_keep_texts_apart_that_share_a_passage(spark):
+    random.seed(5)
+    def grams(n): return [random.getrandbits(63) for _ in range(n)]  # noqa: E704
+    shared = grams(20)
+    sets = [np.unique(np.array(shared + grams(80), np.int64)) for _ in range(40)]
+    sets.append(np.unique(np.concatenate([sets[0][:-2], np.array(grams(2), np.int64)])))
+    for a, b in ((sets[0], sets[1]), (sets[0], sets[-1])):
+        bits = int(np.bitwise_count(simhash.sketch_of(a).view(np.uint64) ^ simhash.sketch_of(b).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and bits % 2 == len(np.setxor1d(a, b)) % 2
+    rows = [(k, 100, j, k, g, simhash.sketch_of(s).tolist()) for k, s in enumerate(sets) for j, g in enumerate(shared[:11]) if g in s]
+    members = spark.createDataFrame(rows, "sid long, n int, place int, root long, gram long, sketch array<long>")
+    found = simhash._still_apart(members, 0.8, F.lit(True)).select("sid", "sid_b").distinct().collect()
+    assert [tuple(r) for r in found] == [(0, 40)]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
