@@ -114,3 +114,22 @@ def test_diff_keeps_both_texts():
     long = "".join(random.Random(3).choices("abcd", k=3000))
     other = long[:1000] + "zz" + long[1100:]
     assert len(list(common_places(long, other))) == 2900
+
+
+def test_diffs_of_many_rows_take_little_memory():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rosterops.operators.diff import diff, diff_arrays
+
+    random.seed(3)
+    texts = ["".join(random.choice("ab c") for _ in range(60)) for _ in range(2001)]
+    tracemalloc.start()
+    found = diff_arrays(pa.array(texts[:-1]), pa.array(texts[1:]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000 and len(found) == 2000 and found[7].as_py() == diff(texts[7], texts[8])
+    assert len(diff_arrays(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
+    assert diff_arrays(pa.array([None]).cast(pa.string()), pa.array(["x"])).to_pylist() == [diff(None, "x")]
