@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterops.functions.normal import line_key, nfkc_lower
@@ -26,20 +26,19 @@ def item_lines(items: DataFrame, page_height: float, ignored: list[str] | None =
     if ignored:
         kept = kept.filter(~line_key(nfkc_lower("str")).isin(ignored))
     keyed = kept.withColumn("_y", F.floor(F.col("y") / 2 + 0.5) * 2)
-    lines = keyed.groupBy("doc_id", "page_no", "_y").agg(
-        F.array_sort(F.collect_list(F.struct("x", "str", "width", "y"))).alias("i"))
-    start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("end"))
-
-    def join(state, item):
-        apart = (state["text"] != "") & (item["x"] - state["end"] > WORD_GAP) & state["text"].rlike(ALNUM_END) & item["str"].rlike(ALNUM_START)
-        return F.struct(F.concat(state["text"], F.when(apart, " ").otherwise(""), item["str"]).alias("text"),
-                        F.greatest(state["end"], item["x"] + F.coalesce(item["width"], F.lit(0.0))).alias("end"))
-
-    first = F.col("i")[0]
+    line = ["doc_id", "page_no", "_y"]
+    along = Window.partitionBy(*line).orderBy("x", "str", "width", "y")
+    # A line's text so far ends as its last item does, and reaches as far as any of them.
+    reach = F.greatest(F.lit(0.0), F.max(F.col("x") + F.coalesce("width", F.lit(0.0))).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = keyed.withColumns({"_k": F.row_number().over(along), "_before": F.lag("str").over(along), "_end": reach})
+    apart = (F.col("x") - F.col("_end") > WORD_GAP) & F.col("_before").rlike(ALNUM_END) & F.col("str").rlike(ALNUM_START)
+    pieces = F.struct("_k", F.concat(F.when(F.coalesce(apart, F.lit(False)), " ").otherwise(""), "str").alias("piece"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(pieces)), lambda p: p["piece"]), "")
+    first = F.min_by(F.struct("x", "y"), "_k")
+    lines = placed.groupBy(*line).agg(squeeze(text).alias("text"), first.alias("_f"))
     return lines.select(
-        "doc_id", "page_no", (-F.col("_y")).cast("long").alias("line_no"), squeeze(F.aggregate("i", start, join, lambda s: s["text"])).alias("text"),
-        first["x"].alias("x"), first["y"].alias("y"),
-        (1 - first["y"] / F.greatest(F.lit(1.0), F.lit(float(page_height)))).alias("top_ratio")).filter(F.col("text") != "")
+        "doc_id", "page_no", (-F.col("_y")).cast("long").alias("line_no"), "text", F.col("_f.x").alias("x"), F.col("_f.y").alias("y"),
+        (1 - F.col("_f.y") / F.greatest(F.lit(1.0), F.lit(float(page_height)))).alias("top_ratio")).filter(F.col("text") != "")
 
 
 def margin_keys(norm: Column) -> Column:

@@ -1,6 +1,7 @@
 """Search, location, layout and comparison of documents."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,16 @@ def test_item_lines(spark):
     assert [r["text"] for r in M.item_lines(items, 200.0).orderBy("line_no").collect()] == ["hello world飞行", "下"]
 
 
+def test_item_lines_of_a_very_long_line(spark):
+    n = 30_000
+    items = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page_no"), F.lit("word12").alias("str"), (F.col("id") * 10.0).alias("x"), F.lit(50.0).alias("y"),
+                                  F.when(F.col("id") == 7, 35.0).when(F.col("id") % 100 != 0, 4.0).alias("width"))
+    began = time.monotonic()
+    text = M.item_lines(items, 200.0).first()["text"]
+    # The item at 7 reaches over the next three, so no space goes before these.
+    assert text.split(" ") == ["word12"] * 7 + ["word12" * 4] + ["word12"] * (n - 11) and time.monotonic() - began < 20
+
+
 OPEN, SHUT = "早班司机到站后先填写里程登记卡。", "末班车入库时由保管员锁好侧门。"
 SCENES = [
     # One own rule gone, two others come in between two shared lines.
