@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,33 +37,38 @@ def candidate_blocks(blocks: DataFrame, items: DataFrame) -> DataFrame:
 
 
 HIT_SCHEMA = "item_id long, doc_id long, block_idx int, start int, end int, mode string, matched_text string"
+HIT_ARROW = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("block_idx", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+                       ("mode", pa.string()), ("matched_text", pa.string())])
+ROWS = 64
 
 
 def keyword_hits(blocks: DataFrame, items: DataFrame) -> DataFrame:
     """All exact hits, and loose hits at ranges no exact hit has, with source offsets."""
     def emit(batches):
+        names = ["item_id", "doc_id", "block_idx", "text", "keyword", "loose_key"]
         for batch in batches:
-            out = []
-            for item, doc, block, text, word, loose_word in zip(
-                batch["item_id"], batch["doc_id"], batch["block_idx"], batch["text"], batch["keyword"], batch["loose_key"]
-            ):
-                seen = set()
-                at = text.find(word)
-                while at >= 0:
-                    seen.add((at, at + len(word)))
-                    out.append((item, doc, block, at, at + len(word), "exact", word))
-                    at = text.find(word, at + len(word))
-                loose, source = loose_offsets(text)
-                at = loose.find(loose_word)
-                while at >= 0:
-                    span = (source[at], source[at + len(loose_word) - 1] + 1)
-                    if span not in seen:
-                        seen.add(span)
-                        out.append((item, doc, block, *span, "loose", text[span[0]:span[1]]))
-                    at = loose.find(loose_word, at + len(loose_word))
-            yield pd.DataFrame(out, columns=["item_id", "doc_id", "block_idx", "start", "end", "mode", "matched_text"])
-
-    return candidate_blocks(blocks, items).mapInPandas(emit, HIT_SCHEMA)
+            for first in range(0, batch.num_rows, ROWS):  # a few at a time: rows and hits as Python objects take many times the space
+                out = []
+                part = batch.slice(first, ROWS)
+                for item, doc, block, text, word, loose_word in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                    seen = set()
+                    at = text.find(word)
+                    while at >= 0:
+                        seen.add((at, at + len(word)))
+                        out.append((item, doc, block, at, at + len(word), "exact", word))
+                        at = text.find(word, at + len(word))
+                    loose, source = loose_offsets(text)
+                    at = loose.find(loose_word)
+                    while at >= 0:
+                        span = (source[at], source[at + len(loose_word) - 1] + 1)
+                        if span not in seen:
+                            seen.add(span)
+                            out.append((item, doc, block, *span, "loose", text[span[0]:span[1]]))
+                        at = loose.find(loose_word, at + len(loose_word))
+                columns = zip(*out, strict=True) if out else [[] for _ in HIT_ARROW]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, HIT_ARROW, strict=True)], schema=HIT_ARROW)
+
+    return candidate_blocks(blocks, items).mapInArrow(emit, HIT_SCHEMA)
 
 
 def ranked_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:

@@ -43,6 +43,15 @@ def test_keyword_hits(spark, blocks):
     assert counts[5] == 0 and counts[6] == 0 and counts[1] == 4
 
 
+def test_keyword_hits_come_a_few_rows_at_a_time(spark, monkeypatch):
+    emits = []
+    frame = spark.createDataFrame([(1, 1, k, "ab abab", "ab", "ab") for k in range(200)], "item_id long, doc_id long, block_idx int, text string, keyword string, loose_key string")
+    monkeypatch.setattr(S, "candidate_blocks", lambda *_: type("Rows", (), {"mapInArrow": lambda self, emit, schema: emits.append(emit) or frame.mapInArrow(emit, schema)})())
+    assert S.keyword_hits(None, None).count() == 600
+    sizes = [b.num_rows for b in emits[0](iter(frame.toArrow().combine_chunks().to_batches()))]
+    assert sizes == [192, 192, 192, 24]
+
+
 def test_source_tiers(spark, blocks):
     src = [(1, 1, "1-b2", 2, 4, 7, "飞行员", "第一条 ", "", "飞行员"), (2, 1, "zz", 2, 4, 7, "飞行员", "", "", "飞行员"), (3, 1, "zz", 2, 0, 2, "检查", "应当", "", "x"),
            (4, 1, "zz", 9, 0, 2, "检查", "应当", "", "x"), (5, 1, "zz", 1, 0, 2, "不在", "", "", "总则"), (6, 1, "zz", 9, 0, 1, "飞行员", "", "", "q")]
