@@ -49,6 +49,7 @@ BUCKETS = 1 << 19  # counts that order the grams of a set
 CENTRES, ORDERS = (1, 16, 64), 32  # sets that meet all others of a gram, by round, and orders of sets to take them by
 SEEN = 1 << 18  # sets a task remembers so as to pass them on once
 SKETCH = 4  # longs of a set's parity sketch
+WIDE = 32  # longs of the sketch by which a pair is judged before its sets are shipped
 SLACK = 1e-9  # rounding of a bound: more candidates, never fewer
 
 
@@ -76,10 +77,10 @@ def print_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def sketch_of(grams: np.ndarray) -> np.ndarray:
-    """Parities of a set's grams by some of their bits, in ``SKETCH`` longs. Each gram that one of two sets
+def sketch_of(grams: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Parities of a set's grams by some of their bits, in ``longs`` longs. Each gram that one of two sets
     holds alone changes one parity, so they differ in at least as many grams as their sketches do in bits."""
-    odd = np.bincount((grams.view(np.uint64) >> np.uint64(40)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    odd = np.bincount((grams.view(np.uint64) >> np.uint64(40)) % np.uint64(64 * longs), minlength=64 * longs).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
@@ -336,16 +337,19 @@ def shingle_prints(texts: DataFrame, shingle: int = WORDS) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """``sid, grams`` for every row of ``doc_id, text, h``."""
-    schema = pa.schema([("sid", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    """``sid, n, wide, grams`` for every row of ``doc_id, text, h``; ``wide`` is a sketch of ``WIDE`` longs."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int32()), ("wide", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sids, found in _shingled(batches, shingle):
-            borders = np.append(0, np.cumsum([len(g) for g in found])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(found)))], schema=schema)
+            sizes = np.array([len(g) for g in found], np.int32)
+            borders, places = np.append(0, np.cumsum(sizes)).astype(np.int32), np.arange(len(found) + 1, dtype=np.int32) * WIDE
+            lists = [(places, np.concatenate([sketch_of(g, WIDE) for g in found])), (borders, np.concatenate(found))]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for ends, values in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(sizes), *lists], schema=schema)
         give_back()
 
-    return texts.mapInArrow(sets, "sid long, grams array<long>")
+    return texts.mapInArrow(sets, "sid long, n int, wide array<long>, grams array<long>")
 
 
 def rare_grams(texts: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
@@ -412,8 +416,11 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], mar
 
     def verified(pairs: DataFrame) -> DataFrame:
         whole = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "paired-sets")
+        near = stored(near_sketches(pairs, whole, similarity), "near-pairs")
+        ends = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        whole = whole.join(ends, "sid", "left_semi")
         left, right = (whole.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-        met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
+        met = near.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
         return met.filter(F.col("both") / (F.size("grams_a") + F.size("grams_b") - F.col("both")) >= similarity).select("a", "b")
 
     names = ["sid", "n", "place", "root"]
@@ -443,6 +450,21 @@ def similar_sets(rare: DataFrame, sets_of: Callable[[DataFrame], DataFrame], mar
     return labels
 
 
+def _may_be_near(a: str, b: str, sizes: Column, similarity: float, longs: int) -> Column:
+    """Similar sets differ in few grams, so in few bits of their sketches; ``sizes`` is the sum of both sizes."""
+    apart = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(longs)), F.lit(0))
+    return apart <= (1 - similarity) / (1 + similarity) * sizes + SLACK
+
+
+def near_sketches(pairs: DataFrame, whole: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose sizes and sketches in ``whole`` (``sid, n, wide``) allow the similarity: only
+    their sets are shipped, so chance pairs, of which there are ever more in larger tables, cost a sketch each."""
+    for end in "ab":
+        pairs = pairs.join(whole.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}")), end)
+    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - SLACK
+    return pairs.filter(sizes & _may_be_near("wide_a", "wide_b", F.col("n_a") + F.col("n_b"), similarity, WIDE)).select("a", "b")
+
+
 def _still_apart(members: DataFrame, similarity: float, able: Column) -> DataFrame:
     """Pairs of ``members`` (``sid, n, place, root, gram, sketch``) of one gram and two roots that may be similar.
 
@@ -457,9 +479,7 @@ def _still_apart(members: DataFrame, similarity: float, able: Column) -> DataFra
     low = both.filter((F.col("up") == 0) | (F.col("n") - F.col("place") >= least * (F.col("n") + smallest) - SLACK))
     low = low.withColumn("band", F.col("band") + F.col("up"))
     high = banded.select("gram", "band", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "root", "sketch")])
-    apart = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
-    # Similar sets differ in few grams, so in few bits of their sketches.
-    near = apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n_b")) + SLACK
+    near = _may_be_near("sketch", "sketch_b", F.col("n") + F.col("n_b"), similarity, SKETCH)
     once = (F.col("up") == 1) | (F.col("sid") < F.col("sid_b"))
     return low.join(high, ["gram", "band"]).filter(once & (F.col("root") != F.col("root_b")) & able & near)
 
@@ -482,8 +502,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         keys = least.join(wanted, "sid").select(F.col("k.doc_id").alias("own_id"), F.col("k.h").alias("own_h"))
         keys = stored(keys, "set-keys")  # a table of known size: Spark broadcasts it if small, or else joins by shuffle
         own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))
-        return shingle_sets(texts.join(keys, own, "left_semi"), shingle).dropDuplicates(["sid"])
+        sets = shingle_sets(texts.join(keys, own, "left_semi"), shingle)
+        return sets.dropDuplicates(["sid"]) if again else sets
 
+    again = not found.filter("n > 1").isEmpty()  # rows of one id and text: else each key gives one set
     rare = stored(rare_grams(texts, counts, similarity, shingle), "rare-grams")
     roots = similar_sets(rare, sets_of, marks, similarity).select(F.col("node").alias("sid"), "root")
     rooted = stored(least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set-roots")

@@ -128,6 +128,17 @@ def test_sketches_keep_texts_apart_that_share_a_passage(spark):
     assert [tuple(r) for r in found] == [(0, 40)]
 
 
+def test_pairs_that_only_share_grams_leave_before_their_sets_are_shipped(spark):
+    random.seed(6)
+    def grams(n): return [random.getrandbits(63) for _ in range(n)]  # noqa: E704
+    base = grams(1500)
+    sets = [base, base[:-90] + grams(90), base[:700] + grams(800), grams(1500), base[:1000]]
+    rows = [(k, len(s), simhash.sketch_of(np.unique(np.array(s, np.int64)), simhash.WIDE).tolist()) for k, s in enumerate(sets)]
+    whole = spark.createDataFrame(rows, "sid long, n int, wide array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 5)], "a long, b long")
+    assert [tuple(r) for r in simhash.near_sketches(pairs, whole).collect()] == [(0, 1)]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
