@@ -50,6 +50,54 @@ def _earliest(condition: Column) -> Column:
     return F.min(F.when(condition, key))
 
 
+def _stage(today: str, stage_end: str | None) -> tuple[Column, Column]:
+    start = F.lit(today).cast("date")
+    return start, F.lit(stage_end).cast("date") if stage_end else R.default_stage_end(start)
+
+
+def _people(expiry: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """People of the board, with the day of their expiry as ``old``."""
+    people = expiry.withColumns({
+        "employee_id": clean("employee_id"), "name": clean("name"), "old": training_date("raw_expiry"),
+    }).filter((F.col("employee_id") != "") | (F.col("name") != ""))
+    if excluded is not None:
+        people = people.join(excluded.select("name", "project"), ["name", "project"], "left_anti")
+    return people.filter(F.col("old").isNotNull() | ~is_null_word("raw_expiry"))
+
+
+def _status(need: Column, bad: Column, cover: Column, planned: Column) -> Column:
+    uncovered = planned & need.isin(R.MUST, R.RECOMMENDED)
+    return (F.when(bad, R.ABNORMAL).when(cover, R.NORMAL)
+            .when(planned & (need == R.EXPIRED), R.EXPIRED_PLANNED).when(uncovered, R.UNCOVERED).otherwise(need))
+
+
+def board_statuses(
+    expiry: DataFrame, training: DataFrame, today: str, stage_end: str | None = None, excluded: DataFrame | None = None,
+) -> DataFrame:
+    """``status, project, due_month`` of the rows of ``status_board``, for counts.
+
+    A status asks only whether there is a training row of a kind, not which one: the days of a person and
+    project are gathered once, bounded by the calendar, and meet people as one row, not as one each.
+    """
+    start, end = _stage(today, stage_end)
+    people = _people(expiry, excluded)
+    policy = coverage_policy(training).filter(F.col("active") | F.col("abnormal"))
+    days = policy.groupBy("project", clean("employee_id").alias("t_id"), clean("name").alias("t_name")).agg(
+        F.max("abnormal").alias("bad"), F.max("active").alias("planned"),
+        F.collect_set(F.when(F.col("active"), F.col("train_date"))).alias("days"))
+    rule, old = R.Rule.of_columns(window=True), F.col("old")
+    dated = R.with_rules(people.filter(F.col("old").isNotNull()), old="old").withColumnRenamed("row_no", "person_row")
+    more = [c for c in dated.columns if c not in ("project", "person_row", "employee_id", "name", "raw_expiry")]
+    met = same_person(dated, days).select("project", "person_row", "bad", "planned", *more, F.explode_outer("days").alias("day"))
+    facts = met.groupBy("project", "person_row").agg(
+        F.max("bad").alias("bad"), F.max("planned").alias("planned"), F.max(R.plan_covers(rule, F.col("day"), old)).alias("cover"))
+    board = dated.join(facts, ["project", "person_row"], "left")
+    known = [F.coalesce(fact, F.lit(False)) for fact in ("bad", "cover", "planned")]
+    readable = board.select(_status(R.scheduling_need(rule, start, end, old), *known).alias("status"), "project", month_key(R.due_date(rule, old)).alias("due_month"))
+    unreadable = people.filter(F.col("old").isNull()).select(F.lit(R.ABNORMAL).alias("status"), "project", F.lit("").alias("due_month"))
+    return readable.unionByName(unreadable)
+
+
 def status_board(
     expiry: DataFrame, training: DataFrame, today: str, stage_end: str | None = None,
     excluded: DataFrame | None = None, people_sheet: str = "人员信息表",
@@ -59,15 +107,8 @@ def status_board(
     ``expiry``: project, employee_id, name, raw_expiry, row_no. ``training``: the training
     columns. ``excluded``: optional ``(name, project)`` pairs to leave out.
     """
-    start = F.lit(today).cast("date")
-    end = F.lit(stage_end).cast("date") if stage_end else R.default_stage_end(start)
-    people = expiry.withColumns({
-        "employee_id": clean("employee_id"), "name": clean("name"), "old": training_date("raw_expiry"),
-    }).filter((F.col("employee_id") != "") | (F.col("name") != ""))
-    if excluded is not None:
-        people = people.join(excluded.select("name", "project"), ["name", "project"], "left_anti")
-    people = people.filter(F.col("old").isNotNull() | ~is_null_word("raw_expiry"))
-
+    start, end = _stage(today, stage_end)
+    people = _people(expiry, excluded)
     dated = R.with_rules(people.filter(F.col("old").isNotNull()).select(
         "project", "employee_id", "name", "old", F.col("row_no").alias("person_row")), old="old")
     rule, old, day = R.Rule.of_columns(window=True), F.col("old"), F.col("train_date")
@@ -84,6 +125,7 @@ def status_board(
     })
     need, planned = F.col("need"), F.col("plan").isNotNull()
     uncovered = planned & need.isin(R.MUST, R.RECOMMENDED)
+    status = _status(need, F.col("bad").isNotNull(), F.col("cover").isNotNull(), planned)
     person_source = F.concat(F.lit(f"{people_sheet} 第"), F.col("person_row").cast("string"), F.lit("行"))
 
     def row_source(fact):
@@ -92,10 +134,7 @@ def status_board(
     plan_day = F.coalesce(F.date_format("plan.day", "yyyy-MM-dd"), F.lit("日期无法解析"))
     no_cover = F.concat(plan_day, F.lit("，但不能覆盖本轮到期。"), R.coverage_reason(rule, F.col("plan.day"), old))
     known = board.select(
-        F.when(F.col("bad").isNotNull(), R.ABNORMAL)
-        .when(F.col("cover").isNotNull(), R.NORMAL)
-        .when(planned & (need == R.EXPIRED), R.EXPIRED_PLANNED)
-        .when(uncovered, R.UNCOVERED).otherwise(need).alias("status"),
+        status.alias("status"),
         "project", "employee_id", "name", date_text("old").alias("expiry"),
         month_key("due").alias("due_month"), date_text("due").alias("due_date"),
         date_text(F.coalesce(F.col("cover.day"), F.when(F.col("cover").isNull(), F.col("plan.day")))).alias("scheduled_date"),

@@ -65,6 +65,10 @@ def test_board_precedence(spark):
     board = C.status_board(expiry, training, "2026-06-10", excluded=excluded)
     assert {r["name"]: r["status"] for r in board.collect()} == {
         "a": "正常", "b": "已过期已排补训", "c": "异常", "d": "异常", "f": "已排未覆盖", "g": "正常", "h": "推荐排"}
+    counted = C.board_statuses(expiry, training.unionByName(training), "2026-06-10", excluded=excluded)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, board.select("status", "project", "due_month").collect()))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "first_row" not in plan and "min(CASE" not in plan  # no row is looked for where only its kind counts
 
 
 def test_blank_ids_only_meet_by_name(spark):
