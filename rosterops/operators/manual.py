@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterops.functions.normal import line_key, nfkc_lower
 from rosterops.functions.text import clean, squeeze
 from rosterops.operators.skew import dense_order, running_last, running_sum
+from rosterops.session import cut_lineage
 from rosterops.sources.text_blocks import SENTENCE_END, clause_parts, looks_like_title
 
 WORD_GAP, PARAGRAPH, HEADING = 3, 420, 40
@@ -119,12 +120,14 @@ def page_paragraphs(body: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no", F.posexplode(folded).alias("pos", "e")).select("doc_id", "page_no", "pos", "e.*")
 
 
-def layout_units(lines: DataFrame, ignored: list[str] | None = None) -> DataFrame:
+def layout_units(lines: DataFrame, ignored: list[str] | None = None, keep=cut_lineage) -> DataFrame:
     """Manual units of a laid-out document: paragraphs with running title and page.
 
-    A bare clause number only becomes the title when there is none yet.
+    A bare clause number only becomes the title when there is none yet. ``keep`` stores the
+    paragraphs, and their places, as several later steps read each: pages are folded once.
     """
-    entries = dense_order(page_paragraphs(body_lines(lines, ignored)), ["doc_id"], "page_no", "pos", "_o")
+    paragraphs = keep(page_paragraphs(body_lines(lines, ignored)))
+    entries = keep(dense_order(paragraphs, ["doc_id"], "page_no", "pos", "_o"))
     strong = F.when(F.col("title").isNotNull() & ~F.col("weak"), F.col("title"))
     titled = running_last(entries, ["doc_id"], "_o", strong, "_strong")
     first_weak = entries.filter("weak").groupBy("doc_id").agg(F.min(F.struct("_o", "title")).alias("_w"))

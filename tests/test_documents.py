@@ -93,6 +93,9 @@ def test_layout_units(spark):
     assert units[0] == (1, "适用范围本章规定训练要求并适用于全体人员。", "1.1 适用范围")
     assert units[1] == (2, "续前段落的第一行本章规定训练要求并适用于全体人员。", "1.1 适用范围") and len(units) == 4
     long_page = spark.createDataFrame([(1, 1, i, "字" * 100, 0.2 + i / 100) for i in range(9)], "doc_id long, page_no int, line_no long, text string, top_ratio double")
+    stored = []
+    plan = M.layout_units(df, keep=lambda rows: stored.append(M.cut_lineage(rows)) or stored[-1])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(stored) == 2 and "aggregate(" not in plan  # no page is folded again after it is stored
     assert [len(r["text"]) for r in M.layout_units(long_page).orderBy("unit_idx").collect()] == [500, 400]
 
 
