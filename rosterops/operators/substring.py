@@ -13,10 +13,10 @@ verified on its text at the end. Both ways give the same pairs.
 
 from __future__ import annotations
 
+from array import array
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from rosterops.operators.skew import attach
 AUTOMATON_NEEDLES, AUTOMATON_CHARS = 50_000, 5_000_000
 SIZES, PROBES, PIECE = (1, 2, 3, 4, 8, 16), 2, 64
 GROUP_CHARS, LISTED_CHARS = 4_000_000, 500_000
+ROWS = 64  # texts that are Python objects at a time
 
 
 def fits_broadcast(rows: DataFrame, max_rows: int, max_chars: int) -> bool:
@@ -102,19 +103,29 @@ def _by_automaton(n: DataFrame, t: DataFrame, needle: str, text: str) -> DataFra
     words = [r[0] for r in n.select(needle).distinct().collect()]
     built: dict = {}
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def found(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(ArrayType(StringType()))
+    def found(texts: pa.Array) -> pa.Array:
         if "a" not in built:
             automaton = ahocorasick.Automaton()
-            for word in words:
-                automaton.add_word(word, word)
+            for number, word in enumerate(words):
+                automaton.add_word(word, number)
             automaton.make_automaton()
-            built["a"] = automaton
-        return texts.map(lambda body: list({w for _, w in built["a"].iter(body)}) if body and words else [])
+            built["a"] = automaton, pa.array(words, pa.string())
+        return hit_words(texts, *built["a"])
 
     return t.withColumn("_w", F.explode(found(F.col(text))))
 
 
+def hit_words(texts: pa.Array, automaton: ahocorasick.Automaton, words: pa.Array) -> pa.Array:
+    """The distinct ``words`` in each text, as Arrow: only ``ROWS`` texts at a time are Python objects."""
+    ends, numbers = array("i", [0]), array("i")
+    for first in range(0, len(texts), ROWS):
+        for body in texts.slice(first, ROWS).to_pylist():
+            numbers.extend({k for _, k in automaton.iter(body)} if body and len(words) else ())
+            ends.append(len(numbers))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(numbers, pa.int32())))
+
+
 def _by_groups(n: DataFrame, t: DataFrame, needle: str, text: str, text_keys: list[str], most: int) -> DataFrame:
     """Texts with each needle ``_w`` of their key that they hold; keys of more than ``most`` characters by postings."""
     words = n.select(F.col("_own").alias("_in"), F.col(needle).alias("_w")).filter("_in is not null").distinct()

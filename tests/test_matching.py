@@ -1,8 +1,11 @@
 """Joins and scans against plain loops, with hot keys."""
 
 import random
+import tracemalloc
 from datetime import date, timedelta
 
+import ahocorasick
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from rosterops.operators import requests as Q
 from rosterops.operators import skew as K
 from rosterops.operators import structure as S
 from rosterops.operators import validate as V
-from rosterops.operators.substring import containing
+from rosterops.operators.substring import containing, hit_words
 from rosterops.sources import cells as C
 from rosterops.sources import intake, packages, reports
 
@@ -92,6 +95,23 @@ def test_substring_join_repeats_and_wide_letters(spark):
         assert sorted((r["n"], r["t"]) for r in got) == sorted((a, b) for a, w in needles for b, body in texts if w and body and w in body)
 
 
+def test_automaton_holds_few_texts_as_objects():
+    words = [f"n{k}" for k in range(50)]
+    automaton = ahocorasick.Automaton()
+    for number, word in enumerate(words):
+        automaton.add_word(word, number)
+    automaton.make_automaton()
+    body = " ".join(words) + "x" * 20_000
+    texts = pa.array([body, None, "", "n7 n7"] * 1_000)
+    tracemalloc.start()
+    found = hit_words(texts, automaton, pa.array(words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000  # a text is 20 kB: all of them 20 MB
+    got = [set(x) for x in found.slice(0, 4).to_pylist()]
+    assert got == [set(words), set(), set(), {"n7"}] and len(found) == 4_000
+
+
 def test_mentions_and_crosstab(spark):
     roster = spark.createDataFrame([("李四", 1), ("张三", 2), ("张三丰", 3), ("张三", 4)], "name string, row_no long")
     cells = spark.createDataFrame([(1, "A", "张三丰 李四"), (2, "A", "李四"), (3, "B", "无人"), (4, "B", "")], "c long, route string, text string")
