@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -299,3 +300,25 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert kept[7]["text"].endswith("[EMAIL]") and kept[7]["n_chars"] == len(kept[7]["text"]) and kept[8]["lang"] == "en"
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == {1, 7, 8, None}
+
+
+def test_pipeline_hands_few_rows_to_python_at_a_time(spark):
+    import corpus_pipeline
+
+    name, before = corpus_pipeline.BATCH_CONF, spark.conf.get(corpus_pipeline.BATCH_CONF)
+    docs = spark.range(4000).coalesce(1).selectExpr("id as doc_id", "'some text' as text", "'en' as lang", "'s' as source", "9 as n_chars")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32())], ["n"])
+
+    try:
+        for given, most in (("10000", 500), ("100", 100), ("0", 500)):
+            spark.conf.set(name, given)
+            corpus_pipeline.in_small_batches(lambda s, d, _: d)(spark, docs, "")
+            assert max(r["n"] for r in docs.mapInArrow(sizes, "n int").collect()) == most
+        spark.conf.set(name, "10000")
+        corpus_pipeline.identify_language(spark, docs, "")
+        assert spark.conf.get(name) == "500"
+    finally:
+        spark.conf.set(name, before)
