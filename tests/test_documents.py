@@ -10,6 +10,7 @@ from rosterops.operators import locate as L
 from rosterops.operators import manual as M
 from rosterops.operators import review as V
 from rosterops.operators import search as S
+from rosterops.operators import align
 from rosterops.operators.align import Span, best_chain, gap_candidates, heaviest, increasing_chain
 from rosterops.operators.events import sort_events, text_similarity
 from rosterops.operators.slices import plain
@@ -269,3 +270,20 @@ def test_highlights_of_very_many_ranges(spark):
         cuts = sorted({0, len(text), *(x for a, b, _ in held for x in (a, b))})
         want += [(name, a, b, text[a:b], [k for s, e, k in sorted(held) if s < b and e > a]) for a, b in zip(cuts, cuts[1:])]
     assert sorted((r["text_id"], r["start"], r["end"], r["segment"], r["active"]) for r in out.collect()) == sorted(want)
+
+
+def test_windows_of_a_gap_meet_in_slots_without_their_texts(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = {s: ["".join(rnd.choice("ab1检查") for _ in range(14)) for _ in range(10)] for s in "mr"}
+    grams = lambda t: sorted({t[i:i + 2] for i in range(len(t) - 1)})
+    mine, theirs = (spark.createDataFrame([(1, 0, i, i + 1, t, t, grams(t)) for i, t in enumerate(texts[s])],
+                                          f"pair_id long, gap long, {s}_start int, {s}_end int, {s}_norm string, {s}_match string, {s}_grams array<string>") for s in "mr")
+    monkeypatch.setattr(align, "SLOT", 3)
+    found = align._overlaps(mine, theirs, ["pair_id", "gap"], 4)
+    assert "explode(m_grams" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for i, a in enumerate(texts["m"]):
+        shared = [(-len(set(grams(a)) & set(grams(b))), k) for k, b in enumerate(texts["r"])]
+        n = len(grams(a))
+        want |= {(i, k) for s, k in sorted(shared)[:4] if -s >= (n * align.SHARE if n >= len(a) * align.VARIED else 1)}
+    assert want and {(r["m_start"], r["r_start"]) for r in found.collect()} == want
