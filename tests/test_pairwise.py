@@ -1,8 +1,11 @@
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from rosterops.operators import pairwise
+from rosterops.functions.normal import loose_offsets
+from rosterops.operators import diff, pairwise, review
 from rosterops.operators.align import Span, heaviest
 from rosterops.operators.pairwise import Judge, Manual, deal, gap_chain
 from rosterops.plans.comparison import compare_manuals, compare_pairs, comparison_summary
@@ -105,3 +108,33 @@ def test_gap_chain_against_all_candidates(monkeypatch):
         spans.sort()
         chosen = [spans[k] for k in heaviest([Span(start, end, a, b, w) for start, a, end, b, w in spans])]
         assert [x[:4] for x in one] == [(start, end, a, b) for start, a, end, b, _ in chosen]
+
+
+def test_category_counts_read_the_events_once(spark):
+    kind = F.when(F.col("id") < 9, "added?").when(F.col("id") < 11, "modified").otherwise("review")
+    events = spark.range(5, 12).select(kind.alias("kind"), F.lit("T").alias("title"), F.col("id").cast("string").alias("my_text"), F.lit("x Y").alias("ref_text"))
+    counts = review.category_counts(events, "1 0")
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Range (5, 12") == 1
+    assert {tuple(r) for r in counts.filter("total > 0").collect()} == {("modified", 2, 1), ("review", 1, 0), ("all", 7, 1)}
+    assert {tuple(r) for r in review.category_counts(events.limit(0)).collect()} == {(k, 0, 0) for k in [*review.KIND_LABELS, "all"]}
+    assert {r["matched"] for r in review.category_counts(events).filter("kind = 'all'").collect()} == {7}
+
+
+def test_a_source_is_read_only_for_a_focus_and_places_follow_its_characters():
+    found = review.normalized_range.func(pd.Series([object(), "a 甲乙", "x"]), pd.Series([None, "甲 乙", "乙"]))  # an object has no translate()
+    assert found["start"].isna().tolist() == [True, False, True] and found.iloc[1].tolist() == [2, 4]
+    rnd = random.Random(8)
+    for _ in range(300):
+        source = "".join(rnd.choices("aB½①ﬁ甲乙,。 \n😀ß９", k=rnd.randrange(1, 30)))
+        loose, at = loose_offsets(source)
+        kept = [(c, i) for c, i in zip(loose, at) if c.isascii() and c.isalnum() or "一" <= c <= "鿿"]
+        body = "".join(c for c, _ in kept)
+        for start, size in ((k, n) for k in range(len(body)) for n in (1, 2, 5) if k + n <= len(body)):
+            assert review.source_range(source, start, size) == (kept[start][1], kept[start + size - 1][1] + 1)
+        assert source.translate(review.KEPT) == body
+
+
+def test_one_sided_texts_need_no_common_places(monkeypatch):
+    monkeypatch.setattr(diff, "TailRows", lambda *a: pytest.fail("no rows are needed"))
+    assert diff.diff("甲  乙", "") == {"left": [{"kind": "removed", "text": "甲 乙"}], "right": []}
+    assert diff.diff("", "b") == {"left": [], "right": [{"kind": "added", "text": "b"}]} and diff.diff(" ", None) == {"left": [], "right": []}
