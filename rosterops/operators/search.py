@@ -10,6 +10,7 @@ from rosterops.functions import text as X
 from rosterops.functions.normal import loose_offsets, loose_text
 from rosterops.operators.skew import attach, near_pairs, running_last, running_sum
 from rosterops.operators.substring import all_positions, containing
+from rosterops.session import cut_lineage
 
 CONTEXT = 20
 
@@ -186,6 +187,16 @@ def _only_one(hits: DataFrame, tier: int) -> DataFrame:
     return one.filter("n = 1").select("source_id", F.lit(tier).alias("tier"), "h.b_doc", "h.b_idx", "h.start", "h.end")
 
 
+def _only_ones(hits: DataFrame, tiers: dict[int, Column]) -> DataFrame:
+    """Sources with exactly one hit at a tier, for the hits of several tiers in one pass."""
+    spot = F.struct("b_doc", "b_idx", "start", "end")
+    counted = hits.groupBy("source_id").agg(*(F.struct(
+        F.count_if(fits).alias("n"), F.min(F.when(fits, spot)).alias("h")).alias(f"t{tier}") for tier, fits in tiers.items()))
+    every = F.array(*(F.struct(F.lit(tier).alias("tier"), F.col(f"t{tier}.n").alias("n"), F.col(f"t{tier}.h").alias("h")) for tier in tiers))
+    return counted.select("source_id", F.explode(every).alias("x")).filter("x.n = 1").select(
+        "source_id", "x.tier", "x.h.b_doc", "x.h.b_idx", "x.h.start", "x.h.end")
+
+
 def _blocks_for_join(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.col("doc_id").alias("b_doc"), F.col("block_idx").alias("b_idx"), F.col("text").alias("b_text"))
 
@@ -251,13 +262,16 @@ def _in_scope(scoped: DataFrame, blocks: DataFrame, needle: str, keys: list[str]
     return pinned.unionByName(containing(scoped.filter("scope = 'all'"), blocks, needle, "b_text", keys, ["b_doc", "b_idx"]))
 
 
-def resolve_evidence(evidence: DataFrame, documents: DataFrame, blocks: DataFrame) -> DataFrame:
+def resolve_evidence(evidence: DataFrame, documents: DataFrame, blocks: DataFrame, keep=cut_lineage) -> DataFrame:
     """Find where saved evidence stands in the current documents.
 
     ``evidence``: source_id, doc_id, doc_name, block_id, block_idx, s_start, s_end, g_from,
     g_to, text, before_text, after_text, selection. ``blocks`` carry ``block_id``. Tiers: 1
     global offsets, 2 block ID, 3 block index, 4 document context for selections, 5
     context in the block, 6 context in any block in scope, 7 document context.
+
+    The least tier wins, so only evidence that no place of tier 1 to 3 holds is looked for in texts.
+    ``keep`` stores the places of these three, and the evidence that is left.
     """
     scoped = evidence_documents(evidence, documents)
     placed = global_offsets(blocks)
@@ -285,17 +299,15 @@ def resolve_evidence(evidence: DataFrame, documents: DataFrame, blocks: DataFram
 
     at_index = pinned.drop("doc_id", "block_id").withColumnsRenamed({"block_idx": "b_idx"}).withColumn(
         "b_doc", F.col("scope_doc")).join(b, ["b_doc", "b_idx"])
+    early = keep(by_global.unionByName(taken(by_id, 2)).unionByName(taken(at_index, 3)))
+    rest = keep(scoped.join(early.select("source_id").distinct(), "source_id", "left_anti").select(*scoped.columns))
     everywhere = _in_scope(
-        scoped.drop("doc_id"), _blocks_for_join(blocks), "text",
+        rest.drop("doc_id"), _blocks_for_join(blocks), "text",
         ["source_id", "scope", "scope_doc", "block_idx", "before_text", "after_text", "selection"])
-    spots = _occurrences(everywhere, "text", True)
-    in_block = _only_one(spots.filter(F.col("b_idx") == F.col("block_idx")), 5)
-    by_context = _only_one(spots, 6)
+    by_context = _only_ones(_occurrences(everywhere, "text", True), {5: F.col("b_idx") == F.col("block_idx"), 6: F.lit(True)})
     columns = ["source_id", "selection", "b_doc", "b_idx", "start", "end"]
-    across = _document_context(everywhere, placed).select(*columns).unionByName(_across_blocks(scoped, placed).select(*columns))
-    by_selection = _only_one(across.filter("selection"), 4)
-    by_document = _only_one(across, 7)
-    return _best_tier(evidence, [by_global, taken(by_id, 2), taken(at_index, 3), by_selection, in_block, by_context, by_document])
+    across = _document_context(everywhere, placed).select(*columns).unionByName(_across_blocks(rest, placed).select(*columns))
+    return _best_tier(evidence, [early, by_context, _only_ones(across, {4: F.col("selection"), 7: F.lit(True)})])
 
 
 def _edges(placed: DataFrame) -> tuple[DataFrame, DataFrame]:

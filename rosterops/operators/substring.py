@@ -101,6 +101,8 @@ def containing(
 def _by_automaton(n: DataFrame, t: DataFrame, needle: str, text: str) -> DataFrame:
     """Texts with each needle ``_w`` they hold; the needles are of checked size."""
     words = [r[0] for r in n.select(needle).distinct().collect()]
+    if not words:  # no text need be read
+        return t.filter(F.lit(False)).withColumn("_w", F.lit(None).cast("string"))
     built: dict = {}
 
     @F.arrow_udf(ArrayType(StringType()))

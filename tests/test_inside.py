@@ -2,7 +2,8 @@
 
 import random
 
-from rosterops.operators import substring
+from rosterops.operators import search, substring
+from rosterops.operators.substring import containing
 
 
 def test_needles_of_a_key_meet_its_texts_only(spark):
@@ -27,3 +28,21 @@ def test_long_needles_are_probed_by_long_grams(spark):
     got = substring.containing(n, t, "w", "body", ["n"], ["t"], automaton_needles=0)
     want = sorted((k, r["t"]) for r in t.collect() for k, w in ((1, "Customer#000000007"), (2, "ab"), (3, "abcd efg")) if w in r["body"])
     assert sorted((r["n"], r["t"]) for r in got.collect()) == want
+
+
+def test_no_needles_read_no_text(spark):
+    needles, texts = spark.createDataFrame([(1, "")], "n long, word string"), spark.createDataFrame([(7, "abc")], "k long, body string")
+    pairs = containing(needles, texts, "word", "body", ["n"], ["k"])
+    assert "found(" not in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.columns == ["n", "word", "k", "body"] and pairs.count() == 0
+
+
+def test_evidence_at_its_place_is_not_looked_for_in_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, doc_name string")
+    blocks = spark.createDataFrame([(1, 1, "p", "xx needle"), (1, 2, "q", "needle needle"), (2, 1, "r", "the needle")], "doc_id long, block_idx int, block_id string, text string")
+    rows = [("kept", 1, "a", "p", 1, 3, 9, None, None, "needle", "", "", False), ("moved", 2, "b", "gone", 3, 0, 6, None, None, "needle", "the ", "", False)]
+    evidence = spark.createDataFrame(rows, "source_id string, doc_id long, doc_name string, block_id string, block_idx int, s_start int, s_end int, g_from int, g_to int, "
+                                     "text string, before_text string, after_text string, selection boolean")
+    asked = []
+    monkeypatch.setattr(search, "containing", lambda needles, *a, **k: asked.append({r["source_id"] for r in needles.collect()}) or containing(needles, *a, **k))
+    found = {r["source_id"]: (r["tier"], r["new_doc"], r["new_idx"], r["new_start"]) for r in search.resolve_evidence(evidence, docs, blocks).collect()}
+    assert found == {"kept": (2, 1, 1, 3), "moved": (6, 2, 1, 4)} and set().union(*asked) == {"moved"}
